@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import Memo, slices, table
 
 END = 1 << 60
 
@@ -65,6 +65,7 @@ class TokenAutomaton:
         for r, (a, b) in enumerate(merges):
             self.gadget(r, vocab[a], vocab[b], vocab[a[: len(a) - len(suffix)] + b if suffix and a.endswith(suffix) else a + b])
         self.longest = max((len(t) for t in vocab), default=1)
+        self.symbols = {t for t in vocab if len(t) == 1}
         self.table: dict[tuple[int, int], bool] = {}
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
@@ -73,6 +74,9 @@ class TokenAutomaton:
         self.taken.setdefault(u, {})[v] = rank
         self.left[w], self.right[w], self.rank[w] = u, v, rank
 
+    def whole(self, word: str) -> bool:
+        return self.symbols.issuperset(word) and word[-1] + self.suffix in self.vocab
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": {}}
 
@@ -108,7 +112,7 @@ class TokenAutomaton:
         n, vocab, suffix = len(word), self.vocab, self.suffix
         if not n:
             return []
-        if any(c not in vocab for c in word[:-1]) or word[-1] + suffix not in vocab:
+        if not self.whole(word):
             raise ValueError("the vocabulary lacks a base symbol")
         path: list[tuple[int, int]] = []  # (start, token)
         dead = bytearray(n + 1)
@@ -133,7 +137,7 @@ class TokenAutomaton:
 class BpeCodec:
     """Texts to ids and back, as the tokenizers library does with such a file (no truncation, no padding, nothing added)."""
 
-    MEMO, LONGEST = 100_000, 64
+    MEMO, LONGEST = 200_000, 64
 
     def __init__(self, text: str):
         d = json.loads(text)
@@ -147,31 +151,25 @@ class BpeCodec:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.squeeze, self.blank = norm["normalizers"][1]["pattern"]["Regex"], norm["normalizers"][1]["content"]
         self.pattern = pre["pretokenizers"][0]["pattern"]["Regex"]
-        self.memo: dict[str, tuple[bytes, str]] = {}
         self.ready()
 
     def ready(self) -> None:
         self.words = regex.compile(self.pattern)
         self.spaces = regex.compile(self.squeeze)
         self.letters = byte_letters()
+        self.memo = Memo(self.word, self.MEMO, self.LONGEST)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "spaces", "letters")} | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "spaces", "letters", "memo")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self.ready()
 
     def word(self, word: str) -> tuple[bytes, str]:
-        got = self.memo.get(word)
-        if got is None:
-            ids = self.automaton.encode("".join(self.letters[b] for b in word.encode()))
-            got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-            if len(word) <= self.LONGEST:
-                if len(self.memo) >= self.MEMO:
-                    self.memo.clear()
-                self.memo[word] = got
-        return got
+        # letters of ASCII stand for themselves, and a pre-split word has no blanks
+        ids = self.automaton.encode(word if word.isalpha() and word.isascii() else "".join([self.letters[b] for b in word.encode()]))
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def lower(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -180,13 +178,13 @@ class BpeCodec:
         return text.replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        memo, word = self.memo, self.word
+        memo = self.memo
         for part in self.cuts.split(text) if self.cuts else [text]:
             if part in self.special:
                 yield struct.pack("<I", self.special[part]), part
             elif part:
                 for w in self.words.findall(self.lower(part)):
-                    yield memo.get(w) or word(w)
+                    yield memo[w]
 
     def packed(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and their decoded text."""
@@ -198,7 +196,7 @@ class BpeCodec:
         return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.label[i] for i in ids)
+        return " ".join([self.label[i] for i in ids])
 
 
 def bpe_codec(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:

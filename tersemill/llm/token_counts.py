@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import Memo, slices, table
 
 MARK = "▁"
 
@@ -34,7 +34,7 @@ class PieceCounter:
     """Counts the tokens of texts under a sentencepiece BPE model."""
 
     #: Chunks in the memo, and the longest chunk that is kept there.
-    MEMO, LONGEST = 100_000, 64
+    MEMO, LONGEST = 400_000, 64
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -48,37 +48,50 @@ class PieceCounter:
             raise ValueError("models that squeeze blanks or have user-defined or unused pieces aren't supported")
         self.prefix = MARK if norm.add_dummy_prefix else ""
         # a higher score is a lower rank; equal scores share a rank and go by position
-        self.rank = {p.piece: -p.score for p in proto.pieces if p.type == 1}
+        order = {x: i for i, x in enumerate(sorted({-p.score for p in proto.pieces if p.type == 1}))}
+        self.rank = {p.piece: order[-p.score] for p in proto.pieces if p.type == 1}
+        self.symbols = {p for p in self.rank if len(p) == 1}
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(self.merged, self.MEMO, self.LONGEST)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.memo = Memo(self.merged, self.MEMO, self.LONGEST)
 
     def merged(self, text: str) -> int:
-        rank, sym = self.rank, list(text)
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        # an unknown character stands for its bytes
-        weight = [1 if c in rank else len(c.encode()) for c in sym]
-        heap = [(rank[p], i, i + 1, p) for i in range(n - 1) if (p := sym[i] + sym[i + 1]) in rank]
+        """A symbol is text[i:end[i]]; the next one starts at end[i], the one before at before[i]. A heap entry
+        is one integer: rank, start, end of the pair."""
+        rank, n = self.rank.get, len(text)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
         heapq.heapify(heap)
-        count = sum(weight)
+        # an unknown character stands for its bytes
+        odd = {} if self.symbols.issuperset(text) else {i: k - 1 for i, c in enumerate(text) if c not in self.symbols and (k := len(c.encode())) > 1}
+        count = n + sum(odd.values())
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, j, piece = heapq.heappop(heap)
-            if nxt[i] != j or sym[i] is None or sym[j] is None or len(sym[i]) + len(sym[j]) != len(piece):
+            pair = pop(heap)
+            i, e = pair >> bits & low, pair & low
+            m = end[i]
+            if not 0 < m < e or end[m] != e:
                 continue
-            count -= weight[i] + weight[j] - 1
-            sym[i], sym[j], weight[i] = piece, None, 1
-            k = nxt[i] = nxt[j]
-            if k < n:
-                prv[k] = i
-                if (p := piece + sym[k]) in rank:
-                    heapq.heappush(heap, (rank[p], i, k, p))
-            h = prv[i]
-            if h >= 0 and (p := sym[h] + piece) in rank:
-                heapq.heappush(heap, (rank[p], h, i, p))
+            count -= 1
+            if odd:
+                count -= odd.pop(i, 0) + odd.pop(m, 0)
+            end[i], end[m] = e, 0
+            if e < n:
+                before[e] = i
+                if (r := rank(text[i : (f := end[e])])) is not None:
+                    push(heap, (r << bits | i) << bits | f)
+            h = before[i]
+            if h >= 0 and (r := rank(text[h:e])) is not None:
+                push(heap, (r << bits | h) << bits | e)
         return count
 
     def count(self, text: str) -> int:
@@ -87,17 +100,8 @@ class PieceCounter:
         text = self.prefix + text.replace(" ", MARK)
         if not self.cut:
             return self.merged(text)
-        memo, total = self.memo, 0
-        for chunk, times in Counter(self.chunks.findall(text)).items():
-            n = memo.get(chunk)
-            if n is None:
-                n = self.merged(chunk)
-                if len(chunk) <= self.LONGEST:
-                    if len(memo) >= self.MEMO:
-                        memo.clear()
-                    memo[chunk] = n
-            total += n * times
-        return total
+        memo = self.memo
+        return sum([memo[chunk] * times for chunk, times in Counter(self.chunks.findall(text)).items()])
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
