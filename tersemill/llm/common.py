@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time, so that a batch of very long texts never is as a whole.
 SLICE = 128
@@ -50,6 +51,16 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Most ids that are broadcast; beyond, rows are joined by shuffling.
+FEW_IDS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in dropped(id_col)."""
+    dropped = materialize(dropped.select(id_col), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW_IDS else dropped, id_col, "left_anti").select(*docs.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):

@@ -162,6 +162,19 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", t
     return rows.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = held.value.score
+        for batch in slices(batches):
+            yield batch.filter(pa.array([score(t or "")[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, labels))
 
