@@ -26,6 +26,7 @@ an empty one; other columns are ignored. Ids are integers.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from .shingles import Shingler, scatter
 
 #: The link: NUM of overlap against DEN of union.
 NUM, DEN = 75, 100
-COUNTERS, SLICE_BITS = 1 << 20, 12
+COUNTERS, SLICE_BITS = 1 << 24, 16
 SIGNATURE = 1024
 LONG, SOME = 64, 6
 #: Index entries a task, entries gathered before they are dealt, and the most ids that are broadcast.
@@ -49,7 +50,7 @@ LOW = np.uint64((1 << 58) - 1)
 
 
 def counter_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - 20)).astype(np.int64)
+    return (s >> np.uint64(64 - 24)).astype(np.int64)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -73,9 +74,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches):
             n, h1, h2, sig = [], [], [], []
             for s in shingler.many(batch.column(1).to_pylist()):
-                counts += np.bincount(counter_of(s), minlength=COUNTERS).astype(np.int32) if len(s) > COUNTERS // 4 else 0
-                if len(s) <= COUNTERS // 4:
-                    np.add.at(counts, counter_of(s), 1)
+                np.add.at(counts, counter_of(s), 1)
                 n.append(len(s))
                 x = scatter(s + np.uint64(1))
                 h1.append(int(x.sum(dtype=np.uint64).astype(np.int64)))
@@ -83,40 +82,42 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 sig.append(signature(s) if len(s) else None)
             none = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((n, h1, h2, sig), types[1:], strict=False)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
-        parts = [(i, x.tobytes()) for i, x in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if x.any()]
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if x.any()]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), t) for t in types[:5]), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, slice int, counts binary")
 
 
-def sketch(scanned: DataFrame) -> np.ndarray:
-    """The summed counters. COUNTERS numbers come to the driver, whatever the input."""
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """0 for what is no more frequent than chance fills a counter, then a step for each doubling."""
+    above = (counts - mean) / (3 * np.sqrt(mean) + 2)
+    return np.ceil(np.log2(np.maximum(above, 1))).clip(0, 60).astype(np.uint8)
+
+
+def sketch(scanned: DataFrame, mean: float) -> np.ndarray:
+    """The level of each counter, from the sums over all documents; mean: of the counters. COUNTERS bytes come
+    to the driver and go to the workers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in slices(batches):
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x, np.int32)
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(x.as_buffer()), np.int32)
                 sums[i] = sums[i] + x if i in sums else x.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+        packed = [zlib.compress(levels(x, mean).tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
     parts = scanned.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, counts binary").collect()
-    out = np.zeros((COUNTERS >> SLICE_BITS, 1 << SLICE_BITS), np.int64)
+    out = np.zeros((COUNTERS >> SLICE_BITS, 1 << SLICE_BITS), np.uint8)
     for r in parts:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out.ravel()
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for what is no more frequent than chance fills a counter, then a step for each doubling."""
-    floor = 4 * counts.mean() + 16
-    return np.minimum(np.ceil(np.log2(np.maximum(counts / floor, 1))), 60).astype(np.uint64)
-
-
 def index(docs: DataFrame, width: int, level: np.ndarray, same: dict[tuple[int, int], int], parts: int) -> DataFrame:
     """(bucket, entries): the index entries of all documents, packed. same: of sets that very many documents
     have, the document that stands for them."""
-    shingler, held = Shingler(width), docs.sparkSession.sparkContext.broadcast((level.astype(np.uint8), same))
+    shingler, held = Shingler(width), docs.sparkSession.sparkContext.broadcast((level, same))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, same = held.value
@@ -297,7 +298,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     every = scanned.filter("slice is null").select("id", "n", "h1", "h2", "sig")
     live = every.filter("n > 0 and id is not null")
     total = live.agg(F.count(F.lit(1)), F.sum("n")).first()
-    level = levels(sketch(scanned))
+    level = sketch(scanned, (total[1] or 0) / COUNTERS)
 
     # equal sets: the smallest id stands for all
     groups = live.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
