@@ -1,4 +1,334 @@
 """Queries over the test tables and the SQL that says what they return."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .functions import phrases
+from .functions.rewriting import CONSTRAINTS, TECHNICAL
+from .operators import compression, feedback
+from .operators import sentences as S
+from .sources.tables import test_table
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+BLANK = r"[ \t\n\r\f\v]"
+TOKENS = r"""(CASE WHEN coalesce(length({t}), 0) = 0 THEN 0 ELSE greatest(1,
+  len(regexp_extract_all({t}, '\n')) + len(regexp_extract_all({t}, '\n*[ \t\f\r\v][ \t\n\r\f\v]*'))
+  + coalesce(list_sum(list_transform(list_filter(regexp_split_to_array({t}, '[ \t\n\r\f\v]+'), lambda w: w <> ''), lambda w: CASE
+      WHEN regexp_full_match(w, '[^\w\s]') THEN 1 WHEN regexp_full_match(w, '[0-9]+') THEN ceil(length(w) / 3.0)
+      ELSE (CASE WHEN length(w) <= 4 THEN 1 WHEN length(w) <= 8 THEN ceil(length(w) / 5.0) ELSE ceil(length(w) / 4.0) END) + length(regexp_extract(w, '[^A-Za-z0-9_]*$')) END)), 0)) END)::BIGINT"""
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')), lambda x: x <> '')"
+TERMS = r"list_filter(regexp_split_to_array(regexp_replace(lower({s}), '[^A-Za-z0-9_ \t\n\r\f\v]', ' ', 'g'), '[ \t\n\r\f\v]+'), lambda x: length(x) > 1)"
+#: What the driver's text lacks is put around it, alike in Spark and in SQL.
+BEFORE, AFTER = "I basically  need it. ", "  \n\n\n\n- one item\n\n- two\n#### Part \n---\n===\n---\nend \n\n"
+
+
+def tokens_sql(text: str) -> str:
+    return TOKENS.replace("{t}", text)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return test_table(spark, d, "documents")
+
+
+@query(f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
+def token_count_heuristic(spark, d):
+    return docs(spark, d).select("doc_id", C.heuristic_tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT conv_id, turn, greatest(1, ceil(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')) * 1.3::DOUBLE))::BIGINT AS tokens FROM conversations")
+def legacy_token_estimate(spark, d):
+    return test_table(spark, d, "conversations").select("conv_id", "turn", C.word_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT conv_id, turn, {tokens_sql('text')} < 10 AS passes_through FROM conversations")
+def short_text_passthrough(spark, d):
+    return test_table(spark, d, "conversations").select("conv_id", "turn", (C.heuristic_tokens(F.col("text")) < 10).alias("passes_through"))
+
+
+MIN = "concat({b}, text, {a})".format(b=quoted(BEFORE), a="replace(" + quoted(AFTER.replace("\n", "~")) + ", '~', chr(10))")
+BULLET = r"(?:[-*•]|\d+[.)])"
+for pattern, put, flags in ((r"[ \t]+$", "", "gm"), (r"\n{3,}", r"chr(10) || chr(10)", "g"), (r"([^\n]) {2,}", r"\1 ", "g"), (rf"({BULLET}\s+.{{1,60}})\n\n({BULLET}\s+)", r"'\1' || chr(10) || '\2'", "g"), (r"\n+$", "chr(10)", ""), (r"^\n+", "", "")):
+    MIN = f"regexp_replace({MIN}, {quoted(pattern)}, {put if 'chr' in put else quoted(put)}, '{flags}')"
+
+
+@query(f"SELECT doc_id, {MIN} AS text FROM documents")
+def minify_whitespace_injected(spark, d):
+    return docs(spark, d).select("doc_id", C.minify(F.concat(F.lit(BEFORE), "text", F.lit(AFTER))).alias("text"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(concat(text, replace(" + quoted(AFTER.replace("\n", "~")) + r", '~', chr(10))), '((?:---+|===+)\s*\n){2,}', '---' || chr(10), 'g'), '^#{4,}\s', '### ', 'gm') AS text FROM documents")
+def trim_markdown_injected(spark, d):
+    return docs(spark, d).select("doc_id", C.trim_markdown(F.concat("text", F.lit(AFTER))).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, ',\s*([.!?;:])|[;:]\s*([.!?])|([.!?])\s*[.!?;:,]|([;:])\s*[;:,]|(,)\s*,', '\1\2\3\4\5', 'g'), ',\s*([.!?;:])|[;:]\s*([.!?])|([.!?])\s*[.!?;:,]|([;:])\s*[;:,]|(,)\s*,', '\1\2\3\4\5', 'g') AS text FROM documents""")
+def clean_punctuation(spark, d):
+    return docs(spark, d).select("doc_id", C.merge_punctuation(F.col("text")).alias("text"))
+
+
+@query()
+def collapse_repeats(spark, d):
+    return docs(spark, d).select("doc_id", C.collapse_repeats(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, (unnest(range(0, len(s))))::INT AS i, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES.replace('{t}', 'text')} AS s FROM documents)")
+def split_sentences(spark, d):
+    return S.sentence_rows(docs(spark, d), "doc_id").select("doc_id", "i", "sentence")
+
+
+ROWS = "SELECT {k}, (unnest(range(0, len(s))))::INT AS i, unnest(s) AS sentence FROM (SELECT {k}, " + SENTENCES.replace("{t}", "text") + " AS s FROM {t})"
+WORDS = "r AS (" + ROWS + "), q AS (SELECT {k}, i, sentence, " + TERMS.replace("{s}", "sentence") + " AS w FROM r)"
+WEIGHT = (
+    "WITH "
+    + WORDS
+    + """, n AS (SELECT {k}, count(*) AS n FROM q GROUP BY 1), e AS (SELECT {k}, i, len(w) AS l, unnest(w) AS term FROM q),
+tf AS (SELECT {k}, i, l, term, count(*) AS c FROM e GROUP BY ALL), df AS (SELECT {k}, term, count(*) AS df FROM tf GROUP BY ALL),
+v AS (SELECT tf.{k}, tf.i, tf.term, c / l AS tf, ln((n + 1)::DOUBLE / (df + 1)) + 1 AS idf, c / l * (ln((n + 1)::DOUBLE / (df + 1)) + 1) AS w FROM tf JOIN df USING ({k}, term) JOIN n USING ({k})),
+m AS (SELECT {k}, i, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1, 2),
+p AS (SELECT a.{k}, a.i, b.i AS j, sum(a.w * b.w) AS dot FROM v a JOIN v b ON a.{k} = b.{k} AND a.term = b.term AND a.i < b.i GROUP BY ALL),
+s AS (SELECT p.{k}, p.i, p.j, dot / (x.norm * y.norm) AS sim FROM p JOIN m x ON x.{k} = p.{k} AND x.i = p.i JOIN m y ON y.{k} = p.{k} AND y.i = p.j)
+"""
+)
+
+
+def filled(sql: str, key: str, table: str) -> str:
+    return sql.replace("{k}", key).replace("{t}", table)
+
+
+@query(filled(WEIGHT + "SELECT item_id, i, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM v", "item_id", "benchmark"))
+def sentence_tfidf(spark, d):
+    return S.weights(S.sentence_rows(test_table(spark, d, "benchmark"), "item_id"), "item_id").select("item_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
+
+
+@query(filled(WEIGHT + "SELECT item_id, i, j, round(sim, 2) AS sim FROM s WHERE sim >= 0.05", "item_id", "benchmark"))
+def sentence_pair_similarity(spark, d):
+    return S.similar_pairs(test_table(spark, d, "benchmark"), "item_id", least=0.05).select("item_id", "i", "j", F.round("sim", 2).alias("sim"))
+
+
+@query(filled("WITH " + WORDS + " SELECT doc_id, i, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w))::DOUBLE / len(w) END AS density FROM q", "doc_id", "documents"))
+def sentence_density(spark, d):
+    return S.sentence_rows(docs(spark, d), "doc_id").select("doc_id", "i", C.density(F.col("words")).alias("density"))
+
+
+DEDUP = filled(
+    WEIGHT
+    + """, dn AS (SELECT {k}, i, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w))::DOUBLE / len(w) END AS d FROM q),
+g AS (SELECT s.{k}, list([s.i, s.j, CASE WHEN x.d >= y.d THEN s.j ELSE s.i END] ORDER BY s.i, s.j) AS ps FROM s JOIN dn x ON x.{k} = s.{k} AND x.i = s.i JOIN dn y ON y.{k} = s.{k} AND y.i = s.j WHERE sim >= 0.65 GROUP BY 1),
+h AS (SELECT {k}, list_reduce(ps, lambda a, p: CASE WHEN list_contains(a, p[1]) OR list_contains(a, p[2]) THEN a ELSE list_append(a, p[3]) END, []::INT[]) AS gone FROM g),
+z AS (SELECT r.{k}, string_agg(sentence, ' ' ORDER BY i) AS kept FROM r LEFT JOIN h USING ({k}) WHERE gone IS NULL OR NOT list_contains(gone, r.i) GROUP BY 1)
+SELECT t.{k}, t.lang, t.text AS old, CASE WHEN coalesce(n.n, 0) < 2 THEN t.text ELSE z.kept END AS text, coalesce(len(gone), 0)::BIGINT AS removed FROM {t} t LEFT JOIN n USING ({k}) LEFT JOIN z USING ({k}) LEFT JOIN h USING ({k})
+""",
+    "doc_id",
+    "documents",
+)
+
+
+@query(f"SELECT doc_id, text, removed FROM ({DEDUP})")
+def dedup_sentences(spark, d):
+    return S.dedup_sentences(docs(spark, d), "doc_id")
+
+
+@query(f"""WITH x AS (SELECT lang, removed, {tokens_sql('old')} AS a, {tokens_sql('text')} AS b FROM ({DEDUP}))
+SELECT lang, count(*) AS texts, sum(removed)::BIGINT AS removed, sum(a)::BIGINT AS tokens_in, sum(b)::BIGINT AS tokens_out, floor(greatest(0, sum(a) - sum(b)) * 100 / sum(a) + 0.5)::BIGINT AS avg_percent FROM x GROUP BY 1""")
+def dedup_savings_by_lang(spark, d):
+    t = docs(spark, d)
+    kept = S.dedup_sentences(t, "doc_id").withColumn("b", C.heuristic_tokens(F.col("text"))).select("doc_id", "removed", "b")
+    x = t.select("doc_id", "lang", C.heuristic_tokens(F.col("text")).alias("a")).join(kept, "doc_id")
+    out = x.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("removed").alias("removed"), F.sum("a").alias("tokens_in"), F.sum("b").alias("tokens_out"))
+    return out.withColumn("avg_percent", C.whole_percent(F.greatest(F.lit(0), F.col("tokens_in") - F.col("tokens_out")), F.col("tokens_in")))
+
+
+SCORE = (
+    "WITH "
+    + filled(WORDS, "doc_id", "documents")
+    + ", n AS (SELECT doc_id, count(*) AS n FROM q GROUP BY 1), sc AS (SELECT q.doc_id, i, n, sentence, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_distinct(w))::DOUBLE / len(w) END"
+    + " * (CASE WHEN i = 0 OR i = n - 1 THEN 1.2::DOUBLE ELSE 1 END) * (CASE WHEN len(w) < 5 THEN 1.1::DOUBLE ELSE 1 END)"
+    + f" * (CASE WHEN list_has_any(w, [{', '.join(map(quoted, sorted(TECHNICAL)))}]) THEN 1.3::DOUBLE ELSE 1 END)"
+    + f" * (CASE WHEN {' OR '.join(f'contains(lower(sentence), {quoted(k)})' for k in CONSTRAINTS)} THEN 1.5::DOUBLE ELSE 1 END)"
+    + " * (CASE WHEN contains(sentence, '?') THEN 1.5::DOUBLE ELSE 1 END) AS score FROM q JOIN n USING (doc_id))"
+)
+
+
+@query(SCORE + " SELECT doc_id, i, round(score, 9) AS score FROM sc")
+def sentence_scores(spark, d):
+    return S.sentence_scores(docs(spark, d), "doc_id").select("doc_id", "i", F.round("score", 9).alias("score"))
+
+
+@query(SCORE + r""", f AS (SELECT *, floor(n * 0.15::DOUBLE)::INT AS k, list(score) OVER (PARTITION BY doc_id) AS l FROM sc),
+b AS (SELECT *, score <= list_sort(l)[least(k, n - 1) + 1] AND NOT contains(sentence, '?') AND NOT regexp_matches(sentence, '(?i)\b(must|should|never|only)\b') AS may FROM f)
+SELECT doc_id, i, NOT (may AND sum(may::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) <= k) AS kept FROM b""")
+def extractive_keep_flags(spark, d):
+    return S.keep_flags(docs(spark, d), "doc_id", 0.15).select("doc_id", "i", "kept")
+
+
+ENTRIES_SQL = "(VALUES " + ", ".join(f"({quoted(e.kind)}, {quoted(e.category or '')}, {e.confidence if e.confidence is not None else 'NULL'}::DOUBLE)" for es in phrases.ENTRIES.values() for e in es) + ") AS e(kind, category, confidence)"
+
+
+@query(f"SELECT level::INT AS level, kind, count(*) AS active FROM {ENTRIES_SQL}, range(1, 6) AS l(level) WHERE kind = 'swap' OR confidence >= CASE kind WHEN 'boilerplate' THEN greatest(0.1::DOUBLE, 1.1::DOUBLE - level::DOUBLE / 4) ELSE greatest(0::DOUBLE, 1 - level::DOUBLE / 5) END GROUP BY ALL")
+def dict_active_by_level(spark, d):
+    levels = spark.range(1, 6).select(F.col("id").cast("int").alias("level"))
+    bar = F.when(F.col("kind") == "boilerplate", F.greatest(F.lit(0.1), 1.1 - F.col("level") / 4)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("level") / 5))
+    one = compression.dictionary(spark).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return levels.join(one, "level").filter((F.col("kind") == "swap") | (F.col("confidence") >= bar)).groupBy("level", "kind").agg(F.count(F.lit(1)).alias("active"))
+
+
+@query(f"SELECT kind, nullif(category, '') AS category, count(*) AS entries FROM {ENTRIES_SQL} GROUP BY ROLLUP (kind, category)")
+def dict_category_rollup(spark, d):
+    return compression.dictionary(spark).rollup("kind", "category").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query()
+def segments_by_type(spark, d):
+    s = test_table(spark, d, "pages").select(F.explode(compression.parse_segments(F.col("html"))).alias("s"))
+    return s.groupBy("s.type").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("s.content")).alias("chars"))
+
+
+@query()
+def compress_tier0(spark, d):
+    return docs(spark, d).select("doc_id", compression.compress(F.concat(F.lit(BEFORE), "text")).alias("c")).select("doc_id", "c.result", "c.changed", "c.original_length", "c.compressed_length", F.size("c.removals").alias("removals"))
+
+
+def _preset(name: str):
+    def run(spark, d):
+        return compression.compress_pipeline(docs(spark, d), "doc_id", name).select("doc_id", "result", "tier", "changed", "original_tokens", "compressed_tokens", "passes", "escalate")
+
+    run.__name__ = f"compress_preset_{name}"
+    return run
+
+
+for name in ("safe", "balanced", "aggressive", "max"):
+    query()(_preset(name))
+
+
+@query()
+def removal_counts_by_phrase(spark, d):
+    rows = docs(spark, d).repartition("doc_id").select(compression.compress(F.concat(F.lit(BEFORE), "text")).alias("c"))
+    return rows.select(F.explode("c.removals").alias("r")).groupBy("r.phrase").agg(F.count(F.lit(1)).alias("removals"))
+
+
+@query()
+def compression_diff(spark, d):
+    t = test_table(spark, d, "benchmark").withColumn("new", compression.compress(F.col("text"))["result"])
+    return t.select("item_id", compression.word_diff(F.col("text"), F.col("new")).alias("diff"))
+
+
+@query("SELECT conv_id, turn, sha256('balanced::' || text) AS cache_key FROM conversations")
+def cache_key(spark, d):
+    return test_table(spark, d, "conversations").select("conv_id", "turn", C.cache_key(F.lit("balanced"), F.col("text")).alias("cache_key"))
+
+
+@query(f"SELECT count(*) AS requests, count(DISTINCT sha256(text)) AS computed, sum(t)::BIGINT AS tokens FROM (SELECT text, {tokens_sql('text')} AS t FROM conversations)")
+def duplicate_request_savings(spark, d):
+    t = test_table(spark, d, "conversations")
+    return t.agg(F.count(F.lit(1)).alias("requests"), F.countDistinct(F.sha2("text", 256)).alias("computed"), F.sum(C.heuristic_tokens(F.col("text"))).alias("tokens"))
+
+
+RUNS = f"(SELECT role, {tokens_sql('text')} AS a, ({tokens_sql('text')} * 7) // 10 AS b, turn % 2 = 1 AS c FROM conversations)"
+STATS = "count(*) AS runs, sum(a)::BIGINT AS tokens_in, sum(b)::BIGINT AS tokens_out, sum(c::BIGINT)::BIGINT AS api_calls, greatest(0, sum(a) - sum(b))::BIGINT AS saved, floor(greatest(0, sum(a) - sum(b)) * 100 / sum(a) + 0.5)::BIGINT AS avg_percent, floor(max(greatest(0, (a - b) / a)) * 100 + 0.5)::BIGINT AS best_percent"
+
+
+@query(f"SELECT role, {STATS} FROM {RUNS} WHERE a > 0 GROUP BY 1")
+def session_stats(spark, d):
+    t = test_table(spark, d, "conversations").withColumn("input_tokens", C.heuristic_tokens(F.col("text")))
+    runs = t.select("role", "input_tokens", F.floor(F.col("input_tokens") * 7 / 10).cast("long").alias("output_tokens"), (F.col("turn") % 2 == 1).alias("used_cloud"))
+    return feedback.session_stats(runs, "role")
+
+
+@query(f"SELECT lang, source, count(*) AS texts, sum({tokens_sql('text')})::BIGINT AS tokens FROM documents GROUP BY ROLLUP (lang, source)")
+def reduction_rollup(spark, d):
+    return docs(spark, d).rollup("lang", "source").agg(F.count(F.lit(1)).alias("texts"), F.sum(C.heuristic_tokens(F.col("text"))).alias("tokens"))
+
+
+def feedback_events(spark, d) -> DataFrame:
+    action = F.when(F.col("event_id") % 97 == 0, "toggle_off").when(F.col("user_id") % 3 == 0, "apply").otherwise("revert")
+    return test_table(spark, d, "events").select(F.col("event_id").alias("seq"), "ts", F.concat_ws("-", "event_type", (F.col("user_id") % 20).cast("string")).alias("phrase"), action.alias("action"))
+
+
+LOG = """
+WITH e AS (SELECT event_id AS seq, ts, event_type || '-' || (user_id % 20) AS phrase, CASE WHEN event_id % 97 = 0 THEN 'toggle_off' WHEN user_id % 3 = 0 THEN 'apply' ELSE 'revert' END AS action FROM events),
+s AS (SELECT *, sum((action = 'apply')::INT) OVER w AS a, sum((action = 'revert')::INT) OVER w AS r, sum((action = 'toggle_off')::INT) OVER w AS t FROM e WINDOW w AS (PARTITION BY phrase ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT phrase, t, max(CASE WHEN action <> 'toggle_off' AND a + r >= 5 AND r / (a + r) >= 0.6 THEN 1 ELSE 0 END) AS x, max(a) AS a, max(r) AS r FROM s GROUP BY 1, 2),
+l AS (SELECT phrase, max(a)::BIGINT AS applied, max(r)::BIGINT AS reverted, arg_max(x, t) = 1 AS excluded FROM p GROUP BY 1)
+"""
+
+
+@query(LOG + "SELECT phrase, applied, reverted, CASE WHEN applied + reverted > 0 THEN applied / (applied + reverted) ELSE 0.5 END AS confidence, excluded FROM l")
+def phrase_feedback(spark, d):
+    return feedback.phrase_log(feedback_events(spark, d)).select("phrase", "applied", "reverted", "confidence", "excluded")
+
+
+@query(LOG + "SELECT phrase, applied + reverted AS uses, CASE WHEN applied * 100.0 >= 70 * (applied + reverted) THEN 'high' WHEN applied * 100.0 >= 40 * (applied + reverted) THEN 'medium' ELSE 'low' END AS band FROM l")
+def phrase_log_listing(spark, d):
+    n = F.col("applied") + F.col("reverted")
+    band = F.when(F.col("applied") * 100 >= n * 70, "high").when(F.col("applied") * 100 >= n * 40, "medium").otherwise("low")
+    return feedback.phrase_log(feedback_events(spark, d)).select("phrase", n.alias("uses"), band.alias("band")).orderBy(F.desc("uses"), "phrase")
+
+
+def requests(spark, d) -> DataFrame:
+    return test_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "first").otherwise("second").alias("provider"), (F.unix_millis(F.col("ts").cast("timestamp")) / 200).cast("long").alias("ts_ms"), (F.col("user_id") * 10).alias("tokens"))
+
+
+@query("""WITH r AS (SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS provider, epoch_ms(ts) // 200 AS ts_ms, user_id * 10 AS tokens FROM events)
+SELECT provider, ts_ms, tokens, count(*) OVER w AS minute_requests, sum(tokens) OVER w ::BIGINT AS minute_tokens FROM r WINDOW w AS (PARTITION BY provider ORDER BY ts_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)""".replace("sum(tokens) OVER w ::BIGINT", "(sum(tokens) OVER w)::BIGINT"))
+def rate_window_usage(spark, d):
+    return feedback.window_usage(requests(spark, d))
+
+
+@query()
+def rate_admission(spark, d):
+    return feedback.admit(requests(spark, d)).select("id", "provider", "admitted", "wait_ms")
+
+
+@query("SELECT event_id AS id, user_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 10")
+def history_last10(spark, d):
+    return feedback.newest(test_table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value"))
+
+
+ERRORS = [(1, 429, None, "slow down"), (2, 402, None, "x"), (3, 500, None, "Insufficient credit"), (4, 404, None, "model does not exist"), (5, None, "ETIMEDOUT", "x"), (6, 500, None, "Timeout"), (7, 400, None, "bad"), (8, 500, None, None), (9, 429, None, "quota"), (10, 400, None, "Decommissioned")]
+ANSWERS = [(1, "a b also c and d? e? f " * 4, "x"), (2, "short text here", "short text here, but longer"), (3, "a long enough text to cut", "a long text"), (4, "abc", "  "), (5, "words " * 30, "w")]
+
+
+def values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else quoted(x) for x in r) + ")" for r in rows) + ")"
+
+
+@query(f"""SELECT id, CASE WHEN status IN (400, 404) AND regexp_matches(m, 'decommissioned|does not exist') THEN 'misconfigured' WHEN status = 429 THEN 'rate-limited'
+WHEN status IN (402, 403) OR regexp_matches(m, 'quota|credit|insufficient') THEN 'exhausted' WHEN code IN ('ECONNABORTED', 'ETIMEDOUT') OR regexp_matches(m, 'timeout') THEN 'timeout' ELSE 'unknown' END AS error_type
+FROM (SELECT id, status, code, lower(coalesce(message, '')) AS m FROM {values(ERRORS)} AS e(id, status, code, message))""")
+def error_classification(spark, d):
+    return spark.createDataFrame(ERRORS, "id int, status int, code string, message string").select("id", C.error_class(F.col("status"), F.col("code"), F.col("message")).alias("error_type"))
+
+
+@query(rf"""SELECT id, CASE WHEN length(trim(b)) = 0 THEN 'empty' WHEN length(b) > length(a) * 1.1 THEN 'expanded'
+WHEN length(b) < length(a) * 0.15 AND (len(regexp_extract_all(a, '\?')) >= 2 OR len(regexp_extract_all(a, '(?i)\b(?:also|and|can you also|plus|additionally|moreover)\b')) >= 2) THEN 'overcompressed' ELSE 'ok' END AS verdict FROM {values(ANSWERS)} AS v(id, a, b)""")
+def llm_output_guard(spark, d):
+    return spark.createDataFrame(ANSWERS, "id int, a string, b string").select("id", C.output_verdict(F.col("a"), F.col("b")).alias("verdict"))
+
+
+@query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'aws_key' END, CASE WHEN regexp_matches(text, '(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*["'']?[^\s"'']{8,}') THEN 'assignment' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END], lambda x: x IS NOT NULL) AS secrets FROM documents""")
+def secret_flags(spark, d):
+    return docs(spark, d).select("doc_id", C.secrets(F.col("text")).alias("secrets"))
+
+
+@query(r"SELECT item_id, replace(replace(replace(replace(replace(text || '<a & b>''\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS text FROM benchmark".replace('\\"', '"'))
+def escape_html(spark, d):
+    return test_table(spark, d, "benchmark").select("item_id", C.escape_html(F.concat("text", F.lit("<a & b>'\""))).alias("text"))
