@@ -66,7 +66,7 @@ def short_text_passthrough(spark, d):
 
 MIN = "concat({b}, text, {a})".format(b=quoted(BEFORE), a="replace(" + quoted(AFTER.replace("\n", "~")) + ", '~', chr(10))")
 BULLET = r"(?:[-*•]|\d+[.)])"
-for pattern, put, flags in ((r"[ \t]+$", "", "gm"), (r"\n{3,}", r"chr(10) || chr(10)", "g"), (r"([^\n]) {2,}", r"\1 ", "g"), (rf"({BULLET}\s+.{{1,60}})\n\n({BULLET}\s+)", r"'\1' || chr(10) || '\2'", "g"), (r"\n+$", "chr(10)", ""), (r"^\n+", "", "")):
+for pattern, put, flags in ((r"(?m)[ \t]+$", "", "g"), (r"\n{3,}", r"chr(10) || chr(10)", "g"), (r"([^\n]) {2,}", r"\1 ", "g"), (rf"({BULLET}\s+.{{1,60}})\n\n({BULLET}\s+)", r"'\1' || chr(10) || '\2'", "g"), (r"\n+$", "chr(10)", ""), (r"^\n+", "", "")):
     MIN = f"regexp_replace({MIN}, {quoted(pattern)}, {put if 'chr' in put else quoted(put)}, '{flags}')"
 
 
@@ -75,7 +75,7 @@ def minify_whitespace_injected(spark, d):
     return docs(spark, d).select("doc_id", C.minify(F.concat(F.lit(BEFORE), "text", F.lit(AFTER))).alias("text"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(concat(text, replace(" + quoted(AFTER.replace("\n", "~")) + r", '~', chr(10))), '((?:---+|===+)\s*\n){2,}', '---' || chr(10), 'g'), '^#{4,}\s', '### ', 'gm') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(concat(text, replace(" + quoted(AFTER.replace("\n", "~")) + r", '~', chr(10))), '((?:---+|===+)\s*\n){2,}', '---' || chr(10), 'g'), '(?m)^#{4,}\s', '### ', 'g') AS text FROM documents")
 def trim_markdown_injected(spark, d):
     return docs(spark, d).select("doc_id", C.trim_markdown(F.concat("text", F.lit(AFTER))).alias("text"))
 
@@ -284,10 +284,10 @@ def phrase_log_listing(spark, d):
 
 
 def requests(spark, d) -> DataFrame:
-    return test_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "first").otherwise("second").alias("provider"), (F.unix_millis(F.col("ts").cast("timestamp")) / 200).cast("long").alias("ts_ms"), (F.col("user_id") * 10).alias("tokens"))
+    return test_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "first").otherwise("second").alias("provider"), F.expr("unix_micros(cast(ts as timestamp)) div 200000").alias("ts_ms"), (F.col("user_id") * 10).alias("tokens"))
 
 
-@query("""WITH r AS (SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS provider, epoch_ms(ts) // 200 AS ts_ms, user_id * 10 AS tokens FROM events)
+@query("""WITH r AS (SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS provider, epoch_us(ts) // 200000 AS ts_ms, user_id * 10 AS tokens FROM events)
 SELECT provider, ts_ms, tokens, count(*) OVER w AS minute_requests, sum(tokens) OVER w ::BIGINT AS minute_tokens FROM r WINDOW w AS (PARTITION BY provider ORDER BY ts_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)""".replace("sum(tokens) OVER w ::BIGINT", "(sum(tokens) OVER w)::BIGINT"))
 def rate_window_usage(spark, d):
     return feedback.window_usage(requests(spark, d))
