@@ -1,18 +1,42 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is a few joins and grouped minima over the edges, cut off by a written table; no component ever
+Every round is a few joins and grouped minima over the edges, cut off by a written table; no component then
 meets in one task as a whole, and nothing but counts comes to the driver. The rounds number about the
-logarithm of the longest path.
+logarithm of the longest path. Up to FEW edges, a number that is checked, one task joins them instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
+FEW = 1_000_000
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over at most FEW edges; the smaller root stays the root."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    got = [(x, r) for x in list(root) if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([r for _, r in got], pa.int64())], names=["id", "component"])
+
+
 def stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v), each once. Large: each node ties its larger neighbours to the smallest one around it.
     Small: its smaller neighbours and itself."""
@@ -29,9 +53,11 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").dropDuplicates(["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(id, component): every node of an edge but the smallest of its component, with that smallest one."""
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").dropDuplicates(), "edges")
+    if now.count() <= few:
+        return materialize(now.coalesce(1).mapInArrow(joined, "id long, component long"), "components")
     mark = None
     while True:
         after = materialize(stars(stars(now, True), False), "edges")
