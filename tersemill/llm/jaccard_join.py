@@ -254,8 +254,13 @@ def near_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of pairs, from the sets."""
-    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+    """(a, b, na, nb, overlap) of pairs, from the sets. Where few ids take part, only their sets are shuffled."""
+    pairs = materialize(pairs, "to-compare")
+    side = {}
+    for c in ("a", "b"):
+        ids = pairs.select(F.col(c).alias("id")).distinct()
+        side[c] = (sets.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= IDS else sets).select(F.col("id").alias(c), F.col("members").alias("m" + c))
+    x = pairs.join(side["b"], "b").join(side["a"], "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
