@@ -44,7 +44,7 @@ COUNTERS, SLICE_BITS = 1 << 24, 16
 SIGNATURE = 1024
 LONG, SOME = 64, 6
 #: Index entries a task, entries gathered before they are dealt, and the most ids that are broadcast.
-ENTRIES, GATHER, IDS = 400_000, 1_000_000, 500_000
+ENTRIES, GATHER, IDS = 200_000, 300_000, 500_000
 ENTRY = np.dtype([("key", "u8"), ("set", "u8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
 LOW = np.uint64((1 << 58) - 1)
 
@@ -318,7 +318,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     stands = live.join(reps, ["h1", "h2", "n"]).select("id", "rep")
     sigs = materialize(live.join(reps, ["h1", "h2", "n"]).filter("id = rep").select("id", "n", "sig").dropDuplicates(["id"]), "signatures")
     rename = lambda df, c: df.join(stands.select(F.col("id").alias(c), F.col("rep").alias("_r")).dropDuplicates([c]), c).withColumn(c, F.col("_r")).drop("_r")
-    short = rename(rename(found.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
+    # several lists find one pair: it is renamed once
+    short = rename(rename(found.filter("kind = 0").select("a", "b").dropDuplicates(), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
     near = materialize(near_signatures(short, sigs), "pairs")
     long = materialize(rename(found.filter("kind = 1").select("key", "a", "n", "at"), "a").dropDuplicates(["key", "a"]), "lists")
     any_long = bool(long.take(1))
