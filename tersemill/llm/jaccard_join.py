@@ -201,41 +201,57 @@ def candidates(indexed: DataFrame, tasks: int) -> DataFrame:
 
 
 def round_pairs(entries: DataFrame, step: int) -> DataFrame:
-    """Candidate pairs (a, b) of the long lists. entries(key, a, n, at, c), c being the component so far.
+    """Candidate pairs (a, b, known) of the long lists; known: the link follows from the overlaps with a leader.
+    entries(key, a, n, at, c, leader, o, nl, sig): c is the component so far, o the overlap with a leader of nl
+    members, -1 where there is none. Pairs that a signature or a leader rules out are not returned.
     Step 0: all with the list's smallest set. Step 1: those outside of a list's largest component with SOME of
     its members. Step 2: all pairs between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1) for batch in batches]
-        e = np.concatenate(got) if got else np.empty((0, 5), np.int64)
-        e = e[np.lexsort((e[:, 1], e[:, 2], e[:, 0]))]
+        got, sigs = [np.empty((0, 8), np.int64)], [b""]
+        for batch in batches:
+            got.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)], 1))
+            sigs += batch.column(8).to_pylist()
+        e = np.concatenate(got)
+        sig = np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, SIGNATURE // 64)
+        del got, sigs
+        order = np.lexsort((e[:, 1], e[:, 2], e[:, 0]))
+        e, sig = e[order], sig[order]
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(e[:, 0])) + 1, [len(e)]]) if len(e) else np.zeros(1, np.int64)
         out: list[np.ndarray] = []
         for s, t in zip(bounds[:-1], bounds[1:], strict=True):
-            _, ids, n, at, c = e[s:t].T
-            main = np.bincount(np.unique(c, return_inverse=True)[1]).argmax()
-            names = np.unique(c)
+            _, ids, n, at, c, leader, o, nl = e[s:t].T
+            bits = sig[s:t]
+            names, owner = np.unique(c, return_inverse=True)
+            main = names[np.bincount(owner).argmax()]
             if step and len(names) == 1:
                 continue
             if step == 0:
                 todo = [(0, np.arange(1, t - s))]
             elif step == 1:
-                inside = np.flatnonzero(c == names[main])
-                todo = [(i, inside[scatter(inside.astype(np.uint64) + np.uint64(int(ids[i]) % 1009)).argsort()[:SOME]]) for i in np.flatnonzero(c != names[main])]
+                inside = np.flatnonzero(c == main)
+                todo = ((i, inside[scatter(inside.astype(np.uint64) + np.uint64(int(ids[i]) % 1009)).argsort()[:SOME]]) for i in np.flatnonzero(c != main))
             else:
                 # each of the others with all; members of the largest component only meet others
-                todo = [(i, np.flatnonzero((c != c[i]) & ((c == names[main]) | (np.arange(t - s) > i)))) for i in np.flatnonzero(c != names[main])]
+                todo = ((i, np.flatnonzero((c != c[i]) & ((c == main) | (np.arange(t - s) > i)))) for i in np.flatnonzero(c != main))
             for i, js in todo:
                 small, large = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
-                ok = (NUM * large <= DEN * small) & (np.minimum(n[i] - at[i], n[js] - at[js]) >= least_overlap(small, large))
-                js = js[ok]
-                out.append(np.stack([np.minimum(ids[i], ids[js]), np.maximum(ids[i], ids[js])], 1))
+                least = least_overlap(small, large)
+                js, least = (x[(NUM * large <= DEN * small) & (np.minimum(n[i] - at[i], n[js] - at[js]) >= least)] for x in (js, least))
+                apart = np.bitwise_count(bits[i] ^ bits[js]).sum(1, dtype=np.int64)
+                js, least = (x[n[i] + n[js] - apart >= 2 * least] for x in (js, least))
+                # inside the leader they share at least o + o - nl and at most the smaller; outside of it at most the smaller rest
+                one = (leader[i] == leader[js]) & (o[i] >= 0) & (o[js] >= 0)
+                known = one & (o[i] + o[js] - nl[i] >= least)
+                may = ~one | (np.minimum(o[i], o[js]) + np.minimum(n[i] - o[i], n[js] - o[js]) >= least)
+                js, known = js[may], known[may]
+                out.append(np.stack([np.minimum(ids[i], ids[js]), np.maximum(ids[i], ids[js]), known], 1))
                 if len(out) > 4096:
                     out = [np.unique(np.concatenate(out), axis=0)]
-        p = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        p = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2] == 1)], names=["a", "b", "known"])
 
-    return entries.select("key", "a", "n", "at", "c").repartition("key").mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
+    return entries.select("key", "a", "n", "at", "c", "leader", "o", "nl", "sig").repartition("key").mapInArrow(run, "a long, b long, known boolean").dropDuplicates(["a", "b"])
 
 
 def near_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -283,18 +299,6 @@ def linked(overlap: str = "overlap"):
     return DEN * F.col(overlap) >= NUM * (F.col("na") + F.col("nb") - F.col(overlap))
 
 
-def derived(pairs: DataFrame, sigs: DataFrame, led: DataFrame) -> DataFrame:
-    """Pairs with the answer that follows from their overlaps with one leader: known true, false or null. led(x, leader, o): overlaps with leaders."""
-    size = sigs.select("id", "n")
-    x = pairs.join(led.select(F.col("x").alias("a"), F.col("leader").alias("la"), F.col("o").alias("oa")), "a", "left").join(led.select(F.col("x").alias("b"), F.col("leader").alias("lb"), F.col("o").alias("ob")), "b", "left")
-    x = x.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").join(size.select(F.col("id").alias("la"), F.col("n").alias("nl")), "la", "left")
-    one = F.col("la") == F.col("lb")
-    # inside the leader they share at least oa + ob - nl and at most the smaller; outside of it at most the smaller rest
-    x = x.withColumn("low", F.when(one, F.col("oa") + F.col("ob") - F.col("nl")).otherwise(F.lit(0)))
-    x = x.withColumn("high", F.when(one, F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))).otherwise(F.least("na", "nb")))
-    return x.select("a", "b", F.when(linked("low"), True).when(~linked("high"), False).alias("known"))
-
-
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -321,7 +325,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # several lists find one pair: it is renamed once
     short = rename(rename(found.filter("kind = 0").select("a", "b").dropDuplicates(), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
     near = materialize(near_signatures(short, sigs), "pairs")
-    long = materialize(rename(found.filter("kind = 1").select("key", "a", "n", "at"), "a").dropDuplicates(["key", "a"]), "lists")
+    long = materialize(rename(found.filter("kind = 1").select("key", "a", "n", "at"), "a").dropDuplicates(["key", "a"]).join(sigs.select(F.col("id").alias("a"), "sig"), "a"), "lists")
     any_long = bool(long.take(1))
 
     # the sets of those that take part
@@ -339,20 +343,17 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     checked = materialize(compare(near, sets), "checked")
     links = checked.filter(linked()).select("a", "b")
     if any_long:
-        led = None
+        led = spark.createDataFrame([], "a long, leader long, o long, nl long")
         for step in range(3):
             label = components(links)
-            now = long.join(label.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").withColumn("c", F.coalesce("c", "a"))
-            pairs = round_pairs(now, step).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            if led is not None:
-                known = materialize(derived(pairs, sigs, led), "derived")
-                links = links.unionByName(known.filter("known").select("a", "b"))
-                pairs = known.filter("known is null").select("a", "b")
-            more = materialize(compare(near_signatures(pairs, sigs), sets), "checked")
-            links = links.unionByName(more.filter(linked()).select("a", "b"))
+            now = long.join(label.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").join(led, "a", "left")
+            now = now.withColumns({"c": F.coalesce("c", "a"), "leader": F.coalesce("leader", F.lit(0)), "o": F.coalesce("o", F.lit(-1)), "nl": F.coalesce("nl", F.lit(0))})
+            pairs = materialize(round_pairs(now, step).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            more = materialize(compare(pairs.filter("not known").select("a", "b"), sets), "checked")
+            links = links.unionByName(pairs.filter("known").select("a", "b")).unionByName(more.filter(linked()).select("a", "b"))
             if step == 0:
-                both = more.select(F.col("a").alias("x"), F.col("b").alias("leader"), "overlap").unionByName(more.select(F.col("b").alias("x"), F.col("a").alias("leader"), "overlap"))
-                led = materialize(both.groupBy("x").agg(F.max(F.struct("overlap", "leader")).alias("m")).select("x", F.col("m.leader").alias("leader"), F.col("m.overlap").alias("o")), "leaders")
+                both = more.select("a", F.col("b").alias("leader"), "overlap", F.col("nb").alias("nl")).unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("leader"), "overlap", F.col("na").alias("nl")))
+                led = materialize(both.groupBy("a").agg(F.max(F.struct("overlap", "leader", "nl")).alias("m")).select("a", "m.leader", F.col("m.overlap").alias("o"), "m.nl"), "leaders")
             checked = checked.unionByName(more)
     label = components(links)
     for df in (found, near, sets):
