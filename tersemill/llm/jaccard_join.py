@@ -343,7 +343,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     checked = materialize(compare(near, sets), "checked")
     links = checked.filter(linked()).select("a", "b")
     if any_long:
-        led = spark.createDataFrame([], "a long, leader long, o long, nl long")
+        led = sigs.select(F.col("id").alias("a"), F.col("id").alias("leader"), F.col("n").alias("o"), F.col("n").alias("nl")).filter(F.lit(False))
         for step in range(3):
             label = components(links)
             now = long.join(label.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").join(led, "a", "left")
