@@ -18,9 +18,11 @@ ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,15 @@ def bags(text: str) -> list[set[str]]:
     return [words for s in SENTENCE.findall(text.lower()) if (words := set(TOKEN.findall(s)))]
 
 
+class Bags(NamedTuple):
+    """Sentences of all documents: entry i is word cols[i] of sentence rows[i], sentence j is of document owner[j]."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    owner: np.ndarray
+    words: int
+
+
 class NoisyOr:
     """Sentence weights fitted to document labels."""
 
@@ -67,40 +78,52 @@ class NoisyOr:
     def fit(cls, texts: list[str], labels: list[int], importance: list[float], *, steps: int = 120, rate: float = 0.2, l1: float = 3e-4) -> NoisyOr:
         if not {0, 1} <= set(labels):
             return cls({}, float("-inf"))
-        docs = [[[f for w in s for f in features(w)] for s in bags(t)] for t in texts]
-        df = Counter(f for d in docs for f in {f for s in d for f in s})
-        vocab = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in df.items() if n >= LEAST_DF), key=lambda x: (-x[1], x[0]))[:VOCAB])}
-        rows, cols, owner = [], [], []
-        for k, d in enumerate(docs):
-            for s in d:
-                known = [vocab[w] for w in s if w in vocab]
-                rows += [len(owner)] * len(known)
-                cols += known
+        # words and features as numbers: a sentence has its words, and only a distinct word has its features
+        words, names, of_word = {}, {}, []
+        cols, lengths, owner, df = array("i"), array("i"), array("i"), Counter()
+        for k, text in enumerate(texts):
+            seen = set()
+            for s in bags(text):
+                for w in s:
+                    at = words.setdefault(w, len(words))
+                    if at == len(of_word):
+                        of_word.append([names.setdefault(f, len(names)) for f in features(w)])
+                    cols.append(at)
+                    seen.add(at)
+                lengths.append(len(s))
                 owner.append(k)
-        rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)
+            df.update({f for w in seen for f in of_word[w]})
+        vocab = sorted(((f, df[i]) for f, i in names.items() if df[i] >= LEAST_DF), key=lambda x: (-x[1], x[0]))[:VOCAB]
+        place = np.full(len(names), -1)
+        place[[names[f] for f, _ in vocab]] = np.arange(len(vocab))
+        word = np.repeat(np.arange(len(of_word)), [len(f) for f in of_word])
+        feature = place[np.array([i for f in of_word for i in f], np.int64)]
+        word, feature = word[feature >= 0], feature[feature >= 0]
+        bag = Bags(np.repeat(np.arange(len(owner)), np.array(lengths, np.int64)), np.array(cols, np.int64), np.array(owner, np.int64), len(of_word))
+        del words, names, of_word, df, cols, lengths, owner
         y = np.array(labels, float)
         share = np.array(importance, float)
         share /= share.sum()
-        w, bias = np.zeros(len(vocab)), -np.log(max(2.0, len(owner) / len(docs))) - 2
-        # first the shrunken fit chooses the words, then those alone are fitted without it
-        w, bias = cls.ascend(rows, cols, owner, y, share, w, bias, steps, rate, l1)
+        w, bias = np.zeros(len(vocab)), -np.log(max(2.0, len(bag.owner) / len(texts))) - 2
+        # first the shrunken fit chooses the features, then those alone are fitted without it
+        w, bias = cls.ascend(bag, word, feature, y, share, w, bias, steps, rate, l1)
         kept = np.flatnonzero(w)
         place = np.full(len(w), -1)
         place[kept] = np.arange(len(kept))
-        held = place[cols] >= 0
-        w[kept], bias = cls.ascend(rows[held], place[cols[held]], owner, y, share, w[kept], bias, 2 * steps, rate, 0.0)
-        return cls({x: float(w[i]) for x, i in vocab.items() if abs(w[i]) > 1e-6}, float(bias))
+        held = place[feature] >= 0
+        w[kept], bias = cls.ascend(bag, word[held], place[feature[held]], y, share, w[kept], bias, 2 * steps, rate, 0.0)
+        return cls({f: float(x) for (f, _), x in zip(vocab, w) if abs(x) > 1e-6}, float(bias))
 
     @staticmethod
-    def ascend(rows: np.ndarray, cols: np.ndarray, owner: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, bias: float, steps: int, rate: float, l1: float) -> tuple[np.ndarray, float]:
+    def ascend(bag: Bags, word: np.ndarray, feature: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, bias: float, steps: int, rate: float, l1: float) -> tuple[np.ndarray, float]:
         """Adaptive steps up the likelihood, with the shrinkage to zero taken as a proximal step."""
         g2, b2 = np.full(len(w), 1e-8), 1e-8
         for _ in range(steps):
-            z = bias + np.bincount(rows, w[cols], len(owner))
+            z = bias + np.bincount(bag.rows, np.bincount(word, w[feature], bag.words)[bag.cols], len(bag.owner))
             p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-9)
-            doc = np.clip(-np.expm1(np.bincount(owner, np.log1p(-p), len(y))), 1e-12, 1)
-            step = p * (np.where(y == 1, (1 - doc) / doc, -1.0) * share)[owner]
-            g, gb = np.bincount(cols, step[rows], len(w)), step.sum()
+            doc = np.clip(-np.expm1(np.bincount(bag.owner, np.log1p(-p), len(y))), 1e-12, 1)
+            step = p * (np.where(y == 1, (1 - doc) / doc, -1.0) * share)[bag.owner]
+            g, gb = np.bincount(feature, np.bincount(bag.cols, step[bag.rows], bag.words)[word], len(w)), step.sum()
             g2, b2 = 0.95 * g2 + 0.05 * g * g, 0.95 * b2 + 0.05 * gb * gb
             each = rate / np.sqrt(g2)
             w = w + each * g
