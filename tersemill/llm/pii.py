@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +303,29 @@ VALID = {
 }
 
 
+class Taken:
+    """Disjoint stretches of a text in order, so that a long text with many spans is not gone through for each."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return (i == 0 or self.ends[i - 1] <= a) and (i == len(self.starts) or b <= self.starts[i])
+
+    def add(self, a: int, b: int) -> None:
+        """A free stretch."""
+        i = bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 class PiiFinder:
     def __init__(self, model: BiLstmCrf):
         self.model = model
@@ -348,15 +372,15 @@ class PiiFinder:
                     t = e
                 else:
                     t += 1
-        out, taken = list(base), sorted((a, b) for _, a, b in base)
+        out, taken = list(base), Taken((a, b) for _, a, b in base)
         for _, _, kind, a, b in sorted(found, reverse=True):
             while a < b and text[a] in " .,;:":
                 a += 1
             while b > a and text[b - 1] in " .,;:(-":
                 b -= 1
-            if all(b <= x or a >= y for x, y in taken) and VALID[kind](text[a:b]) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
+            if taken.free(a, b) and VALID[kind](text[a:b]) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
                 out.append((kind, a, b))
-                taken.append((a, b))
+                taken.add(a, b)
         return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
