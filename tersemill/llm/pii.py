@@ -390,7 +390,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def fit_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> BiLstmCrf:
     """Fits on at most SAMPLE texts, those with the smallest hashes of their ids, and at most 4000 characters of each."""
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, 4000).alias("t")).filter("t is not null").orderBy("h", "t").limit(SAMPLE).collect()
+    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).filter("t is not null")
+    # hashes first, so that no task sends the driver texts that aren't chosen
+    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).head()[0]
+    chosen = rows.filter(F.col("h") <= last).select("h", F.substring("t", 1, 4000).alias("t")) if last is not None else rows
+    rows = chosen.orderBy("h", "t").limit(SAMPLE).collect()
     return BiLstmCrf().fit(*training_set([r["t"] for r in rows]))
 
 
