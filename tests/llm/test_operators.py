@@ -275,3 +275,38 @@ def test_sql(spark):
         got, want = catalog.QUERIES[name](spark, D).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
         cols = sorted(got.columns)
         assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None))), name
+
+
+def test_taken_stretches_equal_going_through_all():
+    r = random.Random(4)
+    for _ in range(200):
+        spans = [(a, a + r.randint(1, 6)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 6)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = r.randint(0, 66)
+            b = a + r.randint(1, 6)
+            free = all(b <= x or a >= y for x, y in spans)
+            assert taken.free(a, b) == free
+            if free:
+                taken.add(a, b)
+                spans.append((a, b))
+
+
+def test_toxicity_fit_edge_cases():
+    assert toxicity.NoisyOr.fit(["a b"], [1], [1.0]).score("a b")[0] == 0  # labels of one kind only
+    assert toxicity.NoisyOr.fit([], [], []).score("")[0] == 0
+    empty = toxicity.NoisyOr.fit(["", "."], [0, 1], [1.0, 1.0])  # no words at all
+    assert empty.weights == {} and 0 <= empty.score("some words. more")[0] <= 1
+    texts = [f"fine words number {i}. all is well" for i in range(40)] + [f"fine words number {i}. you vile wretch" for i in range(40)]
+    model = toxicity.NoisyOr.fit(texts, [0] * 40 + [1] * 40, [1.0] * 80)
+    assert model.score("all is well")[0] < 0.3 <= model.score("number 3. you vile wretch. all is well")[0]
+
+
+def test_pii_of_texts_with_many_spans_and_an_empty_or_null_table(spark):
+    many = "a1@b.org 10.0.0.1 x " * 3000
+    rows = [(1, many), (2, None), (3, ""), (3, "")]
+    got = {r["doc_id"]: r for r in (lambda d: pii.find_pii(d, pii.fit_pii(d)))(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_email"], got[1]["n_ip"]) == (3000, 3000)
+    assert got[2]["spans"] == got[3]["spans"] == ""
+    empty = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    assert pii.find_pii(empty, pii.fit_pii(empty)).head()["n_email"] == 0
