@@ -5,6 +5,9 @@ Each page's containers are scored by the text of their blocks less what is in li
 is extracted again from the container at its host's winning path, or from its own best one if it has none
 there. Elements that are never main text, by tag or by class, are left out at any depth.
 
+The best container is often a part of the article. Before the vote and before the extraction it gives way to the
+article or main around it, then to any container around it that adds more text than links and boilerplate.
+
 Only votes are shuffled, summed before that; a host's pages never meet in one task. Winners go to the pages by
 broadcast while there are at most HOSTS hosts; with more, pages are joined by host, the hot ones dealt over
 SALTS parts each.
@@ -40,6 +43,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article main section div td body blockquote".split())
 #: Words of classes, ids and roles that mark what is around the main text.
 AROUND = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert comment comments commentlist respond disqus sidebar aside rail menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot header masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay login signup widget skip toolbar contentinfo complementary search".split())
+#: Short blocks of what stands around the main text.
+BOILERPLATE = re.compile(r"\A\W*(?:©|copyright\b)|\ball rights reserved\b|\bterms of (?:use|service)\b|\bprivacy (?:policy|statement)\b|\bpowered by\b", re.I)
 #: A start tag of these ends an open one of the same kind.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -56,12 +61,16 @@ class Page:
     """One pass over a page: the blocks of text, each with the containers around it."""
 
     def __init__(self, text: str):
-        #: path, parent and score of each container
-        self.paths, self.parent, self.score = [""], [-1], [0.0]
+        #: tag, path, parent and score of each container; characters of its own blocks that are text, and that are links or boilerplate
+        self.tags, self.paths, self.parent, self.score = [""], [""], [-1], [0.0]
+        self.good, self.bad = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self.buffer: list[str] = []
         self.linked = 0
         self.read(text)
+        for i in range(len(self.paths) - 1, 0, -1):  # from here on with the containers inside
+            self.good[self.parent[i]] += self.good[i]
+            self.bad[self.parent[i]] += self.bad[i]
 
     def flush(self, container: int) -> None:
         if not self.buffer:
@@ -70,6 +79,7 @@ class Page:
         if text:
             self.blocks.append((container, text))
             worth = max(0.0, len(text) - 2.0 * self.linked)
+            (self.good if worth and not (len(text) < 200 and BOILERPLATE.search(text)) else self.bad)[container] += len(text)
             share = 1.0
             while container > 0 and share > 0.2:
                 self.score[container] += worth * share
@@ -134,9 +144,12 @@ class Page:
         path = top.path + "/" + tag + re.sub(r"\d+", "#", names) if tag in BLOCK and not out else top.path
         container = top.container
         if tag in CONTAINER and not out:
+            self.tags.append(tag)
             self.paths.append(path)
             self.parent.append(container)
             self.score.append(0.0)
+            self.good.append(0)
+            self.bad.append(0)
             container = len(self.paths) - 1
         stack.append(Node(tag, path, container, out, top.link or tag == "a"))
 
@@ -154,13 +167,29 @@ class Page:
         """The container with the most text; main elements count more, and of equals the first wins."""
         found, most = 0, 0.0
         for i in range(1, len(self.paths)):
-            worth = self.score[i] * (1.5 if re.search(r"/(article|main)[^/]*\Z", self.paths[i]) else 1.0)
+            worth = self.score[i] * (1.5 if self.tags[i] in ("article", "main") else 1.0)
             if worth > most:
                 found, most = i, worth
-        return found
+        return self.whole(found)
+
+    def whole(self, i: int) -> int:
+        """The container of the whole article that container i is, or is a part of."""
+        around = [i]
+        while around[-1] > 0:
+            around.append(self.parent[around[-1]])
+        around = around[:-1]
+        # an article inside of another is a part of it
+        for tag in ("article", "main"):
+            if found := [j for j in around if self.tags[j] == tag]:
+                i = found[-1]
+                break
+        for j in around[around.index(i) + 1 :] if around else []:
+            if self.good[j] - self.good[i] > self.bad[j] - self.bad[i]:
+                i = j
+        return i
 
     def text(self, path: str | None) -> str:
-        at = [i for i in range(1, len(self.paths)) if self.paths[i] == path and self.score[i] > 0] or [self.best()]
+        at = [self.whole(i) for i in range(1, len(self.paths)) if self.paths[i] == path and self.score[i] > 0] or [self.best()]
         inside = set(at)
         for i in range(len(self.paths)):  # parents come before their children
             if self.parent[i] in inside:

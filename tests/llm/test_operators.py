@@ -310,3 +310,27 @@ def test_pii_of_texts_with_many_spans_and_an_empty_or_null_table(spark):
     assert got[2]["spans"] == got[3]["spans"] == ""
     empty = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert pii.find_pii(empty, pii.fit_pii(empty)).head()["n_email"] == 0
+
+
+def test_html_keeps_what_is_beside_the_largest_part():
+    r = random.Random(7)
+    words = lambda n: " ".join(r.choice(("river", "stone", "lamp", "under", "seven")) for _ in range(n))
+    nav = "<ul>" + "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(8)) + "</ul>"
+    around = [("<article>", "</article>"), ("<main class=w-1/2>", "</main>"), ("<main><article>", "</article></main>"), ("<div id=wrap>", "</div>"), ("<div><div class=page>", "</div></div>")]
+    for k in range(200):
+        start, end = around[k % len(around)]
+        head, lead, last = words(r.randint(1, 8)), words(r.randint(1, 40)), words(r.randint(1, 40))
+        body = [words(r.randint(20, 80)) for _ in range(r.randint(1, 9))]
+        depth = r.randint(1, 5)
+        inner = "<div class=body>" * depth + "".join(f"<p>{b}</p>" for b in body) + "</div>" * depth
+        page = f"<html><body><div>{nav}</div>{start}<h1>{head}</h1><p>{lead}</p>{inner}<section><p>{last}</p></section>{end}<div>© 2020 All rights reserved</div><div>{nav}</div></body></html>"
+        assert html_extract.Page(page).text(None) == "\n".join([head, lead, *body, last]), page
+
+
+def test_html_host_path_keeps_what_single_pages_have_beside_it(spark):
+    body = "<div class=body><p>" + "many words of the body " * 20 + "</p></div>"
+    pages = [(i, f"http://a/{i}", f"<html><body><div class=page>{body}</div></body></html>") for i in range(3)]
+    pages.append((3, "http://a/3", f"<html><body><div class=page><p>a lead</p>{body}</div></body></html>"))
+    got = rows(html_extract.extract_html(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert got[3]["path"] == "/html/body/div.page/div.body"
+    assert got[3]["text"] == "a lead\n" + got[0]["text"]
