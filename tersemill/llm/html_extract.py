@@ -3,7 +3,8 @@
 Each page's containers are scored by the text of their blocks less what is in links. The path of the best one
 (tags with classes, digits generalised) is the page's vote; Spark counts the votes of each host, and every page
 is extracted again from the container at its host's winning path, or from its own best one if it has none
-there. Elements that are never main text, by tag or by class, are left out at any depth.
+there. Elements that are never main text, by tag or by class, are left out at any depth; but one left out by
+class only is read after all if the page's article or main is in it, or most of its unlinked text.
 
 The best container is often a part of the article. Before the vote and before the extraction it gives way to the
 article or main around it, then to any container around it that adds more text than links and boilerplate.
@@ -43,6 +44,12 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article main section div td body blockquote".split())
 #: Words of classes, ids and roles that mark what is around the main text.
 AROUND = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert comment comments commentlist respond disqus sidebar aside rail menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot header masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay login signup widget skip toolbar contentinfo complementary search".split())
+#: Parts that may follow such a word in a class ("sidebar-left"), and parts before it that say that it is not one ("has-sidebar").
+PIECES = frozenset("left right top bottom upper lower list lists box bar area slot unit inner outer wrap wrapper container holder links link buttons button icons icon block item items section posts widgets articles primary secondary tertiary main form title text body content header footer desktop mobile sticky fixed".split())
+NOT = frozenset("has have with without no not is hide after before below above".split())
+#: Words of comments, which may well hold more text than the article.
+COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Short blocks of what stands around the main text.
 BOILERPLATE = re.compile(r"\A\W*(?:©|copyright\b)|\ball rights reserved\b|\bterms of (?:use|service)\b|\bprivacy (?:policy|statement)\b|\bpowered by\b", re.I)
 #: A start tag of these ends an open one of the same kind.
@@ -50,27 +57,73 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+def around_words(marks: str) -> set[str]:
+    """Words of AROUND that classes, ids or roles are, end with, or begin with before nothing but PIECES."""
+    found = set()
+    for token in marks.split():
+        words = [w for w in re.split(r"[^a-z]+", CAMEL.sub(r"\1 \2", token).lower()) if w]
+        if not words or words[0] in NOT:
+            continue
+        if words[-1] in AROUND:
+            found.add(words[-1])
+        elif words[0] in AROUND and PIECES.issuperset(words[1:]):
+            found.add(words[0])
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "path", "container", "out", "link")
+    """out: never main text; region: the element, ruled out by class, that this is in, or 0; main: it is in an article or main."""
 
-    def __init__(self, tag: str, path: str, container: int, out: bool, link: bool):
-        self.tag, self.path, self.container, self.out, self.link = tag, path, container, out, link
+    __slots__ = ("tag", "path", "container", "out", "link", "region", "main")
+
+    def __init__(self, tag: str, path: str, container: int, out: bool, link: bool, region: int, main: bool):
+        self.tag, self.path, self.container, self.out, self.link, self.region, self.main = tag, path, container, out, link, region, main
 
 
 class Page:
     """One pass over a page: the blocks of text, each with the containers around it."""
 
     def __init__(self, text: str):
+        self.start(frozenset())
+        self.read(text)
+        if spared := self.spared():
+            self.start(spared)
+            self.read(text)
+        for i in range(len(self.paths) - 1, 0, -1):  # from here on with the containers inside
+            self.good[self.parent[i]] += self.good[i]
+            self.bad[self.parent[i]] += self.bad[i]
+
+    def start(self, spared: frozenset[int]) -> None:
+        #: regions ruled out by class: the one around each, unlinked characters, articles and mains, whether it is in one, whether it is of comments
+        self.spare = spared
+        self.within, self.chars, self.mains, self.inside, self.comments = [-1], [0], [0], [False], [False]
         #: tag, path, parent and score of each container; characters of its own blocks that are text, and that are links or boilerplate
         self.tags, self.paths, self.parent, self.score = [""], [""], [-1], [0.0]
         self.good, self.bad = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self.buffer: list[str] = []
         self.linked = 0
-        self.read(text)
-        for i in range(len(self.paths) - 1, 0, -1):  # from here on with the containers inside
-            self.good[self.parent[i]] += self.good[i]
-            self.bad[self.parent[i]] += self.bad[i]
+
+    def spared(self) -> frozenset[int]:
+        """Regions that are the page's main text, or hold it, whatever their classes say."""
+        n = len(self.within)
+        chars, mains = list(self.chars), list(self.mains)
+        for i in range(n - 1, 0, -1):
+            chars[self.within[i]] += chars[i]
+            mains[self.within[i]] += mains[i]
+        inner: dict[int, list[int]] = {}
+        for i in range(1, n):
+            inner.setdefault(self.within[i], []).append(i)
+        spared, free, near = [], self.mains[0], inner.get(0, [])
+        while True:
+            # those with the article, unless one is outside of them; those with most of the text, unless the article is elsewhere
+            may = [i for i in near if mains[i] and not free] or [i for i in near if 2 * chars[i] > chars[0] and not self.comments[i] and (self.inside[i] or not free)]
+            if not may:
+                return frozenset(spared)
+            i = max(may, key=lambda i: chars[i])
+            spared.append(i)
+            near = [j for j in near if j != i] + inner.get(i, [])
+            free += self.mains[i]
 
     def flush(self, container: int) -> None:
         if not self.buffer:
@@ -87,13 +140,17 @@ class Page:
         self.buffer, self.linked = [], 0
 
     def read(self, text: str) -> None:
-        stack = [Node("", "", 0, False, False)]
+        stack = [Node("", "", 0, False, False, 0, False)]
         at = 0
         while m := TOKEN.match(text, at):
             at = m.end()
             if m[7] is not None:
                 top = stack[-1]
-                if not top.out:
+                if top.out:
+                    continue
+                if not top.link:
+                    self.chars[top.region] += len(m[7].strip())
+                if not top.region or top.region in self.spare:
                     self.buffer.append(m[7])
                     if top.link:
                         self.linked += len(m[7])
@@ -131,16 +188,31 @@ class Page:
                     break
         top = stack[-1]
         marks = names = ""
+        hidden = False
         if rest:
             for a in ATTRIBUTE.finditer(rest):
                 value = a[2] or a[3] or a[4] or ""
                 name = a[1].lower()
                 if name in ("hidden", "aria-hidden"):
-                    marks += " skip" if name == "hidden" or value.lower() == "true" else ""
+                    hidden = hidden or name == "hidden" or value.lower() == "true"
                 else:
                     marks += " " + value
                     names += "." + ".".join(sorted(value.split())) if name == "class" and value else ""
-        out = top.out or tag in NEVER or (bool(marks) and tag not in ("body", "html", "article", "main") and not AROUND.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower())))
+        main = tag in ("article", "main")
+        never = top.out or tag in NEVER or (hidden and not main and tag not in ("body", "html"))
+        words = around_words(marks) if marks and not never and tag not in ("body", "html") else ()
+        region = top.region
+        if main:
+            # an article of the class comment is not the page's
+            self.mains[region] += not words and not never
+        elif words:
+            self.within.append(region)
+            self.chars.append(0)
+            self.mains.append(0)
+            self.inside.append(top.main)
+            self.comments.append(not COMMENTS.isdisjoint(words))
+            region = len(self.within) - 1
+        out = never or (region > 0 and region not in self.spare)
         path = top.path + "/" + tag + re.sub(r"\d+", "#", names) if tag in BLOCK and not out else top.path
         container = top.container
         if tag in CONTAINER and not out:
@@ -151,7 +223,7 @@ class Page:
             self.good.append(0)
             self.bad.append(0)
             container = len(self.paths) - 1
-        stack.append(Node(tag, path, container, out, top.link or tag == "a"))
+        stack.append(Node(tag, path, container, never, top.link or tag == "a", region, top.main or main))
 
     def close(self, stack: list[Node], tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):

@@ -334,3 +334,20 @@ def test_html_host_path_keeps_what_single_pages_have_beside_it(spark):
     got = rows(html_extract.extract_html(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
     assert got[3]["path"] == "/html/body/div.page/div.body"
     assert got[3]["text"] == "a lead\n" + got[0]["text"]
+
+
+def test_html_layout_wrappers_are_not_ruled_out_by_their_classes():
+    text = "<p>" + "words of the article " * 20 + "</p>"
+    want = " ".join(text[3:-4].split())
+    beside = "<div class='sidebar-left'><p>no</p></div><div id=cookieNotice>no</div><div class='ad-slot-1'>no</div><div class='post__comments'>no</div><div class=page hidden>no</div>"
+    for mark in ("class='content-sidebar-wrap'", "class='page has-sidebar'", "class='post share-enabled'", "id=login-free-content", "class=widget", "id=page-widget", "class='social search-left'"):
+        for start, end in (("", ""), ("<article>", "</article>"), ("<div class=popup><main>", "</main></div>")):
+            page = f"<html><body>{beside}<div {mark}>{start}{text}{beside}{end}</div></body></html>"
+            assert html_extract.Page(page).text(None) == want, page
+    assert html_extract.Page(f"<body><article><h1>T</h1><div class='body widget'>{text}</div></article>").text(None) == "T\n" + want
+    # comments and teasers with more text than the article stay out
+    more = "<article class=comment>" + text * 9 + "</article>"
+    for start, end in (("<article>", "</article>"), ("<div>", "</div>")):
+        assert html_extract.Page(f"<body>{start}{text}{end}<div class=comments>{more}</div>").text(None) == want
+    assert html_extract.Page(f"<body><article>{text}</article><div class=related><article>{text * 9}</article></div>").text(None) == want
+    assert html_extract.Page(f"<body><div class=page-widget><article>{text}</article><div class=related><article>{text}</article></div></div>").text(None) == want
