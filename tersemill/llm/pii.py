@@ -8,10 +8,11 @@ Labelled spans: the training text is text of a bounded sample of documents (SAMP
 spans are labelled, and into which spans of each kind and decoys (dates, versions, prices, keys) are planted
 by a fixed generator.
 
-Texts are read in overlapping windows (WINDOW, STEP). A span of any kind has a digit or an at sign, and the
-decoder has no path for a span in a window without one, so only the other windows are run. Each character is
-read from the window in which it lies most inside; runs that make up one span over several windows are one.
-An added span must pass its kind's test and may not touch a base span.
+Texts are read in overlapping windows (WINDOW, STEP). A span of any kind has a digit or an at sign, so windows
+with one are run, and from there on the next ones for as long as a run reaches a window's edge. A run cut by an
+edge is continued by the run of its kind that it meets in a window beyond, over any number of windows. Of runs
+that overlap, that whose ends lie most inside their windows is taken, cut ones last. An added span must pass its
+kind's test and may not touch a base span.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows, an empty
 table an empty one (the model is then fitted on planted text alone); other columns are ignored. The counts and
@@ -331,7 +332,7 @@ class PiiFinder:
         self.model = model
 
     def windows(self, text: str) -> list[int]:
-        """Starts of the windows that can hold a span."""
+        """Starts of the windows with what every span has."""
         starts: set[int] = set()
         for m in TRIGGER.finditer(text):
             k = m.start() // STEP
@@ -342,38 +343,70 @@ class PiiFinder:
         """Base spans and all spans of each text."""
         base = [base_spans(t) for t in texts]
         jobs = [(i, a) for i, t in enumerate(texts) for a in self.windows(t)]
-        coded: dict[int, np.ndarray] = {}
-        votes: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for at in range(0, len(jobs), 512):
-            part = jobs[at : at + 512]
-            ids = np.full((WINDOW, len(part)), CLASSES - 1)
-            for j, (i, a) in enumerate(part):
-                if i not in coded:
-                    coded = {i: classes(texts[i])}
-                row = coded[i][a : a + WINDOW]
-                ids[: len(row), j] = row
-            tags = self.model.decode(ids)
-            for j, (i, a) in enumerate(part):
-                if tags[:, j].any():
-                    votes.setdefault(i, []).append((a, tags[:, j].copy()))
+        votes: dict[int, dict[int, np.ndarray]] = {}
+        while jobs:
+            beyond: set[tuple[int, int]] = set()
+            coded: dict[int, np.ndarray] = {}
+            for at in range(0, len(jobs), 512):
+                part = jobs[at : at + 512]
+                ids = np.full((WINDOW, len(part)), CLASSES - 1)
+                for j, (i, a) in enumerate(part):
+                    if i not in coded:
+                        coded = {i: classes(texts[i])}
+                    row = coded[i][a : a + WINDOW]
+                    ids[: len(row), j] = row
+                tags = self.model.decode(ids)
+                for j, (i, a) in enumerate(part):
+                    got = votes.setdefault(i, {})
+                    got[a] = tags[:, j].copy()
+                    if got[a][0] and a:
+                        beyond.add((i, a - STEP))
+                    if got[a][-1] and a + WINDOW < len(texts[i]):
+                        beyond.add((i, a + STEP))
+            jobs = sorted((i, a) for i, a in beyond if a not in votes[i])
         return [(b, self.reconcile(texts[i], b, votes[i]) if i in votes else b) for i, b in enumerate(base)]
 
-    def reconcile(self, text: str, base: list, votes: list) -> list:
-        """One span for each run of spans that touch: the one most inside its window, if it holds."""
-        found = []
-        for a, tags in votes:
+    def runs(self, text: str, votes: dict[int, np.ndarray]) -> list[tuple]:
+        """(whole, inside, length, kind, start, end) of each window's runs, and of those that they make up over several windows."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for a, tags in votes.items():
             t = 0
             while t < WINDOW:
                 if tags[t]:
                     k, e = (int(tags[t]) - 1) // 2, t + 1
                     while e < WINDOW and tags[e] == 2 + 2 * k:
                         e += 1
-                    found.append((min(t, WINDOW - e), e - t, KINDS[k], a + t, min(a + e, len(text))))
+                    found.setdefault(a, []).append((k, t, e))
                     t = e
                 else:
                     t += 1
+        # start and end of each run with what continues it, how far inside their windows these are, and whether an edge cuts it there
+        left: dict[tuple, tuple[int, int, bool]] = {}
+        right: dict[tuple, tuple[int, int, bool]] = {}
+        for a in sorted(found):
+            for k, t, e in found[a]:
+                own = left[a, k, t] = (a + t, t, t == 0 < a)
+                if own[2]:
+                    left[a, k, t] = next((left[b, k, u] for b in (a - STEP, a - 2 * STEP) for j, u, v in found.get(b, ()) if j == k and b + u < a <= b + v), own)
+        for a in sorted(found, reverse=True):
+            for k, t, e in found[a]:
+                own = right[a, k, t] = (a + e, WINDOW - e, e == WINDOW and a + WINDOW < len(text))
+                if own[2]:
+                    right[a, k, t] = next((right[b, k, u] for b in (a + STEP, a + 2 * STEP) for j, u, v in found.get(b, ()) if j == k and b + u <= a + e < b + v), own)
+        out = set()
+        for a in found:
+            for k, t, e in found[a]:
+                cut = (t == 0 < a) or (e == WINDOW and a + WINDOW < len(text))
+                out.add((not cut, min(t, WINDOW - e), e - t, KINDS[k], a + t, min(a + e, len(text))))
+                if cut:
+                    (x, into, open_left), (y, rest, open_right) = left[a, k, t], right[a, k, t]
+                    out.add((not open_left and not open_right, min(into, rest), y - x, KINDS[k], x, min(y, len(text))))
+        return sorted(out, reverse=True)
+
+    def reconcile(self, text: str, base: list, votes: dict[int, np.ndarray]) -> list:
+        """One span for each run of spans that touch: the one most inside its windows, if it holds."""
         out, taken = list(base), Taken((a, b) for _, a, b in base)
-        for _, _, kind, a, b in sorted(found, reverse=True):
+        for _, _, _, kind, a, b in self.runs(text, votes):
             while a < b and text[a] in " .,;:":
                 a += 1
             while b > a and text[b - 1] in " .,;:(-":

@@ -351,3 +351,39 @@ def test_html_layout_wrappers_are_not_ruled_out_by_their_classes():
         assert html_extract.Page(f"<body>{start}{text}{end}<div class=comments>{more}</div>").text(None) == want
     assert html_extract.Page(f"<body><article>{text}</article><div class=related><article>{text * 9}</article></div>").text(None) == want
     assert html_extract.Page(f"<body><div class=page-widget><article>{text}</article><div class=related><article>{text}</article></div></div>").text(None) == want
+
+
+class Lowercase:
+    """Decodes as e-mail each run of lowercase letters, dots and at signs, with blanks beside an at sign, as far as the window shows it."""
+
+    signs = "@.+-() "
+
+    def decode(self, ids):
+        at, dot, blank = (3 + self.signs.index(c) for c in "@. ")
+        tags = np.zeros(ids.shape, np.int8)
+        for j in range(ids.shape[1]):
+            x = [-1, *ids[:, j], -1]
+            inside = [c in (1, at, dot) or (c == blank and at in (x[t], x[t + 2])) for t, c in enumerate(x[1:-1])]
+            for t in np.flatnonzero(inside):
+                tags[t, j] = 2 if t and inside[t - 1] else 1
+        return tags
+
+
+def test_pii_spans_over_several_windows_are_found_at_every_offset():
+    finder, k = pii.PiiFinder(Lowercase()), 0
+    for n in range(34, 81):
+        for local in (5, n // 2, n - 12):
+            host = (("abcdefg." * 10)[: n - local - 7] + "x.com").replace(".x", "yx")
+            span = "q" * local + [" @", "@ "][k % 2] + host
+            k += 1
+            texts = ["X" * offset + " " + span + " " + "Y" * 70 for offset in range(63, 63 + pii.WINDOW)] + [span]
+            for text, (base, every) in zip(texts, finder.find(texts), strict=True):
+                a = text.index(span)
+                assert base == [] and every == [("email", a, a + len(span))], (text, [text[x:y] for _, x, y in every])
+
+
+def test_pii_of_a_span_longer_than_several_windows():
+    span = "q" * 30 + " @ " + "abcdefg." * 60 + "com"
+    text = "A " + span + " B " + "Y" * 5000 + " " + span
+    got = pii.PiiFinder(Lowercase()).find([text])[0][1]
+    assert [text[a:b] for _, a, b in got] == [span, span]
