@@ -387,3 +387,59 @@ def test_pii_of_a_span_longer_than_several_windows():
     text = "A " + span + " B " + "Y" * 5000 + " " + span
     got = pii.PiiFinder(Lowercase()).find([text])[0][1]
     assert [text[a:b] for _, a, b in got] == [span, span]
+
+
+def test_pipeline_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    sentence = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    texts = [". ".join(sentence(9) for _ in range(5)) for _ in range(160)]
+    texts = [t + ". you vileword " + sentence(6) if i % 4 == 0 else t for i, t in enumerate(texts)]
+    texts += [texts[i] for i in range(1, 40, 2)] + [None, "", ""]
+    texts += [texts[i] + f" last{k}" for i in range(41, 80, 2) for k in range(2)]
+    sources = [("a", "a", "b", None)[r.randrange(4)] for _ in texts]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = {}
+    keep = cp.materialize
+    monkeypatch.setattr(cp, "materialize", lambda df, name: stages.setdefault(name, keep(df, name)))
+    got = cp.run(spark, str(tmp_path)).collect()
+    ids = {name: sorted(x["doc_id"] for x in df.collect()) for name, df in stages.items() if name != "mixed"}
+
+    # toxic texts are those with the bad word
+    want = [i for i, t in enumerate(texts) if "vileword" not in (t or "")]
+    assert ids["toxicity"] == want
+    # of equal texts the largest id stays
+    want = sorted({texts[i] or "": i for i in want}.values())
+    assert ids["exact_dedup"] == want
+    # of near copies the smallest
+    words = [(texts[i] or "").lower().split() for i in want]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    component = brute_components(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert any(c != k for k, c in enumerate(component))
+    want = [i for k, i in enumerate(want) if component[k] == k]
+    assert ids["jaccard_join"] == want
+    # each source by weight, no source above three times its size (a text is no longer than 60 words)
+    size = {s: sum(len((texts[i] or "").split()) for i in want if sources[i] == s) for s in set(sources)}
+    weight, total, capped = {"a": 5, "b": 2, None: 1}, sum(size.values()), set()
+    while True:
+        rest = total - sum(3 * size[s] for s in capped)
+        target = {s: 3 * size[s] if s in capped else rest * weight[s] / sum(weight[x] for x in size if x not in capped) for s in size}
+        over = {s for s in size if target[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert set(ids["mixing"]) <= set(want) and max(map(ids["mixing"].count, want)) <= 3
+    for s in size:
+        taken = sum(len((texts[i] or "").split()) for i in ids["mixing"] if sources[i] == s)
+        assert abs(taken - target[s]) <= 60
+    # a row for each one drawn, with the library's ids
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert sorted(x["doc_id"] for x in got) == ids["mixing"]
+    for x in got:
+        own = tok.encode(texts[x["doc_id"]] or "", add_special_tokens=False).ids
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
