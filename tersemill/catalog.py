@@ -119,11 +119,22 @@ def sentence_tfidf(spark, d):
     return S.weights(S.sentence_rows(test_table(spark, d, "benchmark"), "item_id"), "item_id").select("item_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
 
 
+@query(filled(WEIGHT + "SELECT doc_id, i, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM v", "doc_id", "documents"))
+def sentence_tfidf_documents(spark, d):
+    return S.weights(S.sentence_rows(docs(spark, d), "doc_id"), "doc_id").select("doc_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
+
+
 @query(filled(WEIGHT + "SELECT item_id, i, j, round(sim, 2) AS sim FROM s WHERE sim >= 0.05", "item_id", "benchmark"))
 def sentence_pair_similarity(spark, d):
     return S.similar_pairs(test_table(spark, d, "benchmark"), "item_id", least=0.05).select("item_id", "i", "j", F.round("sim", 2).alias("sim"))
 
 
+@query(filled(WEIGHT + "SELECT id, i, j, round(sim, 2) AS sim FROM s WHERE sim >= 0.05", "id", "(SELECT concat(conv_id, ':', turn) AS id, text FROM conversations)"))
+def sentence_pair_similarity_conversations(spark, d):
+    turns = test_table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return S.similar_pairs(turns, "id", least=0.05).select("id", "i", "j", F.round("sim", 2).alias("sim"))
+
+
 @query(filled("WITH " + WORDS + " SELECT doc_id, i, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w))::DOUBLE / len(w) END AS density FROM q", "doc_id", "documents"))
 def sentence_density(spark, d):
     return S.sentence_rows(docs(spark, d), "doc_id").select("doc_id", "i", C.density(F.col("words")).alias("density"))
@@ -242,6 +253,11 @@ def duplicate_request_savings(spark, d):
     return t.agg(F.count(F.lit(1)).alias("requests"), F.countDistinct(F.sha2("text", 256)).alias("computed"), F.sum(C.heuristic_tokens(F.col("text"))).alias("tokens"))
 
 
+@query(f"SELECT count(*) AS requests, count(DISTINCT sha256(text)) AS computed, sum(t)::BIGINT AS tokens FROM (SELECT text, {tokens_sql('text')} AS t FROM documents)")
+def duplicate_request_savings_documents(spark, d):
+    return docs(spark, d).agg(F.count(F.lit(1)).alias("requests"), F.countDistinct(F.sha2("text", 256)).alias("computed"), F.sum(C.heuristic_tokens(F.col("text"))).alias("tokens"))
+
+
 RUNS = f"(SELECT role, {tokens_sql('text')} AS a, ({tokens_sql('text')} * 7) // 10 AS b, turn % 2 = 1 AS c FROM conversations)"
 STATS = "count(*) AS runs, sum(a)::BIGINT AS tokens_in, sum(b)::BIGINT AS tokens_out, sum(c::BIGINT)::BIGINT AS api_calls, greatest(0, sum(a) - sum(b))::BIGINT AS saved, floor(greatest(0, sum(a) - sum(b)) * 100 / sum(a) + 0.5)::BIGINT AS avg_percent, floor(max(greatest(0, (a - b) / a)) * 100 + 0.5)::BIGINT AS best_percent"
 

@@ -90,3 +90,18 @@ def test_queries_match_sql(spark):
         assert cols == sorted(want.columns)
         assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None))), name
     assert re.search("[a-z]", "a")
+
+
+@pytest.mark.parametrize("name", ["sentence_tfidf_documents", "sentence_pair_similarity_conversations", "duplicate_request_savings_documents"])
+def test_queries_on_the_tables_of_the_survey(spark, name):
+    import duckdb
+
+    from tersemill import catalog
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    got, want = catalog.QUERIES[name](spark, d).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
+    cols = list(want.columns)
+    assert sorted(got[cols].itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
