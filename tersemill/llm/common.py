@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +35,66 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Rows that go to a Python worker at a time while a table is written, so that batches of long texts stay small.
+BATCH = 1024
+
+#: Tables written since each open scratch().
+_open: list[list[str]] = []
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, in what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    most = int(before)
+    spark.conf.set(name, str(rows if most <= 0 else min(rows, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, tag: str, batch: int = BATCH) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tersemill/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
+    with arrow_batches(spark, batch):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tersemill_path = path
+    for tables in _open:
+        tables.append(path)
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | str) -> None:
     """Remove a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_tersemill_path", None)
+    path = df if isinstance(df, str) else getattr(df, "_tersemill_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        sc = SparkSession.getActiveSession().sparkContext if isinstance(df, str) else df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables written inside are removed at the end, but those given to keep(...). For use where what they made is
+    itself written by then."""
+    tables: list[str] = []
+    kept: set[str] = set()
+    _open.append(tables)
+
+    def keep(*dfs: DataFrame) -> None:
+        kept.update(df._tersemill_path for df in dfs)
+
+    try:
+        yield keep
+    finally:
+        _open.remove(tables)
+        for path in tables:
+            if path not in kept:
+                discard(path)
 
 
 #: Most ids that are broadcast; beyond, rows are joined by shuffling.
@@ -67,6 +113,26 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system; Python workers are kept between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with trim() at a task's end."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 class Memo(dict):
     """A bounded memo in two generations: what is used while the young one fills stays, the rest goes."""
 

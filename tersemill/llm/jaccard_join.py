@@ -1,52 +1,66 @@
-"""Exact n-gram Jaccard join with set-relation skipping (operator 9).
+"""N-gram Jaccard join with set-relation skipping (operator 9).
 
-A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are one from the start.
+A document's set is its distinct word shingles, as 64-bit hashes. A node is a set, named by a 64-bit hash of
+its members, so equal sets are one node from the start.
 
 Index. A count sketch over the whole corpus (a fixed number of counters) orders shingles from rare to frequent,
 ties by hash; any order that all documents share keeps prefix filtering exact. Of n shingles the first
-n - ceil(3n/4) + 1 are indexed, each with its position, and dealt out by shingle.
-
-Skipping in lists. A list is sorted by set size; from each entry only those up to 4/3 of its size are looked
-at, and entries go in blocks by position: where the shingles after the best position of a block can't make up
-the overlap that the sizes ask for, the block is skipped.
-
-Answers from similar sets. A list of more than LONG different sets is not paired off. Its smallest set leads:
-all others are compared with it first. From the overlaps x and y of two sets with one leader follow bounds of
-their own overlap, which settle most of the other pairs without reading a set; sets in one component need
-none. Two more rounds go through what is left: some members of each list's largest component, then all pairs
-between components. So every pair that can link two components is decided, and none is dropped.
-
-Candidate pairs first meet a parity signature of each set (the symmetric difference has at least as many
-members as two signatures have different bits, which is exact), then the sets themselves.
-
-Defined results: null and empty texts and those without words have an empty set and link with nothing; ids are
-taken as keys, and rows that repeat one share its component; rows without an id have none; an empty table gives
-an empty one; other columns are ignored. Ids are integers.
+n - ceil(3n/4) + 1 are indexed, each with its position, and dealt out by shingle. The sketch also tells which
+lists may be long: those are dealt over several parts by node, so no list is bound to one task.
+
+Skipping by position. A list's entries lie in blocks of one set size, ordered by position. A set that probes
+the list looks at each block once: if the sizes don't fit, or if what follows the probing position can't make
+up the overlap that both sizes ask for, the whole block is skipped; else the block is read up to the last
+position from which that overlap can still be reached, and no further.
+
+Answers from a similar set. The set with the least hash among those of about one size leads a list (or a part
+of it; then the leads of the parts meet in turn) and is the only one that probes at first: its exact overlaps
+with the others are its answers, and their number is linear in the index. The answers of the others are
+derived from them. From the overlaps x and y of two sets with their leader, of l members, follows that theirs
+is at least x + y - l, and at most min(x, y) and the lesser of what the two have outside of it. That settles
+most pairs, as linked or as apart, without reading a set; pairs inside one component need no answer. Only
+lists with several components left are gone through again, first by some members of each list's largest
+component, then by all pairs between components. So every pair that can link two components is decided.
+
+Pairs that the bounds leave open meet a parity signature of each set (the symmetric difference has at least as
+many members as two signatures have different bits, which is exact), then the sets themselves.
+
+Defined results: null and empty texts and those without words have an empty set and link with nothing; rows
+that repeat an id with its text are one document; with another text, each has the component of its own text;
+rows without an id link with nothing and have no component; an empty table gives an empty one; other columns
+are ignored. Ids are integers.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, table
+from .common import discard, materialize, slices, table, trimmed
 from .components import components
 from .shingles import Shingler, scatter
 
 #: The link: NUM of overlap against DEN of union.
 NUM, DEN = 75, 100
-COUNTERS, SLICE_BITS = 1 << 24, 16
+COUNTERS, SLICE_BITS = 1 << 24, 13
 SIGNATURE = 1024
-LONG, SOME = 64, 6
-#: Index entries a task, entries gathered before they are dealt, and the most ids that are broadcast.
-ENTRIES, GATHER, IDS = 200_000, 300_000, 500_000
-ENTRY = np.dtype([("key", "u8"), ("set", "u8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
-LOW = np.uint64((1 << 58) - 1)
+#: Members of a list's largest component that each set outside of it meets before all are gone through.
+SOME = 6
+#: Index entries a task, and entries gathered before they are dealt.
+ENTRIES, GATHER = 200_000, 200_000
+#: Entries of a list in one part, pairs of one set in one part of a join, most rows that are broadcast.
+PART, SHARE, IDS = 8192, 2048, 500_000
+#: Pairs of sets that go to a Python worker at a time.
+COMPARED = 128
+ENTRY = np.dtype([("key", "u8"), ("node", "i8"), ("n", "i4"), ("at", "i4")])
+LEVEL, LOW = np.uint64(58), np.uint64((1 << 58) - 1)
+BIG = 1 << 32
 
 
 def counter_of(s: np.ndarray) -> np.ndarray:
@@ -58,45 +72,63 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def node_of(s: np.ndarray) -> int:
+    return int(scatter(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The smallest overlap with which sets of n and m members link."""
-    return -(-NUM * (n.astype(np.int64) + m) // (NUM + DEN))
+    return -(-NUM * (np.asarray(n, np.int64) + m) // (NUM + DEN))
+
+
+def rank(node: np.ndarray) -> np.ndarray:
+    """A fixed random order of nodes: of a pair the first comes first, of a list it leads."""
+    return scatter(node.view(np.uint64) + np.uint64(12345))
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (id, n, h1, h2, sig), and rows of the count sketch (slice, counts)."""
+    """A row per document (id, n, node), and rows of the count sketch (slice, counts)."""
     shingler = Shingler(width)
-    names = ["id", "n", "h1", "h2", "sig", "slice", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["id", "n", "node", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
         for batch in slices(batches):
-            n, h1, h2, sig = [], [], [], []
+            n, node = [], []
             for s in shingler.many(batch.column(1).to_pylist()):
                 np.add.at(counts, counter_of(s), 1)
                 n.append(len(s))
-                x = scatter(s + np.uint64(1))
-                h1.append(int(x.sum(dtype=np.uint64).astype(np.int64)))
-                h2.append(int(scatter(x).sum(dtype=np.uint64).astype(np.int64)))
-                sig.append(signature(s) if len(s) else None)
-            none = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((n, h1, h2, sig), types[1:], strict=False)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
-        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if x.any()]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), t) for t in types[:5]), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+                node.append(node_of(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        slots = counts.reshape(-1, 1 << SLICE_BITS)
+        for at in range(0, len(slots), 256):
+            parts = [(at + i, zlib.compress(x, 1)) for i, x in enumerate(slots[at : at + 256]) if x.any()]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary, slice int, counts binary")
+    return docs.mapInArrow(trimmed(run), "id long, n long, node long, slice int, counts binary")
+
+
+def step_of(mean: float) -> float:
+    """How far above the mean a counter goes by chance."""
+    return 3 * np.sqrt(mean) + 2
 
 
 def levels(counts: np.ndarray, mean: float) -> np.ndarray:
     """0 for what is no more frequent than chance fills a counter, then a step for each doubling."""
-    above = (counts - mean) / (3 * np.sqrt(mean) + 2)
-    return np.ceil(np.log2(np.maximum(above, 1))).clip(0, 60).astype(np.uint8)
+    return np.ceil(np.log2(np.maximum((counts - mean) / step_of(mean), 1))).clip(0, 60).astype(np.uint8)
+
+
+def parts_of(mean: float) -> np.ndarray:
+    """The parts that a list is dealt over, by its shingle's level: about PART entries each at most."""
+    parts = np.minimum(step_of(mean) * 2.0 ** np.arange(64) / PART, 2.0**40)
+    parts[0] = 1  # no more frequent than chance fills a counter
+    return np.maximum(1, parts).astype(np.uint64)
 
 
 def sketch(scanned: DataFrame, mean: float) -> np.ndarray:
     """The level of each counter, from the sums over all documents; mean: of the counters. COUNTERS bytes come
-    to the driver and go to the workers, whatever the input."""
+    to the driver and go to the workers, whatever the input. A task ships what it counted, at most its own
+    distinct shingles, in COUNTERS >> SLICE_BITS slices, and adds up slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -107,26 +139,26 @@ def sketch(scanned: DataFrame, mean: float) -> np.ndarray:
         packed = [zlib.compress(levels(x, mean).tobytes(), 1) for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
-    parts = scanned.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, counts binary").collect()
+    parts = scanned.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(trimmed(run), "slice int, counts binary").collect()
     out = np.zeros((COUNTERS >> SLICE_BITS, 1 << SLICE_BITS), np.uint8)
     for r in parts:
         out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out.ravel()
 
 
-def index(docs: DataFrame, width: int, level: np.ndarray, same: dict[tuple[int, int], int], parts: int) -> DataFrame:
-    """(bucket, entries): the index entries of all documents, packed. same: of sets that very many documents
-    have, the document that stands for them."""
-    shingler, held = Shingler(width), docs.sparkSession.sparkContext.broadcast((level, same))
+def index(docs: DataFrame, width: int, level, same: dict[int, int], split: np.ndarray, parts: int) -> DataFrame:
+    """(bucket, entries): the index entries of all documents, packed. level: a broadcast; same: of sets that very
+    many documents have, the one document that is indexed."""
+    shingler = Shingler(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, same = held.value
+        levels = level.value
         gathered: list[np.ndarray] = []
         size = 0
 
         def deal() -> pa.RecordBatch:
             e = np.concatenate(gathered)
-            bucket = (e["key"] % np.uint64(parts)).astype(np.int32)
+            bucket = (scatter(e["key"] + part_of(e, split)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(e)]])
@@ -137,152 +169,291 @@ def index(docs: DataFrame, width: int, level: np.ndarray, same: dict[tuple[int,
                 n = len(s)
                 if not n:
                     continue
-                x = scatter(s + np.uint64(1))
-                h1 = x.sum(dtype=np.uint64)
-                if same and same.get((int(h1.astype(np.int64)), int(scatter(x).sum(dtype=np.uint64).astype(np.int64))), i) != i:
+                node = node_of(s)
+                if same.get(node, i) != i:
                     continue
                 p = n - -(-NUM * n // DEN) + 1
                 e = np.empty(p, ENTRY)
-                key = (level[counter_of(s)].astype(np.uint64) << np.uint64(58)) | (s & LOW)
+                key = (levels[counter_of(s)].astype(np.uint64) << LEVEL) | (s & LOW)
                 e["key"] = np.sort(np.partition(key, p - 1)[:p] if p < n else key)
-                e["set"], e["id"], e["n"], e["at"] = h1, i, n, np.arange(p)
+                e["node"], e["n"], e["at"] = node, n, np.arange(p)
                 gathered.append(e)
                 size += p
-            if size >= GATHER:
-                yield deal()
-                gathered, size = [], 0
+                if size >= GATHER:
+                    yield deal()
+                    gathered, size = [], 0
         if gathered:
             yield deal()
 
-    return docs.mapInArrow(run, "bucket int, entries binary")
+    return docs.mapInArrow(trimmed(run), "bucket int, entries binary")
+
+
+def part_of(e: np.ndarray, split: np.ndarray) -> np.ndarray:
+    return rank(np.ascontiguousarray(e["node"])) % split[(e["key"] >> LEVEL).astype(np.int64)]
+
 
+class Blocks(NamedTuple):
+    """Entries sorted by list, set size and position, in blocks of one list and size."""
 
-def pairs_of_lists(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries: candidate pairs (a, b), a < b, of the short lists, and the entries of the long ones."""
-    # equal sets in one list are one entry, of the smallest id
-    e = e[np.lexsort((e["id"], e["set"], e["n"], e["key"]))]
+    list: np.ndarray
+    n: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    #: of each entry its block and position as one ascending number
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, lists: np.ndarray, n: np.ndarray, at: np.ndarray) -> Blocks:
+        first = np.concatenate([[True], (lists[1:] != lists[:-1]) | (n[1:] != n[:-1])]) if len(n) else np.empty(0, bool)
+        start = np.flatnonzero(first)
+        return cls(lists[start], n[start].astype(np.int64), start, np.append(start[1:], len(n)), (np.cumsum(first) - 1) * BIG + at)
+
+    def reach(self, blocks: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many entries of each block a set of n members, at its position `at`, has to look at. 0: skipped."""
+        m = self.n[blocks]
+        need = least_overlap(n, m)
+        fits = (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (n - at >= need)
+        upto = np.searchsorted(self.place, blocks * BIG + np.maximum(m - need, -1), "right") - self.start[blocks]
+        return np.where(fits & (m >= need), np.maximum(upto, 0), 0)
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All of start[i] .. start[i] + length[i], one after another."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+class Found(NamedTuple):
+    """a, b: pairs to compare, a before b by rank; left: entries of lists that pairs with leads don't settle;
+    leads: entries that lead a part of a list; skipped: probes of blocks that were skipped as a whole."""
+
+    a: np.ndarray
+    b: np.ndarray
+    left: np.ndarray
+    leads: np.ndarray
+    skipped: int
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    if len(a):
+        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b = a[keep], b[keep]
+    return a, b
+
+
+def probe_leads(e: np.ndarray, split: np.ndarray | None) -> Found:
+    """What the leads of index lists find. split None: lists are whole."""
+    part = part_of(e, split) if split is not None else np.zeros(len(e), np.uint64)
+    order = np.lexsort((e["node"], e["at"], e["n"], part, e["key"]))
+    e, part = e[order], part[order]
     if len(e):
-        e = e[np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["set"][1:] != e["set"][:-1]) | (e["n"][1:] != e["n"][:-1])])]
-    start = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.empty(0, np.int64)
-    length = np.diff(np.concatenate([start, [len(e)]]))
-    per = np.repeat(length, length)
-    long, e = e[per > LONG], e[(per > 1) & (per <= LONG)]
-    out = []
-    left = np.arange(len(e))
-    step = 1
-    while len(left):
-        left = left[left + step < len(e)]
-        x, y = e[left], e[left + step]
-        # sizes ascend in a list: past the end of it, or of what the size allows, nothing follows
-        near = (x["key"] == y["key"]) & (NUM * y["n"].astype(np.int64) <= DEN * x["n"].astype(np.int64))
-        left, x, y = left[near], x[near], y[near]
-        room = np.minimum(x["n"] - x["at"], y["n"] - y["at"])
-        fit = room >= least_overlap(x["n"], y["n"])
-        out.append(np.stack([np.minimum(x["id"], y["id"])[fit], np.maximum(x["id"], y["id"])[fit]], 1))
-        step += 1
-    found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-    return found[found[:, 0] != found[:, 1]], long
-
-
-def candidates(indexed: DataFrame, tasks: int) -> DataFrame:
-    """kind 0: pairs (a, b). kind 1: entries of long lists (key, a, n, at)."""
+        # equal sets are one entry
+        keep = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])])
+        e, part = e[keep], part[keep]
+    several = split[(e["key"] >> LEVEL).astype(np.int64)] > 1 if split is not None else np.zeros(len(e), bool)
+    new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (part[1:] != part[:-1])]) if len(e) else np.empty(0, bool)
+    lists = np.cumsum(new) - 1
+    many = np.bincount(lists, minlength=1)[lists] if len(e) else np.empty(0, np.int64)
+    use = (many > 1) | several
+    e, lists, many, several = e[use], lists[use], many[use], several[use]
+    none = np.empty(0, np.int64)
+    if not len(e):
+        return Found(none, none, e, e, 0)
+    blocks = Blocks.of(lists, e["n"], e["at"])
+    # sets whose sizes lie within 4/3 of each other: the first of them by rank leads
+    size = np.floor(np.log(e["n"]) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
+    first = np.concatenate([[True], (lists[1:] != lists[:-1]) | (size[1:] != size[:-1])])
+    group = np.cumsum(first) - 1
+    by_rank = np.lexsort((rank(np.ascontiguousarray(e["node"])), group))
+    lead = by_rank[np.flatnonzero(np.concatenate([[True], np.diff(group[by_rank]) > 0]))]
+    every, own = np.arange(len(blocks.n)), group[blocks.start]
+    # a block is probed by its own lead, and by that of the next smaller sets
+    below = np.flatnonzero((own > 0) & (lists[lead[own - 1]] == blocks.list) & (size[lead[own - 1]] == size[blocks.start] - 1))
+    probing, probed = np.concatenate([lead[own], lead[own[below] - 1]]), np.concatenate([every, below])
+    take = blocks.reach(probed, e["n"][probing].astype(np.int64), e["at"][probing].astype(np.int64))
+    x, y = e["node"][np.repeat(probing, take)], e["node"][spans(blocks.start[probed], take)]
+    x, y = x[x != y], y[x != y]
+    swap = rank(x) > rank(y)
+    a, b = distinct_pairs(np.where(swap, y, x), np.where(swap, x, y))
+    return Found(a, b, e[(many > 2) | several], e[lead[several[lead]]], int((take == 0).sum()))
+
+
+def lead_pairs(indexed: DataFrame, tasks: int, split: np.ndarray) -> DataFrame:
+    """kind 0: pairs (a, b). 1: entries (key, a, n, at) of lists that may need another look. 2: entries of leads of parts."""
     names = ["kind", "a", "b", "key", "n", "at"]
 
+    def rows(kind: int, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(e), 50_000):
+            x = e[i : i + 50_000]
+            k = len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(np.ascontiguousarray(x["node"])), pa.nulls(k, pa.int64()), pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(np.ascontiguousarray(x["n"])), pa.array(np.ascontiguousarray(x["at"]))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for batch in batches for x in batch.column(1).to_pylist()]
-        pairs, long = pairs_of_lists(np.frombuffer(b"".join(got), ENTRY))
-        del got
-        k = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=names)
-        k = len(long)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.ascontiguousarray(long["id"])), pa.nulls(k, pa.int64()), pa.array(np.ascontiguousarray(long["key"]).view(np.int64)), pa.array(np.ascontiguousarray(long["n"])), pa.array(np.ascontiguousarray(long["at"]))], names=names)
+        e = np.frombuffer(b"".join([x for batch in batches for x in batch.column(1).to_pylist()]), ENTRY)
+        found = probe_leads(e, split)
+        del e
+        for i in range(0, len(found.a), 50_000):
+            a, b = found.a[i : i + 50_000], found.b[i : i + 50_000]
+            k = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(a), pa.array(b), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=names)
+        yield from rows(1, found.left)
+        yield from rows(2, found.leads)
 
-    return indexed.repartition(tasks, "bucket").mapInArrow(run, "kind int, a long, b long, key long, n int, at int")
+    return indexed.repartition(tasks, "bucket").mapInArrow(trimmed(run), "kind int, a long, b long, key long, n int, at int")
 
 
-def round_pairs(entries: DataFrame, step: int) -> DataFrame:
-    """Candidate pairs (a, b, known) of the long lists; known: the link follows from the overlaps with a leader.
-    entries(key, a, n, at, c, leader, o, nl, sig): c is the component so far, o the overlap with a leader of nl
-    members, -1 where there is none. Pairs that a signature or a leader rules out are not returned.
-    Step 0: all with the list's smallest set. Step 1: those outside of a list's largest component with SOME of
-    its members. Step 2: all pairs between components."""
+def part_leads(leads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the leads of the parts of a list: they meet as a list of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, sigs = [np.empty((0, 8), np.int64)], [b""]
-        for batch in batches:
-            got.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)], 1))
-            sigs += batch.column(8).to_pylist()
-        e = np.concatenate(got)
-        sig = np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, SIGNATURE // 64)
-        del got, sigs
-        order = np.lexsort((e[:, 1], e[:, 2], e[:, 0]))
-        e, sig = e[order], sig[order]
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(e[:, 0])) + 1, [len(e)]]) if len(e) else np.zeros(1, np.int64)
-        out: list[np.ndarray] = []
-        for s, t in zip(bounds[:-1], bounds[1:], strict=True):
-            _, ids, n, at, c, leader, o, nl = e[s:t].T
-            bits = sig[s:t]
-            names, owner = np.unique(c, return_inverse=True)
-            main = names[np.bincount(owner).argmax()]
-            if step and len(names) == 1:
-                continue
-            if step == 0:
-                todo = [(0, np.arange(1, t - s))]
-            elif step == 1:
-                inside = np.flatnonzero(c == main)
-                todo = ((i, inside[scatter(inside.astype(np.uint64) + np.uint64(int(ids[i]) % 1009)).argsort()[:SOME]]) for i in np.flatnonzero(c != main))
-            else:
-                # each of the others with all; members of the largest component only meet others
-                todo = ((i, np.flatnonzero((c != c[i]) & ((c == main) | (np.arange(t - s) > i)))) for i in np.flatnonzero(c != main))
-            for i, js in todo:
-                small, large = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
-                least = least_overlap(small, large)
-                js, least = (x[(NUM * large <= DEN * small) & (np.minimum(n[i] - at[i], n[js] - at[js]) >= least)] for x in (js, least))
-                apart = np.bitwise_count(bits[i] ^ bits[js]).sum(1, dtype=np.int64)
-                js, least = (x[n[i] + n[js] - apart >= 2 * least] for x in (js, least))
-                # inside the leader they share at least o + o - nl and at most the smaller; outside of it at most the smaller rest
-                one = (leader[i] == leader[js]) & (o[i] >= 0) & (o[js] >= 0)
-                known = one & (o[i] + o[js] - nl[i] >= least)
-                may = ~one | (np.minimum(o[i], o[js]) + np.minimum(n[i] - o[i], n[js] - o[js]) >= least)
-                js, known = js[may], known[may]
-                out.append(np.stack([np.minimum(ids[i], ids[js]), np.maximum(ids[i], ids[js]), known], 1))
-                if len(out) > 4096:
-                    out = [np.unique(np.concatenate(out), axis=0)]
-        p = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2] == 1)], names=["a", "b", "known"])
-
-    return entries.select("key", "a", "n", "at", "c", "leader", "o", "nl", "sig").repartition("key").mapInArrow(run, "a long, b long, known boolean").dropDuplicates(["a", "b"])
-
-
-def near_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose signatures allow a link."""
-    x = pairs.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        got = pa.Table.from_batches(list(batches), schema) if (batches := list(batches)) else None
+        e = np.empty(got.num_rows if got else 0, ENTRY)
+        if got:
+            e["key"], e["node"], e["n"], e["at"] = got["key"].to_numpy().view(np.uint64), got["a"].to_numpy(), got["n"].to_numpy(), got["at"].to_numpy()
+        found = probe_leads(e, None)
+        yield pa.RecordBatch.from_arrays([pa.array(found.a), pa.array(found.b)], names=["a", "b"])
+
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    return leads.select("key", "a", "n", "at").repartition("key").mapInArrow(run, "a long, b long")
+
+
+class Cell(NamedTuple):
+    """Entries of a list, or of two parts of one (side 0 meets side 1), sorted by size and position."""
+
+    node: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    side: np.ndarray
+    component: np.ndarray
+    leader: np.ndarray
+    overlap: np.ndarray
+    lead_n: np.ndarray
+    sig: np.ndarray
+
+
+class Derived(NamedTuple):
+    """a, b: places in the cell of pairs that may link; known: those that do, by their leader. Counts: blocks
+    skipped, and pairs that a leader settled either way."""
+
+    a: np.ndarray
+    b: np.ndarray
+    known: np.ndarray
+    skipped: int
+    settled: int
+
+
+def derive(cell: Cell, cross: bool, some: bool) -> Derived:
+    """The pairs between components that neither blocks, signatures nor leaders rule out. some: those outside of
+    the cell's largest component meet SOME of its members; else all pairs are gone through."""
+    names, owner = np.unique(cell.component, return_inverse=True)
+    main = names[np.bincount(owner).argmax()]
+    outside = np.flatnonzero(cell.component != main)
+    n, at = cell.n.astype(np.int64), cell.at.astype(np.int64)
+    blocks = Blocks.of(np.zeros(len(n), np.int64), n, at)
+    every = np.arange(len(blocks.n))
+    skipped = settled = 0
+    out = []
+    for i in outside:
+        take = blocks.reach(every, n[i], at[i])
+        skipped += int((take == 0).sum())
+        js = spans(blocks.start, take)
+        # of two outside of the largest component the later one in order probes
+        js = js[(cell.component[js] != cell.component[i]) & ((cell.component[js] == main) | (js < i))]
+        if cross:
+            js = js[cell.side[js] != cell.side[i]]
+        if some:
+            js = js[cell.component[js] == main]
+            js = js[scatter(js.astype(np.uint64) + np.uint64(int(cell.node[i]) % 1009)).argsort()[:SOME]]
+        need = least_overlap(n[i], n[js])
+        apart = np.bitwise_count(cell.sig[i] ^ cell.sig[js]).sum(1, dtype=np.int64)
+        near = n[i] + n[js] - apart >= 2 * need
+        js, need = js[near], need[near]
+        # inside the leader two share at least x + y - l and at most the smaller; outside of it at most the smaller rest
+        one = (cell.leader[i] == cell.leader[js]) & (cell.overlap[i] >= 0) & (cell.overlap[js] >= 0)
+        x, y = cell.overlap[i], cell.overlap[js]
+        known = one & (x + y - cell.lead_n[i] >= need)
+        may = ~one | (np.minimum(x, y) + np.minimum(n[i] - x, n[js] - y) >= need)
+        settled += int(known.sum() + (~may).sum())
+        out.append((np.full(may.sum(), i), js[may], known[may]))
+    if not out:
+        none = np.empty(0, np.int64)
+        return Derived(none, none, np.empty(0, bool), 0, 0)
+    a, b, known = (np.concatenate(x) for x in zip(*out, strict=True))
+    return Derived(a, b, known, skipped, settled)
+
+
+CELL = "key long, c long, d long, side int, node long, n int, at int, first long, component long, leader long, overlap long, lead_n long, sig binary"
+
+
+def derived_pairs(entries: DataFrame, some: bool) -> DataFrame:
+    """Of cells: (a, b, known, fa, fb), fa and fb being the first documents of a known pair."""
+    names = [x.split()[0] for x in CELL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64) for i in (4, 5))
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            apart = np.bitwise_count(sa ^ sb).sum(1)
-            keep = pa.array(na + nb - apart >= 2 * least_overlap(na, nb))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
-
-    return x.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+        held = list(batches)
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        col = {x: got[x].to_numpy().astype(np.int64) for x in names[:-1]}
+        sig = np.frombuffer(b"".join(got["sig"].to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
+        del got, held
+        order = np.lexsort((col["node"], col["at"], col["n"], col["d"], col["c"], col["key"]))
+        key, c, d = (col[x][order] for x in ("key", "c", "d"))
+        cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])) + 1, [len(key)]])
+        out, size = [], 0
+        for s, t in zip(cut[:-1], cut[1:], strict=True):
+            o = order[s:t]
+            x = derive(Cell(*(col[k][o] for k in ("node", "n", "at", "side", "component", "leader", "overlap", "lead_n")), sig[o]), c[s] != d[s], some)
+            out.append((o[x.a], o[x.b], x.known))
+            size += len(x.a)
+            if size > 500_000:
+                yield batch_of(out, col)
+                out, size = [], 0
+        yield batch_of(out, col)
+
+    def batch_of(out: list, col: dict[str, np.ndarray]) -> pa.RecordBatch:
+        i, j, known = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        swap = rank(col["node"][i]) > rank(col["node"][j])
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        a, b = col["node"][i], col["node"][j]
+        order = np.lexsort((~known, b, a))
+        i, j, a, b, known = i[order], j[order], a[order], b[order], known[order]
+        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, known, col["first"][i], col["first"][j])], names=["a", "b", "known", "fa", "fb"])
+
+    dealt = entries.select(*names).repartition("key", "c", "d")
+    return dealt.mapInArrow(trimmed(run), "a long, b long, known boolean, fa long, fb long").groupBy("a", "b").agg(F.max("known").alias("known"), F.min("fa").alias("fa"), F.min("fb").alias("fb"))
+
+
+def with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame) -> DataFrame:
+    """pairs with the set of one side. A set of more than SHARE pairs goes to several parts, and its pairs are dealt over them."""
+    often = materialize(pairs.groupBy(side).count().filter(F.col("count") > SHARE).select(F.col(side).alias("_n"), F.ceil(F.col("count") / SHARE).cast("long").alias("_parts")), "often")
+    n = often.count()
+    own = sets.select(F.col("node").alias(side), F.col("first").alias("f" + side), F.col("members").alias("m" + side))
+    if not n:
+        return pairs.join(own, side)
+    few = F.broadcast(often) if n <= IDS else often
+    zero = F.lit(0).cast("long")
+    dealt = pairs.join(few, F.col(side) == F.col("_n"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), zero)).drop("_n", "_parts")
+    own = own.join(few, F.col(side) == F.col("_n"), "left").withColumn("_part", F.explode(F.sequence(zero, F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_n", "_parts")
+    return dealt.join(own, [side, "_part"]).drop("_part")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap) of pairs, from the sets. Where few ids take part, only their sets are shuffled."""
-    pairs = materialize(pairs, "to-compare")
-    side = {}
+    """(a, b, fa, fb, na, nb, overlap) of pairs, from the sets."""
+    pairs = materialize(pairs.select("a", "b"), "to-compare")
+    some = {}
     for c in ("a", "b"):
-        ids = pairs.select(F.col(c).alias("id")).distinct()
-        side[c] = (sets.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= IDS else sets).select(F.col("id").alias(c), F.col("members").alias("m" + c))
-    x = pairs.join(side["b"], "b").join(side["a"], "a")
+        ids = pairs.select(F.col(c).alias("node")).distinct()
+        some[c] = sets.join(F.broadcast(ids), "node", "left_semi") if ids.count() <= IDS else sets
+    x = with_sets(with_sets(pairs, "b", "a", some["b"]), "a", "b", some["a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             last, x = None, np.empty(0, np.uint64)
-            for a, ma, mb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for a, ma, mb in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if a != last:
                     last, x = a, np.frombuffer(ma.as_buffer(), np.uint64)
                 y = np.frombuffer(mb.as_buffer(), np.uint64)
@@ -290,77 +461,94 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.sort()
                 rows.append((len(x), len(y), int((both[1:] == both[:-1]).sum())))
             cols = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(cols[:, i]) for i in range(3))], names=["a", "b", "na", "nb", "overlap"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(cols[:, i]) for i in range(3))], names=["a", "b", "fa", "fb", "na", "nb", "overlap"])
 
-    return x.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long, na long, nb long, overlap long")
+    return x.select("a", "b", "fa", "fb", "ma", "mb").mapInArrow(trimmed(run), "a long, b long, fa long, fb long, na long, nb long, overlap long")
 
 
-def linked(overlap: str = "overlap"):
-    return DEN * F.col(overlap) >= NUM * (F.col("na") + F.col("nb") - F.col(overlap))
+def linked():
+    return DEN * F.col("overlap") >= NUM * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
+    small = lambda df, n: F.broadcast(df) if n <= IDS else df
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scanned = materialize(scan(rows, width), "scan")
-    every = scanned.filter("slice is null").select("id", "n", "h1", "h2", "sig")
+    every = scanned.filter("slice is null").select("id", "n", "node")
     live = every.filter("n > 0 and id is not null")
     total = live.agg(F.count(F.lit(1)), F.sum("n")).first()
-    level = sketch(scanned, (total[1] or 0) / COUNTERS)
+    mean = (total[1] or 0) / COUNTERS
+    split = parts_of(mean)
+    level = sc.broadcast(sketch(scanned, mean))
 
-    # equal sets: the smallest id stands for all
-    groups = live.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    often = groups.filter((F.col("rows") > 16) & (F.col("rows") * 2000 >= (total[0] or 0))).select("h1", "h2", "rep").collect()  # at most 2000
-    same = {(r["h1"], r["h2"]): r["rep"] for r in often}
-    reps = groups.select("h1", "h2", "n", "rep")
+    # of equal sets the smallest id stands for all; those of more than a 2000th of all rows, at most 2000, are known everywhere
+    nodes = materialize(live.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+    often = nodes.filter((F.col("rows") > 16) & (F.col("rows") * 2000 >= (total[0] or 0))).select("node", "first")
+    same = {r["node"]: r["first"] for r in often.collect()}
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total[1] or 0) * 0.27 / ENTRIES) + 1)
     texts = rows.filter("id is not null")
-    found = materialize(candidates(index(texts, width, level, same, 4 * tasks), tasks), "candidates")
-    # of equal sets in different lists, one id may stand here and another there
-    stands = live.join(reps, ["h1", "h2", "n"]).select("id", "rep")
-    sigs = materialize(live.join(reps, ["h1", "h2", "n"]).filter("id = rep").select("id", "n", "sig").dropDuplicates(["id"]), "signatures")
-    rename = lambda df, c: df.join(stands.select(F.col("id").alias(c), F.col("rep").alias("_r")).dropDuplicates([c]), c).withColumn(c, F.col("_r")).drop("_r")
-    # several lists find one pair: it is renamed once
-    short = rename(rename(found.filter("kind = 0").select("a", "b").dropDuplicates(), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
-    near = materialize(near_signatures(short, sigs), "pairs")
-    long = materialize(rename(found.filter("kind = 1").select("key", "a", "n", "at"), "a").dropDuplicates(["key", "a"]).join(sigs.select(F.col("id").alias("a"), "sig"), "a"), "lists")
-    any_long = bool(long.take(1))
+    found = materialize(lead_pairs(index(texts, width, level, same, split, 4 * tasks), tasks, split), "pairs-and-lists")
+    level.destroy()
+    pairs = found.filter("kind = 0").select("a", "b")
+    if found.filter("kind = 2").take(1):
+        pairs = pairs.unionByName(part_leads(found.filter("kind = 2")))
+    pairs = materialize(pairs.dropDuplicates(["a", "b"]), "pairs")
+    left = found.filter("kind = 1").select("key", F.col("a").alias("node"), "n", "at")
 
     # the sets of those that take part
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select(F.col("a").alias("id"))).distinct()
-    wanted = materialize(wanted, "ids")
-    few = wanted.count() <= IDS
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(left.select("node")).distinct().join(nodes, "node")
+    wanted = materialize(wanted.select(F.col("first").alias("id")), "wanted")
     shingler = Shingler(width)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            got = [s.tobytes() for s in shingler.many(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "members"])
-
-    sets = materialize(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(members, "id long, members binary").dropDuplicates(["id"]), "sets")
-    checked = materialize(compare(near, sets), "checked")
-    links = checked.filter(linked()).select("a", "b")
-    if any_long:
-        led = sigs.select(F.col("id").alias("a"), F.col("id").alias("leader"), F.col("n").alias("o"), F.col("n").alias("nl")).filter(F.lit(False))
-        for step in range(3):
-            label = components(links)
-            now = long.join(label.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").join(led, "a", "left")
-            now = now.withColumns({"c": F.coalesce("c", "a"), "leader": F.coalesce("leader", F.lit(0)), "o": F.coalesce("o", F.lit(-1)), "nl": F.coalesce("nl", F.lit(0))})
-            pairs = materialize(round_pairs(now, step).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            more = materialize(compare(pairs.filter("not known").select("a", "b"), sets), "checked")
-            links = links.unionByName(pairs.filter("known").select("a", "b")).unionByName(more.filter(linked()).select("a", "b"))
-            if step == 0:
-                both = more.select("a", F.col("b").alias("leader"), "overlap", F.col("nb").alias("nl")).unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("leader"), "overlap", F.col("na").alias("nl")))
-                led = materialize(both.groupBy("a").agg(F.max(F.struct("overlap", "leader", "nl")).alias("m")).select("a", "m.leader", F.col("m.overlap").alias("o"), "m.nl"), "leaders")
-            checked = checked.unionByName(more)
-    label = components(links)
-    for df in (found, near, sets):
+            got = list(shingler.many(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, got), pa.int64()), batch.column(0), pa.array([signature(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "first", "sig", "members"])
+
+    sets = texts.join(small(wanted.distinct(), wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(trimmed(members), "node long, first long, sig binary, members binary")
+    sets = materialize(sets.groupBy("node").agg(F.min(F.struct("first", "sig", "members")).alias("s")).select("node", "s.*"), "sets")
+    checked = materialize(compare(pairs, sets), "checked", COMPARED)
+    done = [checked]
+    links = checked.filter(linked()).select("fa", "fb")
+    led = checked.select(F.col("b").alias("node"), F.struct("overlap", F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")).unionByName(checked.select(F.col("a").alias("node"), F.struct(F.col("na").alias("overlap"), F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")))
+    led = materialize(led.groupBy("node").agg(F.max("m").alias("m")).select("node", "m.*"), "leaders")
+    of_node = sets.select("node", "first")
+    lists: list[DataFrame] = []
+    for some in (True, False):
+        label = components(links, "fa", "fb")
+        now = left.join(of_node.join(label, of_node["first"] == label["id"], "left").select("node", "first", F.coalesce("component", "first").alias("component")), "node")
+        now = materialize(now, "lists")
+        lists.append(now)
+        several = materialize(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("key", F.ceil(F.col("m") / PART).cast("long").alias("blocks")), "several")
+        k = several.count()
+        if k:
+            now = now.join(small(several, k), "key").join(led, "node", "left").join(sets.select("node", "sig"), "node")
+            now = now.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            now = now.withColumns({"c": F.least("own", "other"), "d": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int"), "leader": F.coalesce("leader", F.lit(0)), "overlap": F.coalesce("overlap", F.lit(-1)), "lead_n": F.coalesce("lead_n", F.lit(0))})
+            more = derived_pairs(now, some)
+            for x in done:
+                more = more.join(x.select("a", "b"), ["a", "b"], "left_anti")
+            more = materialize(more, "derived")
+            known = more.filter("known").select("fa", "fb")
+            compared = materialize(compare(more.filter("not known"), sets), "checked", COMPARED)
+            done.append(compared)
+            links = links.unionByName(known).unionByName(compared.filter(linked()).select("fa", "fb"))
+    label = components(links, "fa", "fb")
+    # no join on a node or an id that very many rows share: those go by broadcast
+    named = materialize(nodes.join(label, nodes["first"] == label["id"], "left").select("node", F.coalesce("component", "first").alias("component")), "named")
+    for df in (found, pairs, wanted, sets, led, label, *done, *lists):
         discard(df)
-    out = every.join(reps, ["h1", "h2", "n"], "left").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.cast(docs.schema[id_col].dataType).alias("component_id"))
+    hot = F.broadcast(named.join(F.broadcast(often.select("node")), "node", "left_semi"))
+    plain = F.col("id").isNull() | (F.col("n") == 0)
+    linkable = every.filter(~plain)
+    out = linkable.join(hot, "node").unionByName(linkable.join(F.broadcast(often.select("node")), "node", "left_anti").join(named, "node"))
+    out = out.select("id", "n", "component").unionByName(every.filter(plain).select("id", "n", F.col("id").alias("component")))
+    kind = docs.schema[id_col].dataType
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

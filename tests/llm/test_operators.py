@@ -209,9 +209,12 @@ def brute_components(sets, link):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("long", [64, 3])
-def test_jaccard_join(spark, monkeypatch, long):
-    monkeypatch.setattr(jaccard_join, "LONG", long)
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join(spark, monkeypatch, small):
+    if small:  # lists in several parts and cells, joins over several parts, nothing but the most frequent sets broadcast
+        monkeypatch.setattr(jaccard_join, "PART", 8)
+        monkeypatch.setattr(jaccard_join, "SHARE", 3)
+        monkeypatch.setattr(jaccard_join, "IDS", 0)
     r = random.Random(6)
     base = [f"t{i}" for i in range(60)]
     texts = list(EDGE)
@@ -229,7 +232,7 @@ def test_jaccard_join(spark, monkeypatch, long):
     want = brute_components(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i]["component_id"] for i in range(len(texts))] == want
-    if long == 64:
+    if not small:
         assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
