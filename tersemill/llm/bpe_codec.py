@@ -1,18 +1,16 @@
 """BPE encoding and decoding by a tokenization automaton (operator 8).
 
-The merges are compiled into a deterministic automaton over tokens. It starts with one state in which every
-symbol loops; each merge (u, v) -> w, in order of rank, adds a gadget: the arcs of u get a target of their
-own, a copy of the old one without its arc of v, and wherever u then v could be read, an arc of w leads to the
-target of v. The sequences of tokens that the finished automaton reads are those that merging makes, one for
-each word, and so each token's arcs share one target state.
-
-Kept sparsely: a state is a chain of copies (made when its token was, from the state of the token's right
-part), and a copy knows the arcs that gadgets took from it. Whether a state has an arc of token y follows the
-left parts of y back to the ranks at which they were joined. The transitions that texts use are kept in a
-table, (state, token) -> yes or no, and words go through that table.
-
-Reading a word takes the longest arc first and steps back where no arc leads on; as a prefix has one reading,
-a position is given up once at most. Decoding emits the labels of the arcs.
+The merges are compiled into a deterministic automaton over tokens, once, on the driver. It starts with all
+arcs: each token leads to a state of its own from every state. Each merge (u, v) -> w, in order of rank, adds a
+gadget: where u then v could be read the arc of v is taken away, as an arc of w leads there now; this holds for
+u and for all that end with u by later merges, and for v and all that begin with v by later merges. The
+sequences of tokens that the finished automaton reads are those that merging makes, one for each word.
+
+The finished table has, for each state, the stretches of tokens whose arcs are gone (tokens are numbered so
+that a gadget takes one stretch from one stretch of states). A second table, of symbols, tells which tokens
+end where. A word is read symbol by symbol: among the tokens that end there, the one with an arc from the state
+in which it begins is the only one, and names the state. Nothing is read twice, and no transition is decided
+but by the tables. Decoding emits the labels of the arcs.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; repeated rows give
 repeated rows, an empty table an empty one; other columns are ignored.
@@ -25,9 +23,13 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,6 @@ from pyspark.sql import types as T
 
 from .common import Memo, slices, table
 
-END = 1 << 60
-
-
 def byte_letters() -> list[str]:
     """The letter of each byte: itself where it prints, else the next free one from U+0100."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -49,89 +48,155 @@ def byte_letters() -> list[str]:
     return out
 
 
-class TokenAutomaton:
-    """The automaton of a merge list. Tokens are ids; base symbols have rank -1."""
+class Tree(NamedTuple):
+    """Tokens numbered so that a token comes after its children, which come in order of their ranks: those of a
+    rank or more, with all below them and with the token itself, are one stretch."""
+
+    place: np.ndarray
+    #: of each token the ranks of its children, ascending, and where the stretch from each child on begins
+    ranks: list[list[int]]
+    begins: list[list[int]]
+
+    @classmethod
+    def of(cls, parent: dict[int, int], rank: dict[int, int], size: int) -> Tree:
+        """parent: by token, the part that it has in the tree's direction; rank: that of its merge."""
+        children: list[list[int]] = [[] for _ in range(size)]
+        for t in sorted(parent, key=rank.__getitem__):
+            children[parent[t]].append(t)
+        place, begins = np.zeros(size, np.int64), [[] for _ in range(size)]
+        n = 0
+        for root in range(size):
+            if root in parent:
+                continue
+            stack = [(root, 0)]
+            while stack:
+                t, k = stack.pop()
+                if k < len(children[t]):
+                    begins[t].append(n)
+                    stack += [(t, k + 1), (children[t][k], 0)]
+                else:
+                    place[t] = n
+                    n += 1
+        return cls(place, [[rank[c] for c in x] for x in children], begins)
+
+    def stretch(self, token: int, rank: int) -> tuple[int, int]:
+        """The token, and all that it became a part of by merges of this rank or later."""
+        k = bisect_left(self.ranks[token], rank)
+        return (self.begins[token][k] if k < len(self.begins[token]) else int(self.place[token])), int(self.place[token]) + 1
 
-    TABLE = 500_000
+
+class TokenAutomaton:
+    """The automaton of a merge list: states and arcs' labels are token ids; one more state is the start."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.vocab, self.suffix = vocab, suffix
+        self.suffix, self.size = suffix, max(vocab.values(), default=-1) + 1
         self.label = {i: t for t, i in vocab.items()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.rank: dict[int, int] = {}
-        #: of the copy that belongs to a token: the arcs that its gadgets took, and when
-        self.taken: dict[int, dict[int, int]] = {}
+        left, right, rank = {}, {}, {}
         for r, (a, b) in enumerate(merges):
-            self.gadget(r, vocab[a], vocab[b], vocab[a[: len(a) - len(suffix)] + b if suffix and a.endswith(suffix) else a + b])
-        self.longest = max((len(t) for t in vocab), default=1)
-        self.symbols = {t for t in vocab if len(t) == 1}
-        self.table: dict[tuple[int, int], bool] = {}
-
-    def gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if w in self.rank:
-            raise ValueError("a token that two merges make isn't supported")
-        self.taken.setdefault(u, {})[v] = rank
-        self.left[w], self.right[w], self.rank[w] = u, v, rank
-
-    def whole(self, word: str) -> bool:
-        return self.symbols.issuperset(word) and word[-1] + self.suffix in self.vocab
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": {}}
+            w = vocab[a[: len(a) - len(suffix)] + b if suffix and a.endswith(suffix) else a + b]
+            if w in rank:
+                raise ValueError("a token that two merges make isn't supported")
+            left[w], right[w], rank[w] = vocab[a], vocab[b], r
+        self.gadgets(left, right, rank)
+        self.reader(vocab, rank)
+
+    def gadgets(self, left: dict[int, int], right: dict[int, int], rank: dict[int, int]) -> None:
+        """At first every state has an arc of every token. The gadget of a merge (u, v) takes the arcs of v, and of
+        the tokens that begin with it by later merges, from u and from the states of the tokens that end with it by
+        later merges. In the two numberings below both are stretches: a gadget takes one rectangle."""
+        states, arcs = Tree.of(right, rank, self.size), Tree.of(left, rank, self.size)
+        # of a token with itself the leftmost pair is joined: a token that this very merge made keeps its arcs, but has none before it
+        boxes = np.array([(*states.stretch(left[w], r + 1), *arcs.stretch(right[w], r)) for w, r in rank.items()], np.int64).reshape(-1, 4)
+        wide = boxes[:, 1] - boxes[:, 0]
+        state = np.repeat(boxes[:, 0] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+        start, end = np.repeat(boxes[:, 2], wide), np.repeat(boxes[:, 3], wide)
+        order = np.lexsort((start, state))
+        state, start, end = state[order], start[order], end[order]
+        # stretches of one state that touch become one
+        reach = np.maximum.accumulate(state * (self.size + 1) + end)
+        new = np.concatenate([[True], state[1:] * (self.size + 1) + start[1:] > reach[:-1]]) if len(state) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        state, start, end = state[first], start[first], reach[np.append(first[1:], len(reach))[: len(first)] - 1] - state[first] * (self.size + 1)
+        # of each state, where its taken stretches begin and end, in turn
+        self.cuts = array("i", np.stack([start, end], 1).astype(np.int32).tobytes())
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=self.size)) * 2])
+        self.low = array("i", np.append(bounds[states.place], 0).astype(np.int32).tobytes())
+        self.high = array("i", np.append(bounds[states.place + 1], 0).astype(np.int32).tobytes())
+        self.place = array("i", arcs.place.astype(np.int32).tobytes())
 
     def arc(self, state: int, token: int) -> bool:
-        """Has the state of one token an arc of another?"""
-        got = self.table.get((state, token))
-        if got is None:
-            if len(self.table) >= self.TABLE:
-                self.table.clear()
-            got = self.table[state, token] = self.has(state, token)
-        return got
-
-    def has(self, state: int, token: int) -> bool:
-        copy, until = state, END
-        while True:
-            taken = self.taken.get(copy)
-            if taken:
-                part, made = token, END
-                while True:
-                    at = taken.get(part)
-                    # of a token with itself the leftmost pair is joined, so this arc goes with that very merge
-                    if at is not None and at < until and at <= made:
-                        return False
-                    if part not in self.left:
-                        break
-                    made, part = self.rank[part], self.left[part]
-            if copy not in self.right:
-                return True
-            until, copy = self.rank[copy], self.right[copy]
+        """Does an arc of the token leave the state? Within a taken stretch an odd number of cuts lies before it."""
+        low = self.low[state]
+        return not (bisect_right(self.cuts, self.place[token], low, self.high[state]) - low) & 1
+
+    def reader(self, vocab: dict[str, int], rank: dict[int, int]) -> None:
+        """What reads symbols: a state for each beginning of a token, a table of (state, symbol) -> state, for each
+        state the token that it is, the state of its longest proper ending, and that of its longest ending that is a token."""
+        known = {i: [*t[: -len(self.suffix) - 1], t[-len(self.suffix) - 1 :]] if self.suffix and t.endswith(self.suffix) and t != self.suffix else [*t] for t, i in vocab.items()}
+        single = {s[0] for i, s in known.items() if len(s) == 1}
+        self.symbols = {s: k for k, s in enumerate(sorted(single))}
+        self.width = len(self.symbols)
+        self.move: dict[int, int] = {}
+        self.token, self.fail, self.next, self.length = array("i", [-1]), array("i", [0]), array("i", [0]), array("i", bytes(4 * self.size))
+        depth: list[list[tuple[int, int, int]]] = []
+        for t, s in known.items():
+            if (len(s) > 1 and t not in rank) or not single.issuperset(s):
+                continue  # a token that no merge makes is never read
+            node = 0
+            for d, x in enumerate(s):
+                key = node * self.width + self.symbols[x]
+                if key not in self.move:
+                    if d == len(depth):
+                        depth.append([])
+                    self.move[key] = len(self.token)
+                    depth[d].append((node, self.symbols[x], len(self.token)))
+                    for a, v in ((self.token, -1), (self.fail, 0), (self.next, 0)):
+                        a.append(v)
+                node = self.move[key]
+            self.token[node], self.length[t] = t, len(s)
+        for level in depth:
+            for above, x, node in level:
+                if above:
+                    self.fail[node] = self.step(self.fail[above], x)
+                self.next[node] = self.fail[node] if self.token[self.fail[node]] >= 0 else self.next[self.fail[node]]
+
+    def step(self, node: int, symbol: int) -> int:
+        while (to := self.move.get(node * self.width + symbol)) is None:
+            if not node:
+                return 0
+            node = self.fail[node]
+        return to
 
     def encode(self, word: str) -> list[int]:
-        """The tokens of a pre-split word; symbols that the vocabulary lacks are left out, as the library does without an unknown token."""
-        n, vocab, suffix = len(word), self.vocab, self.suffix
-        if not n:
-            return []
-        if not self.whole(word):
-            raise ValueError("the vocabulary lacks a base symbol")
-        path: list[tuple[int, int]] = []  # (start, token)
-        dead = bytearray(n + 1)
-        at, end = 0, min(n, self.longest)
-        while at < n:
-            state = path[-1][1] if path else -1
-            while end > at:
-                token = vocab.get(word[at:end] + suffix) if end == n else vocab.get(word[at:end]) if not dead[end] else None
-                if token is not None and (state < 0 or self.arc(state, token)):
+        """The tokens of a pre-split word. After each symbol the automaton is in one state, as every beginning of a
+        word has one reading: that whose last token ends there and has an arc from the state before it."""
+        n, symbols = len(word), self.symbols
+        try:
+            read = [symbols[c] for c in word[:-1]] + [symbols[word[-1] + self.suffix]] if n else []
+        except KeyError:
+            raise ValueError("the vocabulary lacks a base symbol") from None
+        move, width, token, fail, after, length, cuts, place, low, high = self.move, self.width, self.token, self.fail, self.next, self.length, self.cuts, self.place, self.low, self.high
+        states = [self.size]
+        node = 0
+        for k, x in enumerate(read, 1):
+            while (to := move.get(node * width + x)) is None:
+                node = fail[node]
+            at = node = to
+            if token[at] < 0:
+                at = after[at]
+            while True:
+                t = token[at]
+                from_ = states[k - length[t]]
+                a = low[from_]
+                if not (bisect_right(cuts, place[t], a, high[from_]) - a) & 1:
                     break
-                end -= 1
-            if end > at:
-                path.append((at, token))
-                at, end = end, min(n, end + self.longest)
-            else:
-                dead[at] = 1
-                end = at - 1
-                at, _ = path.pop()
-        return [t for _, t in path]
+                at = after[at]
+            states.append(t)
+        out = []
+        while n:
+            out.append(states[n])
+            n -= length[states[n]]
+        return out[::-1]
 
 
 class BpeCodec:

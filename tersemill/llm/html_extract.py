@@ -33,7 +33,12 @@ from .url_filter import parts
 
 HOSTS, SALTS = 20_000, 32
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[A-Za-z][^<>]*\Z|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|([^<]+|<)", re.S)
+#: Comments, tags without angle brackets in their quotations, and text; tag() reads what else begins with "<".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>|([^<]++)", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+SPECIAL = re.compile(r"[>\"']")
+#: Decimal references that int() doesn't take.
+LONG_REFERENCE = re.compile(r"&#([0-9]{1000,});?")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,17 +76,53 @@ def around_words(marks: str) -> set[str]:
     return found
 
 
+def unescape(text: str) -> str:
+    if "&#" in text:
+        text = LONG_REFERENCE.sub(lambda m: f"&#{m[1].lstrip('0')[:8]};", text)
+    return entities.unescape(text)
+
+
 class Node:
     """out: never main text; region: the element, ruled out by class, that this is in, or 0; main: it is in an article or main."""
 
     __slots__ = ("tag", "path", "container", "out", "link", "region", "main")
 
-    def __init__(self, tag: str, path: str, container: int, out: bool, link: bool, region: int, main: bool):
+    def __init__(self, tag: str, path: int, container: int, out: bool, link: bool, region: int, main: bool):
         self.tag, self.path, self.container, self.out, self.link, self.region, self.main = tag, path, container, out, link, region, main
 
 
+class Stack:
+    """Open elements, with the places of each tag and of the containers, so that none is looked for."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("", 0, 0, False, False, 0, False)]
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def last_container(self) -> int:
+        return self.containers[-1] if self.containers else 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in CONTAINER:
+            self.containers.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Ends the k-th element and all in it."""
+        for node in self.nodes[k:]:
+            self.places[node.tag].pop()
+            if node.tag in CONTAINER:
+                self.containers.pop()
+        del self.nodes[k:]
+
+
 class Page:
-    """One pass over a page: the blocks of text, each with the containers around it."""
+    """One pass over a page: the blocks of text, each with the containers around it. Time and memory are linear in the page."""
 
     def __init__(self, text: str):
         self.start(frozenset())
@@ -92,13 +133,17 @@ class Page:
         for i in range(len(self.paths) - 1, 0, -1):  # from here on with the containers inside
             self.good[self.parent[i]] += self.good[i]
             self.bad[self.parent[i]] += self.bad[i]
+        self.find_wholes()
 
     def start(self, spared: frozenset[int]) -> None:
         #: regions ruled out by class: the one around each, unlinked characters, articles and mains, whether it is in one, whether it is of comments
         self.spare = spared
         self.within, self.chars, self.mains, self.inside, self.comments = [-1], [0], [0], [False], [False]
         #: tag, path, parent and score of each container; characters of its own blocks that are text, and that are links or boilerplate
-        self.tags, self.paths, self.parent, self.score = [""], [""], [-1], [0.0]
+        self.tags, self.paths, self.parent, self.score = [""], [0], [-1], [0.0]
+        #: paths by number: the one around and the last step; numbers by these
+        self.steps: list[tuple[int, str]] = [(0, "")]
+        self.numbers: dict[tuple[int, str], int] = {}
         self.good, self.bad = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self.buffer: list[str] = []
@@ -128,7 +173,7 @@ class Page:
     def flush(self, container: int) -> None:
         if not self.buffer:
             return
-        text = " ".join(entities.unescape("".join(self.buffer)).split())
+        text = " ".join(unescape("".join(self.buffer)).split())
         if text:
             self.blocks.append((container, text))
             worth = max(0.0, len(text) - 2.0 * self.linked)
@@ -139,54 +184,107 @@ class Page:
                 container, share = self.parent[container], share / 2
         self.buffer, self.linked = [], 0
 
+    def tag(self, text: str, at: int) -> tuple[int, str, str, str]:
+        """(end, slash, name, attributes) of what begins with "<" but isn't a plain tag; without a name it is text."""
+        if text[at + 1 : at + 2] in ("!", "?"):
+            end = text.find(">", at) if at < self.ends[">"] else -1
+            return (end + 1, "", "", "") if end >= 0 else (at + 1, "", "", "<")
+        m = NAME.match(text, at)
+        if not m:
+            return at + 1, "", "", "<"
+        if self.ends[">"] < at:
+            # a tag that the page breaks off
+            return (len(text), "", "", "") if self.ends["<"] == at else (at + 1, "", "", "<")
+        p, passed = m.end(), []
+        while q := SPECIAL.search(text, p):
+            if q[0] == ">":
+                return q.end(), m[1], m[2], text[m.end() : q.start()]
+            close = text.find(q[0], q.end()) if q.end() <= self.ends[q[0]] else -1
+            p = close + 1
+            # whoever comes to the same place outside of quotations goes on alike
+            if close < 0 or p in self.open_ended:
+                break
+            passed.append(p)
+        self.open_ended.update(passed)
+        end = text.find(">", m.end())
+        return end + 1, m[1], m[2], text[m.end() : end]
+
     def read(self, text: str) -> None:
-        stack = [Node("", "", 0, False, False, 0, False)]
-        at = 0
-        while m := TOKEN.match(text, at):
-            at = m.end()
-            if m[7] is not None:
-                top = stack[-1]
+        stack = Stack()
+        self.ends = {c: text.rfind(c) for c in "<>\"'"}
+        self.open_ended: set[int] = set()
+        at, size = 0, len(text)
+        while at < size:
+            m = TOKEN.match(text, at)
+            if m:
+                at = m.end()
+                said, slash, tag, rest = m[4], m[1], m[2], m[3]
+            else:
+                at, slash, tag, rest = self.tag(text, at)
+                said, rest = (rest, "") if not tag else (None, rest)
+            if said:
+                top = stack.nodes[-1]
                 if top.out:
                     continue
                 if not top.link:
-                    self.chars[top.region] += len(m[7].strip())
+                    self.chars[top.region] += len(said.strip())
                 if not top.region or top.region in self.spare:
-                    self.buffer.append(m[7])
+                    self.buffer.append(said)
                     if top.link:
-                        self.linked += len(m[7])
+                        self.linked += len(said)
                 continue
-            tag = (m[2] or m[5] or "").lower()
             if not tag:
                 continue
-            if m[1] or m[4]:
+            tag = tag.lower()
+            if slash:
                 self.close(stack, tag)
                 continue
-            rest = m[3] or m[6] or ""
             if tag in VOID:
                 if tag == "br":
                     self.buffer.append(" ")
                 elif tag == "hr":
-                    self.flush(stack[-1].container)
+                    self.flush(stack.nodes[-1].container)
                 continue
             self.open(stack, tag, rest)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-                at = end.end() if end else len(text)
-                stack.pop()
-        self.flush(stack[-1].container)
-
-    def open(self, stack: list[Node], tag: str, rest: str) -> None:
+                end = re.compile(rf"</{tag}\b", re.I).search(text, at)
+                at = text.find(">", end.end()) + 1 if end and end.end() <= self.ends[">"] else size
+                stack.cut(len(stack.nodes) - 1)
+        self.flush(stack.nodes[-1].container)
+
+    def step(self, path: int, name: str) -> int:
+        """The number of a path that goes on with an element."""
+        key = (path, name)
+        got = self.numbers.get(key)
+        if got is None:
+            got = self.numbers[key] = len(self.steps)
+            self.steps.append(key)
+        return got
+
+    def path_of(self, i: int) -> str:
+        """The path of a container, as text."""
+        out, p = [], self.paths[i]
+        while p:
+            p, name = self.steps[p]
+            out.append(name)
+        return "".join("/" + x for x in reversed(out))
+
+    def number_of(self, path: str | None) -> int:
+        """The number of a path; -1 if the page has none."""
+        p = 0
+        for name in (path or "").split("/")[1:]:
+            p = self.numbers.get((p, name), -1)
+        return p or -1
+
+    def open(self, stack: Stack, tag: str, rest: str) -> None:
         if tag in BLOCK:
-            self.flush(stack[-1].container)
+            self.flush(stack.nodes[-1].container)
             # a block ends an open paragraph
-            ends, limits = ENDS.get(tag, set()) | {"p"}, LIMITS.get(tag, set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in limits or stack[k].tag in CONTAINER:
-                    break
-        top = stack[-1]
+            end = max(stack.last("p"), *(stack.last(x) for x in ENDS.get(tag, ())), 0)
+            limit = max(stack.last_container(), *(stack.last(x) for x in LIMITS.get(tag, ())), 0)
+            if end and end >= limit:
+                stack.cut(end)
+        top = stack.nodes[-1]
         marks = names = ""
         hidden = False
         if rest:
@@ -213,7 +311,7 @@ class Page:
             self.comments.append(not COMMENTS.isdisjoint(words))
             region = len(self.within) - 1
         out = never or (region > 0 and region not in self.spare)
-        path = top.path + "/" + tag + re.sub(r"\d+", "#", names) if tag in BLOCK and not out else top.path
+        path = self.step(top.path, tag + re.sub(r"\d+", "#", names).replace("/", "|")) if tag in BLOCK and not out else top.path
         container = top.container
         if tag in CONTAINER and not out:
             self.tags.append(tag)
@@ -223,17 +321,14 @@ class Page:
             self.good.append(0)
             self.bad.append(0)
             container = len(self.paths) - 1
-        stack.append(Node(tag, path, container, never, top.link or tag == "a", region, top.main or main))
-
-    def close(self, stack: list[Node], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                if tag in BLOCK:
-                    self.flush(stack[-1].container)
-                del stack[k:]
-                return
-            if stack[k].tag in CONTAINER and tag not in CONTAINER | {"html"}:
-                return
+        stack.push(Node(tag, path, container, never, top.link or tag == "a", region, top.main or main))
+
+    def close(self, stack: Stack, tag: str) -> None:
+        k = stack.last(tag)
+        if k and (k > stack.last_container() or tag in CONTAINER or tag == "html"):
+            if tag in BLOCK:
+                self.flush(stack.nodes[-1].container)
+            stack.cut(k)
 
     def best(self) -> int:
         """The container with the most text; main elements count more, and of equals the first wins."""
@@ -242,26 +337,26 @@ class Page:
             worth = self.score[i] * (1.5 if self.tags[i] in ("article", "main") else 1.0)
             if worth > most:
                 found, most = i, worth
-        return self.whole(found)
-
-    def whole(self, i: int) -> int:
-        """The container of the whole article that container i is, or is a part of."""
-        around = [i]
-        while around[-1] > 0:
-            around.append(self.parent[around[-1]])
-        around = around[:-1]
-        # an article inside of another is a part of it
-        for tag in ("article", "main"):
-            if found := [j for j in around if self.tags[j] == tag]:
-                i = found[-1]
-                break
-        for j in around[around.index(i) + 1 :] if around else []:
-            if self.good[j] - self.good[i] > self.bad[j] - self.bad[i]:
-                i = j
-        return i
+        return self.wholes[found]
+
+    def find_wholes(self) -> None:
+        """Of each container that of the whole article that it is, or is a part of: the outermost article or main around
+        it, and from there any container around that adds more text than links and boilerplate."""
+        n = len(self.paths)
+        self.wholes = [0] * n
+        outer: dict[str, list[int]] = {tag: [0] * n for tag in ("article", "main")}
+        most = [0] * n  # the container with the most text less boilerplate among this and those around, the nearest of equals
+        for i in range(1, n):  # parents come before their children
+            up = self.parent[i]
+            for tag, found in outer.items():
+                found[i] = found[up] or (i if self.tags[i] == tag else 0)
+            best = most[up]
+            most[i] = best if best and self.good[best] - self.bad[best] > self.good[i] - self.bad[i] else i
+            self.wholes[i] = most[outer["article"][i] or outer["main"][i] or i]
 
     def text(self, path: str | None) -> str:
-        at = [self.whole(i) for i in range(1, len(self.paths)) if self.paths[i] == path and self.score[i] > 0] or [self.best()]
+        p = self.number_of(path)
+        at = [self.wholes[i] for i in range(1, len(self.paths)) if self.paths[i] == p and self.score[i] > 0] or [self.best()]
         inside = set(at)
         for i in range(len(self.paths)):  # parents come before their children
             if self.parent[i] in inside:
@@ -281,7 +376,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
                 i = page.best()
                 if i:
                     hosts.append(host)
-                    paths.append(page.paths[i])
+                    paths.append(page.path_of(i))
                     scores.append(page.score[i])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 

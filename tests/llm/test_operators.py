@@ -1,5 +1,9 @@
+import functools
 import hashlib
+import json
 import random
+import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -53,6 +57,64 @@ def test_bpe_codec(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_bpe_automaton():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, codec = Tokenizer.from_file(path), bpe_codec.BpeCodec(open(path, encoding="utf-8").read())
+    r = random.Random(11)
+    vocabulary = [t.removesuffix("</w>") for t in tok.get_vocab()]
+    made = (lambda: "".join(r.choice(vocabulary) for _ in range(r.randint(1, 4))), lambda: "".join(r.choice("aeinstrhlo") for _ in range(r.randint(1, 14))), lambda: r.choice("ab") * r.randint(1, 40))
+    for k in range(6000):
+        w = made[k % 3]()
+        assert codec.encode(w) == tok.encode(w, add_special_tokens=False).ids, w
+    # the table by its definition: two tokens may follow each other if merging their letters gives them back
+    auto = codec.automaton
+    bare = [i for t, i in tok.get_vocab().items() if not t.endswith("</w>") and t.isascii() and t.isalpha()]
+    for _ in range(3000):
+        a, b = r.choice(bare), r.choice(bare)
+        text = auto.label[a] + auto.label[b]
+        assert auto.arc(a, b) == (read(auto, text)[-1:] == [b] and read(auto, text) == [a, b]), text
+    with pytest.raises(ValueError):
+        auto.encode("a b")
+
+
+def read(auto, text):
+    """The tokens of text as the beginning of a word, by merging pairs in order of rank."""
+    rank = read.rank or read.rank.update({p: k for k, p in enumerate(merges())}) or read.rank
+    parts = list(text)
+    while True:
+        best = min(((rank[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in rank), default=None)
+        if best is None:
+            return [ids()[p] for p in parts]
+        a, b = parts[best[1] : best[1] + 2]
+        k, out = 0, []
+        while k < len(parts):
+            if parts[k : k + 2] == [a, b]:
+                out.append(a + b)
+                k += 2
+            else:
+                out.append(parts[k])
+                k += 1
+        parts = out
+
+
+read.rank = {}
+
+
+@functools.cache
+def tokenizer_file():
+    return json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))["model"]
+
+
+def merges():
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in tokenizer_file()["merges"]]
+
+
+def ids():
+    return tokenizer_file()["vocab"]
+
+
 def test_exact_dedup(spark):
     texts = EDGE + ["hot"] * 300 + ["pair", "pair"]
     got = rows(exact_dedup.exact_dedup(frame(spark, texts), counters=4))
@@ -101,6 +163,26 @@ def test_html():
     assert html_extract.Page("").text(None) == "" and html_extract.Page("<p").text(None) == ""
 
 
+@pytest.mark.parametrize("page", ["<a '", "<div>", "<a '>'", "<!", "<", "<a \"<b '", "<i>", "<p>", "<div class='"])
+@pytest.mark.parametrize("end", ["", "</b>", "<h1></h1>", "</section>", "'>", "</script"])
+def test_html_of_odd_pages_is_linear(page, end):
+    n = 200_000
+    text = page * (n // len(page)) + "<script>" * (end == "</script") + (end * (n // len(end)) if end else "") + "<p>last"
+    began = time.time()
+    html_extract.Page(text).text("/html/body")
+    assert time.time() - began < 3
+    tracemalloc.start()
+    html_extract.Page(text).text(None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_html_references():
+    for text, want in (("&#" + "9" * 5000 + ";", "\ufffd"), ("&#" + "0" * 5000 + "65;", "A"), ("&amp;lt; &eacute &#x41;", "&lt; é A")):
+        assert html_extract.Page(f"<p>{text}</p>").text(None) == want
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "http://a/1", "<div class=m1><p>long text here</p></div>"), (2, None, None), (3, "http://a/2", "<div class=m2><p>other text</p></div><div class=z><p>a</p></div>")], "page_id long, url string, html string")
     got = rows(html_extract.extract_html(pages), "page_id")
