@@ -102,7 +102,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         slots = counts.reshape(-1, 1 << SLICE_BITS)
         for at in range(0, len(slots), 256):
-            parts = [(at + i, zlib.compress(x, 1)) for i, x in enumerate(slots[at : at + 256]) if x.any()]
+            parts = [(at + i, zlib.compress(x.astype(np.uint8) if x.max() < 256 else x, 1)) for i, x in enumerate(slots[at : at + 256]) if x.any()]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
     return docs.mapInArrow(trimmed(run), "id long, n long, node long, slice int, counts binary")
@@ -134,7 +134,8 @@ def sketch(scanned: DataFrame, mean: float) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in slices(batches):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(zlib.decompress(x.as_buffer()), np.int32)
+                x = zlib.decompress(x.as_buffer())
+                x = np.frombuffer(x, np.uint8 if len(x) == 1 << SLICE_BITS else np.int32)
                 sums[i] = sums[i] + x if i in sums else x.astype(np.int64)
         packed = [zlib.compress(levels(x, mean).tobytes(), 1) for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
@@ -208,13 +209,35 @@ class Blocks(NamedTuple):
         start = np.flatnonzero(first)
         return cls(lists[start], n[start].astype(np.int64), start, np.append(start[1:], len(n)), (np.cumsum(first) - 1) * BIG + at)
 
+    def upto(self, blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many entries of each block have at most this position."""
+        return np.searchsorted(self.place, blocks * BIG + np.maximum(at, -1), "right") - self.start[blocks]
+
     def reach(self, blocks: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many entries of each block a set of n members, at its position `at`, has to look at. 0: skipped."""
         m = self.n[blocks]
         need = least_overlap(n, m)
         fits = (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (n - at >= need)
-        upto = np.searchsorted(self.place, blocks * BIG + np.maximum(m - need, -1), "right") - self.start[blocks]
-        return np.where(fits & (m >= need), np.maximum(upto, 0), 0)
+        return np.where(fits, self.upto(blocks, m - need), 0)
+
+    def mutual(self) -> np.ndarray:
+        """Which entries any other entry of their list has to look at, found from pairs of blocks."""
+        most = self.upto(np.arange(len(self.n)), self.n - least_overlap(self.n, self.n))
+        most[most < 2] = 0
+        i, step = np.arange(len(self.n)), 1
+        while len(i := i[i + step < len(self.n)]):
+            j = i + step
+            near = (self.list[i] == self.list[j]) & (NUM * self.n[j] <= DEN * self.n[i])  # sizes ascend: past the first that doesn't fit none does
+            i, j = i[near], j[near]
+            need = least_overlap(self.n[i], self.n[j])
+            x, y = self.upto(i, self.n[i] - need), self.upto(j, self.n[j] - need)
+            both = (x > 0) & (y > 0)
+            most[i[both]] = np.maximum(most[i[both]], x[both])
+            most[j[both]] = np.maximum(most[j[both]], y[both])
+            step += 1
+        keep = np.zeros(len(self.place), bool)
+        keep[spans(self.start, most)] = True
+        return keep
 
 
 def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -256,7 +279,7 @@ def probe_leads(e: np.ndarray, split: np.ndarray | None) -> Found:
     lists = np.cumsum(new) - 1
     many = np.bincount(lists, minlength=1)[lists] if len(e) else np.empty(0, np.int64)
     use = (many > 1) | several
-    e, lists, many, several = e[use], lists[use], many[use], several[use]
+    e, lists, several = e[use], lists[use], several[use]
     none = np.empty(0, np.int64)
     if not len(e):
         return Found(none, none, e, e, 0)
@@ -268,15 +291,21 @@ def probe_leads(e: np.ndarray, split: np.ndarray | None) -> Found:
     by_rank = np.lexsort((rank(np.ascontiguousarray(e["node"])), group))
     lead = by_rank[np.flatnonzero(np.concatenate([[True], np.diff(group[by_rank]) > 0]))]
     every, own = np.arange(len(blocks.n)), group[blocks.start]
-    # a block is probed by its own lead, and by that of the next smaller sets
-    below = np.flatnonzero((own > 0) & (lists[lead[own - 1]] == blocks.list) & (size[lead[own - 1]] == size[blocks.start] - 1))
-    probing, probed = np.concatenate([lead[own], lead[own[below] - 1]]), np.concatenate([every, below])
+    # a block is probed by its own lead, and by those of the next smaller and the next larger sets
+    beside = [np.flatnonzero((0 <= own + d) & (own + d < len(lead))) for d in (-1, 1)]
+    beside = [x[(lists[lead[own[x] + d]] == blocks.list[x]) & (size[lead[own[x] + d]] == size[blocks.start[x]] + d)] for x, d in zip(beside, (-1, 1), strict=True)]
+    probing, probed = np.concatenate([lead[own], lead[own[beside[0]] - 1], lead[own[beside[1]] + 1]]), np.concatenate([every, *beside])
     take = blocks.reach(probed, e["n"][probing].astype(np.int64), e["at"][probing].astype(np.int64))
     x, y = e["node"][np.repeat(probing, take)], e["node"][spans(blocks.start[probed], take)]
     x, y = x[x != y], y[x != y]
     swap = rank(x) > rank(y)
     a, b = distinct_pairs(np.where(swap, y, x), np.where(swap, x, y))
-    return Found(a, b, e[(many > 2) | several], e[lead[several[lead]]], int((take == 0).sum()))
+    # leads are through; of the others, those remain that look at each other
+    rest = ~several
+    rest[lead] = False
+    rest = np.flatnonzero(rest)
+    rest = rest[Blocks.of(lists[rest], e["n"][rest], e["at"][rest]).mutual()]
+    return Found(a, b, np.concatenate([e[several], e[rest]]), e[lead[several[lead]]], int((take == 0).sum()))
 
 
 def lead_pairs(indexed: DataFrame, tasks: int, split: np.ndarray) -> DataFrame:
@@ -426,11 +455,11 @@ def derived_pairs(entries: DataFrame, some: bool) -> DataFrame:
     return dealt.mapInArrow(trimmed(run), "a long, b long, known boolean, fa long, fb long").groupBy("a", "b").agg(F.max("known").alias("known"), F.min("fa").alias("fa"), F.min("fb").alias("fb"))
 
 
-def with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame) -> DataFrame:
-    """pairs with the set of one side. A set of more than SHARE pairs goes to several parts, and its pairs are dealt over them."""
+def with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of the set of one side. A set of more than SHARE pairs goes to several parts, and its pairs are dealt over them."""
     often = materialize(pairs.groupBy(side).count().filter(F.col("count") > SHARE).select(F.col(side).alias("_n"), F.ceil(F.col("count") / SHARE).cast("long").alias("_parts")), "often")
     n = often.count()
-    own = sets.select(F.col("node").alias(side), F.col("first").alias("f" + side), F.col("members").alias("m" + side))
+    own = sets.select(F.col("node").alias(side), *(F.col(c).alias(c + "_" + side) for c in columns))
     if not n:
         return pairs.join(own, side)
     few = F.broadcast(often) if n <= IDS else often
@@ -440,6 +469,20 @@ def with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame) -> DataF
     return dealt.join(own, [side, "_part"]).drop("_part")
 
 
+def near_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose signatures allow a link."""
+    x = with_sets(with_sets(pairs, "b", "a", sets, "n", "sig"), "a", "b", sets, "n", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64) for i in (4, 5))
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(n + m - apart >= 2 * least_overlap(n, m)))
+
+    return x.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(trimmed(run), "a long, b long")
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, fa, fb, na, nb, overlap) of pairs, from the sets."""
     pairs = materialize(pairs.select("a", "b"), "to-compare")
@@ -447,7 +490,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for c in ("a", "b"):
         ids = pairs.select(F.col(c).alias("node")).distinct()
         some[c] = sets.join(F.broadcast(ids), "node", "left_semi") if ids.count() <= IDS else sets
-    x = with_sets(with_sets(pairs, "b", "a", some["b"]), "a", "b", some["a"])
+    x = with_sets(with_sets(pairs, "b", "a", some["b"], "first", "members"), "a", "b", some["a"], "first", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -463,7 +506,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             cols = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(cols[:, i]) for i in range(3))], names=["a", "b", "fa", "fb", "na", "nb", "overlap"])
 
-    return x.select("a", "b", "fa", "fb", "ma", "mb").mapInArrow(trimmed(run), "a long, b long, fa long, fb long, na long, nb long, overlap long")
+    return x.select("a", "b", "first_a", "first_b", "members_a", "members_b").mapInArrow(trimmed(run), "a long, b long, fa long, fb long, na long, nb long, overlap long")
 
 
 def linked():
@@ -485,7 +528,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     level = sc.broadcast(sketch(scanned, mean))
 
     # of equal sets the smallest id stands for all; those of more than a 2000th of all rows, at most 2000, are known everywhere
-    nodes = materialize(live.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+    nodes = live.groupBy("node", "id").agg(F.count(F.lit(1)).alias("rows")).groupBy("node").agg(F.min("id").alias("first"), F.sum("rows").alias("rows"), F.max("rows").alias("repeats"))
+    nodes = materialize(nodes, "nodes")
     often = nodes.filter((F.col("rows") > 16) & (F.col("rows") * 2000 >= (total[0] or 0))).select("node", "first")
     same = {r["node"]: r["first"] for r in often.collect()}
 
@@ -507,26 +551,30 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = list(shingler.many(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, got), pa.int64()), batch.column(0), pa.array([signature(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "first", "sig", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, got), pa.int64()), batch.column(0), pa.array(map(len, got), pa.int64()), pa.array([signature(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "first", "n", "sig", "members"])
 
-    sets = texts.join(small(wanted.distinct(), wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(trimmed(members), "node long, first long, sig binary, members binary")
-    sets = materialize(sets.groupBy("node").agg(F.min(F.struct("first", "sig", "members")).alias("s")).select("node", "s.*"), "sets")
-    checked = materialize(compare(pairs, sets), "checked", COMPARED)
+    sets = texts.join(small(wanted.distinct(), wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(trimmed(members), "node long, first long, n long, sig binary, members binary")
+    if nodes.filter("repeats > 1").take(1):  # rows that repeat an id and its text give a set each
+        sets = sets.groupBy("node").agg(F.min(F.struct("first", "n", "sig", "members")).alias("s")).select("node", "s.*")
+    sets = materialize(sets, "sets")
+    checked = materialize(compare(near_signatures(pairs, sets), sets), "checked", COMPARED)
     done = [checked]
     links = checked.filter(linked()).select("fa", "fb")
     led = checked.select(F.col("b").alias("node"), F.struct("overlap", F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")).unionByName(checked.select(F.col("a").alias("node"), F.struct(F.col("na").alias("overlap"), F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")))
     led = materialize(led.groupBy("node").agg(F.max("m").alias("m")).select("node", "m.*"), "leaders")
     of_node = sets.select("node", "first")
+    n_sets = sets.count()
     lists: list[DataFrame] = []
     for some in (True, False):
         label = components(links, "fa", "fb")
-        now = left.join(of_node.join(label, of_node["first"] == label["id"], "left").select("node", "first", F.coalesce("component", "first").alias("component")), "node")
+        of_component = of_node.join(label, of_node["first"] == label["id"], "left").select("node", "first", F.coalesce("component", "first").alias("component"))
+        now = left.join(small(of_component, n_sets), "node")
         now = materialize(now, "lists")
         lists.append(now)
         several = materialize(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("key", F.ceil(F.col("m") / PART).cast("long").alias("blocks")), "several")
         k = several.count()
         if k:
-            now = now.join(small(several, k), "key").join(led, "node", "left").join(sets.select("node", "sig"), "node")
+            now = now.join(small(several, k), "key").join(small(led, n_sets), "node", "left").join(sets.select("node", "sig"), "node")
             now = now.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             now = now.withColumns({"c": F.least("own", "other"), "d": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int"), "leader": F.coalesce("leader", F.lit(0)), "overlap": F.coalesce("overlap", F.lit(-1)), "lead_n": F.coalesce("lead_n", F.lit(0))})
             more = derived_pairs(now, some)

@@ -318,6 +318,67 @@ def test_jaccard_join(spark, monkeypatch, small):
         assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+def random_lists(r, count):
+    """Index entries of random sets with many near copies; the sets by node."""
+    sets = {}
+    for _ in range(count):
+        base = np.unique(np.array([r.randrange(1 << 40) for _ in range(r.randint(8, 60))], np.uint64) << np.uint64(8))
+        for _ in range(r.randint(1, 9)):
+            s = base.copy()
+            for _ in range(r.randint(0, len(s) // 4)):
+                s[r.randrange(len(s))] = r.randrange(1 << 62)
+            s = np.unique(s)
+            sets[jaccard_join.node_of(s)] = s
+    rows = []
+    for node, s in sets.items():
+        n = len(s)
+        p = n - -(-75 * n // 100) + 1
+        e = np.empty(p, jaccard_join.ENTRY)
+        key = s & jaccard_join.LOW
+        e["key"], e["node"], e["n"], e["at"] = np.sort(key)[:p], node, n, np.arange(p)
+        rows.append(e)
+    return np.concatenate(rows), sets
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_jaccard_skipping_and_derived_answers_lose_no_link(parts):
+    r = random.Random(parts)
+    e, sets = random_lists(r, 150)
+    link = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    split = np.full(64, parts, np.uint64)
+    found = jaccard_join.probe_leads(e, split)
+    leads = jaccard_join.probe_leads(found.leads, None)
+    assert found.skipped > 0 and (parts == 1) == (len(found.leads) == 0)
+    pairs = set(zip(found.a.tolist(), found.b.tolist(), strict=True)) | set(zip(leads.a.tolist(), leads.b.tolist(), strict=True))
+    order = lambda a, b: (a, b) if jaccard_join.rank(np.array([a]))[0] < jaccard_join.rank(np.array([b]))[0] else (b, a)
+    assert all(order(a, b) == (a, b) for a, b in pairs)
+    # all links are among the pairs with leads, or between entries that are left, where no answer is derived amiss
+    nodes = list(sets)
+    links = {order(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if link(a, b)}
+    best = {}
+    for a, b in pairs:
+        o = len(np.intersect1d(sets[a], sets[b]))
+        for x, y in ((b, a), (a, b)):
+            best[x] = max(best.get(x, (-1, 0)), (o, y))
+    left, settled, seen = found.left, 0, set()
+    for key in np.unique(left["key"]):
+        own = left[left["key"] == key]
+        own = own[np.lexsort((own["node"], own["at"], own["n"]))]
+        node = own["node"]
+        at = [best.get(int(x), (-1, 0)) for x in node]
+        sig = np.stack([np.frombuffer(jaccard_join.signature(sets[int(x)]), np.uint64) for x in node])
+        cell = jaccard_join.Cell(node, own["n"], own["at"], np.zeros(len(node), int), node, np.array([y for _, y in at]), np.array([o for o, _ in at]), np.array([len(sets[y]) if y in sets else 0 for _, y in at]), sig)
+        got = jaccard_join.derive(cell, False, False)
+        settled += got.settled
+        for i, j, known in zip(got.a, got.b, got.known, strict=True):
+            pair = order(int(node[i]), int(node[j]))
+            assert not known or pair in links
+            seen.add(pair)
+    assert settled > 0
+    assert len(links) > 300 and links <= pairs | seen, len(links - pairs - seen)
+    assert len(pairs | seen) < len(sets) ** 2 / 8
+
+
 def test_embedding_dedup(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     r = np.random.default_rng(3)
