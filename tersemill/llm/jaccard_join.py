@@ -34,7 +34,7 @@ are ignored. Ids are integers.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, table, trimmed
+from .common import materialize, scratch, slices, table, trimmed
 from .components import components
 from .shingles import Shingler, scatter
 
@@ -87,9 +87,9 @@ def rank(node: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (id, n, node), and rows of the count sketch (slice, counts)."""
+    """A row per document (id, text_hash, n, node), and rows of the count sketch (slice, counts)."""
     shingler = Shingler(width)
-    names = ["id", "n", "node", "slice", "counts"]
+    names = ["id", "text_hash", "n", "node", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
@@ -99,13 +99,13 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 np.add.at(counts, counter_of(s), 1)
                 n.append(len(s))
                 node.append(node_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         slots = counts.reshape(-1, 1 << SLICE_BITS)
         for at in range(0, len(slots), 256):
             parts = [(at + i, zlib.compress(x.astype(np.uint8) if x.max() < 256 else x, 1)) for i, x in enumerate(slots[at : at + 256]) if x.any()]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(3)), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(4)), pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(trimmed(run), "id long, n long, node long, slice int, counts binary")
+    return docs.mapInArrow(trimmed(run), "id long, text_hash long, n long, node long, slice int, counts binary")
 
 
 def step_of(mean: float) -> float:
@@ -455,16 +455,17 @@ def derived_pairs(entries: DataFrame, some: bool) -> DataFrame:
     return dealt.mapInArrow(trimmed(run), "a long, b long, known boolean, fa long, fb long").groupBy("a", "b").agg(F.max("known").alias("known"), F.min("fa").alias("fa"), F.min("fb").alias("fb"))
 
 
-def with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs with columns of the set of one side. A set of more than SHARE pairs goes to several parts, and its pairs are dealt over them."""
-    often = materialize(pairs.groupBy(side).count().filter(F.col("count") > SHARE).select(F.col(side).alias("_n"), F.ceil(F.col("count") / SHARE).cast("long").alias("_parts")), "often")
+def with_sets(rows: DataFrame, side: str, other: str, sets: DataFrame, *columns: str, pairs: DataFrame | None = None) -> DataFrame:
+    """rows, with columns of the set of one side. A set of more than SHARE pairs (given without other columns, as counting
+    them is cheap) goes to several parts, and its pairs are dealt over them."""
+    often = materialize((pairs or rows).groupBy(side).count().filter(F.col("count") > SHARE).select(F.col(side).alias("_n"), F.ceil(F.col("count") / SHARE).cast("long").alias("_parts")), "often")
     n = often.count()
     own = sets.select(F.col("node").alias(side), *(F.col(c).alias(c + "_" + side) for c in columns))
     if not n:
-        return pairs.join(own, side)
+        return rows.join(own, side)
     few = F.broadcast(often) if n <= IDS else often
     zero = F.lit(0).cast("long")
-    dealt = pairs.join(few, F.col(side) == F.col("_n"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), zero)).drop("_n", "_parts")
+    dealt = rows.join(few, F.col(side) == F.col("_n"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), zero)).drop("_n", "_parts")
     own = own.join(few, F.col(side) == F.col("_n"), "left").withColumn("_part", F.explode(F.sequence(zero, F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_n", "_parts")
     return dealt.join(own, [side, "_part"]).drop("_part")
 
@@ -486,11 +487,12 @@ def near_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, fa, fb, na, nb, overlap) of pairs, from the sets."""
     pairs = materialize(pairs.select("a", "b"), "to-compare")
-    some = {}
-    for c in ("a", "b"):
-        ids = pairs.select(F.col(c).alias("node")).distinct()
-        some[c] = sets.join(F.broadcast(ids), "node", "left_semi") if ids.count() <= IDS else sets
-    x = with_sets(with_sets(pairs, "b", "a", some["b"], "first", "members"), "a", "b", some["a"], "first", "members")
+    n = pairs.count()
+    ids = pairs.select(F.col("a").alias("node")).distinct()
+    first = sets.join(F.broadcast(ids), "node", "left_semi") if n <= IDS else sets
+    # few pairs go to the sets of their second sides, so that these are shuffled once, to those of the first
+    second = sets.select(F.col("node").alias("b"), F.col("first").alias("first_b"), F.col("members").alias("members_b")).join(F.broadcast(pairs), "b") if n <= IDS else with_sets(pairs, "b", "a", sets, "first", "members")
+    x = with_sets(second, "a", "b", first, "first", "members", pairs=pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -514,13 +516,19 @@ def linked():
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id."""
+    """One row per row of docs: id_col, n_shingles, component_id, text_hash (xxhash64 of the text, null as empty)."""
+    with scratch() as keep:
+        return _join(docs, id_col, text_col, width, keep)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, keep: Callable[..., None]) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     small = lambda df, n: F.broadcast(df) if n <= IDS else df
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     scanned = materialize(scan(rows, width), "scan")
-    every = scanned.filter("slice is null").select("id", "n", "node")
+    every = scanned.filter("slice is null").select("id", "text_hash", "n", "node")
     live = every.filter("n > 0 and id is not null")
     total = live.agg(F.count(F.lit(1)), F.sum("n")).first()
     mean = (total[1] or 0) / COUNTERS
@@ -530,8 +538,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # of equal sets the smallest id stands for all; those of more than a 2000th of all rows, at most 2000, are known everywhere
     nodes = live.groupBy("node", "id").agg(F.count(F.lit(1)).alias("rows")).groupBy("node").agg(F.min("id").alias("first"), F.sum("rows").alias("rows"), F.max("rows").alias("repeats"))
     nodes = materialize(nodes, "nodes")
-    often = nodes.filter((F.col("rows") > 16) & (F.col("rows") * 2000 >= (total[0] or 0))).select("node", "first")
-    same = {r["node"]: r["first"] for r in often.collect()}
+    often = (F.col("rows") > 16) & (F.col("rows") * 2000 >= (total[0] or 0))
+    same = {r["node"]: r["first"] for r in nodes.filter(often).select("node", "first").collect()}
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total[1] or 0) * 0.27 / ENTRIES) + 1)
     texts = rows.filter("id is not null")
@@ -564,13 +572,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     led = materialize(led.groupBy("node").agg(F.max("m").alias("m")).select("node", "m.*"), "leaders")
     of_node = sets.select("node", "first")
     n_sets = sets.count()
-    lists: list[DataFrame] = []
     for some in (True, False):
         label = components(links, "fa", "fb")
         of_component = of_node.join(label, of_node["first"] == label["id"], "left").select("node", "first", F.coalesce("component", "first").alias("component"))
         now = left.join(small(of_component, n_sets), "node")
         now = materialize(now, "lists")
-        lists.append(now)
         several = materialize(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("key", F.ceil(F.col("m") / PART).cast("long").alias("blocks")), "several")
         k = several.count()
         if k:
@@ -587,20 +593,20 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             links = links.unionByName(known).unionByName(compared.filter(linked()).select("fa", "fb"))
     label = components(links, "fa", "fb")
     # no join on a node or an id that very many rows share: those go by broadcast
-    named = materialize(nodes.join(label, nodes["first"] == label["id"], "left").select("node", F.coalesce("component", "first").alias("component")), "named")
-    for df in (found, pairs, wanted, sets, led, label, *done, *lists):
-        discard(df)
-    hot = F.broadcast(named.join(F.broadcast(often.select("node")), "node", "left_semi"))
+    named = nodes.join(label, nodes["first"] == label["id"], "left").select("node", F.coalesce("component", "first").alias("component"), often.alias("hot"))
+    named = materialize(named, "named")
+    keep(scanned, named)
+    hot = F.broadcast(named.filter("hot").drop("hot"))
     plain = F.col("id").isNull() | (F.col("n") == 0)
     linkable = every.filter(~plain)
-    out = linkable.join(hot, "node").unionByName(linkable.join(F.broadcast(often.select("node")), "node", "left_anti").join(named, "node"))
-    out = out.select("id", "n", "component").unionByName(every.filter(plain).select("id", "n", F.col("id").alias("component")))
+    out = linkable.join(hot, "node").unionByName(linkable.join(hot, "node", "left_anti").join(named.filter("not hot").drop("hot"), "node"))
+    out = out.select("id", "text_hash", "n", "component").unionByName(every.filter(plain).select("id", "text_hash", "n", F.col("id").alias("component")))
     kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), "text_hash")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP9_SQL = r"""
