@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 EDGE = "A-Za-z0-9_"
 
 
+WORD_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"
+
+
 def heuristic_tokens(text: Column) -> Column:
     """Line breaks, blank runs with anything but line breaks, and words by length; empty and null are 0."""
+    letter = lambda c: F.instr(F.lit(WORD_LETTERS), c) > 0
 
     def word(w: Column) -> Column:
         n = F.length(w)
         size = F.when(n <= 4, 1).when(n <= 8, F.ceil(n / 5)).otherwise(F.ceil(n / 4))
-        tail = F.length(F.regexp_extract(w, r"[^A-Za-z0-9_]*\z", 0))
-        return F.when(n == 0, 0).when(w.rlike(r"^[^\w\s]$"), 1).when(w.rlike("^[0-9]+$"), F.ceil(n / 3)).otherwise(size + tail).cast("long")
+        # few words end with a sign or begin with a digit: only those meet a pattern
+        tail = F.when(letter(F.substring(w, -1, 1)), 0).otherwise(F.length(F.regexp_extract(w, rf"(?<![^{EDGE}])[^{EDGE}]++\z", 0)))
+        digits = (F.instr(F.lit("0123456789"), F.substring(w, 1, 1)) > 0) & w.rlike(r"^[0-9]++\z")
+        return F.when(n == 0, 0).when((n == 1) & ~letter(w), 1).when(digits, F.ceil(n / 3)).otherwise(size + tail).cast("long")
 
     words = F.aggregate(F.split(text, r"\s+"), F.lit(0).cast("long"), lambda a, w: a + word(w))
-    blanks = F.regexp_count(text, F.lit(r"\n")) + F.regexp_count(text, F.lit(r"\n*[ \t\f\r\x0B]\s*"))
+    blanks = F.regexp_count(text, F.lit(r"\n")) + F.regexp_count(text, F.lit(r"(?<!\s)\n*+[ \t\f\r\x0B]\s*+"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), words + blanks))
 
 
@@ -33,15 +39,17 @@ def replaced(text: Column, *steps: tuple[str, str]) -> Column:
     return text
 
 
-BULLET = r"(?:[-*•]|\d+[.)])"
+# The patterns below give way nowhere (possessive, or bound to the start of a run): Java's engine recurses for each
+# repetition of a group that may give way, and looks at a run again from each of its characters.
+BULLET = r"(?:[-*•]|(?<![0-9])[0-9]++[.)])"
 
 
 def minify(text: Column) -> Column:
-    return replaced(text, (r"(?dm)[ \t]+$", ""), (r"\n{3,}", "\n\n"), (r"([^\n]) {2,}", "$1 "), (rf"({BULLET}\s+.{{1,60}})\n\n({BULLET}\s+)", "$1\n$2"), (r"\n+\z", "\n"), (r"\A\n+", ""))
+    return replaced(text, (r"(?dm)(?<![ \t])[ \t]++$", ""), (r"\n{3,}", "\n\n"), (r"([^\n]) {2,}", "$1 "), (rf"({BULLET}\s+.{{1,60}})\n\n({BULLET}\s+)", "$1\n$2"), (r"(?<!\n)\n++\z", "\n"), (r"\A\n+", ""))
 
 
 def trim_markdown(text: Column) -> Column:
-    return replaced(text, (r"((?:---+|===+)\s*\n){2,}", "---\n"), (r"(?dm)^#{4,}\s", "### "))
+    return replaced(text, (r"(?:(?:-{3,}+|={3,}+)(?:[^\S\n]*+\n)++){2,}+", "---\n"), (r"(?dm)^#{4,}\s", "### "))
 
 
 def merge_punctuation(text: Column) -> Column:
@@ -53,12 +61,12 @@ def merge_punctuation(text: Column) -> Column:
 
 
 def collapse_repeats(text: Column) -> Column:
-    word = "[A-Za-z][A-Za-z']*"
-    return F.regexp_replace(text, F.lit(rf"(?i)(?<![{EDGE}])({word}(?:\s+{word}){{0,3}})(?![{EDGE}])(?:\s*,?\s+\1(?![{EDGE}]))+"), F.lit("$1"))
+    word = "[A-Za-z][A-Za-z']*+"
+    return F.regexp_replace(text, F.lit(rf"(?i)(?<![{EDGE}])({word}(?:\s++{word}){{0,3}})(?![{EDGE}])(?:\s*+(?:,\s+)?+(?<=\s)\1(?![{EDGE}]))++"), F.lit("$1"))
 
 
 def sentences(text: Column) -> Column:
-    trimmed = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: replaced(s, (r"\A\s+", ""), (r"\s+\z", "")))
+    trimmed = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: replaced(s, (r"\A\s+", ""), (r"(?<!\s)\s++\z", "")))
     return F.filter(trimmed, lambda s: s != "")
 
 

@@ -4,381 +4,368 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# The entries, their order, confidences and categories must be these for the results to be right.
-# A line is: confidence, phrase, and after => its replacement (none: the phrase goes).
-FILLERS = """
-[preamble]
-0.8 so i've been meaning to ask
-0.75 i've been meaning to ask
-0.9 i just wanted to say that
-0.9 i just wanted to
-0.85 i was just wondering if
-0.85 i was wondering if
-0.85 i wanted to ask if
-0.85 i wanted to ask
-0.8 i was hoping you could
-0.8 i was hoping to
-0.8 what i want to do is
-0.8 what i am trying to do is
-0.8 what i'm trying to do is
-0.8 so basically what i need is
-0.8 so what i need is
-0.7 i need you to
-0.65 can you please
-0.65 could you please
-0.7 i would like you to
-0.7 i'd like you to
-0.8 i was thinking maybe
-0.8 i was wondering
-0.8 hey so you could => could you
-0.8 could you just => could you
-0.8 maybe we could just => could we
-0.7 maybe we could => could we
-0.8 hey can you help me with
-[connector]
-0.95 in order to => to
-0.95 in order for => for
-0.95 due to the fact that => because
-0.95 owing to the fact that => because
-0.9 by virtue of the fact that => because
-0.9 for the purpose of => to
-0.9 with the purpose of => to
-0.95 at this point in time => now
-0.95 at the present time => now
-0.9 at this moment => now
-0.95 on a daily basis => daily
-0.95 on a regular basis => regularly
-0.95 on a weekly basis => weekly
-0.85 a large number of => many
-0.8 a number of => several
-0.95 in the event that => if
-0.9 in the case that => if
-0.9 in spite of the fact that => although
-0.9 regardless of the fact that => although
-0.9 with regard to => regarding
-0.9 with regards to => regarding
-0.9 in regard to => regarding
-0.9 in regards to => regarding
-0.85 with respect to => regarding
-0.85 as a result of => because of
-0.9 for the reason that => because
-0.95 has the ability to => can
-0.9 is able to => can
-0.9 make a decision => decide
-0.9 take into consideration => consider
-0.85 take into account => consider
-0.9 give an indication of => indicate
-0.85 is indicative of => indicates
-0.8 it is important to note that
-0.8 it is worth noting that
-0.8 it should be noted that
-[redundancy]
-0.95 the reason why is because => because
-0.95 the reason is because => because
-0.85 the reason why => why
-0.95 each and every => every
-0.85 first and foremost => first
-0.95 each and every one => each
-0.95 basic fundamentals => fundamentals
-0.9 completely eliminate => eliminate
-0.9 absolutely essential => essential
-0.9 final outcome => outcome
-0.85 end result => result
-0.9 past history => history
-0.85 future plans => plans
-0.9 added bonus => bonus
-0.9 close proximity => proximity
-0.85 still remains => remains
-0.9 completely finished => finished
-0.9 free gift => gift
-0.8 help me out with => help with
-0.8 there might possibly be => there might be
-0.7 the way i want it to => properly
-0.8 working the way i want it to => working
-0.7 but dont make it too complicated
-[filler]
-0.6 just curious
-0.6 just checking
-0.7 basically
-0.65 essentially
-0.6 actually
-0.7 literally
-0.65 honestly
-0.6 obviously
-0.55 clearly
-0.5 really
-0.45 very
-0.5 just
-0.45 quite
-0.7 kind of
-0.7 sort of
-0.8 real quick
-0.8 something real quick
-0.8 just kind of
-[hedging]
-0.9 in my opinion
-0.9 in my experience
-0.9 as far as i know
-0.8 i think
-0.8 i believe
-0.7 i feel like
-0.8 possibly
-0.8 perhaps
-0.8 arguably
-0.8 probably
-0.6 maybe
-[polite]
-0.75 when you get a chance
-0.75 whenever you get a chance
-0.7 no rush but
-0.9 if that makes sense
-0.85 if that helps
-0.9 hope that helps
-0.9 hope this helps
-0.8 thanks in advance
-0.8 thank you in advance
-0.85 sorry to bother you but
-0.85 sorry to bother you
-0.8 sorry for the long message but
-0.8 sorry for the long message
-0.9 i apologize if this is a dumb question but
-0.9 i apologize if this is a stupid question but
-0.75 let me know if you have any questions
-0.6 please let me know
-0.85 not sure if this is the right place to ask but
-0.85 i don't know if this is the right way to ask but
-0.85 if that's okay
-0.85 if that is okay
-0.85 thanks so much => thanks
-0.8 i really appreciate it
-0.8 i would really appreciate it
-[conversational]
-0.6 anyway
-0.6 anyways
-0.75 you know?
-0.65 you know, => ,
-0.85 so the thing is
-0.8 the thing is
-0.7 the point is
-0.7 to be honest
-0.6 to be fair
-0.8 as you can see
-0.75 as you know
-0.7 as i mentioned
-0.75 as i said before
-0.75 as i was saying
-0.6 having said that
-0.6 that being said
-0.65 with that being said
-0.7 long story short
-0.75 to make a long story short
-0.8 needless to say
-0.85 it goes without saying that
-0.7 at the end of the day
-0.75 when all is said and done
-0.6 all things considered
-"""
+# Fillers, as (phrase, replacement, confidence, category); without a replacement the phrase goes. The entries, their order, confidences and categories must be these for the results to be right.
+FILLERS = [
+    ("so i've been meaning to ask", "", 0.8, "preamble"),
+    ("i've been meaning to ask", "", 0.75, "preamble"),
+    ("i just wanted to say that", "", 0.9, "preamble"),
+    ("i just wanted to", "", 0.9, "preamble"),
+    ("i was just wondering if", "", 0.85, "preamble"),
+    ("i was wondering if", "", 0.85, "preamble"),
+    ("i wanted to ask if", "", 0.85, "preamble"),
+    ("i wanted to ask", "", 0.85, "preamble"),
+    ("i was hoping you could", "", 0.8, "preamble"),
+    ("i was hoping to", "", 0.8, "preamble"),
+    ("what i want to do is", "", 0.8, "preamble"),
+    ("what i am trying to do is", "", 0.8, "preamble"),
+    ("what i'm trying to do is", "", 0.8, "preamble"),
+    ("so basically what i need is", "", 0.8, "preamble"),
+    ("so what i need is", "", 0.8, "preamble"),
+    ("i need you to", "", 0.7, "preamble"),
+    ("can you please", "", 0.65, "preamble"),
+    ("could you please", "", 0.65, "preamble"),
+    ("i would like you to", "", 0.7, "preamble"),
+    ("i'd like you to", "", 0.7, "preamble"),
+    ("i was thinking maybe", "", 0.8, "preamble"),
+    ("i was wondering", "", 0.8, "preamble"),
+    ("hey so you could", "could you", 0.8, "preamble"),
+    ("could you just", "could you", 0.8, "preamble"),
+    ("maybe we could just", "could we", 0.8, "preamble"),
+    ("maybe we could", "could we", 0.7, "preamble"),
+    ("hey can you help me with", "", 0.8, "preamble"),
+    ("in order to", "to", 0.95, "connector"),
+    ("in order for", "for", 0.95, "connector"),
+    ("due to the fact that", "because", 0.95, "connector"),
+    ("owing to the fact that", "because", 0.95, "connector"),
+    ("by virtue of the fact that", "because", 0.9, "connector"),
+    ("for the purpose of", "to", 0.9, "connector"),
+    ("with the purpose of", "to", 0.9, "connector"),
+    ("at this point in time", "now", 0.95, "connector"),
+    ("at the present time", "now", 0.95, "connector"),
+    ("at this moment", "now", 0.9, "connector"),
+    ("on a daily basis", "daily", 0.95, "connector"),
+    ("on a regular basis", "regularly", 0.95, "connector"),
+    ("on a weekly basis", "weekly", 0.95, "connector"),
+    ("a large number of", "many", 0.85, "connector"),
+    ("a number of", "several", 0.8, "connector"),
+    ("in the event that", "if", 0.95, "connector"),
+    ("in the case that", "if", 0.9, "connector"),
+    ("in spite of the fact that", "although", 0.9, "connector"),
+    ("regardless of the fact that", "although", 0.9, "connector"),
+    ("with regard to", "regarding", 0.9, "connector"),
+    ("with regards to", "regarding", 0.9, "connector"),
+    ("in regard to", "regarding", 0.9, "connector"),
+    ("in regards to", "regarding", 0.9, "connector"),
+    ("with respect to", "regarding", 0.85, "connector"),
+    ("as a result of", "because of", 0.85, "connector"),
+    ("for the reason that", "because", 0.9, "connector"),
+    ("has the ability to", "can", 0.95, "connector"),
+    ("is able to", "can", 0.9, "connector"),
+    ("make a decision", "decide", 0.9, "connector"),
+    ("take into consideration", "consider", 0.9, "connector"),
+    ("take into account", "consider", 0.85, "connector"),
+    ("give an indication of", "indicate", 0.9, "connector"),
+    ("is indicative of", "indicates", 0.85, "connector"),
+    ("it is important to note that", "", 0.8, "connector"),
+    ("it is worth noting that", "", 0.8, "connector"),
+    ("it should be noted that", "", 0.8, "connector"),
+    ("the reason why is because", "because", 0.95, "redundancy"),
+    ("the reason is because", "because", 0.95, "redundancy"),
+    ("the reason why", "why", 0.85, "redundancy"),
+    ("each and every", "every", 0.95, "redundancy"),
+    ("first and foremost", "first", 0.85, "redundancy"),
+    ("each and every one", "each", 0.95, "redundancy"),
+    ("basic fundamentals", "fundamentals", 0.95, "redundancy"),
+    ("completely eliminate", "eliminate", 0.9, "redundancy"),
+    ("absolutely essential", "essential", 0.9, "redundancy"),
+    ("final outcome", "outcome", 0.9, "redundancy"),
+    ("end result", "result", 0.85, "redundancy"),
+    ("past history", "history", 0.9, "redundancy"),
+    ("future plans", "plans", 0.85, "redundancy"),
+    ("added bonus", "bonus", 0.9, "redundancy"),
+    ("close proximity", "proximity", 0.9, "redundancy"),
+    ("still remains", "remains", 0.85, "redundancy"),
+    ("completely finished", "finished", 0.9, "redundancy"),
+    ("free gift", "gift", 0.9, "redundancy"),
+    ("help me out with", "help with", 0.8, "redundancy"),
+    ("there might possibly be", "there might be", 0.8, "redundancy"),
+    ("the way i want it to", "properly", 0.7, "redundancy"),
+    ("working the way i want it to", "working", 0.8, "redundancy"),
+    ("but dont make it too complicated", "", 0.7, "redundancy"),
+    ("just curious", "", 0.6, "filler"),
+    ("just checking", "", 0.6, "filler"),
+    ("basically", "", 0.7, "filler"),
+    ("essentially", "", 0.65, "filler"),
+    ("actually", "", 0.6, "filler"),
+    ("literally", "", 0.7, "filler"),
+    ("honestly", "", 0.65, "filler"),
+    ("obviously", "", 0.6, "filler"),
+    ("clearly", "", 0.55, "filler"),
+    ("really", "", 0.5, "filler"),
+    ("very", "", 0.45, "filler"),
+    ("just", "", 0.5, "filler"),
+    ("quite", "", 0.45, "filler"),
+    ("kind of", "", 0.7, "filler"),
+    ("sort of", "", 0.7, "filler"),
+    ("real quick", "", 0.8, "filler"),
+    ("something real quick", "", 0.8, "filler"),
+    ("just kind of", "", 0.8, "filler"),
+    ("in my opinion", "", 0.9, "hedging"),
+    ("in my experience", "", 0.9, "hedging"),
+    ("as far as i know", "", 0.9, "hedging"),
+    ("i think", "", 0.8, "hedging"),
+    ("i believe", "", 0.8, "hedging"),
+    ("i feel like", "", 0.7, "hedging"),
+    ("possibly", "", 0.8, "hedging"),
+    ("perhaps", "", 0.8, "hedging"),
+    ("arguably", "", 0.8, "hedging"),
+    ("probably", "", 0.8, "hedging"),
+    ("maybe", "", 0.6, "hedging"),
+    ("when you get a chance", "", 0.75, "polite"),
+    ("whenever you get a chance", "", 0.75, "polite"),
+    ("no rush but", "", 0.7, "polite"),
+    ("if that makes sense", "", 0.9, "polite"),
+    ("if that helps", "", 0.85, "polite"),
+    ("hope that helps", "", 0.9, "polite"),
+    ("hope this helps", "", 0.9, "polite"),
+    ("thanks in advance", "", 0.8, "polite"),
+    ("thank you in advance", "", 0.8, "polite"),
+    ("sorry to bother you but", "", 0.85, "polite"),
+    ("sorry to bother you", "", 0.85, "polite"),
+    ("sorry for the long message but", "", 0.8, "polite"),
+    ("sorry for the long message", "", 0.8, "polite"),
+    ("i apologize if this is a dumb question but", "", 0.9, "polite"),
+    ("i apologize if this is a stupid question but", "", 0.9, "polite"),
+    ("let me know if you have any questions", "", 0.75, "polite"),
+    ("please let me know", "", 0.6, "polite"),
+    ("not sure if this is the right place to ask but", "", 0.85, "polite"),
+    ("i don't know if this is the right way to ask but", "", 0.85, "polite"),
+    ("if that's okay", "", 0.85, "polite"),
+    ("if that is okay", "", 0.85, "polite"),
+    ("thanks so much", "thanks", 0.85, "polite"),
+    ("i really appreciate it", "", 0.8, "polite"),
+    ("i would really appreciate it", "", 0.8, "polite"),
+    ("anyway", "", 0.6, "conversational"),
+    ("anyways", "", 0.6, "conversational"),
+    ("you know?", "", 0.75, "conversational"),
+    ("you know,", ",", 0.65, "conversational"),
+    ("so the thing is", "", 0.85, "conversational"),
+    ("the thing is", "", 0.8, "conversational"),
+    ("the point is", "", 0.7, "conversational"),
+    ("to be honest", "", 0.7, "conversational"),
+    ("to be fair", "", 0.6, "conversational"),
+    ("as you can see", "", 0.8, "conversational"),
+    ("as you know", "", 0.75, "conversational"),
+    ("as i mentioned", "", 0.7, "conversational"),
+    ("as i said before", "", 0.75, "conversational"),
+    ("as i was saying", "", 0.75, "conversational"),
+    ("having said that", "", 0.6, "conversational"),
+    ("that being said", "", 0.6, "conversational"),
+    ("with that being said", "", 0.65, "conversational"),
+    ("long story short", "", 0.7, "conversational"),
+    ("to make a long story short", "", 0.75, "conversational"),
+    ("needless to say", "", 0.8, "conversational"),
+    ("it goes without saying that", "", 0.85, "conversational"),
+    ("at the end of the day", "", 0.7, "conversational"),
+    ("when all is said and done", "", 0.75, "conversational"),
+    ("all things considered", "", 0.6, "conversational"),
+]
 
-BOILERPLATE = """
-[ai_implicit]
-0.95 make sure the code is clean and well-organized
-0.95 make sure the code is clean and well organized
-0.9 make sure the code is clean
-0.95 write clean and maintainable code
-0.9 write clean code
-0.95 use modern best practices
-0.9 follow best practices
-0.9 use best practices
-0.85 handle all edge cases
-0.85 handle edge cases
-0.85 make it production ready
-0.85 make it production-ready
-0.85 add proper error handling
-0.8 add error handling
-0.95 make sure it works correctly
-0.9 make sure it works
-0.8 optimize for performance
-0.9 follow coding standards
-0.9 use proper naming conventions
-0.85 add comments where necessary
-0.85 add appropriate comments
-0.9 make the code readable
-0.9 write readable code
-0.8 ensure type safety
-0.75 make it scalable
-0.7 ensure it is secure
-0.85 make sure it is efficient
-0.9 use descriptive variable names
-0.85 keep it simple and clean
-0.7 keep it simple
-0.85 keep the code dry
-0.85 avoid code duplication
-0.75 make it reusable
-0.8 make the code modular
-[meta_instruction]
-0.85 i want you to act as
-0.8 you are an expert in
-0.75 you are an expert
-0.8 your task is to
-0.8 your job is to
-0.8 i need you to help me
-0.7 please provide a detailed => provide
-0.7 please provide a comprehensive => provide
-0.7 i need a detailed explanation of => explain
-0.95 as an ai language model
-0.95 as a large language model
-0.8 you should know that
-0.6 keep in mind that
-0.55 remember that
-0.6 please note that
-[quality_platitude]
-0.75 make it look professional
-0.7 make it look good
-0.7 make it look nice
-0.7 make it user-friendly
-0.7 make it user friendly
-0.7 make it intuitive
-0.7 make the ui clean and modern
-0.7 make the ui look modern
-0.75 with a good user experience
-0.75 with good ux
-0.8 the code should be well-tested
-0.8 the code should be well tested
-0.85 please test it thoroughly
-0.9 it should work well
-0.9 it needs to work properly
-[sign_off]
-0.85 that would be great
-0.85 that would be really helpful
-0.85 that would be awesome
-0.9 i would really appreciate your help
-0.85 i would appreciate your help
-0.85 any help would be appreciated
-0.9 looking forward to your response
-0.9 looking forward to hearing from you
-0.7 let me know what you think
-0.75 let me know if that works
-0.85 does that make sense
-"""
+# Boilerplate, likewise. The entries, their order, confidences and categories must be these for the results to be right.
+BOILERPLATE = [
+    ("make sure the code is clean and well-organized", "", 0.95, "ai_implicit"),
+    ("make sure the code is clean and well organized", "", 0.95, "ai_implicit"),
+    ("make sure the code is clean", "", 0.9, "ai_implicit"),
+    ("write clean and maintainable code", "", 0.95, "ai_implicit"),
+    ("write clean code", "", 0.9, "ai_implicit"),
+    ("use modern best practices", "", 0.95, "ai_implicit"),
+    ("follow best practices", "", 0.9, "ai_implicit"),
+    ("use best practices", "", 0.9, "ai_implicit"),
+    ("handle all edge cases", "", 0.85, "ai_implicit"),
+    ("handle edge cases", "", 0.85, "ai_implicit"),
+    ("make it production ready", "", 0.85, "ai_implicit"),
+    ("make it production-ready", "", 0.85, "ai_implicit"),
+    ("add proper error handling", "", 0.85, "ai_implicit"),
+    ("add error handling", "", 0.8, "ai_implicit"),
+    ("make sure it works correctly", "", 0.95, "ai_implicit"),
+    ("make sure it works", "", 0.9, "ai_implicit"),
+    ("optimize for performance", "", 0.8, "ai_implicit"),
+    ("follow coding standards", "", 0.9, "ai_implicit"),
+    ("use proper naming conventions", "", 0.9, "ai_implicit"),
+    ("add comments where necessary", "", 0.85, "ai_implicit"),
+    ("add appropriate comments", "", 0.85, "ai_implicit"),
+    ("make the code readable", "", 0.9, "ai_implicit"),
+    ("write readable code", "", 0.9, "ai_implicit"),
+    ("ensure type safety", "", 0.8, "ai_implicit"),
+    ("make it scalable", "", 0.75, "ai_implicit"),
+    ("ensure it is secure", "", 0.7, "ai_implicit"),
+    ("make sure it is efficient", "", 0.85, "ai_implicit"),
+    ("use descriptive variable names", "", 0.9, "ai_implicit"),
+    ("keep it simple and clean", "", 0.85, "ai_implicit"),
+    ("keep it simple", "", 0.7, "ai_implicit"),
+    ("keep the code dry", "", 0.85, "ai_implicit"),
+    ("avoid code duplication", "", 0.85, "ai_implicit"),
+    ("make it reusable", "", 0.75, "ai_implicit"),
+    ("make the code modular", "", 0.8, "ai_implicit"),
+    ("i want you to act as", "", 0.85, "meta_instruction"),
+    ("you are an expert in", "", 0.8, "meta_instruction"),
+    ("you are an expert", "", 0.75, "meta_instruction"),
+    ("your task is to", "", 0.8, "meta_instruction"),
+    ("your job is to", "", 0.8, "meta_instruction"),
+    ("i need you to help me", "", 0.8, "meta_instruction"),
+    ("please provide a detailed", "provide", 0.7, "meta_instruction"),
+    ("please provide a comprehensive", "provide", 0.7, "meta_instruction"),
+    ("i need a detailed explanation of", "explain", 0.7, "meta_instruction"),
+    ("as an ai language model", "", 0.95, "meta_instruction"),
+    ("as a large language model", "", 0.95, "meta_instruction"),
+    ("you should know that", "", 0.8, "meta_instruction"),
+    ("keep in mind that", "", 0.6, "meta_instruction"),
+    ("remember that", "", 0.55, "meta_instruction"),
+    ("please note that", "", 0.6, "meta_instruction"),
+    ("make it look professional", "", 0.75, "quality_platitude"),
+    ("make it look good", "", 0.7, "quality_platitude"),
+    ("make it look nice", "", 0.7, "quality_platitude"),
+    ("make it user-friendly", "", 0.7, "quality_platitude"),
+    ("make it user friendly", "", 0.7, "quality_platitude"),
+    ("make it intuitive", "", 0.7, "quality_platitude"),
+    ("make the ui clean and modern", "", 0.7, "quality_platitude"),
+    ("make the ui look modern", "", 0.7, "quality_platitude"),
+    ("with a good user experience", "", 0.75, "quality_platitude"),
+    ("with good ux", "", 0.75, "quality_platitude"),
+    ("the code should be well-tested", "", 0.8, "quality_platitude"),
+    ("the code should be well tested", "", 0.8, "quality_platitude"),
+    ("please test it thoroughly", "", 0.85, "quality_platitude"),
+    ("it should work well", "", 0.9, "quality_platitude"),
+    ("it needs to work properly", "", 0.9, "quality_platitude"),
+    ("that would be great", "", 0.85, "sign_off"),
+    ("that would be really helpful", "", 0.85, "sign_off"),
+    ("that would be awesome", "", 0.85, "sign_off"),
+    ("i would really appreciate your help", "", 0.9, "sign_off"),
+    ("i would appreciate your help", "", 0.85, "sign_off"),
+    ("any help would be appreciated", "", 0.85, "sign_off"),
+    ("looking forward to your response", "", 0.9, "sign_off"),
+    ("looking forward to hearing from you", "", 0.9, "sign_off"),
+    ("let me know what you think", "", 0.7, "sign_off"),
+    ("let me know if that works", "", 0.75, "sign_off"),
+    ("does that make sense", "", 0.85, "sign_off"),
+]
 
-SHORTENINGS = """
-[tech_terms]
-0.9 application => app
-0.9 applications => apps
-0.85 implementation => impl
-0.85 implementations => impls
-0.9 configuration => config
-0.9 configurations => configs
-0.9 documentation => docs
-0.9 authentication => auth
-0.85 authorization => authz
-0.85 environment => env
-0.85 environments => envs
-0.9 repository => repo
-0.9 repositories => repos
-0.9 dependencies => deps
-0.85 dependency => dep
-0.8 development => dev
-0.85 database => DB
-0.85 databases => DBs
-0.9 parameters => params
-0.9 parameter => param
-0.9 directory => dir
-0.9 directories => dirs
-0.85 navigation => nav
-0.85 information => info
-0.8 functionality => features
-0.85 specification => spec
-0.85 specifications => specs
-0.85 properties => props
-0.75 components => comps
-0.9 administration => admin
-0.9 administrator => admin
-0.8 temporary => temp
-0.9 arguments => args
-0.9 argument => arg
-0.8 command line => CLI
-0.9 user interface => UI
-0.95 application programming interface => API
-[contraction]
-0.95 do not => don't
-0.95 does not => doesn't
-0.95 did not => didn't
-0.95 is not => isn't
-0.95 are not => aren't
-0.95 was not => wasn't
-0.95 were not => weren't
-0.95 will not => won't
-0.95 would not => wouldn't
-0.95 could not => couldn't
-0.95 should not => shouldn't
-0.95 can not => can't
-0.95 cannot => can't
-0.9 have not => haven't
-0.9 has not => hasn't
-0.9 had not => hadn't
-0.8 it is => it's
-0.75 it has => it's
-0.8 that is => that's
-0.8 there is => there's
-0.7 there are => there're
-0.9 i am => I'm
-0.9 i have => I've
-0.9 i will => I'll
-0.9 i would => I'd
-0.85 we are => we're
-0.85 we have => we've
-0.85 we will => we'll
-0.85 you are => you're
-0.85 you have => you've
-0.85 you will => you'll
-0.85 they are => they're
-0.85 they have => they've
-0.85 they will => they'll
-[verbose_phrase]
-0.85 approximately => approx
-0.85 for example => e.g.
-0.9 that is to say => i.e.
-0.85 and so on => etc.
-0.85 and so forth => etc.
-0.7 and more => etc.
-0.7 as well as => &
-0.65 in addition to => +
-0.9 with the exception of => except
-0.8 on the other hand => conversely
-0.9 as a matter of fact => in fact
-"""
+# Shortenings, likewise. The entries, their order, confidences and categories must be these for the results to be right.
+SHORTENINGS = [
+    ("application", "app", 0.9, "tech_terms"),
+    ("applications", "apps", 0.9, "tech_terms"),
+    ("implementation", "impl", 0.85, "tech_terms"),
+    ("implementations", "impls", 0.85, "tech_terms"),
+    ("configuration", "config", 0.9, "tech_terms"),
+    ("configurations", "configs", 0.9, "tech_terms"),
+    ("documentation", "docs", 0.9, "tech_terms"),
+    ("authentication", "auth", 0.9, "tech_terms"),
+    ("authorization", "authz", 0.85, "tech_terms"),
+    ("environment", "env", 0.85, "tech_terms"),
+    ("environments", "envs", 0.85, "tech_terms"),
+    ("repository", "repo", 0.9, "tech_terms"),
+    ("repositories", "repos", 0.9, "tech_terms"),
+    ("dependencies", "deps", 0.9, "tech_terms"),
+    ("dependency", "dep", 0.85, "tech_terms"),
+    ("development", "dev", 0.8, "tech_terms"),
+    ("database", "DB", 0.85, "tech_terms"),
+    ("databases", "DBs", 0.85, "tech_terms"),
+    ("parameters", "params", 0.9, "tech_terms"),
+    ("parameter", "param", 0.9, "tech_terms"),
+    ("directory", "dir", 0.9, "tech_terms"),
+    ("directories", "dirs", 0.9, "tech_terms"),
+    ("navigation", "nav", 0.85, "tech_terms"),
+    ("information", "info", 0.85, "tech_terms"),
+    ("functionality", "features", 0.8, "tech_terms"),
+    ("specification", "spec", 0.85, "tech_terms"),
+    ("specifications", "specs", 0.85, "tech_terms"),
+    ("properties", "props", 0.85, "tech_terms"),
+    ("components", "comps", 0.75, "tech_terms"),
+    ("administration", "admin", 0.9, "tech_terms"),
+    ("administrator", "admin", 0.9, "tech_terms"),
+    ("temporary", "temp", 0.8, "tech_terms"),
+    ("arguments", "args", 0.9, "tech_terms"),
+    ("argument", "arg", 0.9, "tech_terms"),
+    ("command line", "CLI", 0.8, "tech_terms"),
+    ("user interface", "UI", 0.9, "tech_terms"),
+    ("application programming interface", "API", 0.95, "tech_terms"),
+    ("do not", "don't", 0.95, "contraction"),
+    ("does not", "doesn't", 0.95, "contraction"),
+    ("did not", "didn't", 0.95, "contraction"),
+    ("is not", "isn't", 0.95, "contraction"),
+    ("are not", "aren't", 0.95, "contraction"),
+    ("was not", "wasn't", 0.95, "contraction"),
+    ("were not", "weren't", 0.95, "contraction"),
+    ("will not", "won't", 0.95, "contraction"),
+    ("would not", "wouldn't", 0.95, "contraction"),
+    ("could not", "couldn't", 0.95, "contraction"),
+    ("should not", "shouldn't", 0.95, "contraction"),
+    ("can not", "can't", 0.95, "contraction"),
+    ("cannot", "can't", 0.95, "contraction"),
+    ("have not", "haven't", 0.9, "contraction"),
+    ("has not", "hasn't", 0.9, "contraction"),
+    ("had not", "hadn't", 0.9, "contraction"),
+    ("it is", "it's", 0.8, "contraction"),
+    ("it has", "it's", 0.75, "contraction"),
+    ("that is", "that's", 0.8, "contraction"),
+    ("there is", "there's", 0.8, "contraction"),
+    ("there are", "there're", 0.7, "contraction"),
+    ("i am", "I'm", 0.9, "contraction"),
+    ("i have", "I've", 0.9, "contraction"),
+    ("i will", "I'll", 0.9, "contraction"),
+    ("i would", "I'd", 0.9, "contraction"),
+    ("we are", "we're", 0.85, "contraction"),
+    ("we have", "we've", 0.85, "contraction"),
+    ("we will", "we'll", 0.85, "contraction"),
+    ("you are", "you're", 0.85, "contraction"),
+    ("you have", "you've", 0.85, "contraction"),
+    ("you will", "you'll", 0.85, "contraction"),
+    ("they are", "they're", 0.85, "contraction"),
+    ("they have", "they've", 0.85, "contraction"),
+    ("they will", "they'll", 0.85, "contraction"),
+    ("approximately", "approx", 0.85, "verbose_phrase"),
+    ("for example", "e.g.", 0.85, "verbose_phrase"),
+    ("that is to say", "i.e.", 0.9, "verbose_phrase"),
+    ("and so on", "etc.", 0.85, "verbose_phrase"),
+    ("and so forth", "etc.", 0.85, "verbose_phrase"),
+    ("and more", "etc.", 0.7, "verbose_phrase"),
+    ("as well as", "&", 0.7, "verbose_phrase"),
+    ("in addition to", "+", 0.65, "verbose_phrase"),
+    ("with the exception of", "except", 0.9, "verbose_phrase"),
+    ("on the other hand", "conversely", 0.8, "verbose_phrase"),
+    ("as a matter of fact", "in fact", 0.9, "verbose_phrase"),
+]
 
-# Swaps have neither confidence nor category.
-SWAPS = """
-approximately => ~
-prerequisite => prereq
-nevertheless => still
-unfortunately => sadly
-characteristics => traits
-straightforward => simple
-comprehensive => full
-alternatively => or
-modification => change
-modifications => changes
-utilization => use
-significantly => greatly
-simultaneously => at once
-corresponding => matching
-specifically => namely
-consequently => thus
-requirements => needs
-demonstrate => show
-illustrate => show
-facilitate => ease
-sufficient => enough
-subsequent => next
-additional => extra
-frequently => often
-initially => first
-ultimately => finally
-furthermore => also
-"""
+# Swaps, which have neither confidence nor category. The entries, their order, confidences and categories must be these for the results to be right.
+SWAPS = [
+    ("approximately", "~"),
+    ("prerequisite", "prereq"),
+    ("nevertheless", "still"),
+    ("unfortunately", "sadly"),
+    ("characteristics", "traits"),
+    ("straightforward", "simple"),
+    ("comprehensive", "full"),
+    ("alternatively", "or"),
+    ("modification", "change"),
+    ("modifications", "changes"),
+    ("utilization", "use"),
+    ("significantly", "greatly"),
+    ("simultaneously", "at once"),
+    ("corresponding", "matching"),
+    ("specifically", "namely"),
+    ("consequently", "thus"),
+    ("requirements", "needs"),
+    ("demonstrate", "show"),
+    ("illustrate", "show"),
+    ("facilitate", "ease"),
+    ("sufficient", "enough"),
+    ("subsequent", "next"),
+    ("additional", "extra"),
+    ("frequently", "often"),
+    ("initially", "first"),
+    ("ultimately", "finally"),
+    ("furthermore", "also"),
+]
 
 # Words that are never touched, and phrases that depend on their context.
 NEVER_TOUCH = "might likely unlikely may could should would".split()
@@ -395,22 +382,16 @@ class Entry:
     category: str | None
 
 
-def read(kind: str, block: str) -> list[Entry]:
-    entries, category = [], None
-    for line in block.strip().splitlines():
-        if line.startswith("["):
-            category = line.strip("[]")
-            continue
-        confidence = None
-        if category:
-            number, _, line = line.partition(" ")
-            confidence = float(number)
-        phrase, _, replacement = line.partition(" => ")
-        entries.append(Entry(kind, len(entries), phrase, replacement, confidence, category))
-    return entries
+def entries(kind: str, rows: list[tuple]) -> list[Entry]:
+    return [Entry(kind, i, *row, *(None,) * (4 - len(row))) for i, row in enumerate(rows)]
 
 
-ENTRIES = {"filler": read("filler", FILLERS), "boilerplate": read("boilerplate", BOILERPLATE), "shortening": read("shortening", SHORTENINGS), "swap": read("swap", SWAPS)}
+ENTRIES = {"filler": entries("filler", FILLERS), "boilerplate": entries("boilerplate", BOILERPLATE), "shortening": entries("shortening", SHORTENINGS), "swap": entries("swap", SWAPS)}
+
+
+def context_sensitive(phrase: str) -> bool:
+    """Does it depend on what stands around a phrase whether it may go?"""
+    return phrase.lower() in CONTEXT_SENSITIVE
 
 
 def threshold(kind: str, level: float) -> float:
