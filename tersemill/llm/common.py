@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Only a local master may leave it unset, as its executors are this very machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tersemill-")
         sc.setCheckpointDir(root)
     return root
@@ -91,7 +94,7 @@ def scratch() -> Iterator[Callable[..., None]]:
     try:
         yield keep
     finally:
-        _open.remove(tables)
+        _open.pop()
         for path in tables:
             if path not in kept:
                 discard(path)
@@ -101,10 +104,9 @@ def scratch() -> Iterator[Callable[..., None]]:
 FEW_IDS = 500_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is not in dropped(id_col)."""
-    dropped = materialize(dropped.select(id_col), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW_IDS else dropped, id_col, "left_anti").select(*docs.columns)
+def hinted(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

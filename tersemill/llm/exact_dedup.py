@@ -3,11 +3,12 @@
 Each text becomes its SHA-256 digest. Misra-Gries summaries, one per partition and merged, name every digest
 that has more than a 1/counters share of the rows; an exact count verifies them, and the winners (at most
 `counters` rows, whatever the input) are broadcast, so their rows are resolved where they are read. What is
-left has no group above that share and goes through an ordinary shuffle of digests; texts are never shuffled.
+left has no group above that share, is counted with partial sums and goes through an ordinary shuffle of
+digests; texts are never shuffled.
 
-Defined results: a null text counts as empty; of equal texts the row with the largest id stays; rows that
-repeat an id together with its text are one document and are all marked kept or not alike; a group without
-any id (all null) keeps none; an empty table gives an empty one; other columns are ignored.
+Defined results: a null text counts as empty; of equal texts the row with the largest id stays, null being
+less than any; rows that repeat an id together with its text are one document and are all marked kept or not
+alike; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hinted, materialize, table
 
-COUNTERS = 256
+COUNTERS = 4096
 
 
 def add_counts(into: Counter, more: Counter, k: int) -> None:
@@ -60,19 +61,32 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = heavy_candidates(digests.select("sha"), counters).select("sha")
     winners = digests.join(F.broadcast(found), "sha").groupBy("sha").agg(F.max("id").alias("heavy_id"), F.count(F.lit(1)).alias("heavy_n"))
     winners = materialize(winners.filter((F.col("heavy_n") > 1) & (F.col("heavy_n") * counters > rows)), "winners")
-    tagged = digests.join(F.broadcast(winners), "sha", "left")
-    group = Window.partitionBy("sha")
-    light = tagged.filter(F.col("heavy_n").isNull()).select("id", "sha", F.max("id").over(group).alias("keep"), F.count(F.lit(1)).over(group).alias("n"))
-    heavy = tagged.filter(F.col("heavy_n").isNotNull()).select("id", "sha", F.col("heavy_id").alias("keep"), F.col("heavy_n").alias("n"))
+    heavy = digests.join(F.broadcast(winners), "sha").select("id", "sha", F.col("heavy_id").alias("keep"), F.col("heavy_n").alias("n"))
+    rest = digests.join(F.broadcast(winners), "sha", "left_anti")
+    light = rest.join(rest.groupBy("sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")), "sha").select("id", "sha", "keep", "n")
     return heavy.unionByName(light).select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.coalesce(F.col("id") == F.col("keep"), F.lit(False)).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each text: that with the largest id; of rows that repeat it, any one."""
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    found = exact_dedup(docs, id_col=id_col, text_col=text_col)
+    gone = materialize(found.filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "copies")
+    again = materialize(found.filter("kept").groupBy("keep_id", "text_sha256").count().filter("count > 1").select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")), "repeated")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    kept = docs.join(hinted(gone), same, "left_anti")
+    if not again.take(1):
+        return kept
+    once = kept.withColumn("_sha1", sha).join(hinted(again), same, "left_semi").dropDuplicates([id_col, "_sha1"]).select(*docs.columns)
+    return kept.join(hinted(again), same, "left_anti").unionByName(once)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, slices, table, trimmed
+from .common import hinted, materialize, scratch, slices, table, trimmed
 from .components import components
 from .shingles import Shingler, scatter
 
@@ -605,6 +605,14 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, keep: Callabl
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), "text_hash")
 
 
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, and those without an id."""
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col)
+    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"), "text_hash"), "near-copies")
+    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("text_hash"))
+    return docs.join(hinted(gone), same, "left_anti")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, hinted, materialize, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCKS, SUB_BLOCKS, SHARDS = 256, 4096, 64
@@ -133,18 +133,38 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     units = blocks.filter("passes > 0").select("src", "idx", "b1", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda e: F.struct(e.alias("pass"), (e * F.col("blocks") + F.col("place")).alias("unit")))).alias("u")).select("src", "idx", "b1", "u.*")
     where = units.join(runs, ["idx", "unit"]).groupBy("src", "b1").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("places"))
 
-    out = keyed.join(hint(plan.select("src", F.col("words").alias("source_size"), "target", "passes", "cut", "closed")), "src").join(hint(where), ["src", "b1"], "left")
+    out = keyed.join(hint(plan.select("src", F.col("words").alias("source_size"), "target", "cut", "closed")), "src").join(hint(where), ["src", "b1"], "left")
+    # a document is in the units drawn of its block; in the block where the part ends, the last unit goes only as far as the cut
     key = F.struct("k1", "b1", "k2", "b2", "h", "id", "size")
-    extra = F.when(F.col("closed"), key <= F.col("cut")).otherwise(key < F.col("cut"))
-    copies = (F.col("passes") + F.coalesce(extra, F.lit(False)).cast("long")).cast("int")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.coalesce(F.slice("places", F.lit(1), copies), F.array().cast("array<long>")).alias("shards"))
+    drawn = F.coalesce("places", F.array().cast("array<long>"))
+    beyond = F.when(F.col("closed"), key > F.col("cut")).otherwise(key >= F.col("cut")) & (F.struct("k1", "b1") == F.struct(F.col("cut.k1"), F.col("cut.b1")))
+    out = out.withColumn("shards", F.when(F.coalesce(beyond, F.lit(False)), F.slice(drawn, F.lit(1), F.greatest(F.size(drawn) - 1, F.lit(0)))).otherwise(drawn))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+
+
+def place_of(shard: Column, id_: Column, pass_: Column, seed: int = 0) -> Column:
+    """The local shuffle: copies lie in their shard in the order of this number."""
+    return F.xxhash64(F.lit(seed), shard, id_, pass_)
 
 
 def draws(mixed: DataFrame, *, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """The mixture itself: (shard, place, id_col, pass); shuffled within each shard by place."""
-    return mixed.select(id_col, F.posexplode("shards").alias("pass", "shard")).select("shard", F.xxhash64(F.lit(seed), "shard", id_col, "pass").alias("place"), id_col, "pass")
+    return mixed.select(id_col, F.posexplode("shards").alias("pass", "shard")).select("shard", place_of(F.col("shard"), F.col(id_col), F.col("pass"), seed).alias("place"), id_col, "pass")
+
+
+def mixture(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """A row of docs for each copy that the mixture takes, dealt to its shard and shuffled there."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    mixed = mix(docs, id_col=id_col, text_col=text_col, shards=shards, seed=seed).filter(F.size("shards") > 0)
+    # rows that repeat an id and a size are drawn alike
+    mixed = materialize(mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "shards").dropDuplicates(["_id", "_size"]), "mixed")
+    drawn = docs.join(hinted(mixed), F.col(id_col).eqNullSafe(F.col("_id")) & (size == F.col("_size")))
+    drawn = drawn.select(*docs.columns, F.posexplode("shards").alias("_pass", "_shard"))
+    return drawn.repartition("_shard").sortWithinPartitions("_shard", place_of(F.col("_shard"), F.col(id_col), F.col("_pass"), seed)).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("shards", lambda x: x.cast("string")), ",").alias("shards"))
+    # where each copy goes, and its place in the local shuffle there
+    copies = F.transform("shards", lambda s, i: F.concat_ws(":", s.cast("string"), place_of(s, F.col("doc_id"), i).cast("string")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(copies, ",").alias("shards"))
