@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of documents; between stages documents are written as Parquet and read again.
 
-Defined results: null texts count as empty and stay; of equal texts the largest id stays, of near copies the
-smallest; the mixture repeats documents as its weights ask; empty tables give empty ones.
+Defined results: null texts count as empty and stay; of equal texts the row of the largest id stays, of near
+copies those of the smallest; rows are told apart by id and text, so one that repeats an id with another text
+is a document of its own; rows without an id count as copies, never as near copies; the mixture repeats
+documents as its weights ask; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from math import ceil, log2
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tersemill.llm.bpe_codec import bpe_codec
-from tersemill.llm.common import FEW_IDS, materialize, table, without
-from tersemill.llm.exact_dedup import exact_dedup
-from tersemill.llm.jaccard_join import jaccard_join
-from tersemill.llm.mixing import mix
+from tersemill.llm.common import materialize, scratch, table
+from tersemill.llm.exact_dedup import without_copies
+from tersemill.llm.jaccard_join import without_near_copies
+from tersemill.llm.mixing import mixture
 from tersemill.llm.toxicity import fit_toxicity, without_toxic
 
 #: Documents that an output shard of the mixture has, about.
@@ -31,21 +32,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup(docs).filter("not kept"), "doc_id")
+    return without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, jaccard_join(docs).filter("doc_id <> component_id"), "doc_id")
+    return without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mixture takes, dealt to its shard and shuffled there."""
-    rows = docs.count()
-    shards = 1 << max(3, ceil(log2(max(1, rows) / SHARD)))
-    mixed = materialize(mix(docs, shards=shards).filter(F.size("shards") > 0).select(F.col("doc_id").alias("_id"), "shards").dropDuplicates(["_id"]), "mixed")
-    drawn = docs.join(F.broadcast(mixed) if rows <= FEW_IDS else mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    drawn = drawn.select(*docs.columns, F.posexplode("shards").alias("_pass", "_shard"))
-    return drawn.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(0), "_shard", "doc_id", "_pass")).select(*docs.columns)
+    return mixture(docs, shards=1 << max(3, ceil(log2(max(1, docs.count()) / SHARD))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
