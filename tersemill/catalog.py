@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions import phrases
+from .functions import phrases, rewriting
 from .functions.rewriting import CONSTRAINTS, TECHNICAL
 from .operators import compression, feedback
 from .operators import sentences as S
-from .sources.tables import test_table
+from .sources.tables import spread, test_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +46,7 @@ def quoted(text: str) -> str:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return test_table(spark, d, "documents")
+    return spread(test_table(spark, d, "documents"))
 
 
 @query(f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
@@ -116,12 +116,12 @@ def filled(sql: str, key: str, table: str) -> str:
 
 @query(filled(WEIGHT + "SELECT item_id, i, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM v", "item_id", "benchmark"))
 def sentence_tfidf(spark, d):
-    return S.weights(S.sentence_rows(test_table(spark, d, "benchmark"), "item_id"), "item_id").select("item_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
+    return S.weights(test_table(spark, d, "benchmark"), "item_id").select("item_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
 
 
 @query(filled(WEIGHT + "SELECT doc_id, i, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM v", "doc_id", "documents"))
 def sentence_tfidf_documents(spark, d):
-    return S.weights(S.sentence_rows(docs(spark, d), "doc_id"), "doc_id").select("doc_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
+    return S.weights(docs(spark, d), "doc_id").select("doc_id", "i", "term", F.round("tf", 6).alias("tf"), F.round("idf", 6).alias("idf"))
 
 
 @query(filled(WEIGHT + "SELECT item_id, i, j, round(sim, 2) AS sim FROM s WHERE sim >= 0.05", "item_id", "benchmark"))
@@ -155,15 +155,14 @@ SELECT t.{k}, t.lang, t.text AS old, CASE WHEN coalesce(n.n, 0) < 2 THEN t.text
 
 @query(f"SELECT doc_id, text, removed FROM ({DEDUP})")
 def dedup_sentences(spark, d):
-    return S.dedup_sentences(docs(spark, d), "doc_id")
+    return S.dedup_sentences(docs(spark, d), "doc_id").select("doc_id", "text", "removed")
 
 
 @query(f"""WITH x AS (SELECT lang, removed, {tokens_sql('old')} AS a, {tokens_sql('text')} AS b FROM ({DEDUP}))
 SELECT lang, count(*) AS texts, sum(removed)::BIGINT AS removed, sum(a)::BIGINT AS tokens_in, sum(b)::BIGINT AS tokens_out, floor(greatest(0, sum(a) - sum(b)) * 100 / sum(a) + 0.5)::BIGINT AS avg_percent FROM x GROUP BY 1""")
 def dedup_savings_by_lang(spark, d):
-    t = docs(spark, d)
-    kept = S.dedup_sentences(t, "doc_id").withColumn("b", C.heuristic_tokens(F.col("text"))).select("doc_id", "removed", "b")
-    x = t.select("doc_id", "lang", C.heuristic_tokens(F.col("text")).alias("a")).join(kept, "doc_id")
+    t = docs(spark, d).withColumn("a", C.heuristic_tokens(F.col("text")))
+    x = S.dedup_sentences(t, "doc_id", carry=("lang", "a")).withColumn("b", C.heuristic_tokens(F.col("text")))
     out = x.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("removed").alias("removed"), F.sum("a").alias("tokens_in"), F.sum("b").alias("tokens_out"))
     return out.withColumn("avg_percent", C.whole_percent(F.greatest(F.lit(0), F.col("tokens_in") - F.col("tokens_out")), F.col("tokens_in")))
 
@@ -348,3 +347,172 @@ def secret_flags(spark, d):
 @query(r"SELECT item_id, replace(replace(replace(replace(replace(text || '<a & b>''\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS text FROM benchmark".replace('\\"', '"'))
 def escape_html(spark, d):
     return test_table(spark, d, "benchmark").select("item_id", C.escape_html(F.concat("text", F.lit("<a & b>'\""))).alias("text"))
+
+
+# What a rewriting pass makes of a text put before each document, and that it leaves the document itself alone. What it
+# must make of it is written out by hand.
+def injected(name: str, before: str, after: str, one, text: str = "text") -> None:
+    def run(spark, d):
+        made = compression.per_text(one, "string")
+        return docs(spark, d).select("doc_id", made(F.concat(F.lit(before), "text")).alias("text"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, concat(replace({quoted(after.replace(chr(10), '~'))}, '~', chr(10)), {text}) AS text FROM documents")(run)
+
+
+def _fillers(t: str) -> str:
+    for e in rewriting.dictionaries(3, True, frozenset())[0]:
+        t = rewriting.drop_phrase(t, e)[0]
+    return t
+
+
+injected(
+    "filler_rewrite_injected",
+    "Due to the fact that we go, I basically need it in order to win. A large number of cats live there! On a daily basis: thanks so much. nonbasically ",
+    "Because we go, I  need it to win. Many cats live there! Daily: thanks. nonbasically ",
+    _fillers,
+)
+injected(
+    "shortening_injected",
+    "Database and application: do not stop, the environment is not ready. Approximately ten. ",
+    "DB and app: don't stop, the env isn't ready. Approx ten. ",
+    lambda t: rewriting.shorten(t, rewriting.dictionaries(3, True, frozenset())[1]),
+    r"regexp_replace(text, '(^|\s)([Ii]t|[Tt]hat) is([\s.,;:!?]|$)', '\1\2''s\3', 'g')",  # the only phrases that documents have
+)
+injected(
+    "token_swaps_injected",
+    "Furthermore we utilization demonstrate; Additional requirements, consequently. nonsufficient sufficient ",
+    "Also we use show; Extra needs, thus. nonsufficient enough ",
+    lambda t: rewriting.shorten(t, rewriting.dictionaries(3, True, frozenset())[2]),
+)
+injected(
+    "flatten_sequences_injected",
+    "\nFirst, open the box. Second, take the key. Third, close the box. \nStep 1: look up. Step 2: look down. Step 3: stop.\n\n",
+    "open the box, take the key, then close the box.look up, look down, then stop.",
+    rewriting.flatten_sequences,
+)
+injected(
+    "compact_lists_injected",
+    "Bring:\n- salt\n- bread\n- water\n\nNot:\n1. one\n2. " + "long " * 14 + "\n\n",
+    "Bring:\nsalt, bread, and water\nNot:\n1. one\n2. " + "long " * 14 + "\n\n",
+    rewriting.compact_lists,
+)
+injected(
+    "inline_paragraphs_injected",
+    "One.\n\nShort here.\n\n- item one.\n\nList:\n\nAfter a colon.\n\n",
+    "One. Short here.\n\n- item one.\n\nList:\n\nAfter a colon.\n\n",
+    rewriting.inline_paragraphs,
+)
+
+
+SUBJECTS = [(1, "The big dog is late."), (2, "It is raining, it should stop."), (3, "A very long subject of seven words is here."), (4, "Nothing to see."), (5, "the new user has rights."), (6, "An  app must run.")]
+CHAINS = [(i, f"Plain words come {w} in here. The {w} server is slow, slow, slow and slow. It is old and it must go. Alpha beta gamma delta {w}. Kilo lima mike november {w}. This is fine. Oscar papa quebec {w}.") for i, w in enumerate(("red", "green", "blue"))]
+
+
+def values_of(rows: list[tuple], names: str) -> str:
+    return f"{values(rows)} AS v({names})"
+
+
+@query(rf"""SELECT id, CASE WHEN x <> '' AND len(string_split(x, ' ')) <= 4 THEN x END AS subject FROM (SELECT id, regexp_replace(trim(regexp_extract(s, '(?i)^([^,]+?)\s+(?:is|should|needs|has|will|can|must|does)\b', 1)), '(?i)^(?:the|a|an)\s+', '') AS x FROM {values_of(SUBJECTS, "id, s")})""")
+def sentence_subjects(spark, d):
+    return spark.createDataFrame(SUBJECTS, "id int, s string").select("id", C.subject(F.col("s")).alias("subject"))
+
+
+@query(rf"""WITH r AS (SELECT id, (unnest(range(0, len(s))))::INT AS i, unnest(s) AS sentence FROM (SELECT id, {SENTENCES.replace("{t}", "text")} AS s FROM {values_of(CHAINS, "id, text")})),
+u AS (SELECT id, i, sentence, i NOT IN (1, 4) AS kept, regexp_replace(regexp_extract(sentence, '(?i)^([^,]+?)\s+(?:is|should|needs|has|will|can|must|does)\b', 1), '(?i)^(?:the|a|an)\s+', '') AS subject FROM r),
+l AS (SELECT *, lag(kept, 1, true) OVER w AS k, lag(subject) OVER w AS before FROM u WINDOW w AS (PARTITION BY id ORDER BY i))
+SELECT id, i, kept, nullif(subject, '') AS subject, CASE WHEN kept AND NOT k AND before <> '' AND regexp_matches(sentence, '(?i)^(it|this|that)\s+(is|should|needs|has|will|can|must)\b') THEN upper(before[1]) || before[2:] || regexp_replace(sentence, '(?i)^(it|this|that)', '') ELSE sentence END AS resolved FROM l""")
+def subject_and_pronoun(spark, d):
+    rows = S.sentence_rows(spark.createDataFrame(CHAINS, "id int, text string"), "id").withColumn("kept", ~F.col("i").isin(1, 4))
+    return S.with_subjects(rows, "id").select("id", "i", "kept", "subject", "resolved")
+
+
+@query(rf"""WITH c AS (SELECT item_id, {SENTENCES.replace("{t}", "concat('Must be short. ', text, ' An answer is required. never mind.')")} AS s, concat('Must be short. ', text, ' An answer is required. never mind.') AS t FROM benchmark),
+p AS (SELECT item_id, t, list_filter(s, lambda x: lower(x) LIKE 'must %' OR lower(x) LIKE 'never %' OR contains(lower(x), ' is required')) AS a, list_filter(s, lambda x: NOT (lower(x) LIKE 'must %' OR lower(x) LIKE 'never %' OR contains(lower(x), ' is required'))) AS b FROM c)
+SELECT item_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 'CONSTRAINTS: ' || array_to_string(a, ' ') || chr(10) || chr(10) || array_to_string(b, ' ') ELSE t END AS text FROM p""")
+def constraints_first(spark, d):
+    t = F.concat(F.lit("Must be short. "), "text", F.lit(" An answer is required. never mind."))
+    return test_table(spark, d, "benchmark").select("item_id", C.constraints_first(t).alias("text"))
+
+
+CLAUSES = [("Use it (as in 2.1) now.", "Use it (as in 2.1) now."), ("Use it (or not) now, i think.", "Use it now."), ("Use the (api) here, if possible", "Use the (api) here."), ("A  b, maybe.", "A b."), ("Plain.", "Plain.")]
+
+
+@query(f"SELECT id, want AS text FROM {values_of([(i, b) for i, (_, b) in enumerate(CLAUSES)], 'id, want')}")
+def prune_clauses(spark, d):
+    made = compression.per_text(rewriting.prune_clauses, "string")
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(CLAUSES)], "id int, text string").select("id", made(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1]) || x[2:] ELSE x END AS text FROM (SELECT doc_id, concat('one two. Three! Four; ', regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), ' ([.,;:!?])', '\1', 'g'), '[,;]\s*([.!?])', '\1', 'g')) AS x FROM documents WHERE NOT regexp_matches(text, '[.!?]\s+[a-z]|(^|\n)[ ,;]|[,;]\s*(\n|$)|\n\n\n'))""")
+def clean_whitespace_injected(spark, d):
+    made = compression.per_text(rewriting.clean_whitespace, "string")
+    plain = ~F.col("text").rlike(r"[.!?]\s+[a-z]|(^|\n)[ ,;]|[,;]\s*(\n|\z)|\n\n\n")
+    return docs(spark, d).filter(plain).select("doc_id", made(F.concat(F.lit("one  two. Three !  Four; "), "text")).alias("text"))
+
+
+@query(f"SELECT doc_id, (a - b) / a < 0.5 AND a > 200 AND NOT regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b|(?i:\\b(?:password|passwd|secret|token|api[_-]?key)\\s*[=:]\\s*[\"'']?[^\\s\"'']{{8,}})|-----BEGIN [A-Z ]*PRIVATE KEY-----') AS escalate FROM (SELECT doc_id, text, {tokens_sql('text')} AS a, ({tokens_sql('text')} * (doc_id % 10)) // 10 AS b FROM documents)")
+def escalation_flags(spark, d):
+    before = C.heuristic_tokens(F.col("text"))
+    t = docs(spark, d).select("doc_id", before.alias("a"), (F.size(C.secrets(F.col("text"))) > 0).alias("secret"))
+    after = F.floor(F.col("a") * (F.col("doc_id") % 10) / 10)
+    return t.select("doc_id", compression.escalate(F.col("a"), after, F.col("secret")).alias("escalate"))
+
+
+REQUESTS = "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS provider, epoch_us(ts) // 200000 AS ts_ms, user_id * 10 AS tokens FROM events"
+DAYS = f"""WITH RECURSIVE r AS ({REQUESTS}),
+x AS (SELECT provider, ts_ms, min(ts_ms) OVER (PARTITION BY provider ORDER BY ts_ms RANGE BETWEEN 86400001 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT DISTINCT provider, ts_ms FROM r)),
+d AS (SELECT provider, min(ts_ms) AS day FROM r GROUP BY 1 UNION ALL SELECT d.provider, x.nxt FROM d JOIN x ON x.provider = d.provider AND x.ts_ms = d.day WHERE x.nxt IS NOT NULL),
+q AS (SELECT r.*, (SELECT max(day) FROM d WHERE d.provider = r.provider AND d.day <= r.ts_ms) AS day FROM r)"""
+
+
+@query(f"{DAYS} SELECT id, provider, day, row_number() OVER w AS day_requests, (sum(tokens) OVER w)::BIGINT AS day_tokens FROM q WINDOW w AS (PARTITION BY provider, day ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING)")
+def daily_quota(spark, d):
+    return feedback.anchored_days(requests(spark, d)).select("id", "provider", "day", "day_requests", "day_tokens")
+
+
+
+@query(f"""{DAYS}, n AS (SELECT max(ts_ms) - 1000 AS now FROM r), l AS (SELECT q.*, now FROM q, n WHERE ts_ms <= now), m AS (SELECT provider, max(day) AS day FROM l GROUP BY 1)
+SELECT l.provider, sum((ts_ms > now - 60000)::INT)::BIGINT AS rpm_used, sum(CASE WHEN ts_ms > now - 60000 THEN tokens ELSE 0 END)::BIGINT AS tpm_used, sum((l.day = m.day AND now - l.day <= 86400000)::INT)::BIGINT AS rpd_used, sum(CASE WHEN l.day = m.day AND now - l.day <= 86400000 THEN tokens ELSE 0 END)::BIGINT AS tpd_used FROM l JOIN m USING (provider) GROUP BY 1""")
+def rate_stats(spark, d):
+    r = requests(spark, d)
+    now = r.agg(F.max("ts_ms")).first()[0] - 1000
+    return feedback.rate_stats(r, now).select("provider", "rpm_used", "tpm_used", "rpd_used", "tpd_used")
+
+
+STATES = [("first", 0, True, 0, 2, False, False, True), ("second", 1, True, 500, 0, False, False, True), ("third", 2, False, 0, 0, True, True, False), ("fourth", 3, True, 0, 3, False, False, True)]
+STATE = "provider string, position int, has_key boolean, cooling_down_until long, consecutive_timeouts int, credit_exhausted boolean, misconfigured boolean, renewable boolean"
+OUTCOMES = [("first", "timeout"), ("second", "success"), ("fourth", "rate-limited")]
+
+
+def sql_rows(rows: list[tuple], names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, (bool, int)) else quoted(x) for x in r) + ")" for r in rows) + f") AS v({names})"
+
+
+@query(f"""SELECT s.provider, position, CASE o.outcome WHEN 'rate-limited' THEN 301000 WHEN 'unknown' THEN 61000 WHEN 'timeout' THEN CASE WHEN t + 1 >= 3 THEN 601000 ELSE c END ELSE c END::BIGINT AS cooling_down_until,
+CASE o.outcome WHEN 'success' THEN 0 WHEN 'timeout' THEN t + 1 ELSE t END AS consecutive_timeouts, e OR coalesce(o.outcome = 'exhausted', false) AS credit_exhausted
+FROM (SELECT provider, position, c, CASE WHEN c <= 1000 AND t >= 3 THEN 0 ELSE t END AS t, e FROM (SELECT * FROM {sql_rows(STATES, "provider, position, k, c, t, e, m, r")})) s LEFT JOIN (SELECT * FROM {sql_rows(OUTCOMES, "provider, outcome")}) o USING (provider)""")
+def provider_states(spark, d):
+    out = feedback.after_outcomes(spark.createDataFrame(STATES, STATE), spark.createDataFrame(OUTCOMES, "provider string, outcome string"), 1000)
+    return out.select("provider", "position", "cooling_down_until", "consecutive_timeouts", "credit_exhausted")
+
+
+@query(f"SELECT provider, position, k AND NOT e AND NOT m AND c <= 400 AS available FROM {sql_rows(STATES, 'provider, position, k, c, t, e, m, r')}")
+def provider_listing(spark, d):
+    state = spark.createDataFrame(STATES, STATE)
+    return feedback.provider_listing(state.withColumn("model", F.lit("m")), state, 400).select("provider", "position", "available")
+
+
+@query("SELECT event_id AS id, CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'rejected' WHEN event_id % 5 = 0 THEN 'failed' WHEN user_id % 2 = 0 AND event_id % 3 = 1 THEN 'reverted' ELSE 'accepted' END AS decision FROM events")
+def delivery_decisions(spark, d):
+    e = test_table(spark, d, "events")
+    choice = F.when(F.col("event_id") % 3 == 0, "reject").when(F.col("event_id") % 3 == 1, "original").otherwise("compressed")
+    return e.select(F.col("event_id").alias("id"), C.decision(F.col("user_id") % 2 == 0, choice, F.col("event_id") % 5 != 0).alias("decision"))
+
+
+@query("SELECT event_type AS phrase, sum((user_id % 3 = 0)::INT)::BIGINT AS applied, sum((user_id % 3 = 1)::INT)::BIGINT AS reverted FROM events GROUP BY 1")
+def decision_feedback(spark, d):
+    e = test_table(spark, d, "events")
+    decision = F.when(F.col("user_id") % 3 == 0, "accepted").when(F.col("user_id") % 3 == 1, "reverted").otherwise("rejected")
+    rows = e.select(F.col("event_id").alias("seq"), "ts", F.array(F.struct(F.col("event_type").alias("phrase"))).alias("removals"), decision.alias("decision"))
+    return feedback.phrase_log(feedback.feedback_of(rows)).select("phrase", "applied", "reverted")

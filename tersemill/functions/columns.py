@@ -78,6 +78,33 @@ def density(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(words)) / F.size(words))
 
 
+def subject(sentence: Column) -> Column:
+    """Of a trimmed sentence up to four words before the first verb, without their article, if no comma comes first; else null."""
+    found = F.regexp_extract(sentence, rf"(?i)^([^,]+?)(?<!\s)\s++(?:is|should|needs|has|will|can|must|does)(?![{EDGE}])", 1)
+    found = replaced(found, (r"\A\s+", ""), (r"(?<!\s)\s++\z", ""), (r"(?i)\A(?:the|a|an)\s+", ""))
+    return F.when((found != "") & (F.size(F.split(found, " ")) <= 4), found)
+
+
+def resolved(sentence: Column, subject: Column) -> Column:
+    """A pronoun at the sentence's start, before a verb, replaced by a subject with a capital."""
+    rest = F.regexp_extract(sentence, rf"(?i)^(?:it|this|that)(\s+(?:is|should|needs|has|will|can|must)(?![{EDGE}])[\s\S]*+)", 1)
+    return F.when(rest != "", F.concat(F.upper(F.substring(subject, 1, 1)), F.substring(subject, 2, 1 << 30), rest)).otherwise(sentence)
+
+
+def constraints_first(text: Column) -> Column:
+    """Sentences that state constraints in front under a heading, if there are others too."""
+    low = lambda x: F.lower(x)
+    first = lambda x: low(x).startswith("must ") | low(x).startswith("never ") | F.contains(low(x), F.lit(" is required"))
+    s = sentences(text)
+    a, b = F.filter(s, first), F.filter(s, lambda x: ~first(x))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.concat(F.lit("CONSTRAINTS: "), F.array_join(a, " "), F.lit("\n\n"), F.array_join(b, " "))).otherwise(text)
+
+
+def decision(needs_preview: Column, choice: Column, delivered: Column) -> Column:
+    """What became of a shortened text: rejected, failed (not delivered), reverted (the original was chosen) or accepted."""
+    return F.when(needs_preview & (choice == "reject"), "rejected").when(~F.coalesce(delivered, F.lit(False)), "failed").when(needs_preview & (choice == "original"), "reverted").otherwise("accepted")
+
+
 def cache_key(preset: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("::", preset, text), 256)
 

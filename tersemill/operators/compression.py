@@ -15,6 +15,9 @@ from ..functions import phrases, rewriting, segments
 REMOVALS = "array<struct<phrase:string,replacement:string,original:string>>"
 
 
+MULTI = f"struct<result:string,passes:int,changed:boolean,tier0_result:string,removals:{REMOVALS},final_tokens:int>"
+
+
 def per_text(make: Callable, kind: str):
     """An Arrow-batched UDF of a function of one text."""
 
@@ -40,13 +43,11 @@ def compress(text: Column, level: float = 3, excluded: frozenset[str] = frozense
 
 
 def multi_pass(text: Column, preset: str = "balanced", excluded: frozenset[str] = frozenset()) -> Column:
-    kind = f"struct<result:string,passes:int,changed:boolean,tier0_result:string,removals:{REMOVALS},final_tokens:int>"
-
     def one(t: str | None) -> dict:
         out = rewriting.multi_pass(t, preset, excluded)
         return out | {"removals": [{"phrase": p, "replacement": r, "original": o} for p, r, o in out["removals"]]}
 
-    return per_text(one, kind)(text)
+    return per_text(one, MULTI)(text)
 
 
 def parse_segments(text: Column) -> Column:
@@ -74,16 +75,39 @@ def word_diff(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
-def compress_pipeline(docs: DataFrame, key: str, preset: str = "balanced", *, text: str = "text", target: float = 0.5, least: int = 10, cloud_least: int = 200, cloud: bool = False, consent: bool = False, excluded: frozenset[str] = frozenset()) -> DataFrame:
+#: Rows of one text from which its result is dealt over several tasks.
+SHARE = 10_000
+
+
+def compress_pipeline(
+    docs: DataFrame,
+    key: str,
+    preset: str = "balanced",
+    *,
+    text: str = "text",
+    target: float = 0.5,
+    least: int = 10,
+    cloud_least: int = 200,
+    cloud: bool = False,
+    consent: bool = False,
+    available: bool = True,
+    excluded: frozenset[str] = frozenset(),
+) -> DataFrame:
     """One row per text: result, tier, changed, tokens before and after, and whether the cloud pass is due. Equal
     texts are compressed once, found by their cache key; blank texts and those of under `least` tokens pass
-    through."""
-    rows = docs.select(key, F.col(text).alias("original_text"), C.heuristic_tokens(F.col(text)).alias("original_tokens"), C.cache_key(F.lit(preset), F.col(text)).alias("cache_key"))
-    due = (F.col("original_tokens") >= least) & (F.length(F.trim("original_text")) > 0)
-    done = rows.filter(due).select("cache_key", "original_text").dropDuplicates(["cache_key"]).select("cache_key", multi_pass(F.col("original_text"), preset, excluded).alias("m")).select("cache_key", "m.*")
-    out = rows.join(done, "cache_key", "left")
+    through and meet no join. A text that very many rows have is dealt over several tasks."""
+    rows = docs.select(key, F.col(text).alias("original_text"), C.heuristic_tokens(F.col(text)).alias("original_tokens"))
+    due = F.coalesce((F.col("original_tokens") >= least) & ~F.col("original_text").rlike(r"\A\s*+\z"), F.lit(False))
+    through = rows.filter(~due).withColumn("m", F.lit(None).cast(MULTI))
+    rows = rows.filter(due).withColumn("cache_key", C.cache_key(F.lit(preset), F.col("original_text")))
+    groups = rows.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"), F.min("original_text").alias("original_text"))
+    done = groups.select("cache_key", F.ceil(F.col("n") / SHARE).cast("int").alias("parts"), multi_pass(F.col("original_text"), preset, excluded).alias("m"))
+    often = groups.filter(F.col("n") > SHARE).select("cache_key", F.ceil(F.col("n") / SHARE).cast("int").alias("parts"))
+    dealt = rows.join(often, "cache_key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(key), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    done = done.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    out = dealt.join(done, ["cache_key", "part"]).select(key, "original_text", "original_tokens", "m").unionByName(through)
+    out = out.select(key, "original_text", "original_tokens", "m.*")
     tokens = F.coalesce(C.heuristic_tokens(F.col("result")), F.col("original_tokens"))
-    saved = (F.col("original_tokens") - F.col("compressed_tokens")) / F.col("original_tokens")
     secret = F.size(C.secrets(F.col("original_text"))) > 0
     out = out.withColumn("compressed_tokens", tokens)
     return out.select(
@@ -95,10 +119,16 @@ def compress_pipeline(docs: DataFrame, key: str, preset: str = "balanced", *, te
         "original_tokens",
         "compressed_tokens",
         F.coalesce("passes", F.lit(0)).alias("passes"),
-        F.coalesce((saved < target) & F.lit(cloud and consent) & (F.col("original_tokens") > cloud_least) & ~secret, F.lit(False)).alias("escalate"),
+        escalate(F.col("original_tokens"), F.col("compressed_tokens"), secret, target=target, least=cloud_least, allowed=cloud and consent and available).alias("escalate"),
     )
 
 
+def escalate(before: Column, after: Column, secret: Column, *, target: float = 0.5, least: int = 200, allowed: bool = True) -> Column:
+    """Is a further pass by a remote model due? If the target was missed, the text is long enough and holds no
+    secret, and the cloud is on, consented to and available."""
+    return F.coalesce(((before - after) / before < target) & (before > least) & ~secret & F.lit(allowed), F.lit(False))
+
+
 def dictionary(spark) -> DataFrame:
     rows = [(e.kind, e.seq, e.phrase, e.replacement, e.confidence, e.category) for entries in phrases.ENTRIES.values() for e in entries]
     return spark.createDataFrame(rows, "kind string, seq int, phrase string, replacement string, confidence double, category string")

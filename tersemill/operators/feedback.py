@@ -99,16 +99,135 @@ def admit(requests: DataFrame, limits: dict[str, tuple[float, float, float, floa
     return ordered.mapInPandas(run, "id long, provider string, ts_ms long, tokens long, admitted boolean, wait_ms long")
 
 
+def anchored_days(requests: DataFrame) -> DataFrame:
+    """requests(id, provider, ts_ms, tokens) -> with day, day_requests, day_tokens. A day starts at the first request more
+    than DAY after the last one's start, so a provider's requests are one sequence; only a few numbers are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        for b in batches:
+            days, counts, sums = [], [], []
+            for p, t, n in zip(b["provider"], b["ts_ms"], b["tokens"], strict=True):
+                x = held.get(p)
+                if x is None or t - x[0] > DAY:
+                    x = held[p] = [t, 0, 0]
+                x[1] += 1
+                x[2] += n
+                days.append(x[0])
+                counts.append(x[1])
+                sums.append(x[2])
+            yield b.assign(day=days, day_requests=counts, day_tokens=sums)
+
+    ordered = requests.select("id", "provider", "ts_ms", "tokens").repartition("provider").sortWithinPartitions("provider", "ts_ms", "id")
+    return ordered.mapInPandas(run, "id long, provider string, ts_ms long, tokens long, day long, day_requests long, day_tokens long")
+
+
+def rate_stats(requests: DataFrame, now_ms: int, limits: dict[str, tuple[float, float, float, float]] = LIMITS) -> DataFrame:
+    """A row per provider at a time: requests and tokens used of the last minute and of its day, with their limits.
+    Sums come from partial aggregates, the day from anchored_days()."""
+    known = F.create_map(*[x for p, v in limits.items() for x in (F.lit(p), F.array(*map(F.lit, v)))])
+    limit = F.coalesce(known[F.col("provider")], F.array(*map(F.lit, DEFAULT_LIMITS)))
+    past = anchored_days(requests.filter(F.col("ts_ms") <= now_ms))
+    recent = F.col("ts_ms") > now_ms - MINUTE
+    last = F.max(F.struct("ts_ms", "id", "day", "day_requests", "day_tokens"))
+    out = past.groupBy("provider").agg(F.sum(recent.cast("long")).alias("rpm_used"), F.sum(F.when(recent, F.col("tokens")).otherwise(0)).alias("tpm_used"), last.alias("x"))
+    today = F.lit(now_ms) - F.col("x.day") <= DAY
+    out = out.select("provider", "rpm_used", "tpm_used", F.when(today, F.col("x.day_requests")).otherwise(0).alias("rpd_used"), F.when(today, F.col("x.day_tokens")).otherwise(0).alias("tpd_used"))
+    return out.select("*", *(limit[i].alias(f"{n}_limit") for i, n in enumerate(("rpm", "tpm", "rpd", "tpd"))))
+
+
 def pick_provider(state: DataFrame, now_ms: int, skipped: tuple[str, ...] = ()) -> DataFrame:
     """The first provider in order that has a key, credit and a valid model and isn't cooling down."""
     ready = F.col("has_key") & ~F.col("credit_exhausted") & ~F.col("misconfigured") & (F.col("cooling_down_until") <= now_ms) & ~F.col("provider").isin(*skipped)
     return state.filter(ready).orderBy("position").limit(1)
 
 
-def after_error(state: DataFrame, errors: DataFrame, now_ms: int) -> DataFrame:
-    """state after one error each: errors(provider, error_type)."""
-    s = state.join(errors, "provider", "left")
-    kind = F.coalesce("error_type", F.lit(""))
-    times = F.when(kind == "timeout", F.col("consecutive_timeouts") + 1).otherwise(F.col("consecutive_timeouts"))
-    rest: Column = F.when(kind == "rate-limited", 300_000).when(kind == "unknown", 60_000).when((kind == "timeout") & (times >= 3), 600_000)
-    return s.select("provider", "position", "has_key", F.when(rest.isNotNull(), F.lit(now_ms).cast("long") + rest).otherwise(F.col("cooling_down_until")).alias("cooling_down_until"), times.alias("consecutive_timeouts"), (F.col("credit_exhausted") | (kind == "exhausted")).alias("credit_exhausted"), (F.col("misconfigured") | (kind == "misconfigured")).alias("misconfigured"))
+# Milliseconds of rest after an outcome, and after so many timeouts in a row.
+REST = {"rate-limited": 300_000, "unknown": 60_000}
+TIMEOUTS, TIMEOUT_REST = 3, 600_000
+
+
+def after_outcomes(state: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFrame:
+    """state(provider, has_key, cooling_down_until, consecutive_timeouts, credit_exhausted, misconfigured, ...) after one
+    outcome each: outcomes(provider, outcome), success or an error's class. Other columns stay."""
+    s = state.join(outcomes.select("provider", F.col("outcome").alias("_o")), "provider", "left")
+    o = F.coalesce("_o", F.lit(""))
+    over = F.col("cooling_down_until") <= now_ms  # a rest that is over makes timeouts count anew
+    before = F.when(over & (F.col("consecutive_timeouts") >= TIMEOUTS), 0).otherwise(F.col("consecutive_timeouts"))
+    times = F.when(o == "success", 0).when(o == "timeout", before + 1).otherwise(before)
+    rest = F.create_map(*[F.lit(x) for kv in REST.items() for x in kv])[o]
+    rest = F.coalesce(rest, F.when((o == "timeout") & (times >= TIMEOUTS), TIMEOUT_REST))
+    new = {"cooling_down_until": F.coalesce(F.lit(now_ms) + rest, F.col("cooling_down_until")).cast("long"), "consecutive_timeouts": times.cast(state.schema["consecutive_timeouts"].dataType), "credit_exhausted": F.col("credit_exhausted") | (o == "exhausted"), "misconfigured": F.col("misconfigured") | (o == "misconfigured")}
+    return s.withColumns(new).select(*state.columns)
+
+
+def with_keys(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """state(..., renewable) after keys(provider, has_key) were set: the configuration is read anew, so all start afresh,
+    but credit that can't be renewed stays exhausted."""
+    s = state.join(keys.select("provider", F.col("has_key").alias("_k")), "provider", "left")
+    new = {"has_key": F.coalesce("_k", "has_key"), "cooling_down_until": F.lit(0).cast("long"), "consecutive_timeouts": F.lit(0).cast(state.schema["consecutive_timeouts"].dataType), "misconfigured": F.lit(False), "credit_exhausted": F.col("credit_exhausted") & ~F.col("renewable")}
+    return s.withColumns(new).select(*state.columns)
+
+
+def with_credit(state: DataFrame, *providers: str) -> DataFrame:
+    """state after the exhaustion of some providers, or of all, is cleared."""
+    cleared = F.col("provider").isin(*providers) if providers else F.lit(True)
+    return state.withColumn("credit_exhausted", F.col("credit_exhausted") & ~cleared)
+
+
+def provider_listing(config: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
+    """config(provider, position, model, renewable, has_key) with each one's state, in order; keys themselves are never in it."""
+    own = state.select("provider", *(c for c in ("cooling_down_until", "consecutive_timeouts", "credit_exhausted", "misconfigured")))
+    s = config.select("provider", "position", "model", "renewable", "has_key").join(own, "provider", "left").fillna({"cooling_down_until": 0, "consecutive_timeouts": 0, "credit_exhausted": False, "misconfigured": False})
+    ready = F.col("has_key") & ~F.col("credit_exhausted") & ~F.col("misconfigured") & (F.col("cooling_down_until") <= now_ms)
+    return s.withColumn("available", ready).orderBy("position")
+
+
+LOG = "phrase string, applied long, reverted long, confidence double, excluded boolean, last_updated timestamp"
+
+
+def empty_log(spark) -> DataFrame:
+    """The phrase log after a reset."""
+    return spark.createDataFrame([], LOG)
+
+
+def removal_events(compressed: DataFrame, action: str, ts: Column) -> DataFrame:
+    """compressed(seq, removals) -> an event of the action for each removal, for phrase_log()."""
+    if action not in ("apply", "revert"):
+        raise ValueError(f"no action {action!r} on removals")
+    rows = compressed.select("seq", F.explode("removals").alias("r"))
+    return rows.select("seq", ts.alias("ts"), F.col("r.phrase").alias("phrase"), F.lit(action).alias("action"))
+
+
+def toggle_events(spark, phrases: dict[str, bool], seq: int, ts) -> DataFrame:
+    """Events that set or lift the exclusion of phrases."""
+    return spark.createDataFrame([(seq, ts, p, "toggle_on" if on else "toggle_off") for p, on in phrases.items()], "seq long, ts timestamp, phrase string, action string")
+
+
+def excluded_phrases(log: DataFrame) -> DataFrame:
+    return log.filter("excluded").select("phrase")
+
+
+def feedback_of(decisions: DataFrame) -> DataFrame:
+    """decisions(seq, ts, removals, decision): what was accepted counts as applied, what was reverted or undone as reverted."""
+    action = F.when(F.col("decision") == "accepted", "apply").when(F.col("decision").isin("reverted", "undone"), "revert")
+    rows = decisions.withColumn("action", action).filter("action is not null")
+    return rows.select("seq", "ts", "action", F.explode("removals").alias("r")).select("seq", "ts", F.col("r.phrase").alias("phrase"), "action")
+
+
+def undone(decisions: DataFrame) -> DataFrame:
+    """The last accepted decision, as one that is undone; empty if there is none."""
+    return decisions.filter("decision = 'accepted'").orderBy(F.desc("seq")).limit(1).withColumn("decision", F.lit("undone"))
+
+
+def recover(history: DataFrame, id_: int) -> DataFrame:
+    """The text of an entry among the newest; empty if it isn't there."""
+    return newest(history).filter(F.col("id") == id_).select("text")
+
+
+def with_entry(history: DataFrame, entry: DataFrame, most: int = 10) -> DataFrame:
+    return newest(history.unionByName(entry), most)
+
+
+def cleared(history: DataFrame) -> DataFrame:
+    return history.limit(0)

@@ -1,11 +1,17 @@
-"""Sentence operators over a table of texts: similarity, deduplication, scores."""
+"""Sentence operators over a table of texts: similarity, deduplication, scores.
+
+What compares the sentences of one text is done text by text in one Arrow stage: no row is shuffled, the table is
+read once, and a text's terms are never joined with each other.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import rewriting
 from ..functions.rewriting import CONSTRAINTS, SIMILAR, TECHNICAL
 
 
@@ -15,42 +21,52 @@ def sentence_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.withColumn("words", C.terms(F.col("sentence")))
 
 
-def weights(rows: DataFrame, key: str) -> DataFrame:
-    """(key, i, term, tf, idf, w) of each sentence's terms within its text. Partial sums come before each shuffle."""
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    tf = rows.withColumn("len", F.size("words")).select(key, "i", "len", F.explode("words").alias("term")).groupBy(key, "i", "len", "term").agg(F.count(F.lit(1)).alias("c"))
-    df = tf.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
-    out = tf.join(df, [key, "term"]).join(n, key)
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return out.select(key, "i", "term", (F.col("c") / F.col("len")).alias("tf"), idf.alias("idf"), (F.col("c") / F.col("len") * idf).alias("w"))
+def weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, i, term, tf, idf, w) of each sentence's terms within its text."""
+
+    @F.pandas_udf("array<struct<i:int,term:string,tf:double,idf:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            words, idf = rewriting.sentence_terms(rewriting.split_sentences(t or ""))
+            return [{"i": i, "term": w, "tf": tf, "idf": idf[w]} for i, own in enumerate(words) for w, tf in rewriting.frequencies(own).items()]
+
+        return pd.Series([one(t) for t in texts], index=texts.index, dtype=object)
+
+    rows = docs.select(key, F.explode(run(F.col(text))).alias("x")).select(key, "x.*")
+    return rows.withColumn("w", F.col("tf") * F.col("idf"))
 
 
 def similar_pairs(docs: DataFrame, key: str, text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """(key, i, j, sim) of sentences of one text that share terms: a self-join on text and term, never across texts."""
-    w = weights(sentence_rows(docs, key, text), key)
-    norm = w.groupBy(key, "i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = w.alias("a"), w.alias("b")
-    dots = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.i") < F.col("b.i"))).groupBy(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("dot"))
-    sim = dots.join(norm, [key, "i"]).withColumnRenamed("norm", "ni").join(norm.select(key, F.col("i").alias("j"), F.col("norm").alias("nj")), [key, "j"])
-    return sim.select(key, "i", "j", (F.col("dot") / (F.col("ni") * F.col("nj"))).alias("sim")).filter(F.col("sim") >= least)
-
-
-def dedup_sentences(docs: DataFrame, key: str, text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """(key, text, removed): pairs in order drop the less dense sentence, the later of equals, unless either is gone."""
-    rows = sentence_rows(docs, key, text)
-    dense = rows.select(key, "i", C.density(F.col("words")).alias("d"))
-    pairs = similar_pairs(docs, key, text, least).join(dense, [key, "i"]).withColumnRenamed("d", "di").join(dense.select(key, F.col("i").alias("j"), F.col("d").alias("dj")), [key, "j"])
-    drop = F.when(F.col("di") >= F.col("dj"), F.col("j")).otherwise(F.col("i"))
-    folded = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j", drop.alias("drop")))).alias("p"))
-    gone = F.aggregate("p", F.array().cast("array<int>"), lambda g, p: F.when(F.array_contains(g, p["i"]) | F.array_contains(g, p["j"]), g).otherwise(F.array_append(g, p["drop"])))
-    out = docs.select(key, text, C.sentences(F.col(text)).alias("s")).join(folded.select(key, gone.alias("gone")), key, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: ~F.array_contains(F.col("gone"), y["i"])), lambda y: y["x"]), " ")
-    return out.select(key, F.when(F.size("s") < 2, F.col(text)).otherwise(kept).alias("text"), F.size("gone").cast("long").alias("removed"))
+    """(key, i, j, sim) of the sentences of one text with a cosine of at least `least`."""
+
+    @F.pandas_udf("array<struct<i:int,j:int,sim:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            return [{"i": i, "j": j, "sim": c} for i, j, c in rewriting.Similar(rewriting.split_sentences(t or ""), least).pairs()]
+
+        return pd.Series([one(t) for t in texts], index=texts.index, dtype=object)
+
+    return docs.select(key, F.explode(run(F.col(text))).alias("x")).select(key, "x.*")
+
+
+def dedup_sentences(docs: DataFrame, key: str, text: str = "text", least: float = SIMILAR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, text, removed, merges): pairs in order drop the less dense sentence, the later of equals, unless
+    either is gone. merges: what stayed, what went, how similar."""
+
+    @F.pandas_udf("struct<text:string,removed:long,merges:array<struct<kept:string,dropped:string,similarity:double>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            out, merges = rewriting.dedup_sentences(t, least) if t is not None else (None, [])
+            rows.append({"text": out, "removed": len(merges), "merges": [{"kept": a, "dropped": b, "similarity": s} for a, b, s in merges]})
+        return pd.DataFrame(rows, index=texts.index, columns=["text", "removed", "merges"])
+
+    return docs.select(key, *carry, run(F.col(text)).alias("_d")).select(key, *carry, "_d.*")
 
 
 def sentence_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, i, sentence, score) with the text as one paragraph."""
-    rows = sentence_rows(docs, key, text).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    """(key, i, n, sentence, score) with the text as one paragraph."""
+    rows = docs.withColumn("_s", C.sentences(F.col(text))).select(key, F.size("_s").alias("n"), F.posexplode("_s").alias("i", "sentence")).withColumn("words", C.terms(F.col("sentence")))
     low = F.lower("sentence")
     marked = F.lit(False)
     for word in CONSTRAINTS:
@@ -62,12 +78,25 @@ def sentence_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def keep_flags(docs: DataFrame, key: str, share: float, text: str = "text") -> DataFrame:
-    """(key, i, score, kept): the first floor(n * share) sentences in order that score at most the cutoff and hold no question or constraint go."""
+    """(key, i, sentence, score, kept): the first floor(n * share) sentences in order that score at most the cutoff and hold no question or constraint go."""
     rows = sentence_scores(docs, key, text)
     whole = Window.partitionBy(key)
     k = F.floor(F.col("n") * share).cast("int")
-    cutoff = F.element_at(F.array_sort(F.collect_list("score").over(whole)), F.least(k, (F.col("n") - 1).cast("int")) + 1)
+    place = F.row_number().over(whole.orderBy("score")) - 1
     free = ~F.contains("sentence", F.lit("?")) & ~F.col("sentence").rlike(r"(?i)(?<![A-Za-z0-9_])(?:must|should|never|only)(?![A-Za-z0-9_])")
-    rows = rows.withColumn("k", k).withColumn("may", (F.col("score") <= cutoff) & free)
+    rows = rows.withColumn("k", k).withColumn("place", place)
+    cutoff = F.max(F.when(F.col("place") == F.least(F.col("k"), F.col("n") - 1), F.col("score"))).over(whole)
+    rows = rows.withColumn("may", (F.col("score") <= cutoff) & free)
     rank = F.sum(F.col("may").cast("int")).over(whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(key, "i", "score", (~(F.col("may") & (rank <= F.col("k")))).alias("kept"))
+    return rows.select(key, "i", "sentence", "score", (~(F.col("may") & (rank <= F.col("k")))).alias("kept"))
+
+
+def with_subjects(kept: DataFrame, key: str) -> DataFrame:
+    """keep_flags() -> (key, i, sentence, subject, resolved): of a kept sentence that begins with a pronoun and follows a
+    dropped one, the pronoun gives way to that one's subject."""
+    w = Window.partitionBy(key).orderBy("i")
+    rows = kept.withColumn("subject", C.subject(F.col("sentence")))
+    rows = rows.withColumn("_gone", F.lag(~F.col("kept"), 1, False).over(w)).withColumn("_subject", F.lag("subject").over(w))
+    due = F.col("kept") & F.col("_gone") & F.col("_subject").isNotNull()
+    resolved = F.when(due, C.resolved(F.col("sentence"), F.col("_subject"))).otherwise(F.col("sentence"))
+    return rows.select(key, "i", "sentence", "kept", "subject", resolved.alias("resolved"))

@@ -22,5 +22,21 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet
     return df.writeStream.format(form).option("checkpointLocation", checkpoint).start(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, with its rows dealt over the cores before heavy work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def write_or_keep(df: DataFrame, path: str, spare: str, form: str = "parquet", **options) -> str:
+    """Writes df to path or, where that fails, to the spare path. success, or spare: the reason."""
+    try:
+        write(df, path, form, **options)
+        return "success"
+    except Exception as e:  # noqa: BLE001  whatever the sink says, the rows must not be lost
+        write(df, spare, form)
+        return f"spare: {type(e).__name__}"
+
+
 def test_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
