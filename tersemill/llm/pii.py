@@ -8,8 +8,9 @@ Labelled spans: the training text is text of a bounded sample of documents (SAMP
 spans are labelled, and into which spans of each kind and decoys (dates, versions, prices, keys) are planted
 by a fixed generator.
 
-Texts are read in overlapping windows (WINDOW, STEP). A span of any kind has a digit or an at sign, so windows
-with one are run, and from there on the next ones for as long as a run reaches a window's edge. A run cut by an
+Texts are read in overlapping windows (WINDOW, STEP). A span that passes its kind's test has a digit or an at
+sign, so windows with one are run, and from there the ones before and after for as long as a run reaches a
+window's edge; runs that could begin only in windows without either would fail the test. A run cut by an
 edge is continued by the run of its kind that it meets in a window beyond, over any number of windows. Of runs
 that overlap, that whose ends lie most inside their windows is taken, cut ones last. An added span must pass its
 kind's test and may not touch a base span.
@@ -42,7 +43,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE, WINDOW, STEP = 400, 64, 32
-HIDDEN, EMBED, STEPS, BATCH = 16, 10, 260, 48
+HIDDEN, EMBED, STEPS, BATCH, EXAMPLES = 16, 10, 600, 48, 6000
 #: Tags: outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 TRIGGER = re.compile(r"[0-9@]")
@@ -266,7 +267,7 @@ def tagged(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
-def training_set(texts: list[str], examples: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def training_set(texts: list[str], examples: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows of classes and tags: planted spans and decoys in the sample's own prose."""
     r = np.random.default_rng(seed)
     prose = [t for t in texts if len(t) > 2 * WINDOW] or ["the of and in that is for it with as was on be by this " * 8]

@@ -2,6 +2,7 @@ import functools
 import hashlib
 import json
 import random
+import re
 import time
 import tracemalloc
 import zlib
@@ -226,14 +227,67 @@ def test_pii():
     text = "x 4111 1111 1111 1111, 1.2.3.4 1.2.3.999 +1 (918) 555-4124 a.b@c.d"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b@c.d"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (918) 555-4124")]
     ids, tags = pii.training_set(["the quick brown fox jumps over the lazy dog again and again " * 20], 900)
-    model = pii.BiLstmCrf().fit(ids, tags, steps=120)
+    model = pii.BiLstmCrf().fit(ids, tags, steps=400)
     held, want = pii.training_set(["some other words that the model has not seen before in text " * 20], 300, seed=9)
     got = model.decode(held.T).T
-    assert (got == want).mean() > 0.9
+    inside = want > 0  # most characters are outside of spans
+    assert (got == want)[inside].mean() > 0.85 and (got == want)[~inside].mean() > 0.98
     found, every = pii.PiiFinder(model).find(["call +1 (918) 555-4124 or mail a.b@c.d please", ""])[0]
     assert [k for k, _, _ in found] == ["email", "phone"] and set(found) <= set(every)
 
 
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(d))) % 10 == 0
+    only = lambda s: "".join(c for c in s if c in "0123456789")
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(only(s)) <= 19 and luhn(only(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(only(s)) <= 15),
+    ]
+    return [(kind, *m.span()) for kind, pattern, holds in kinds for m in re.finditer(pattern, text) if holds(m[0])]
+
+
+def test_pii_base_columns_equal_the_patterns(spark):
+    r = random.Random(15)
+    pieces = ["4111 1111 1111 1111", "4111-1111-1111-1112", "10.0.0.1", "1.2.3.4.5", "256.1.1.1", "00001.2.3.4", "+1 (918) 555-4124", "+12", "a.b@c.d", "@", "é", " ", "-", ".", "7", "+", "x", "5555555555554444", "a@b..c", "😀"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(1500)] + EDGE
+    for t in texts:
+        assert pii.base_spans(t or "") == plain_base(t or ""), t
+    got = rows(pii.find_pii(frame(spark, texts), pii.BiLstmCrf()))  # whatever an unfitted model adds, these columns stay
+    for i, t in enumerate(texts):
+        base = plain_base(t or "")
+        assert [got[i]["n_" + k] for k in pii.KINDS] == [sum(x == k for x, _, _ in base) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(got[i]["spans"].split(","))
+
+
+def test_pii_network_finds_what_the_patterns_miss_and_nothing_else():
+    import pyarrow.parquet as pq
+
+    prose = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) > 400]
+    finder = pii.PiiFinder(pii.BiLstmCrf().fit(*pii.training_set([t[:4000] for t in prose[:300]])))
+    r = np.random.default_rng(77)
+    texts, want = [], []
+    while len(texts) < 900:
+        span, kind = pii.planted(r)
+        t = prose[int(r.integers(300, len(prose)))]
+        at = int(r.integers(0, len(t) - 300))
+        cut = t.find(" ", at + 120, at + 290) + 1 or at + 150
+        text = t[at:cut] + span + " " + t[cut : at + 300]
+        made = (kind, cut - at, cut - at + len(span)) if kind else None
+        if not any(a < cut - at + len(span) and b > cut - at for _, a, b in pii.base_spans(text)):  # only what no pattern sees
+            texts.append(text)
+            want.append(made)
+    got = [set(every) - set(base) for at in range(0, len(texts), 100) for base, every in finder.find(texts[at : at + 100])]
+    for kind in ("email", "card", "phone"):
+        own = [i for i, w in enumerate(want) if w and w[0] == kind]
+        assert len(own) > 20 and np.mean([want[i] in got[i] for i in own]) > 0.9, kind
+    extra = [s for g, w in zip(got, want, strict=True) for s in g - {w}]
+    assert len(extra) <= 0.01 * len(texts), extra
+
+
 def test_gradient():
     model = pii.BiLstmCrf()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
