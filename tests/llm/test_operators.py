@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tersemill.llm import bpe_codec, embedding_dedup, exact_dedup, html_extract, jaccard_join, mixing, pii, token_counts, toxicity, url_filter
 
@@ -435,12 +436,19 @@ def test_jaccard_skipping_and_derived_answers_lose_no_link(parts):
 
 def test_embedding_dedup(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "PART", 20)
     r = np.random.default_rng(3)
     centres = r.standard_normal((20, 32))
     x = [c + r.standard_normal(32) * 0.25 for c in centres for _ in range(6)]
     x += [x[0]] * 30
+    # near copies: two tight groups about the threshold's angle apart, whose members link in part
+    for k in range(6):
+        u, w = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+        for angle in (0, 17 + 2 * k):
+            at = np.cos(np.radians(angle)) * u + np.sin(np.radians(angle)) * w
+            x += [at + r.standard_normal(32) * 0.012 for _ in range(7)]
     vectors = [[float(v) for v in np.float32(y)] for y in x] + [None, [], [0.0] * 32, [float("nan")] * 32, [None] * 32, [1.0, 0.0]]
-    labels = [i // 60 for i in range(120)] + [0] * 30 + [0] * 6
+    labels = [i // 60 for i in range(120)] + [0] * 30 + [1] * 84 + [0] * 6
     labels[5] = None
     df = spark.createDataFrame([(i, v, lab, "x") for i, (v, lab) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<float>, label int, id string")
     got = rows(embedding_dedup.embedding_dedup(df), "vec_id")
@@ -450,6 +458,15 @@ def test_embedding_dedup(spark, monkeypatch):
     found = sum(got[i]["n_links"] for i in got)
     assert found <= sum(map(len, links)) and found >= 0.98 * sum(map(len, links)) and found > 100
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(len(vectors)) if not ok[i])
+    # where no link was missed all counts are right; none is ever made up
+    assert np.mean([got[i]["n_links"] == len(links[i]) for i in got]) > 0.97 and all(got[i]["n_links"] <= len(links[i]) for i in got)
+    tight = range(150, 234)
+    assert any(0 < len(links[i]) - 6 < 7 for i in tight) and any(len(links[i]) == 13 for i in tight) and any(len(links[i]) == 6 for i in tight)
+    reps = df.filter("vec_id between 150 and 233").select(F.col("vec_id").alias("id"), "label", "embedding")
+    led = {x["id"]: x["leader"] for x in embedding_dedup.clusters(reps, 0.93).collect()}
+    assert len(led) == 84 and len(set(led.values())) < 30
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+    assert [embedding_dedup.tables_for(n, 0.93)[0] for n in (1, 10**6, 10**9, 10**12)] == [3, 13, 23, 32]
 
 
 def test_pipeline(spark):
