@@ -5,7 +5,8 @@ letters; the document's score is their noisy-or, 1 - prod(1 - p). Only documents
 the sentence scores that come of it locate the offending sentences.
 
 The model is fitted on the driver in numpy, on at most TRAIN_DOCS labelled documents of each label with at most
-TRAIN_CHARS characters, those with the smallest hashes of their ids, weighted back to the labels' true shares.
+TRAIN_CHARS characters, those with the smallest hashes of their ids (of texts that repeat an id, one), weighted
+back to the labels' true shares. Longer documents are scored like all others, only not learned from.
 It knows at most VOCAB words, whatever the input, and is broadcast. Labels, languages, sources and ids never
 enter a score.
 
@@ -161,8 +162,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS) for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "id").collect()
-    rows = sorted({(r["id"], r["text"], r["y"]) for r in rows})[: 4 * TRAIN_DOCS]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "id")
+    # of rows that repeat an id one text, that with the least hash: no more rows come to the driver than the sample has
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect()
+    rows = sorted((r["id"], r["text"], r["y"]) for r in rows)
     seen = Counter(y for _, _, y in rows)
     return NoisyOr.fit([t for _, t, _ in rows], [y for _, _, y in rows], [counts[y] / seen[y] for _, _, y in rows])
 

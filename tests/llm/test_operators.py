@@ -237,6 +237,51 @@ def test_pii():
     assert [k for k, _, _ in found] == ["email", "phone"] and set(found) <= set(every)
 
 
+def test_toxicity_fit_climbs_the_noisy_or_likelihood():
+    r = np.random.default_rng(4)
+    sentences, words, documents, features = 60, 12, 15, 20
+    rows_, cols = np.repeat(np.arange(sentences), 4), r.integers(0, words, sentences * 4)
+    owner, y = np.sort(r.integers(0, documents, sentences)), r.integers(0, 2, documents).astype(float)
+    word, feature = np.repeat(np.arange(words), 2), r.integers(0, features, words * 2)
+    share = np.full(documents, 1 / documents)
+    bag = toxicity.Bags(rows_, cols, owner, words)
+
+    def likelihood(w, bias):
+        """Sentence by sentence, document by document."""
+        total = 0.0
+        for k in range(documents):
+            none = 1.0
+            for s in np.flatnonzero(owner == k):
+                z = bias + sum(w[f] for c in cols[rows_ == s] for f in feature[word == c])
+                none *= 1 - 1 / (1 + np.exp(-z))
+            total += share[k] * np.log(1 - none if y[k] else none) if (owner == k).any() else 0
+        return total
+
+    w, bias = r.standard_normal(features) * 0.1, -2.0
+    up, bias_up = toxicity.NoisyOr.ascend(bag, word, feature, y, share, w, bias, 1, 1e-3, 0.0)
+    for f in range(features):
+        e = np.eye(features)[f] * 1e-5
+        slope = (likelihood(w + e, bias) - likelihood(w - e, bias)) / 2e-5
+        assert abs(slope) < 1e-6 or np.sign(up[f] - w[f]) == np.sign(slope)
+    slope = (likelihood(w, bias + 1e-5) - likelihood(w, bias - 1e-5)) / 2e-5
+    assert np.sign(bias_up - bias) == np.sign(slope)
+    fitted, b = toxicity.NoisyOr.ascend(bag, word, feature, y, share, w, bias, 200, 0.1, 0.0)
+    assert likelihood(fitted, b) > likelihood(w, bias) + 0.1
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences():
+    model = toxicity.NoisyOr({"bad": 3.0, "vile": 4.0, "fine": -1.0}, -3.0)
+    for text in ("", "...", "bad day. fine vile thing!", "x\ny bad. bad. bad"):
+        none = 1.0
+        for s in re.findall(r"[^.!?\n]+", text):
+            own = set(re.findall(r"\w+", s))
+            if own:
+                none *= 1 - 1 / (1 + np.exp(3.0 - sum(model.weights.get(w, 0.0) for w in own)))
+        assert abs(model.score(text)[0] - (1 - none)) < 1e-9
+    text = "fine day. bad vile thing! more"
+    assert [text[a:b] for a, b, _ in model.score(text)[1]] == [" bad vile thing"]
+
+
 def plain_base(text):
     """The contract's patterns as they stand."""
     luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(d))) % 10 == 0
