@@ -8,8 +8,14 @@ documents of one sub-block, so no task ever orders a whole source.
 
 Each pass of a block is a unit. How many units of each source an output shard gets is drawn by a tree: a
 node's quotas are split between its two halves by sampling its units without replacement, which is a
-multivariate hypergeometric draw, so quotas stay exact. Shards then take disjoint runs of each source's
-permuted units, and a hash of shard, document and pass orders them within the shard.
+multivariate hypergeometric draw, so quotas stay exact. Many sources are split in groups: first a draw over
+the groups, then one inside each, which is the same distribution. Shards then take disjoint runs of each
+source's permuted units, and a hash of shard, document and pass orders them within the shard. What a document
+gives to the mixture is the units drawn of its block.
+
+Sources are numbered and shared out by prefix sums over ranges of them, so no task goes through all sources;
+one row has the groups' quotas, GROUP times fewer than there are sources. Documents meet what is known of
+their source by broadcast where it has many of them.
 
 Defined results: a null text has size 0; the null source is a source of its own, the last; a source without
 words has target 0; rows that repeat an id and size are drawn alike; a table without words takes nothing, an
@@ -18,51 +24,82 @@ empty one gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hinted, materialize, table
+from .common import WORD, hinted, materialize, scratch, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCKS, SUB_BLOCKS, SHARDS = 256, 4096, 64
-#: Up to so many sources, what is known of each source is broadcast; beyond, it is joined by shuffling.
+#: Up to so many sources, what is known of each source is broadcast; beyond, only of those (no more) with a share of so much.
 SMALL = 2000
+#: Sources whose quotas are drawn together.
+GROUP = 512
+
+
+def before_each(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with the sums of what comes before each row in an order without ties: within ranges, and of the ranges before."""
+    named = df.withColumns({f"_{n}": c for n, c in sums.items()}).withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    keys = [F.col(f"_o{i}") for i in range(len(order))]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(named.repartitionByRange(ranges, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_p").agg(*(F.sum(f"_{n}").alias(f"_t_{n}") for n in sums))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("_p", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in sums))
+    inside = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(totals), "_p")
+    return out.select(*df.columns, *((F.col(f"_t_{n}") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0))).alias(n) for n in sums))
 
 
 def share(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
-    """sources(src, source, words) with idx and target. One row a source comes together in one task here."""
-    order = Window.orderBy(F.col("source").isNull(), "source", "src")
+    """sources(src, source, words, ...) with idx and target."""
+    s = before_each(sources, [F.col("source").isNull(), F.col("source"), F.col("src")], idx=F.lit(1)).withColumn("idx", (F.col("idx") + 1).cast("int"))
     cycle = F.array(*map(F.lit, weights))
-    s = sources.withColumn("idx", F.row_number().over(order)).withColumn("weight", F.element_at(cycle, ((F.col("idx") - 1) % len(weights) + 1).cast("int")))
+    s = s.withColumn("weight", F.element_at(cycle, ((F.col("idx") - 1) % len(weights) + 1).cast("int")))
     # those that reach their cap first come first; a source is capped if it is above its cap with all before it capped
-    first = Window.orderBy(F.col("words") / F.col("weight"), "idx")
-    before, every = first.rowsBetween(Window.unboundedPreceding, -1), first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("words").over(every) - most * F.coalesce(F.sum("words").over(before), F.lit(0))
-    weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    s = s.withColumn("level", left / weight)
-    s = s.withColumn("free", F.col("weight") * F.col("level") <= most * F.col("words"))
-    level = F.min(F.when(F.col("free"), F.struct(F.col("words") / F.col("weight"), F.col("idx"), F.col("level").alias("level")))).over(every)["level"]
-    return s.withColumn("target", F.least(F.lit(float(most)) * F.col("words"), F.coalesce(F.col("weight") * level, F.lit(float(most)) * F.col("words")))).drop("level", "free")
+    s = materialize(before_each(s, [F.col("words") / F.col("weight"), F.col("idx")], capped=F.col("words"), gone=F.col("weight")), "shares")
+    total = s.agg(F.sum("words"), F.sum("weight")).first()
+    level = (F.lit(total[0]) - most * F.col("capped")) / (F.lit(total[1]) - F.col("gone"))
+    s = s.withColumn("level", level)
+    free = s.filter(F.col("weight") * F.col("level") <= most * F.col("words"))
+    found = free.agg(F.min(F.struct(F.col("words") / F.col("weight"), F.col("idx"), F.col("level").alias("level")))["level"]).first()[0]
+    target = F.col("weight") * found if found is not None else F.lit(float(most)) * F.col("words")
+    return s.withColumn("target", F.least(F.lit(float(most)) * F.col("words"), target)).drop("level", "capped", "gone")
+
+
+class Sources:
+    """What is known of each source, joined to rows without a task for each source."""
 
+    def __init__(self, sources: DataFrame):
+        self.hot = None
+        if sources.count() > SMALL:
+            self.hot = F.broadcast(sources.filter("hot").select("src"))
 
-def cuts(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    def join(self, rows: DataFrame, info: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        if self.hot is None:
+            return rows.join(F.broadcast(info), keys, how)
+        many = rows.join(self.hot, "src", "left_semi").join(F.broadcast(info.join(self.hot, "src", "left_semi")), keys, how)
+        return many.unionByName(rows.join(self.hot, "src", "left_anti").join(info, keys, how))
+
+
+def cuts(rows: DataFrame, sources: DataFrame, known: Sources) -> DataFrame:
     """Where the part of a pass ends: (src, cut), cut being the key of the last document taken; null if none."""
-    hint = F.broadcast if small else lambda x: x
     part = sources.select("src", "part").filter("part > 0")
-    at = hint(part.withColumn("before", F.lit(0).cast("long")))
+    at = part.withColumn("before", F.lit(0).cast("long"))
     inside = rows
     for keys in (["k1", "b1"], ["k2", "b2"]):
-        inside = inside.join(at, "src")
+        inside = known.join(inside, at, ["src"])
         sums = inside.groupBy("src", "part", "before", *keys).agg(F.sum("size").alias("size"))
         w = Window.partitionBy("src").orderBy(*keys)
         sums = sums.withColumn("until", F.col("before") + F.sum("size").over(w))
         # the block in which the part ends: the first that reaches it
         ends = sums.filter("until >= part").groupBy("src").agg(F.min(F.struct(*keys, (F.col("until") - F.col("size")).alias("before"), "part")).alias("e")).select("src", "e.*")
-        inside = inside.drop("part", "before").join(hint(ends), ["src", *keys])
-        at = hint(ends.select("src", *keys, "part", "before"))
+        inside = known.join(inside.drop("part", "before"), ends, ["src", *keys])
         if keys[0] == "k1":
             inside = inside.drop("part", "before")
-            at = hint(ends.select("src", "part", "before"))
+            at = ends.select("src", "part", "before")
     w = Window.partitionBy("src").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     key = F.struct("k1", "b1", "k2", "b2", "h", "id", "size")
@@ -72,10 +109,12 @@ def cuts(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """quotas: one row with q, array<long> of each source's units. Gives (shard, q) for each shard."""
+    """quotas: a row for each group of sources, (g, q), with q, array<long> of each source's units. Gives (shard, g, q)."""
+
+    add = lambda q: F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def left(node: Column, q: Column) -> Column:
-        total = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
+    def left(node: Column, q: Column, room: Column) -> Column:
+        total = add(q)
         units = lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
 
         def draw(s: Column, _: Column) -> Column:
@@ -87,21 +126,39 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             end = F.aggregate(units(n), F.struct(a["rest"].alias("rest"), a["room"].alias("room"), F.lit(0).cast("long").alias("hits")), draw)
             return F.transform(F.array(end), lambda e: F.struct(e["rest"].alias("rest"), e["room"].alias("room"), F.concat(a["out"], F.array(e["hits"])).alias("out")))[0]
 
-        start = F.struct(total.alias("rest"), F.floor(total / 2).alias("room"), F.array().cast("array<long>").alias("out"))
+        start = F.struct(total.alias("rest"), room.alias("room"), F.array().cast("array<long>").alias("out"))
         return F.aggregate(q, start, source, lambda a: a["out"])
 
-    nodes = quotas.select(F.lit(1).cast("long").alias("node"), "q")
+    def halves(nodes: DataFrame, *keys: str) -> DataFrame:
+        one = F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q"))
+        two = F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "l", lambda a, b: a - b).alias("q"))
+        return nodes.select(*keys, F.explode(F.array(one, two)).alias("x")).select(*keys, "x.*")
+
+    nodes = quotas.select("g", F.lit(1).cast("long").alias("node"), "q")
+    several = quotas.count() > 1
+    if several:
+        top = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", add(F.col("q")).alias("n")))), lambda x: x["n"]).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
     width = 1
     while width < shards:
-        nodes = nodes.withColumn("l", left(F.col("node"), F.col("q")))
-        nodes = nodes.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "l", lambda a, b: a - b).alias("q")))).alias("x")).select("x.*")
+        if several:
+            top = top.withColumn("l", left(F.col("node"), F.col("q"), F.floor(add(F.col("q")) / 2)))
+            nodes = nodes.join(top.select("node", F.posexplode("l").alias("g", "room")), ["node", "g"])
+            nodes = nodes.withColumn("l", left(F.xxhash64("node", "g"), F.col("q"), F.col("room")))
+            top, nodes = materialize(halves(top), "tree"), materialize(halves(nodes, "g"), "tree")
+        else:  # one group has what the whole node has
+            nodes = halves(nodes.withColumn("l", left(F.col("node"), F.col("q"), F.floor(add(F.col("q")) / 2))), "g")
         width *= 2
-    return nodes.select((F.col("node") - width).alias("shard"), "q")
+    return nodes.select((F.col("node") - width).alias("shard"), "g", "q")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken, shards (array<long>: where each copy
     goes, in order of the passes). draws() makes the mixture of it. shards is a power of two."""
+    with scratch() as keep:
+        return _mix(docs, id_col, text_col, source_col, weights, most, shards, seed, keep)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: int, shards: int, seed: int, keep: Callable[..., None]) -> DataFrame:
     # what tells two rows of a source apart is their id; its hash is their place
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
@@ -110,30 +167,34 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     keyed = rows.withColumns({"b1": F.pmod(F.col("h"), F.lit(BLOCKS)), "b2": F.pmod(F.shiftright("h", 20), F.lit(SUB_BLOCKS))})
     keyed = keyed.withColumns({"k1": F.xxhash64(F.lit(seed), "src", "b1"), "k2": F.xxhash64(F.lit(seed + 1), "src", "b2")})
 
-    sources = share(rows.groupBy("src", "source").agg(F.sum("size").alias("words")), weights, most)
+    sources = rows.groupBy("src", "source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    sources = share(sources.withColumn("hot", F.col("n") * SMALL >= rows.count()).drop("n"), weights, most)
     take = F.floor(F.col("target") + 0.5).cast("long")
     sources = sources.withColumn("passes", F.when(F.col("words") > 0, F.floor(take / F.col("words"))).otherwise(0).cast("long")).withColumn("part", take - F.col("passes") * F.col("words"))
     sources = materialize(sources, "sources")
-    small = sources.count() <= SMALL
-    hint = F.broadcast if small else lambda x: x
-    ends = materialize(cuts(keyed.select("src", "id", "size", "h", "b1", "b2", "k1", "k2"), sources, small), "cuts")
-    plan = sources.join(ends, "src", "left")
+    known = Sources(sources)
+    ends = materialize(cuts(keyed.select("src", "id", "size", "h", "b1", "b2", "k1", "k2"), sources, known), "cuts")
+    plan = materialize(sources.join(ends, "src", "left"), "plan")
 
     # units of each source in their permuted order: whole passes, then the blocks of the part
     blocks = keyed.groupBy("src", "k1", "b1").agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("k1", "b1"))).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("src")))
-    blocks = blocks.join(hint(plan.select("src", "idx", "passes", "part", "cut")), "src")
+    blocks = known.join(blocks, plan.select("src", "idx", "passes", "part", "cut"), ["src"])
     in_part = F.coalesce(F.struct("k1", "b1") <= F.struct(F.col("cut.k1"), F.col("cut.b1")), F.lit(False)) & (F.col("part") > 0)
     blocks = materialize(blocks.withColumn("passes", F.col("passes") + in_part.cast("long")).select("src", "idx", "b1", "place", "blocks", "passes"), "blocks")
-    quotas = blocks.groupBy("idx").agg(F.sum("passes").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("q"), F.array_sort(F.collect_list("idx")).alias("ids"))
-    leaves = split_quotas(quotas, shards, seed).select("shard", F.posexplode("q").alias("i", "n"))
-    idx = blocks.groupBy("idx").count().select("idx", (F.row_number().over(Window.orderBy("idx")) - 1).alias("i"))
-    until = F.sum("n").over(Window.partitionBy("i").orderBy("shard"))
-    runs = leaves.withColumn("until", until).filter("n > 0").join(idx, "i").select("idx", "shard", F.explode(F.sequence(F.col("until") - F.col("n") + 1, F.col("until"))).alias("unit"))
+    # idx counts the sources from 1 without a gap
+    own = blocks.groupBy("idx").agg(F.sum("passes").alias("n")).withColumn("g", F.floor((F.col("idx") - 1) / GROUP).cast("int"))
+    quotas = own.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("q"))
+    leaves = split_quotas(quotas, shards, seed).select("shard", "g", F.posexplode("q").alias("i", "n")).select("shard", (F.col("g") * GROUP + F.col("i") + 1).alias("idx"), "n")
+    until = F.sum("n").over(Window.partitionBy("idx").orderBy("shard"))
+    runs = leaves.withColumn("until", until).filter("n > 0").select("idx", "shard", F.explode(F.sequence(F.col("until") - F.col("n") + 1, F.col("until"))).alias("unit"))
     units = blocks.filter("passes > 0").select("src", "idx", "b1", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda e: F.struct(e.alias("pass"), (e * F.col("blocks") + F.col("place")).alias("unit")))).alias("u")).select("src", "idx", "b1", "u.*")
     where = units.join(runs, ["idx", "unit"]).groupBy("src", "b1").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("places"))
 
-    out = keyed.join(hint(plan.select("src", F.col("words").alias("source_size"), "target", "cut", "closed")), "src").join(hint(where), ["src", "b1"], "left")
+    where = materialize(where, "where")
+    keep(rows, sources, plan, where)
+    out = known.join(keyed, plan.select("src", F.col("words").alias("source_size"), "target", "cut", "closed"), ["src"])
+    out = known.join(out, where, ["src", "b1"], "left")
     # a document is in the units drawn of its block; in the block where the part ends, the last unit goes only as far as the cut
     key = F.struct("k1", "b1", "k2", "b2", "h", "id", "size")
     drawn = F.coalesce("places", F.array().cast("array<long>"))

@@ -130,7 +130,7 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     r = random.Random(1)
     sources = [r.choice(["a", "a", "a", "b", "c", None, ""]) for _ in range(600)] + ["tiny", "none"]
     texts = ["w " * r.randint(0, 40) for _ in range(600)] + ["w w", None]
@@ -156,9 +156,35 @@ def test_mixing(spark):
         assert abs(sum(x["taken"] for x in own) - target[s]) <= 41
         assert all(x["taken"] == x["size"] * len(x["shards"]) <= 3 * x["size"] for x in own)
     assert mixing.draws(df).count() == sum(len(x["shards"]) for x in got.values())
+    # units are dealt evenly: shards differ by the size of their blocks only
+    monkeypatch.setattr(mixing, "SMALL", 2)  # only frequent sources are broadcast; nothing else may change
+    assert rows(mixing.mix(frame(spark, texts, sources), shards=8)) == got
+    monkeypatch.setattr(mixing, "GROUP", 3)  # other draws of the tree, but what a source gives stays
+    other = rows(mixing.mix(frame(spark, texts, sources), shards=8))
+    plain = lambda x: {i: (r["size"], r["target"], r["taken"], len(r["shards"])) for i, r in x.items()}
+    assert plain(other) == plain(got) and other != got
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_tree_splits_quotas_exactly(spark):
+    quotas = [[7, 0, 12], [3, 30, 1]]
+    df = spark.createDataFrame(list(enumerate(quotas)), "g int, q array<long>")
+    for part in (df, df.limit(1)):
+        want = [q for g, q in enumerate(quotas) if part is df or g == 0]
+        total = sum(map(sum, want))
+        leaves = mixing.split_quotas(part, 4, 1).collect()
+        assert len(leaves) == 4 * len(want)
+        for g, q in enumerate(want):
+            assert [sum(x) for x in zip(*(r["q"] for r in leaves if r["g"] == g), strict=True)] == q
+        sizes = [sum(sum(r["q"]) for r in leaves if r["shard"] == k) for k in range(4)]
+        assert sum(sizes) == total and max(sizes) - min(sizes) <= 1
+    # a draw of one source has the mean and the variance of the hypergeometric distribution
+    hits = [r["q"][0] for r in mixing.split_quotas(spark.range(1).selectExpr("0 as g", "array(10L, 30L) as q"), 2, 3).filter("shard = 0").collect()]
+    for seed in range(60):
+        hits += [r["q"][0] for r in mixing.split_quotas(spark.range(1).selectExpr("0 as g", "array(10L, 30L) as q"), 2, 100 + seed).filter("shard = 0").collect()]
+    assert abs(np.mean(hits) - 5) < 0.8 and 0.8 < np.var(hits) < 4
+
+
 def test_html():
     page = html_extract.Page("<html><body><nav>menu</nav><div class='cookie-notice'>no</div><article><h1>T &amp; U</h1><p>one <b>two</b>\n three<p>four<script>var t='</p>'</script><ul><li>x<li>y</ul><div class=comments><p>no</p></div></article><footer>f</footer>")
     assert page.text(None) == "T & U\none two three\nfour\nx\ny"
