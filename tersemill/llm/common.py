@@ -100,6 +100,9 @@ def scratch() -> Iterator[Callable[..., None]]:
                 discard(path)
 
 
+#: Columns put beside those of a table of any columns.
+OWN_ID, OWN_KEY = "_tersemill_id", "_tersemill_key"
+
 #: Most ids that are broadcast; beyond, rows are joined by shuffling.
 FEW_IDS = 500_000
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize, table
+from .common import OWN_ID, OWN_KEY, hinted, materialize, table
 
 COUNTERS = 4096
 
@@ -77,13 +77,13 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row of docs of each text: that with the largest id; of rows that repeat it, any one."""
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     found = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    gone = materialize(found.filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "copies")
-    again = materialize(found.filter("kept").groupBy("keep_id", "text_sha256").count().filter("count > 1").select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")), "repeated")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    gone = materialize(found.filter("not kept").select(F.col(id_col).alias(OWN_ID), F.col("text_sha256").alias(OWN_KEY)), "copies")
+    again = materialize(found.filter("kept").groupBy("keep_id", "text_sha256").count().filter("count > 1").select(F.col("keep_id").alias(OWN_ID), F.col("text_sha256").alias(OWN_KEY)), "repeated")
+    same = F.col(id_col).eqNullSafe(F.col(OWN_ID)) & (sha == F.col(OWN_KEY))
     kept = docs.join(hinted(gone), same, "left_anti")
     if not again.take(1):
         return kept
-    once = kept.withColumn("_sha1", sha).join(hinted(again), same, "left_semi").dropDuplicates([id_col, "_sha1"]).select(*docs.columns)
+    once = kept.withColumn("_tersemill_again", sha).join(hinted(again), same, "left_semi").dropDuplicates([id_col, "_tersemill_again"]).select(*docs.columns)
     return kept.join(hinted(again), same, "left_anti").unionByName(once)
 
 

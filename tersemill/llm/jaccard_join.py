@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize, scratch, slices, table, trimmed
+from .common import OWN_ID, OWN_KEY, hinted, materialize, scratch, slices, table, trimmed
 from .components import components
 from .shingles import Shingler, scatter
 
@@ -412,11 +412,11 @@ def derive(cell: Cell, cross: bool, some: bool) -> Derived:
     return Derived(a, b, known, skipped, settled)
 
 
-CELL = "key long, c long, d long, side int, node long, n int, at int, first long, component long, leader long, overlap long, lead_n long, sig binary"
+CELL = "key long, c long, d long, side int, node long, n int, at int, component long, leader long, overlap long, lead_n long, sig binary"
 
 
 def derived_pairs(entries: DataFrame, some: bool) -> DataFrame:
-    """Of cells: (a, b, known, fa, fb), fa and fb being the first documents of a known pair."""
+    """Of cells: pairs (a, b, known)."""
     names = [x.split()[0] for x in CELL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,12 +447,12 @@ def derived_pairs(entries: DataFrame, some: bool) -> DataFrame:
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         a, b = col["node"][i], col["node"][j]
         order = np.lexsort((~known, b, a))
-        i, j, a, b, known = i[order], j[order], a[order], b[order], known[order]
+        a, b, known = a[order], b[order], known[order]
         keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, known, col["first"][i], col["first"][j])], names=["a", "b", "known", "fa", "fb"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, known)], names=["a", "b", "known"])
 
     dealt = entries.select(*names).repartition("key", "c", "d")
-    return dealt.mapInArrow(trimmed(run), "a long, b long, known boolean, fa long, fb long").groupBy("a", "b").agg(F.max("known").alias("known"), F.min("fa").alias("fa"), F.min("fb").alias("fb"))
+    return dealt.mapInArrow(trimmed(run), "a long, b long, known boolean").groupBy("a", "b").agg(F.max("known").alias("known"))
 
 
 def with_sets(rows: DataFrame, side: str, other: str, sets: DataFrame, *columns: str, pairs: DataFrame | None = None) -> DataFrame:
@@ -485,20 +485,20 @@ def near_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, fa, fb, na, nb, overlap) of pairs, from the sets."""
+    """(a, b, na, nb, overlap) of pairs, from the sets."""
     pairs = materialize(pairs.select("a", "b"), "to-compare")
     n = pairs.count()
     ids = pairs.select(F.col("a").alias("node")).distinct()
     first = sets.join(F.broadcast(ids), "node", "left_semi") if n <= IDS else sets
     # few pairs go to the sets of their second sides, so that these are shuffled once, to those of the first
-    second = sets.select(F.col("node").alias("b"), F.col("first").alias("first_b"), F.col("members").alias("members_b")).join(F.broadcast(pairs), "b") if n <= IDS else with_sets(pairs, "b", "a", sets, "first", "members")
-    x = with_sets(second, "a", "b", first, "first", "members", pairs=pairs)
+    second = sets.select(F.col("node").alias("b"), F.col("members").alias("members_b")).join(F.broadcast(pairs), "b") if n <= IDS else with_sets(pairs, "b", "a", sets, "members")
+    x = with_sets(second, "a", "b", first, "members", pairs=pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             last, x = None, np.empty(0, np.uint64)
-            for a, ma, mb in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for a, ma, mb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != last:
                     last, x = a, np.frombuffer(ma.as_buffer(), np.uint64)
                 y = np.frombuffer(mb.as_buffer(), np.uint64)
@@ -506,9 +506,9 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.sort()
                 rows.append((len(x), len(y), int((both[1:] == both[:-1]).sum())))
             cols = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(cols[:, i]) for i in range(3))], names=["a", "b", "fa", "fb", "na", "nb", "overlap"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(cols[:, i]) for i in range(3))], names=["a", "b", "na", "nb", "overlap"])
 
-    return x.select("a", "b", "first_a", "first_b", "members_a", "members_b").mapInArrow(trimmed(run), "a long, b long, fa long, fb long, na long, nb long, overlap long")
+    return x.select("a", "b", "members_a", "members_b").mapInArrow(trimmed(run), "a long, b long, na long, nb long, overlap long")
 
 
 def linked():
@@ -559,22 +559,21 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, keep: Callabl
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = list(shingler.many(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, got), pa.int64()), batch.column(0), pa.array(map(len, got), pa.int64()), pa.array([signature(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "first", "n", "sig", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, got), pa.int64()), pa.array(map(len, got), pa.int64()), pa.array([signature(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "n", "sig", "members"])
 
-    sets = texts.join(small(wanted.distinct(), wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(trimmed(members), "node long, first long, n long, sig binary, members binary")
+    sets = texts.join(small(wanted.distinct(), wanted.count()), "id", "left_semi").select("id", "text").mapInArrow(trimmed(members), "node long, n long, sig binary, members binary")
     if nodes.filter("repeats > 1").take(1):  # rows that repeat an id and its text give a set each
-        sets = sets.groupBy("node").agg(F.min(F.struct("first", "n", "sig", "members")).alias("s")).select("node", "s.*")
+        sets = sets.groupBy("node").agg(F.min(F.struct("n", "sig", "members")).alias("s")).select("node", "s.*")
     sets = materialize(sets, "sets")
     checked = materialize(compare(near_signatures(pairs, sets), sets), "checked", COMPARED)
     done = [checked]
-    links = checked.filter(linked()).select("fa", "fb")
+    links = checked.filter(linked()).select("a", "b")
     led = checked.select(F.col("b").alias("node"), F.struct("overlap", F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")).unionByName(checked.select(F.col("a").alias("node"), F.struct(F.col("na").alias("overlap"), F.col("a").alias("leader"), F.col("na").alias("lead_n")).alias("m")))
     led = materialize(led.groupBy("node").agg(F.max("m").alias("m")).select("node", "m.*"), "leaders")
-    of_node = sets.select("node", "first")
     n_sets = sets.count()
     for some in (True, False):
-        label = components(links, "fa", "fb")
-        of_component = of_node.join(label, of_node["first"] == label["id"], "left").select("node", "first", F.coalesce("component", "first").alias("component"))
+        label = components(links)
+        of_component = sets.select("node").join(label.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         now = left.join(small(of_component, n_sets), "node")
         now = materialize(now, "lists")
         several = materialize(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("key", F.ceil(F.col("m") / PART).cast("long").alias("blocks")), "several")
@@ -587,14 +586,18 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, keep: Callabl
             for x in done:
                 more = more.join(x.select("a", "b"), ["a", "b"], "left_anti")
             more = materialize(more, "derived")
-            known = more.filter("known").select("fa", "fb")
+            known = more.filter("known").select("a", "b")
             compared = materialize(compare(more.filter("not known"), sets), "checked", COMPARED)
             done.append(compared)
-            links = links.unionByName(known).unionByName(compared.filter(linked()).select("fa", "fb"))
-    label = components(links, "fa", "fb")
-    # no join on a node or an id that very many rows share: those go by broadcast
-    named = nodes.join(label, nodes["first"] == label["id"], "left").select("node", F.coalesce("component", "first").alias("component"), often.alias("hot"))
-    named = materialize(named, "named")
+            links = links.unionByName(known).unionByName(compared.filter(linked()).select("a", "b"))
+    label = components(links).withColumnRenamed("id", "node")
+    # the smallest id of a component; a component that very many nodes share meets them by broadcast, as a set that very many rows share does
+    inside = materialize(nodes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c"), often.alias("hot")), "inside")
+    least = inside.groupBy("c").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    least = materialize(least.withColumn("large", F.col("size") * 2000 >= (total[0] or 0)), "components")
+    large = F.broadcast(least.filter("large").select("c", "component"))
+    named = inside.join(large, "c").unionByName(inside.join(large, "c", "left_anti").join(least.filter("not large").select("c", "component"), "c", "left"), allowMissingColumns=True)
+    named = materialize(named.select("node", F.coalesce("component", "first").alias("component"), "hot"), "named")
     keep(scanned, named)
     hot = F.broadcast(named.filter("hot").drop("hot"))
     plain = F.col("id").isNull() | (F.col("n") == 0)
@@ -608,8 +611,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, keep: Callabl
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component, and those without an id."""
     found = jaccard_join(docs, id_col=id_col, text_col=text_col)
-    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"), "text_hash"), "near-copies")
-    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("text_hash"))
+    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(OWN_ID), F.col("text_hash").alias(OWN_KEY)), "near-copies")
+    same = (F.col(id_col) == F.col(OWN_ID)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(OWN_KEY))
     return docs.join(hinted(gone), same, "left_anti")
 
 

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hinted, materialize, scratch, table
+from .common import OWN_ID, OWN_KEY, WORD, hinted, materialize, scratch, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCKS, SUB_BLOCKS, SHARDS = 256, 4096, 64
@@ -213,15 +213,18 @@ def draws(mixed: DataFrame, *, id_col: str = "doc_id", seed: int = 0) -> DataFra
     return mixed.select(id_col, F.posexplode("shards").alias("pass", "shard")).select("shard", place_of(F.col("shard"), F.col(id_col), F.col("pass"), seed).alias("place"), id_col, "pass")
 
 
+PASS, OUT = "_tersemill_pass", "_tersemill_shard"
+
+
 def mixture(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """A row of docs for each copy that the mixture takes, dealt to its shard and shuffled there."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     mixed = mix(docs, id_col=id_col, text_col=text_col, shards=shards, seed=seed).filter(F.size("shards") > 0)
     # rows that repeat an id and a size are drawn alike
-    mixed = materialize(mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "shards").dropDuplicates(["_id", "_size"]), "mixed")
-    drawn = docs.join(hinted(mixed), F.col(id_col).eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    drawn = drawn.select(*docs.columns, F.posexplode("shards").alias("_pass", "_shard"))
-    return drawn.repartition("_shard").sortWithinPartitions("_shard", place_of(F.col("_shard"), F.col(id_col), F.col("_pass"), seed)).select(*docs.columns)
+    mixed = materialize(mixed.select(F.col(id_col).alias(OWN_ID), F.col("size").alias(OWN_KEY), F.col("shards").alias("_tersemill_shards")).dropDuplicates([OWN_ID, OWN_KEY]), "mixed")
+    drawn = docs.join(hinted(mixed), F.col(id_col).eqNullSafe(F.col(OWN_ID)) & (size == F.col(OWN_KEY)))
+    drawn = drawn.select(*docs.columns, F.posexplode("_tersemill_shards").alias(PASS, OUT))
+    return drawn.repartition(OUT).sortWithinPartitions(OUT, place_of(F.col(OUT), F.col(id_col), F.col(PASS), seed)).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

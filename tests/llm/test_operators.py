@@ -731,3 +731,81 @@ def test_pipeline_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
     for x in got:
         own = tok.encode(texts[x["doc_id"]] or "", add_special_tokens=False).ids
         assert (x["n_tokens"], x["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
+
+
+def test_pipeline_stages_with_nulls_ties_repeated_ids_and_no_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    plain = "other words of another document that stand alone"
+    ids_ = [(1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a"), (None, "null id", None), (None, "null id", None), (3, None, None), (4, "", "b"), (5, text + " more", "a"), (5, plain, "b"), (6, text + " less", "b"), (7, "x " * 30_000, "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, _id string, sha string, node string, shards string, size string"
+    docs = spark.createDataFrame([(i, t, "en", s, 0, *["x"] * 6) for i, t, s in ids_], schema)
+    names = docs.columns
+    spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+        seen[name] = docs.collect()
+        docs = spark.createDataFrame(seen[name], docs.schema)
+    pairs = lambda name: sorted([(r["doc_id"], r["text"]) for r in seen[name]], key=str)
+    assert len(seen["toxicity"]) == len(ids_)
+    # of equal texts one row: the largest id's, a repeated one once; the null and the empty text are equal
+    assert pairs("exact_dedup") == sorted([(2, text), (None, "null id"), (4, ""), (5, text + " more"), (5, plain), (6, text + " less"), (7, "x " * 30_000)], key=str)
+    # near copies of 2 go, but not the other text that has the id of one
+    assert pairs("jaccard_join") == sorted([(2, text), (None, "null id"), (4, ""), (5, plain), (7, "x " * 30_000)], key=str)
+    assert {r["text"] for r in seen["mixing"]} <= {t for _, t in pairs("jaccard_join")}
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(seen["mixing"])
+    empty = docs.limit(0)
+    for _, stage in cp.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0
+
+
+CLASH = ", id string, label string, n string, h string, node string, leader string, host string, path string, text_hash string, _id string"
+
+
+def test_operators_on_empty_tables_and_clashing_columns(spark):
+    import public_tokenizers as P
+
+    extra = tuple("x" for _ in range(10))
+    docs = [(1, "some words here, for all of them", "s"), (2, None, None), (2, "some words here, for all of them", "s"), (None, "", "s")]
+    schema = "doc_id long, text string, source string" + CLASH
+    pages = [(1, "http://a.net/x", "<article><p>words of the page</p></article>"), (2, None, None), (None, "x", "")]
+    vectors = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, None, None), (None, [1.0, 0.0], 1)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    runs = [
+        (docs, schema, lambda d: token_counts.count_tokens(d, P.path("piece_bpe_32k.model"))),
+        (docs, schema, lambda d: toxicity.toxicity(d, labels)),
+        (docs, schema, exact_dedup.exact_dedup),
+        (docs, schema, lambda d: pii.find_pii(d, pii.BiLstmCrf())),
+        (docs, schema, lambda d: mixing.mix(d, shards=4)),
+        (pages, "page_id long, url string, html string" + CLASH.replace(", host string, path string", ", hosts string, paths string"), html_extract.extract_html),
+        (pages, "page_id long, url string, html string" + CLASH, lambda d: url_filter.filter_urls(d, url_filter.RULES)),
+        (docs, schema, lambda d: bpe_codec.bpe_codec(d, P.path("word_bpe_49k.json"))),
+        (docs, schema, jaccard_join.jaccard_join),
+        (vectors, "vec_id long, embedding array<float>, label long" + CLASH.replace(", label string", ", labels string"), embedding_dedup.embedding_dedup),
+    ]
+    for made, schema, run in runs:
+        df = spark.createDataFrame([(*r, *extra) for r in made], schema)
+        assert run(df).count() == len(made)
+        assert run(df.limit(0)).count() == 0
+
+
+def test_written_tables_are_removed_but_for_what_is_read(spark):
+    import os
+
+    from tersemill.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file://") + "/tersemill"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    out = jaccard_join.jaccard_join(frame(spark, EDGE))
+    left = set(os.listdir(folder)) - before
+    assert {x.split("-", 1)[1] for x in left} == {"scan", "named"} and out.count() == len(EDGE)
+    with common.scratch() as keep:
+        a, b = common.materialize(spark.range(3), "a"), common.materialize(spark.range(3), "b")
+        keep(b)
+    assert b.count() == 3 and not os.path.exists(a._tersemill_path.removeprefix("file:"))
+    common.discard(b)
+    assert not os.path.exists(b._tersemill_path.removeprefix("file:"))
