@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .common import Memo, slices, table
 
 def byte_letters() -> list[str]:
@@ -289,4 +290,4 @@ def bpe_codec(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", t
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_codec(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .common import slices, table
 from .url_filter import parts
 
@@ -409,4 +410,4 @@ def extract_html(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_html(table(spark, sf_dir, "pages"))
+    return extract_html(spread(table(spark, sf_dir, "pages")))

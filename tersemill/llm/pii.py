@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -447,5 +448,5 @@ def find_pii(docs: DataFrame, model: BiLstmCrf, *, id_col: str = "doc_id", text_
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return find_pii(docs, fit_pii(docs))

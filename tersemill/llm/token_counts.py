@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .common import Memo, slices, table
 
 MARK = "▁"
@@ -125,4 +126,4 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))

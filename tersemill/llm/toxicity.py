@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .common import Memo, slices, table
 
 TRAIN_DOCS, TRAIN_CHARS, VOCAB, LEAST_DF = 3000, 20_000, 60_000, 5
@@ -206,4 +207,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
