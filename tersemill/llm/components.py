@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is a few joins and grouped minima over the edges, cut off by a written table; no component then
-meets in one task as a whole, and nothing but counts comes to the driver. The rounds number about the
+meets in one task as a whole, and nothing but counts comes to the driver. A node with a thousandth of all edges
+(there are at most 2000) meets its edges by broadcast, so none is bound to one task. The rounds number about the
 logarithm of the longest path. Up to FEW edges, a number that is checked, one task joins them instead.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-FEW = 1_000_000
+FEW, HUB = 1_000_000, 1000
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,15 +38,17 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([r for _, r in got], pa.int64())], names=["id", "component"])
 
 
-def stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(u, v), each once. Large: each node ties its larger neighbours to the smallest one around it.
+def stars(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """edges(u, v), each once, about `rows` of them. Large: each node ties its larger neighbours to the smallest one around it.
     Small: its smaller neighbours and itself."""
     if large:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = sides.join(least, "u")
+    least = materialize(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    hubs = F.broadcast(least.filter(F.col("n") * HUB >= rows).select("u", "m"))
+    tied = sides.join(hubs, "u").unionByName(sides.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
+    least = least.drop("n")
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -56,14 +59,15 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(id, component): every node of an edge but the smallest of its component, with that smallest one."""
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").dropDuplicates(), "edges")
-    if now.count() <= few:
+    rows = now.count()
+    if rows <= few:
         return materialize(now.coalesce(1).mapInArrow(joined, "id long, component long"), "components")
     mark = None
     while True:
-        after = materialize(stars(stars(now, True), False), "edges")
+        after = materialize(stars(stars(now, True, rows), False, rows), "edges")
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
         if tuple(seen) == mark or not seen[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = tuple(seen)
+        mark, rows = tuple(seen), seen[0]

@@ -42,6 +42,12 @@ def test_token_counts(spark):
         n = len(sp.encode(t or ""))
         assert got[i] == {"doc_id": i, "n_bytes": len((t or "").encode()), "n_tokens": n, "over_limit": n > 4096}
     assert token_counts.count_tokens(frame(spark, []), path).count() == 0
+    r = random.Random(2)
+    words = ["the", "▁x", "é", "漢字", "😀", " ", "  ", "\n", "\t", "1234", "a" * 50, "Ünïcode", "\u00a0", "\ufb01", "<s>", "ＡＢ", "e\u0301"]
+    texts = ["".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    texts += [x["text"] for x in spark.read.parquet(f"{D}/documents.parquet").select("text").collect()]
+    got = rows(token_counts.count_tokens(frame(spark, texts), path))
+    assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(sp.encode(t or "")) for t in texts]
 
 
 def test_bpe_codec(spark):
@@ -394,11 +400,11 @@ def test_components(spark):
     from tersemill.llm.components import components
 
     r = random.Random(8)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(500, 560)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(500, 560)] + [(1000, i) for i in range(700, 900)] + [(i, 2000) for i in range(850, 950)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {x["id"]: x["component"] for x in components(df).collect()}
     assert got == {x["id"]: x["component"] for x in components(df, few=0).collect()}
-    assert got[560] == 500
+    assert got[560] == 500 and got[1000] == got[2000] == 700
 
 
 def brute_components(sets, link):
@@ -733,9 +739,14 @@ def test_pipeline_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
         assert (x["n_tokens"], x["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
 
 
-def test_pipeline_stages_with_nulls_ties_repeated_ids_and_no_rows(spark, tmp_path):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_pipeline_stages_with_nulls_ties_repeated_ids_and_no_rows(spark, tmp_path, monkeypatch, few):
     import corpus_pipeline as cp
 
+    from tersemill.llm import common
+
+    monkeypatch.setattr(common, "FEW_IDS", few)  # joins by broadcast, and by shuffling
+
     text = "one two three four five six seven eight nine ten eleven twelve"
     plain = "other words of another document that stand alone"
     ids_ = [(1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a"), (None, "null id", None), (None, "null id", None), (3, None, None), (4, "", "b"), (5, text + " more", "a"), (5, plain, "b"), (6, text + " less", "b"), (7, "x " * 30_000, "b")]
