@@ -516,3 +516,48 @@ def decision_feedback(spark, d):
     decision = F.when(F.col("user_id") % 3 == 0, "accepted").when(F.col("user_id") % 3 == 1, "reverted").otherwise("rejected")
     rows = e.select(F.col("event_id").alias("seq"), "ts", F.array(F.struct(F.col("event_type").alias("phrase"))).alias("removals"), decision.alias("decision"))
     return feedback.phrase_log(feedback.feedback_of(rows)).select("phrase", "applied", "reverted")
+
+
+MARKS_SQL = ORACLE_SQL["clean_punctuation"].removeprefix("SELECT doc_id, ").removesuffix(" AS text FROM documents")
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(m, '^[,;:]\s*', ''), '\s{{2,}}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text
+FROM (SELECT doc_id, {MARKS_SQL.replace("text", "concat('; so.  Then; : it ,, ', text, ' !! ')")} AS m FROM documents) WHERE NOT regexp_matches(m, '[.!?]\s+[a-z]')""")
+def clean_punctuation_whole(spark, d):
+    t = F.concat(F.lit("; so.  Then; : it ,, "), "text", F.lit(" !! "))
+    rows = docs(spark, d).select("doc_id", t.alias("text")).filter(~C.merge_punctuation(F.col("text")).rlike(r"[.!?]\s+[a-z]"))
+    return rows.select("doc_id", compression.per_text(rewriting.clean_punctuation, "string")(F.col("text")).alias("text"))
+
+
+CUT_TEXT = "See `x y` and http://a.b/c?d, \"a quote\" or 'one more' with abc12345 for 12.5px.\n```\ncode\n```\nfunction f() {\n  return 1;\n}\nEnd here. "
+CUT = ["inline_code:`x y`", "url:http://a.b/c?d", 'quoted:"a quote"', "quoted:'one more'", "alphanumeric_token:abc12345", "number:12.5px", "code_block:```\ncode\n```", "code_block:function f() {\n  return 1;\n}"]
+
+
+@query(f"SELECT doc_id, replace({quoted('|'.join(CUT).replace(chr(10), '~'))}, '~', chr(10)) AS cut FROM documents WHERE text IS NOT NULL")
+def segments_injected(spark, d):
+    s = docs(spark, d).filter("text is not null").select("doc_id", compression.parse_segments(F.concat(F.lit(CUT_TEXT), "text")).alias("s"))
+    own = F.filter("s", lambda x: x["protected"] & (x["end"] < len(CUT_TEXT)))
+    return s.select("doc_id", F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["type"], x["content"])), "|").alias("cut"))
+
+
+LOCAL_TEXT = "The old server is slow and the old server is slow again. It is the one that we use. Must be quick. Plain words fill this line here. More plain words fill this other line. Even more plain words (or so) fill it. Nobody reads this last line, i think."
+#: (pass, text, what it must become), worked out by hand from the rules of each pass.
+PASSES = [
+    ("rules", "I basically need it in order to go. In order to win, use `a  b` and  \"so very good\" .\n\nOkay.\n\nThe end is here.", "I need it to go. To win, use `a b` And \"so very good\" . Okay. The end is here."),
+    ("rules", "Please note that the database is slow. The database is slow. It is 12px wide , , and the the page fails.", "The DB is slow. It's 12px Wide, and the page fails."),
+    ("rules", "First, open it. Second, read it. Third, close it.\n- one\n- two\n\n\n\n```\nx  =  1\n```", "open it, read it, then close it.- one\n- two\n\n```\nx = 1\n```"),
+    ("local", LOCAL_TEXT, "CONSTRAINTS: Must be quick.\n\nPlain words fill this line here. More plain words fill this other line. Even more plain words fill it. Nobody reads this last line."),
+    ("local", "One. Two.", "One. Two."),
+    ("local", "Use the api. Never stop. The api is required. Go on with it now.", "CONSTRAINTS: Never stop. The api is required.\n\nUse the api."),
+    ("safe", LOCAL_TEXT + " Please note that it is 12px wide.", "The old server is slow and the old server is slow again. It's the one that we use. Must be quick. Plain words fill this line here. Even more plain words (or so) fill it. Nobody reads this last line, i think. Please note that it's 12px Wide."),  # a phrase just under the level's threshold stays
+]
+
+
+@query(f"SELECT id::INT AS id, replace(want, '~', chr(10)) AS text FROM (VALUES {', '.join(f'({i}, {quoted(w.replace(chr(10), chr(126)))})' for i, (_, _, w) in enumerate(PASSES))}) AS v(id, want)")
+def rewriting_passes(spark, d):
+    run = {"rules": lambda t: rewriting.compress(t)["result"], "local": lambda t: rewriting.compress_local(t, 0.3)[0], "safe": lambda t: rewriting.multi_pass(t, "safe")["result"]}
+    rows = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(PASSES)], "id int, pass string, text string")
+    out = F.lit(None).cast("string")
+    for name, one in run.items():
+        out = F.when(F.col("pass") == name, compression.per_text(one, "string")(F.col("text"))).otherwise(out)
+    return rows.select("id", out.alias("text"))
