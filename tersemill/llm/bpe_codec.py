@@ -200,6 +200,10 @@ class TokenAutomaton:
         return out[::-1]
 
 
+#: Characters that the two engines of patterns take differently.
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+
+
 class BpeCodec:
     """Texts to ids and back, as the tokenizers library does with such a file (no truncation, no padding, nothing added)."""
 
@@ -222,11 +226,15 @@ class BpeCodec:
     def ready(self) -> None:
         self.words = regex.compile(self.pattern)
         self.spaces = regex.compile(self.squeeze)
+        # white space that no word takes needn't be squeezed; plain texts are read by the faster engine
+        blanks = [chr(i) for i in range(0x3001) if self.spaces.fullmatch(chr(i))]
+        self.squeezes = any(self.words.search(c) for c in blanks)
+        self.plain = re.compile(self.pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.letters = byte_letters()
         self.memo = Memo(self.word, self.MEMO, self.LONGEST)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "spaces", "letters", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "spaces", "squeezes", "plain", "letters", "memo")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -238,24 +246,34 @@ class BpeCodec:
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def lower(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        text = self.spaces.sub(self.blank, text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.squeezes:
+            text = self.spaces.sub(self.blank, text)
         # letter by letter: a capital sigma doesn't depend on its place
         return text.replace("Σ", "σ").lower()
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def split(self, text: str) -> list[str]:
+        """The words of a text between special tokens."""
+        low = self.lower(text)
+        return (self.plain if low.isascii() and not CONTROL.search(low) else self.words).findall(low)
+
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         memo = self.memo
-        for part in self.cuts.split(text) if self.cuts else [text]:
+        if not self.cuts or not self.cuts.search(text):
+            return [memo[w] for w in self.split(text)]
+        out = []
+        for part in self.cuts.split(text):
             if part in self.special:
-                yield struct.pack("<I", self.special[part]), part
-            elif part:
-                for w in self.words.findall(self.lower(part)):
-                    yield memo[w]
+                out.append((struct.pack("<I", self.special[part]), part))
+            else:
+                out += [memo[w] for w in self.split(part)]
+        return out
 
     def packed(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and their decoded text."""
-        got = list(self.pieces(text))
-        return b"".join([a for a, _ in got]), " ".join([b for a, b in got if a])
+        got = self.pieces(text)
+        return b"".join([a for a, _ in got]), " ".join([b for _, b in got])
 
     def encode(self, text: str) -> list[int]:
         ids = self.packed(text)[0]
