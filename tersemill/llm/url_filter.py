@@ -51,12 +51,19 @@ def java_quote(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9/_])", r"\\\1", text)
 
 
+#: Words of hosts and paths that mark gambling, adult, pill, pirated-software, advertising and spam pages.
+WORDS = """bet bets betting bingo blackjack casino casinos gambling jackpot lotto poker roulette slots sportsbook
+adult camgirls escort escorts hentai milf nude nudes porn porno sex sexy webcams xxx
+cialis levitra pharmacy pills steroids tramadol viagra xanax
+crack cracked keygen keygens nulled serials torrent torrents warez
+ads adserver adservice clickbait popads popunder spam spammer tracker tracking""".split()
+
 RULES = [
     host_rule("net/", "block"),
     host_rule("example.net/en/", "allow"),
     host_rule("example.com/de/", "block"),
     host_rule("org/fr/", "allow"),
-    *(word_rule(w, "block") for w in ("casino", "porn", "viagra", "xxx")),
+    *(word_rule(w, "block") for w in WORDS),
 ]
 
 
@@ -125,6 +132,6 @@ WITH p AS (
   FROM q)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])(casino|porn|viagra|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])(WORDS)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
-"""
+""".replace("WORDS", "|".join(WORDS))

@@ -234,6 +234,17 @@ def test_url_filter(spark):
     assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(URLS))] == [(None, "allow")] * 4 + [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "block"), ("net/", "block"), (None, "allow")]
     assert rows(url_filter.filter_urls(pages, url_filter.RULES, inline=1), "page_id") == got
     assert got[5]["host"] == "x.example.net" and got[5]["path"] == "/en/a"
+    # with many rules, each URL meets those alone that its tokens fetch
+    made = [url_filter.host_rule(f"h{i}.com/p{i % 7}/", ("block", "allow")[i % 2]) for i in range(300)] + [url_filter.word_rule(f"w{i}", "block") for i in range(40)]
+    places = [f"http://{s}h{i % 310}.com/p{i % 7 if i % 3 else 1}/{w}" for i in range(600) for s in ("a.",) for w in (f"w{i % 60}",)]
+    pages = spark.createDataFrame(list(enumerate(places)), "page_id long, url string")
+    for inline in (1000, 1):
+        got = rows(url_filter.filter_urls(pages, made, inline=inline), "page_id")
+        for i, url in enumerate(places):
+            place = url.split("://")[1]
+            hits = [r for r in made if re.search(r.regex.replace("(?i)", ""), place)]
+            best = max(hits, key=lambda r: (r.length, r.verdict), default=None)
+            assert (got[i]["rule"], got[i]["verdict"]) == ((best.name, best.verdict) if best else (None, "allow")), url
 
 
 def test_toxicity(spark):
