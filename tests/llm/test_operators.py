@@ -184,11 +184,9 @@ def test_mixing_tree_splits_quotas_exactly(spark):
             assert [sum(x) for x in zip(*(r["q"] for r in leaves if r["g"] == g), strict=True)] == q
         sizes = [sum(sum(r["q"]) for r in leaves if r["shard"] == k) for k in range(4)]
         assert sum(sizes) == total and max(sizes) - min(sizes) <= 1
-    # a draw of one source has the mean and the variance of the hypergeometric distribution
-    hits = [r["q"][0] for r in mixing.split_quotas(spark.range(1).selectExpr("0 as g", "array(10L, 30L) as q"), 2, 3).filter("shard = 0").collect()]
-    for seed in range(60):
-        hits += [r["q"][0] for r in mixing.split_quotas(spark.range(1).selectExpr("0 as g", "array(10L, 30L) as q"), 2, 100 + seed).filter("shard = 0").collect()]
-    assert abs(np.mean(hits) - 5) < 0.8 and 0.8 < np.var(hits) < 4
+    # what shards get of a source has the variance of the hypergeometric distribution
+    hits = [r["q"][0] for r in mixing.split_quotas(spark.range(1).selectExpr("0 as g", "array(256L, 768L) as q"), 64, 3).collect()]
+    assert np.mean(hits) == 4 and 1.5 < np.var(hits) < 5
 
 
 def test_html():
@@ -200,16 +198,16 @@ def test_html():
 @pytest.mark.parametrize("page", ["<a '", "<div>", "<a '>'", "<!", "<", "<a \"<b '", "<i>", "<p>", "<div class='"])
 @pytest.mark.parametrize("end", ["", "</b>", "<h1></h1>", "</section>", "'>", "</script"])
 def test_html_of_odd_pages_is_linear(page, end):
-    n = 200_000
+    n = 100_000
     text = page * (n // len(page)) + "<script>" * (end == "</script") + (end * (n // len(end)) if end else "") + "<p>last"
     began = time.time()
     html_extract.Page(text).text("/html/body")
-    assert time.time() - began < 3
+    assert time.time() - began < 2
     tracemalloc.start()
     html_extract.Page(text).text(None)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 100 << 20
+    assert peak < 50 << 20
 
 
 def test_html_references():
