@@ -134,8 +134,26 @@ def dictionary(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, seq int, phrase string, replacement string, confidence double, category string")
 
 
+class TextSegments:
+    """Table function: the segments of a text as rows."""
+
+    def eval(self, text: str):
+        for s in segments.parse_segments(text or ""):
+            yield s.type, s.content, s.start, s.end, s.protected
+
+
+class TextSentences:
+    """Table function: the sentences of a text as rows, with their density."""
+
+    def eval(self, text: str):
+        for i, s in enumerate(rewriting.split_sentences(text or "")):
+            yield i, s, rewriting.density(rewriting.terms(s))
+
+
 def register(spark) -> None:
-    """SQL functions of the same names."""
+    """SQL functions and table functions of the same names."""
+    spark.udtf.register("text_segments", F.udtf(TextSegments, returnType="type string, content string, start_at int, end_at int, protected boolean"))
+    spark.udtf.register("text_sentences", F.udtf(TextSentences, returnType="i int, sentence string, density double"))
     spark.udf.register("count_tokens", per_text(rewriting.count_tokens, "long"))
     spark.udf.register("compress_text", per_text(lambda t: rewriting.compress(t)["result"], "string"))
     spark.udf.register("minify_text", per_text(lambda t: None if t is None else rewriting.minify(t), "string"))

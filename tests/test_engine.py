@@ -288,6 +288,9 @@ def test_exact_tokens(spark):
 def test_sql_functions_and_remote_stage(spark):
     compression.register(spark)
     assert spark.sql("SELECT count_tokens('a b'), minify_text('x  \n\n\n\ny'), compress_text('I basically need it.')").first()[:] == (3, "x\n\ny", rewriting.compress("I basically need it.")["result"])
+    got = spark.sql("SELECT s.type, s.content FROM VALUES ('see `x` now') AS v(t), LATERAL text_segments(t) AS s").collect()
+    assert [tuple(r) for r in got] == [("editable", "see "), ("inline_code", "`x`"), ("editable", " now")]
+    assert [tuple(r) for r in spark.sql("SELECT i, sentence, density FROM text_sentences('Aa bb. Cc cc!')").collect()] == [(0, "Aa bb.", 1.0), (1, "Cc cc!", 0.5)]
     df = spark.createDataFrame([(1, "a"), (2, "bad")], "id int, text string")
 
     def call(t):
