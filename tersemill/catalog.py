@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions import phrases, rewriting
+from .functions import exact_tokens, phrases, rewriting
 from .functions.rewriting import CONSTRAINTS, TECHNICAL
 from .operators import compression, feedback
 from .operators import sentences as S
@@ -561,3 +561,22 @@ def rewriting_passes(spark, d):
     for name, one in run.items():
         out = F.when(F.col("pass") == name, compression.per_text(one, "string")(F.col("text"))).otherwise(out)
     return rows.select("id", out.alias("text"))
+
+
+def tokenizer_file() -> str | None:
+    """A byte-level tokenizer's file, if any is installed; without one counts are heuristic."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+if exact_tokens.is_exact(tokenizer_file()):
+
+    @query("SELECT doc_id, true AS round_trip, true AS counted FROM documents")
+    def exact_token_round_trip(spark, d):
+        path = tokenizer_file()
+        rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", exact_tokens.tokenize(F.col("text"), path))
+        back, n = exact_tokens.detokenize(F.col("ids"), path), exact_tokens.count_tokens(F.col("text"), path)
+        return rows.select("doc_id", (back == F.col("text")).alias("round_trip"), (n == F.size("ids")).alias("counted"))
