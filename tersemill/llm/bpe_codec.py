@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import spread
-from .common import Memo, slices, table
+from .common import Memo, slices, table, trimmed
 
 def byte_letters() -> list[str]:
     """The letter of each byte: itself where it prints, else the next free one from U+0100."""
@@ -207,7 +207,7 @@ CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 class BpeCodec:
     """Texts to ids and back, as the tokenizers library does with such a file (no truncation, no padding, nothing added)."""
 
-    MEMO, LONGEST = 200_000, 64
+    MEMO, LONGEST = 100_000, 48
 
     def __init__(self, text: str):
         d = json.loads(text)
@@ -302,7 +302,7 @@ def bpe_codec(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", t
                 cols += [pa.array([struct.unpack(f"<{len(a) // 4}I", a) for a, _ in rows], pa.list_(pa.int32())), pa.array([b for _, b in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,14 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of at most BATCH rows, for a job whose results are written elsewhere."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(name))
+    if not 0 < most <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def materialize(df: DataFrame, tag: str, batch: int = BATCH) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession

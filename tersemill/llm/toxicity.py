@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import spread
-from .common import Memo, slices, table
+from .common import Memo, slices, table, trimmed
 
 TRAIN_DOCS, TRAIN_CHARS, VOCAB, LEAST_DF = 3000, 20_000, 60_000, 5
 STEMS = (4, 5, 6)
@@ -65,7 +65,7 @@ class NoisyOr:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words = Memo(self.word, 200_000, 40)
+        self.words = Memo(self.word, 50_000, 40)
 
     def __getstate__(self) -> tuple:
         return self.weights, self.bias
@@ -186,7 +186,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array(found, kind)], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -199,7 +199,7 @@ def without_toxic(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", th
         for batch in slices(batches):
             yield batch.filter(pa.array([score(t or "")[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
