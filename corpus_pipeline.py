@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tersemill.llm.bpe_codec import bpe_codec
-from tersemill.llm.common import materialize, scratch, table
+from tersemill.llm.common import materialize, scratch, small_batches, table
 from tersemill.llm.exact_dedup import without_copies
 from tersemill.llm.jaccard_join import without_near_copies
 from tersemill.llm.mixing import mixture
@@ -28,6 +28,7 @@ SHARD = 4096
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
@@ -44,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
