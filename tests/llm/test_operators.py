@@ -572,9 +572,9 @@ def test_sql(spark):
     from tersemill.llm import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
-    for name in ("op3_exact_dedup", "op7_url_filter", "op10_embedding_dedup"):
+    for name in ("op3_exact_dedup", "op7_url_filter", "op10_embedding_dedup", "op11_suffix_dedup", "op12_collocations", "op13_prefix_trie"):
         got, want = catalog.QUERIES[name](spark, D).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
         cols = sorted(got.columns)
         assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None))), name
