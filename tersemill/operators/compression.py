@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import phrases, rewriting, segments
+from ..functions import diff, phrases, rewriting, segments
 
 REMOVALS = "array<struct<phrase:string,replacement:string,original:string>>"
 
@@ -56,27 +55,52 @@ def parse_segments(text: Column) -> Column:
 
 
 def word_diff(old: Column, new: Column) -> Column:
-    """array<struct<op, value>>: equal, delete and insert runs of words."""
+    """array<struct<op, value>>: equal, delete and insert runs of words and blanks; both texts can be put together again."""
 
     @F.pandas_udf("array<struct<op:string,value:string>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> list[dict]:
-            x, y = (x or "").split(), (y or "").split()
-            out = []
-            for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, False).get_opcodes():
-                if op in ("equal", "delete", "replace"):
-                    out.append({"op": "equal" if op == "equal" else "delete", "value": " ".join(x[i:j])})
-                if op in ("insert", "replace"):
-                    out.append({"op": "insert", "value": " ".join(y[k:m])})
-            return out
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], index=a.index)
+        return pd.Series([[{"op": op, "value": v} for op, v in diff.word_diff(x, y)] for x, y in zip(a, b, strict=True)], index=a.index, dtype=object)
 
     return run(old, new)
 
 
-#: Rows of one text from which its result is dealt over several tasks.
-SHARE = 10_000
+class Recent(dict):
+    """What was made of texts seen lately, as long as they and the results have few characters together."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, text: str):
+        got = self.make(text)
+        self.held += 2 * len(text)
+        if self.held > self.most:
+            self.clear()
+            self.held = 2 * len(text)
+        self[text] = got
+        return got
+
+
+#: Characters that a task keeps of texts it has compressed, and their results.
+KEPT = 8_000_000
+
+
+def multi_pass_once(text: Column, preset: str, excluded: frozenset[str] = frozenset()) -> Column:
+    """multi_pass(), nothing for null. A task compresses a text that it meets again only once, however often that is,
+    so texts that very many rows have need neither a shuffle nor a task of their own."""
+
+    def one(t: str) -> dict:
+        out = rewriting.multi_pass(t, preset, excluded)
+        return out | {"removals": [{"phrase": p, "replacement": r, "original": o} for p, r, o in out["removals"]]}
+
+    @F.pandas_udf(MULTI)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        recent = Recent(one, KEPT)
+        empty = dict.fromkeys(("result", "passes", "changed", "tier0_result", "removals", "final_tokens"))
+        for texts in batches:
+            yield pd.DataFrame([empty if t is None else recent[t] for t in texts], index=texts.index, columns=list(empty), dtype=object)
+
+    return run(text)
 
 
 def compress_pipeline(
@@ -93,23 +117,14 @@ def compress_pipeline(
     available: bool = True,
     excluded: frozenset[str] = frozenset(),
 ) -> DataFrame:
-    """One row per text: result, tier, changed, tokens before and after, and whether the cloud pass is due. Equal
-    texts are compressed once, found by their cache key; blank texts and those of under `least` tokens pass
-    through and meet no join. A text that very many rows have is dealt over several tasks."""
-    rows = docs.select(key, F.col(text).alias("original_text"), C.heuristic_tokens(F.col(text)).alias("original_tokens"))
-    due = F.coalesce((F.col("original_tokens") >= least) & ~F.col("original_text").rlike(r"\A\s*+\z"), F.lit(False))
-    through = rows.filter(~due).withColumn("m", F.lit(None).cast(MULTI))
-    rows = rows.filter(due).withColumn("cache_key", C.cache_key(F.lit(preset), F.col("original_text")))
-    groups = rows.groupBy("cache_key").agg(F.count(F.lit(1)).alias("n"), F.min("original_text").alias("original_text"))
-    done = groups.select("cache_key", F.ceil(F.col("n") / SHARE).cast("int").alias("parts"), multi_pass(F.col("original_text"), preset, excluded).alias("m"))
-    often = groups.filter(F.col("n") > SHARE).select("cache_key", F.ceil(F.col("n") / SHARE).cast("int").alias("parts"))
-    dealt = rows.join(often, "cache_key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(key), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    done = done.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    out = dealt.join(done, ["cache_key", "part"]).select(key, "original_text", "original_tokens", "m").unionByName(through)
-    out = out.select(key, "original_text", "original_tokens", "m.*")
-    tokens = F.coalesce(C.heuristic_tokens(F.col("result")), F.col("original_tokens"))
-    secret = F.size(C.secrets(F.col("original_text"))) > 0
-    out = out.withColumn("compressed_tokens", tokens)
+    """One row per text: result, tier, changed, tokens before and after, and whether the cloud pass is due, in one
+    scan without a shuffle. Blank texts and those of under `least` tokens pass through."""
+    before = C.heuristic_tokens(F.col(text))
+    due = F.coalesce((before >= least) & ~F.col(text).rlike(r"\A\s*+\z"), F.lit(False))
+    secret = F.size(C.secrets(F.col(text))) > 0
+    out = docs.select(key, F.col(text).alias("original_text"), before.alias("original_tokens"), secret.alias("secret"), multi_pass_once(F.when(due, F.col(text)), preset, excluded).alias("m"))
+    out = out.select(key, "original_text", "original_tokens", "secret", "m.*")
+    out = out.withColumn("compressed_tokens", F.coalesce(C.heuristic_tokens(F.col("result")), F.col("original_tokens")))
     return out.select(
         key,
         F.coalesce("result", "original_text").alias("result"),
@@ -119,7 +134,7 @@ def compress_pipeline(
         "original_tokens",
         "compressed_tokens",
         F.coalesce("passes", F.lit(0)).alias("passes"),
-        escalate(F.col("original_tokens"), F.col("compressed_tokens"), secret, target=target, least=cloud_least, allowed=cloud and consent and available).alias("escalate"),
+        escalate(F.col("original_tokens"), F.col("compressed_tokens"), F.col("secret"), target=target, least=cloud_least, allowed=cloud and consent and available).alias("escalate"),
     )
 
 

@@ -23,9 +23,14 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, with its rows dealt over the cores before heavy work on each row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A table whose scan has fewer partitions than there are cores, with its rows dealt over the cores before heavy
+    work on each row. Scans are cut by spark.sql.files.maxPartitionBytes, so what is dealt is at most that for each
+    core; a larger table is never shuffled, whatever its number of files."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    parts = plan.toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
 
 
 def write_or_keep(df: DataFrame, path: str, spare: str, form: str = "parquet", **options) -> str:

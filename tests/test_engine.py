@@ -109,11 +109,13 @@ def test_dedup_keeps_merges_and_reads_the_table_once(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_pipeline_of_hot_and_blank_texts(spark, monkeypatch):
-    monkeypatch.setattr(compression, "SHARE", 5)
+def test_pipeline_of_hot_and_blank_texts(spark):
     long = "I basically need it. " * 5
     rows = [(i, long if i % 2 else None if i % 3 else "  ") for i in range(60)] + [(60, long + "x"), (61, "short")]
-    got = {r["id"]: r for r in compression.compress_pipeline(spark.createDataFrame(rows, "id int, text string"), "id", "safe").collect()}
+    out = compression.compress_pipeline(spark.createDataFrame(rows, "id int, text string"), "id", "safe")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("Scan") == 1  # one scan, no shuffle
+    got = {r["id"]: r for r in out.collect()}
     assert len(got) == 62
     for i, t in rows:
         if t and len(t) > 20:
