@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import whole_percent
+from .scans import DAY, MINUTE, anchored_days, phrase_log, window_usage  # noqa: F401  part of this module's interface
 
-#: Uses and share of reverts from which a phrase excludes itself.
-LEAST_USES, REVERTED = 5, 0.6
 #: Requests and tokens a minute and a day.
 LIMITS = {"first": (30.0, 12_000.0, 1_000.0, 100_000.0), "second": (30.0, 60_000.0, float("inf"), 1_000_000.0), "third": (40.0, float("inf"), float("inf"), float("inf"))}
 DEFAULT_LIMITS = (30.0, float("inf"), float("inf"), float("inf"))
-MINUTE, DAY = 60_000, 86_400_000
 
 
 def session_stats(runs: DataFrame, *by: str) -> DataFrame:
@@ -26,21 +24,6 @@ def session_stats(runs: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, "runs", "tokens_in", "tokens_out", "api_calls", "saved", whole_percent(F.col("saved"), F.col("tokens_in")).alias("avg_percent"), F.floor(F.col("best") * 100 + 0.5).cast("long").alias("best_percent"))
 
 
-def phrase_log(events: DataFrame) -> DataFrame:
-    """events(seq, ts, phrase, action: apply, revert, toggle_on, toggle_off) -> one row per phrase. Exclusion holds
-    from any event at which the uses and reverts so far suffice, until a toggle sets it otherwise."""
-    e = events.withColumn("phrase", F.lower(F.trim("phrase")))
-    w = Window.partitionBy("phrase").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    is_ = lambda a: (F.col("action") == a).cast("long")
-    e = e.withColumn("a", F.sum(is_("apply")).over(w)).withColumn("r", F.sum(is_("revert")).over(w)).withColumn("toggles", F.sum(is_("toggle_on") + is_("toggle_off")).over(w))
-    total = F.col("a") + F.col("r")
-    hit = F.when(F.col("action") == "toggle_on", 1).when(F.col("action").isin("apply", "revert") & (total >= LEAST_USES) & (F.col("r") / total >= REVERTED), 1).otherwise(0)
-    part = e.groupBy("phrase", "toggles").agg(F.max(hit).alias("excluded"), F.max("a").alias("a"), F.max("r").alias("r"), F.max("ts").alias("ts"))
-    out = part.groupBy("phrase").agg(F.max("a").alias("applied"), F.max("r").alias("reverted"), F.max_by("excluded", "toggles").alias("x"), F.max("ts").alias("last_updated"))
-    n = F.col("applied") + F.col("reverted")
-    return out.select("phrase", "applied", "reverted", F.when(n > 0, F.col("applied") / n).otherwise(0.5).alias("confidence"), (F.col("x") == 1).alias("excluded"), "last_updated")
-
-
 def without_excluded(dictionary: DataFrame, log: DataFrame) -> DataFrame:
     """Entries whose phrase isn't excluded; swaps always stay."""
     gone = log.filter("excluded").select(F.col("phrase").alias("_p"))
@@ -53,12 +36,6 @@ def newest(history: DataFrame, most: int = 10) -> DataFrame:
     return history.orderBy(F.desc("id")).limit(most)
 
 
-def window_usage(requests: DataFrame) -> DataFrame:
-    """requests(provider, ts_ms, tokens): requests and tokens of the minute up to each."""
-    w = Window.partitionBy("provider").orderBy("ts_ms").rangeBetween(-(MINUTE - 1), 0)
-    return requests.select("provider", "ts_ms", "tokens", F.count(F.lit(1)).over(w).alias("minute_requests"), F.sum("tokens").over(w).alias("minute_tokens"))
-
-
 class Quota:
     """Admission of one provider's requests, in order. Days are anchored at the first request."""
 
@@ -99,29 +76,6 @@ def admit(requests: DataFrame, limits: dict[str, tuple[float, float, float, floa
     return ordered.mapInPandas(run, "id long, provider string, ts_ms long, tokens long, admitted boolean, wait_ms long")
 
 
-def anchored_days(requests: DataFrame) -> DataFrame:
-    """requests(id, provider, ts_ms, tokens) -> with day, day_requests, day_tokens. A day starts at the first request more
-    than DAY after the last one's start, so a provider's requests are one sequence; only a few numbers are held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
-        for b in batches:
-            days, counts, sums = [], [], []
-            for p, t, n in zip(b["provider"], b["ts_ms"], b["tokens"], strict=True):
-                x = held.get(p)
-                if x is None or t - x[0] > DAY:
-                    x = held[p] = [t, 0, 0]
-                x[1] += 1
-                x[2] += n
-                days.append(x[0])
-                counts.append(x[1])
-                sums.append(x[2])
-            yield b.assign(day=days, day_requests=counts, day_tokens=sums)
-
-    ordered = requests.select("id", "provider", "ts_ms", "tokens").repartition("provider").sortWithinPartitions("provider", "ts_ms", "id")
-    return ordered.mapInPandas(run, "id long, provider string, ts_ms long, tokens long, day long, day_requests long, day_tokens long")
-
-
 def rate_stats(requests: DataFrame, now_ms: int, limits: dict[str, tuple[float, float, float, float]] = LIMITS) -> DataFrame:
     """A row per provider at a time: requests and tokens used of the last minute and of its day, with their limits.
     Sums come from partial aggregates, the day from anchored_days()."""
