@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import exact_tokens, phrases, rewriting
 from .functions.rewriting import CONSTRAINTS, TECHNICAL
-from .operators import compression, feedback
+from .operators import cache, compression, feedback
 from .operators import sentences as S
-from .sources.tables import spread, test_table
+from .sources import phrase_log as stored_log
+from .sources.tables import spread, test_stream, test_table
+from .sources.written import discard, materialize, new_path
+from .streaming import live
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -580,3 +583,74 @@ if exact_tokens.is_exact(tokenizer_file()):
         rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", exact_tokens.tokenize(F.col("text"), path))
         back, n = exact_tokens.detokenize(F.col("ids"), path), exact_tokens.count_tokens(F.col("text"), path)
         return rows.select("doc_id", (back == F.col("text")).alias("round_trip"), (n == F.size("ids")).alias("counted"))
+
+
+@query("SELECT doc_id, text AS old, " + MARKS_SQL + " AS new FROM documents")
+def text_diff(spark, d):
+    """Both texts, put together again from the diff of each document with its punctuation merged."""
+    diffed = docs(spark, d).select("doc_id", compression.word_diff(F.col("text"), C.merge_punctuation(F.col("text"))).alias("diff"))
+    side = lambda but: F.array_join(F.transform(F.filter("diff", lambda x: x["op"] != but), lambda x: x["value"]), "")
+    return diffed.select("doc_id", side("insert").alias("old"), side("delete").alias("new"))
+
+
+def timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def plain(*names: str):
+    return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, user_id * 10 AS a, user_id * 7 - event_id % 50 AS b, event_id % 2 = 1 AS c FROM events WHERE user_id > 0),
+n AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM n)
+SELECT min(ts) AS start_at, max(ts) + INTERVAL 30 MINUTE AS end_at, user_id, {STATS} FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)""")
+def session_windows(spark, d):
+    """Sessions of a stream of events: all that ended before the watermark."""
+    e = timed(test_stream(spark, d, "events"))
+    runs = e.select("ts", "user_id", (F.col("user_id") * 10).alias("input_tokens"), (F.col("user_id") * 7 - F.col("event_id") % 50).alias("output_tokens"), (F.col("event_id") % 2 == 1).alias("used_cloud"))
+    out = live.run_to_end(live.sessions(runs, "user_id"), "sessions")
+    return out.select(*plain("start_at", "end_at"), "user_id", "runs", "tokens_in", "tokens_out", "api_calls", "saved", "avg_percent", "best_percent")
+
+
+@query("""SELECT r.user_id, r.event_id AS result_id, c.event_id AS decision_id, r.ts AS result_ts, c.ts AS decision_ts FROM events r JOIN events c ON r.user_id = c.user_id AND c.ts BETWEEN r.ts AND r.ts + INTERVAL 6 HOUR
+WHERE r.event_type = 'view' AND c.event_type = 'click'""")
+def decisions_in_time(spark, d):
+    """A stream of results joined to a stream of decisions."""
+    side = lambda kind, name: timed(test_stream(spark, d, "events")).filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    out = live.run_to_end(live.decided_within(side("view", "result_id"), side("click", "decision_id"), "user_id", "6 hours"), "decisions")
+    return out.select("user_id", "result_id", "decision_id", *plain("result_ts", "decision_ts"))
+
+
+@query()
+def provider_rests(spark, d):
+    """States of twenty providers after each outcome of a stream, and when their rests are over by the watermark."""
+    kinds = F.array(*map(F.lit, ("success", "rate-limited", "timeout", "timeout", "unknown", "timeout")))
+    e = timed(test_stream(spark, d, "events"))
+    outcomes = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("p"), F.col("user_id") % 20).alias("provider"), "ts", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("outcome"))
+    with live.rocksdb(spark):
+        return live.run_to_end(live.provider_rests(outcomes, clock="event"), "rests")
+
+
+@query(ORACLE_SQL["phrase_feedback"])
+def phrase_log_stored(spark, d):
+    """The log of all events, after two appends to a stored one."""
+    stored_log.register(spark)
+    folder, events = new_path(spark, "phrase-log"), feedback_events(spark, d)
+    half = events.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    stored_log.append_events(events.filter(F.col("ts") <= F.lit(half)), folder)
+    stored_log.append_events(events.filter(F.col("ts") > F.lit(half)), folder)
+    out = materialize(stored_log.read_log(spark, folder), "log")
+    discard(folder)
+    return out.select("phrase", "applied", "reverted", "confidence", "excluded")
+
+
+@query("""WITH t AS (SELECT doc_id % 2 AS h, coalesce(text, '') AS text FROM documents)
+SELECT 1 AS run, count(DISTINCT text) FILTER (h = 0) AS computed FROM t UNION ALL SELECT 2, count(DISTINCT text) - count(DISTINCT text) FILTER (h = 0) FROM t UNION ALL SELECT 3, 0::BIGINT""")
+def cached_runs(spark, d):
+    """Texts that runs over half of the documents, all of them, and all again have to compress."""
+    path, t = new_path(spark, "cache"), docs(spark, d)
+    runs = (t.filter("doc_id % 2 = 0"), t, t)
+    computed = [(i, cache.compute_new(x, path, "safe")) for i, x in enumerate(runs, 1)]
+    discard(path)
+    return spark.createDataFrame(computed, "run int, computed long")

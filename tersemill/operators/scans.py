@@ -20,24 +20,25 @@ MINUTE, DAY = 60_000, 86_400_000
 RANGE = 600_000
 
 
-def phrase_log(events: DataFrame, ranges: int | None = None) -> DataFrame:
-    """events(seq, ts, phrase, action: apply, revert, toggle_on, toggle_off) -> one row per phrase. Exclusion holds
-    from any event at which the uses and reverts so far suffice, until a toggle sets it otherwise.
-
-    Events lie in ranges of time. A phrase's summary of a range has its uses and reverts, the last toggle, and of
-    what came after that the largest balance of reverts against uses at or after the k-th use, for each k that the
-    uses before the range may leave to be reached. Folded in order, summaries give what the events one by one give."""
+def phrase_summaries(events: DataFrame, ranges: int | None = None) -> DataFrame:
+    """events(seq, ts, phrase, action: apply, revert, toggle_on, toggle_off) -> (phrase, part, a, r, ts, last): of each
+    phrase and range of time the uses and reverts, the last toggle, and of what came after that the largest balance
+    of reverts against uses at or after the k-th use, for each k that the uses before the range may leave to be reached."""
     n = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = events.withColumn("phrase", F.lower(F.trim("phrase"))).repartitionByRange(n, "ts", "seq").withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("phrase", "_p").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    e = events.withColumn("phrase", F.lower(F.trim("phrase"))).repartitionByRange(n, "ts", "seq").withColumn("part", F.spark_partition_id().cast("long"))
+    w = Window.partitionBy("phrase", "part").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     is_ = lambda *a: F.col("action").isin(*a).cast("long")
     e = e.withColumns({"a": F.sum(is_("apply")).over(w), "r": F.sum(is_("revert")).over(w), "toggles": F.sum(is_("toggle_on", "toggle_off")).over(w)})
     balance = (OF_USES - REVERTS) * F.col("r") - REVERTS * F.col("a")
     use = F.col("action").isin("apply", "revert")
     best = [F.max(F.when(use & (F.col("a") + F.col("r") >= k), balance)) for k in range(1, LEAST_USES + 1)]
-    since = e.groupBy("phrase", "_p", "toggles").agg(F.max("a").alias("a"), F.max("r").alias("r"), F.max("ts").alias("ts"), F.max((F.col("action") == "toggle_on").cast("int")).alias("on"), F.array(*best).alias("best"))
-    parts = since.groupBy("phrase", "_p").agg(F.max("a").alias("a"), F.max("r").alias("r"), F.max("ts").alias("ts"), F.max_by(F.struct("toggles", "on", "best"), "toggles").alias("last"))
-    out = parts.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("_p", "a", "r", "last"))).alias("parts"), F.max("ts").alias("last_updated"))
+    since = e.groupBy("phrase", "part", "toggles").agg(F.max("a").alias("a"), F.max("r").alias("r"), F.max("ts").alias("ts"), F.max((F.col("action") == "toggle_on").cast("int")).alias("on"), F.array(*best).alias("best"))
+    return since.groupBy("phrase", "part").agg(F.max("a").alias("a"), F.max("r").alias("r"), F.max("ts").alias("ts"), F.max_by(F.struct("toggles", "on", "best"), "toggles").alias("last"))
+
+
+def folded(summaries: DataFrame, *order: str) -> DataFrame:
+    """The phrase log of summaries, taken in order: what the events one by one would give. A phrase has as many as ranges."""
+    out = summaries.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(*order, "a", "r", "last"))).alias("parts"), F.max("ts").alias("last_updated"))
 
     def fold(x: Column, part: Column) -> Column:
         short = F.greatest(F.lit(1).cast("long"), LEAST_USES - x["a"] - x["r"]).cast("int")
@@ -52,6 +53,12 @@ def phrase_log(events: DataFrame, ranges: int | None = None) -> DataFrame:
     return out.select("phrase", F.col("s.a").alias("applied"), F.col("s.r").alias("reverted"), F.when(uses > 0, F.col("s.a") / uses).otherwise(0.5).alias("confidence"), F.col("s.x").alias("excluded"), "last_updated")
 
 
+def phrase_log(events: DataFrame, ranges: int | None = None) -> DataFrame:
+    """events(seq, ts, phrase, action) -> one row per phrase. Exclusion holds from any event at which the uses and
+    reverts so far suffice, until a toggle sets it otherwise."""
+    return folded(phrase_summaries(events, ranges), "part")
+
+
 def window_usage(requests: DataFrame, width: int = RANGE) -> DataFrame:
     """requests(provider, ts_ms, tokens): requests and tokens of the minute up to each. A range of time gets the last
     minute of the one before it as well, so ranges need nothing from each other."""

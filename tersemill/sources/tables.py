@@ -45,3 +45,9 @@ def write_or_keep(df: DataFrame, path: str, spare: str, form: str = "parquet", *
 
 def test_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def test_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is a file or a folder of files: streams read single files only by a pattern."""
+    pattern = f"{folder}/[{name[0]}]{name[1:]}.parquet"
+    return read_stream(spark, pattern, test_table(spark, folder, name).schema)
