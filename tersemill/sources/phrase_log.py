@@ -78,7 +78,9 @@ class Reader(DataSourceReader):
                 out += [File(m.removesuffix(".json"), name) for name in json.loads(f.read())]
         return out
 
-    def read(self, file: File) -> Iterator[pa.RecordBatch]:
+    def read(self, file: File | None) -> Iterator[pa.RecordBatch]:
+        if file is None:  # an empty log
+            return
         at, root = opened(self.path)
         for batch in pq.ParquetFile(at.open_input_file(f"{root}/data/{file.name}")).iter_batches():
             yield pa.RecordBatch.from_arrays([pa.array([file.commit] * batch.num_rows), *batch.columns], names=["commit", *batch.schema.names])

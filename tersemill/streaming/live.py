@@ -66,35 +66,39 @@ class Rests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "until long, timeouts int, exhausted boolean, misconfigured boolean")
+        self.state = handle.getValueState("state", "until long, timeouts int, exhausted boolean, misconfigured boolean, resting boolean")
 
     def row(self, provider: str, event: str, at: int, held: tuple) -> tuple:
         until, timeouts, exhausted, misconfigured = held
         return provider, event, at, until, timeouts, exhausted, misconfigured, not exhausted and not misconfigured and until <= at
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until, timeouts, exhausted, misconfigured = self.state.get() if self.state.exists() else (0, 0, False, False)
+        until, timeouts, exhausted, misconfigured, resting = self.state.get() if self.state.exists() else (0, 0, False, False, False)
         told = sorted(((int(t), int(s), o) for b in rows for t, s, o in zip(b["ts_ms"], b["seq"], b["outcome"], strict=True)))
         out = []
         for t, _, outcome in told:
             now = t if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs()
+            if resting and until <= now:  # over before the timer's turn
+                out.append(self.row(key[0], "rested", until, (until, timeouts, exhausted, misconfigured)))
+                resting = False
             if until <= now and timeouts >= self.most:
                 timeouts = 0
             timeouts = 0 if outcome == "success" else timeouts + (outcome == "timeout")
             rest = self.rest.get(outcome, self.timeout_rest if outcome == "timeout" and timeouts >= self.most else None)
-            until = until if rest is None else now + rest
+            until, resting = (until, resting) if rest is None else (now + rest, True)
             exhausted, misconfigured = exhausted or outcome == "exhausted", misconfigured or outcome == "misconfigured"
             out.append(self.row(key[0], outcome, now, (until, timeouts, exhausted, misconfigured)))
-        self.state.update((until, timeouts, exhausted, misconfigured))
+        self.state.update((until, timeouts, exhausted, misconfigured, resting))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if until > 0:
+        if resting:
             self.handle.registerTimer(until)
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = tuple(self.state.get())
-        yield pd.DataFrame([self.row(key[0], "rested", expiredTimerInfo.getExpiryTimeInMs(), held)], columns=COLUMNS)
+        held = tuple(self.state.get())[:4]
+        self.state.update((*held, False))
+        yield pd.DataFrame([self.row(key[0], "rested", held[0], held)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -105,8 +109,8 @@ COLUMNS = [c.split()[0] for c in STATES.split(", ")]
 
 
 def provider_rests(outcomes: DataFrame, *, clock: str = "processing", late: str = "1 minute", rest: dict[str, int] = REST, timeouts: int = TIMEOUTS, timeout_rest: int = TIMEOUT_REST) -> DataFrame:
-    """outcomes(seq, provider, ts, outcome) -> a row for each outcome with the provider's state after it, and one when its
-    rest is over. The state store must be RocksDB's (rocksdb())."""
+    """outcomes(seq, provider, ts, outcome) -> a row for each outcome with the provider's state after it, and one when a
+    rest is over, once. The state store must be RocksDB's (rocksdb())."""
     rows = outcomes.withWatermark("ts", late) if clock == "event" else outcomes
     rows = rows.select("seq", "provider", "ts", F.unix_millis("ts").alias("ts_ms"), "outcome")
     mode = "eventTime" if clock == "event" else "processingTime"
