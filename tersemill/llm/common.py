@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.written import BATCH, arrow_batches, discard, materialize, scratch, shared_folder  # noqa: F401  used by the operators
+
 #: Rows turned into Python objects at a time, so that a batch of very long texts never is as a whole.
 SLICE = 128
 
@@ -26,87 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local master may leave it unset, as its executors are this very machine."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tersemill-")
-        sc.setCheckpointDir(root)
-    return root
-
-
-#: Rows that go to a Python worker at a time while a table is written, so that batches of long texts stay small.
-BATCH = 1024
-
-#: Tables written since each open scratch().
-_open: list[list[str]] = []
-
-
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most, in what runs inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    most = int(before)
-    spark.conf.set(name, str(rows if most <= 0 else min(rows, most)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def small_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of at most BATCH rows, for a job whose results are written elsewhere."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    most = int(spark.conf.get(name))
-    if not 0 < most <= BATCH:
-        spark.conf.set(name, str(BATCH))
-
-
-def materialize(df: DataFrame, tag: str, batch: int = BATCH) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tersemill/{uuid.uuid4().hex}-{tag}"
-    with arrow_batches(spark, batch):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tersemill_path = path
-    for tables in _open:
-        tables.append(path)
-    return out
-
-
-def discard(df: DataFrame | str) -> None:
-    """Remove a table of materialize() that nothing reads any more."""
-    path = df if isinstance(df, str) else getattr(df, "_tersemill_path", None)
-    if path:
-        sc = SparkSession.getActiveSession().sparkContext if isinstance(df, str) else df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scratch() -> Iterator[Callable[..., None]]:
-    """Tables written inside are removed at the end, but those given to keep(...). For use where what they made is
-    itself written by then."""
-    tables: list[str] = []
-    kept: set[str] = set()
-    _open.append(tables)
-
-    def keep(*dfs: DataFrame) -> None:
-        kept.update(df._tersemill_path for df in dfs)
+    """From now on Arrow batches of at most BATCH rows and scans of SCAN, for a job whose results are written elsewhere,
+    by whoever called for them. It holds for the session: plans are made when that happens."""
+    for name, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH), ("spark.sql.parquet.columnarReaderBatchSize", SCAN)):
+        most = int(spark.conf.get(name))
+        if not 0 < most <= rows:
+            spark.conf.set(name, str(rows))
 
-    try:
-        yield keep
-    finally:
-        _open.pop()
-        for path in tables:
-            if path not in kept:
-                discard(path)
 
+#: Rows that a scan of long texts reads at a time, beyond which the JVM's buffers are what fills an executor.
+SCAN = 512
 
 #: Columns put beside those of a table of any columns.
 OWN_ID, OWN_KEY = "_tersemill_id", "_tersemill_key"
@@ -115,9 +43,23 @@ OWN_ID, OWN_KEY = "_tersemill_id", "_tersemill_key"
 FEW_IDS = 500_000
 
 
+#: Most bytes, as written, of a table that is broadcast.
+FEW_BYTES = 32 << 20
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table of materialize(); of others, none is known."""
+    path = getattr(df, "_tersemill_path", None)
+    if path is None:
+        return 0
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def hinted(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= FEW_IDS else df
+    """A written table, broadcast if it has few rows and bytes."""
+    return F.broadcast(df) if written_bytes(df) <= FEW_BYTES and df.count() <= FEW_IDS else df
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ node's quotas are split between its two halves by sampling its units without rep
 multivariate hypergeometric draw, so quotas stay exact. Many sources are split in groups: first a draw over
 the groups, then one inside each, which is the same distribution. Shards then take disjoint runs of each
 source's permuted units, and a hash of shard, document and pass orders them within the shard. What a document
-gives to the mixture is the units drawn of its block.
+gives to the mixture is the units drawn of its block. The tree has at most COARSE leaves, so that each has many
+blocks of every source that has many; where more shards are wanted, a leaf's documents are dealt on by hash.
 
 Sources are numbered and shared out by prefix sums over ranges of them, so no task goes through all sources;
 one row has the groups' quotas, GROUP times fewer than there are sources. Documents meet what is known of
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import OWN_ID, OWN_KEY, WORD, hinted, materialize, scratch, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCKS, SUB_BLOCKS, SHARDS = 256, 4096, 64
+BLOCKS, SUB_BLOCKS, SHARDS = 4096, 4096, 64
+#: Shards that the tree deals blocks to. More are made of each by hashes of what lies in it, so that shards can be as many as rows ask for.
+COARSE = 64
 #: Up to so many sources, what is known of each source is broadcast; beyond, only of those (no more) with a share of so much.
 SMALL = 2000
 #: Sources whose quotas are drawn together.
@@ -185,7 +188,8 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     # idx counts the sources from 1 without a gap
     own = blocks.groupBy("idx").agg(F.sum("passes").alias("n")).withColumn("g", F.floor((F.col("idx") - 1) / GROUP).cast("int"))
     quotas = own.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("q"))
-    leaves = split_quotas(quotas, shards, seed).select("shard", "g", F.posexplode("q").alias("i", "n")).select("shard", (F.col("g") * GROUP + F.col("i") + 1).alias("idx"), "n")
+    coarse = min(shards, COARSE)
+    leaves = split_quotas(quotas, coarse, seed).select("shard", "g", F.posexplode("q").alias("i", "n")).select("shard", (F.col("g") * GROUP + F.col("i") + 1).alias("idx"), "n")
     until = F.sum("n").over(Window.partitionBy("idx").orderBy("shard"))
     runs = leaves.withColumn("until", until).filter("n > 0").select("idx", "shard", F.explode(F.sequence(F.col("until") - F.col("n") + 1, F.col("until"))).alias("unit"))
     units = blocks.filter("passes > 0").select("src", "idx", "b1", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda e: F.struct(e.alias("pass"), (e * F.col("blocks") + F.col("place")).alias("unit")))).alias("u")).select("src", "idx", "b1", "u.*")
@@ -199,7 +203,10 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     key = F.struct("k1", "b1", "k2", "b2", "h", "id", "size")
     drawn = F.coalesce("places", F.array().cast("array<long>"))
     beyond = F.when(F.col("closed"), key > F.col("cut")).otherwise(key >= F.col("cut")) & (F.struct("k1", "b1") == F.struct(F.col("cut.k1"), F.col("cut.b1")))
-    out = out.withColumn("shards", F.when(F.coalesce(beyond, F.lit(False)), F.slice(drawn, F.lit(1), F.greatest(F.size(drawn) - 1, F.lit(0)))).otherwise(drawn))
+    drawn = F.when(F.coalesce(beyond, F.lit(False)), F.slice(drawn, F.lit(1), F.greatest(F.size(drawn) - 1, F.lit(0)))).otherwise(drawn)
+    if shards > coarse:
+        drawn = F.transform(drawn, lambda s, i: s * (shards // coarse) + F.pmod(F.xxhash64(F.lit(seed + 2), "id", "size", i), F.lit(shards // coarse)))
+    out = out.withColumn("shards", drawn)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 

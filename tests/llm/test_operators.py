@@ -172,6 +172,30 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_shards_are_even_at_any_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COARSE", 4)
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    rows_ = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    for shards in (4, 32, 128):
+        df = mixing.mix(rows_, shards=shards)
+        sizes = [x["count"] for x in mixing.draws(df).groupBy("shard").count().collect()]
+        assert len(sizes) == shards and max(sizes) <= 2 * sum(sizes) / shards
+        # whatever the shards, the mixture takes the same
+        taken = df.agg(F.sum("taken"), F.sum(F.xxhash64("doc_id", "taken").cast("decimal(38,0)"))).first()
+        assert shards == 4 or taken == before
+        before = taken
+
+
+def test_tables_of_many_bytes_are_not_broadcast(spark, monkeypatch):
+    from tersemill.llm import common
+
+    df = common.materialize(spark.range(2000).select("id", F.expr("sha2(cast(id as string), 256)").alias("s")), "t")
+    assert "ResolvedHint" in common.hinted(df)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(common, "FEW_BYTES", 1000)
+    assert "ResolvedHint" not in common.hinted(df)._jdf.queryExecution().analyzed().toString()
+    common.discard(df)
+
+
 def test_mixing_tree_splits_quotas_exactly(spark):
     quotas = [[7, 0, 12], [3, 30, 1]]
     df = spark.createDataFrame(list(enumerate(quotas)), "g int, q array<long>")
