@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions import exact_tokens, phrases, rewriting
+from .functions import automaton, exact_tokens, phrases, rewriting
 from .functions.rewriting import CONSTRAINTS, TECHNICAL
 from .operators import cache, compression, feedback
 from .operators import sentences as S
@@ -193,20 +193,61 @@ def extractive_keep_flags(spark, d):
     return S.keep_flags(docs(spark, d), "doc_id", 0.15).select("doc_id", "i", "kept")
 
 
-ENTRIES_SQL = "(VALUES " + ", ".join(f"({quoted(e.kind)}, {quoted(e.category or '')}, {e.confidence if e.confidence is not None else 'NULL'}::DOUBLE)" for es in phrases.ENTRIES.values() for e in es) + ") AS e(kind, category, confidence)"
+ENTRIES_SQL = "(VALUES " + ", ".join(f"({quoted(e.kind)}, {e.seq}, {quoted(' '.join(automaton.WORDS.findall(e.phrase.lower())))}, {quoted(e.category or '')}, {e.confidence if e.confidence is not None else 'NULL'}::DOUBLE)" for es in phrases.ENTRIES.values() for e in es) + ") AS e(kind, seq, words, category, confidence)"
+HITS_SQL = f"""WITH t AS (SELECT ' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', ' ', 'g') || ' ' AS w FROM documents),
+h AS (SELECT kind, seq, category, confidence, (SELECT count(*) FROM t WHERE contains(w, ' ' || words || ' ')) AS texts FROM {ENTRIES_SQL})"""
 
 
-@query(f"SELECT level::INT AS level, kind, count(*) AS active FROM {ENTRIES_SQL}, range(1, 6) AS l(level) WHERE kind = 'swap' OR confidence >= CASE kind WHEN 'boilerplate' THEN greatest(0.1::DOUBLE, 1.1::DOUBLE - level::DOUBLE / 4) ELSE greatest(0::DOUBLE, 1 - level::DOUBLE / 5) END GROUP BY ALL")
+def phrase_hits(spark, d) -> DataFrame:
+    """The dictionaries, with the number of documents that have a phrase's words in a row: one reading of each text."""
+    entries = [e for es in phrases.ENTRIES.values() for e in es]
+    found = automaton.PhraseAutomaton([e.phrase for e in entries])
+    present = compression.per_text(lambda t: sorted(found.present((t or "").lower())), "array<int>")
+    hits = docs(spark, d).select(F.explode(present(F.col("text"))).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("texts"))
+    listed = spark.createDataFrame([(i, e.kind, e.seq, e.category, e.confidence) for i, e in enumerate(entries)], "at int, kind string, seq int, category string, confidence double")
+    return listed.join(hits, "at", "left").fillna(0, ["texts"])
+
+
+@query(f"{HITS_SQL} SELECT kind, seq::INT AS seq, texts FROM h")
+def phrase_documents(spark, d):
+    return phrase_hits(spark, d).select("kind", "seq", "texts")
+
+
+@query(f"""{HITS_SQL} SELECT level::INT AS level, kind, count(*) AS active, sum(texts)::BIGINT AS hits FROM h, range(1, 6) AS l(level)
+WHERE kind = 'swap' OR confidence >= CASE kind WHEN 'boilerplate' THEN greatest(0.1::DOUBLE, 1.1::DOUBLE - level::DOUBLE / 4) ELSE greatest(0::DOUBLE, 1 - level::DOUBLE / 5) END GROUP BY ALL""")
 def dict_active_by_level(spark, d):
-    levels = spark.range(1, 6).select(F.col("id").cast("int").alias("level"))
     bar = F.when(F.col("kind") == "boilerplate", F.greatest(F.lit(0.1), 1.1 - F.col("level") / 4)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("level") / 5))
-    one = compression.dictionary(spark).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return levels.join(one, "level").filter((F.col("kind") == "swap") | (F.col("confidence") >= bar)).groupBy("level", "kind").agg(F.count(F.lit(1)).alias("active"))
+    levels = phrase_hits(spark, d).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return levels.filter((F.col("kind") == "swap") | (F.col("confidence") >= bar)).groupBy("level", "kind").agg(F.count(F.lit(1)).alias("active"), F.sum("texts").alias("hits"))
 
 
-@query(f"SELECT kind, nullif(category, '') AS category, count(*) AS entries FROM {ENTRIES_SQL} GROUP BY ROLLUP (kind, category)")
+@query(f"{HITS_SQL} SELECT kind, nullif(category, '') AS category, count(*) AS entries, sum(texts)::BIGINT AS hits FROM h GROUP BY ROLLUP (kind, category)")
 def dict_category_rollup(spark, d):
-    return compression.dictionary(spark).rollup("kind", "category").agg(F.count(F.lit(1)).alias("entries"))
+    return phrase_hits(spark, d).rollup("kind", "category").agg(F.count(F.lit(1)).alias("entries"), F.sum("texts").alias("hits"))
+
+
+#: What pages are full of, and what no other kind comes before: addresses. RE2 knows their pattern.
+ADDRESSES = r"(?i)(?:https?://|www\.)[^\s\v<>\"'`,;)\]]+"
+
+
+@query(f"SELECT page_id, unnest(regexp_extract_all(url, {quoted(ADDRESSES)})) AS address FROM pages")
+def segments_of_addresses(spark, d):
+    """Protected addresses of each page's own address, by the sweep over candidates."""
+    pages = test_table(spark, d, "pages").select("page_id", "url")
+    found = compression.claimed(pages, "page_id", "url").filter("type = 'url'").join(pages, "page_id")
+    return found.select("page_id", F.substring("url", F.col("start") + 1, F.col("end") - F.col("start")).alias("address"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def segments_tile(spark, d):
+    """The segments of each document put together again: nothing is lost, and nothing is there twice."""
+    s = docs(spark, d).select("doc_id", compression.parse_segments(F.col("text")).alias("s"))
+    return s.select("doc_id", F.array_join(F.transform("s", lambda x: x["content"]), "").alias("text"))
+
+
+@query()
+def segments_claimed(spark, d):
+    return compression.claimed(docs(spark, d), "doc_id")
 
 
 @query()
@@ -321,25 +362,35 @@ def history_last10(spark, d):
     return feedback.newest(test_table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value"))
 
 
-ERRORS = [(1, 429, None, "slow down"), (2, 402, None, "x"), (3, 500, None, "Insufficient credit"), (4, 404, None, "model does not exist"), (5, None, "ETIMEDOUT", "x"), (6, 500, None, "Timeout"), (7, 400, None, "bad"), (8, 500, None, None), (9, 429, None, "quota"), (10, 400, None, "Decommissioned")]
-ANSWERS = [(1, "a b also c and d? e? f " * 4, "x"), (2, "short text here", "short text here, but longer"), (3, "a long enough text to cut", "a long text"), (4, "abc", "  "), (5, "words " * 30, "w")]
+#: What an event stands for as an outcome of a call: its status, its code and what it says.
+STATUS, CODE = (429, 402, 500, 404, 400, 403, 500), ("ECONNABORTED", "ETIMEDOUT", "EX", "E")
+SAID = ("slow down", "Insufficient credit", "model does not exist", "Timeout", "bad", "quota", "Decommissioned", "over", "none", "x", "y")
+
+
+def listed(items: tuple, at: str) -> str:
+    return f"[{', '.join(quoted(x) if isinstance(x, str) else str(x) for x in items)}][{at} % {len(items)} + 1]"
 
 
-def values(rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else quoted(x) for x in r) + ")" for r in rows) + ")"
+def element(items: tuple, at: str):
+    return F.element_at(F.array(*map(F.lit, items)), (F.col(at) % len(items) + 1).cast("int"))
 
 
 @query(f"""SELECT id, CASE WHEN status IN (400, 404) AND regexp_matches(m, 'decommissioned|does not exist') THEN 'misconfigured' WHEN status = 429 THEN 'rate-limited'
 WHEN status IN (402, 403) OR regexp_matches(m, 'quota|credit|insufficient') THEN 'exhausted' WHEN code IN ('ECONNABORTED', 'ETIMEDOUT') OR regexp_matches(m, 'timeout') THEN 'timeout' ELSE 'unknown' END AS error_type
-FROM (SELECT id, status, code, lower(coalesce(message, '')) AS m FROM {values(ERRORS)} AS e(id, status, code, message))""")
+FROM (SELECT event_id AS id, {listed(STATUS, "event_id")} AS status, {listed(CODE, "user_id")} AS code, lower({listed(SAID, "event_id // 7")} || ' ' || props) AS m FROM events)""")
 def error_classification(spark, d):
-    return spark.createDataFrame(ERRORS, "id int, status int, code string, message string").select("id", C.error_class(F.col("status"), F.col("code"), F.col("message")).alias("error_type"))
+    e = test_table(spark, d, "events").withColumn("seventh", F.floor(F.col("event_id") / 7))
+    return e.select(F.col("event_id").alias("id"), C.error_class(element(STATUS, "event_id"), element(CODE, "user_id"), F.concat(element(SAID, "seventh"), F.lit(" "), "props")).alias("error_type"))
 
 
-@query(rf"""SELECT id, CASE WHEN length(trim(b)) = 0 THEN 'empty' WHEN length(b) > length(a) * 1.1 THEN 'expanded'
-WHEN length(b) < length(a) * 0.15 AND (len(regexp_extract_all(a, '\?')) >= 2 OR len(regexp_extract_all(a, '(?i)\b(?:also|and|can you also|plus|additionally|moreover)\b')) >= 2) THEN 'overcompressed' ELSE 'ok' END AS verdict FROM {values(ANSWERS)} AS v(id, a, b)""")
+@query(r"""SELECT conv_id, turn, CASE WHEN length(trim(b)) = 0 THEN 'empty' WHEN length(b) > length(a) * 1.1 THEN 'expanded'
+WHEN length(b) < length(a) * 0.15 AND (len(regexp_extract_all(a, '\?')) >= 2 OR len(regexp_extract_all(a, '(?i)\b(?:also|and|can you also|plus|additionally|moreover)\b')) >= 2) THEN 'overcompressed' ELSE 'ok' END AS verdict
+FROM (SELECT conv_id, turn, text || CASE WHEN conv_id % 2 = 0 THEN '? also? and' ELSE '' END AS a, CASE turn % 4 WHEN 0 THEN '  ' WHEN 1 THEN text || text WHEN 2 THEN substr(text, 1, length(text) // 10) ELSE substr(text, 1, length(text) * 2 // 3) END AS b FROM conversations)""")
 def llm_output_guard(spark, d):
-    return spark.createDataFrame(ANSWERS, "id int, a string, b string").select("id", C.output_verdict(F.col("a"), F.col("b")).alias("verdict"))
+    t, n = F.col("text"), F.length("text")
+    got = F.when(F.col("turn") % 4 == 0, "  ").when(F.col("turn") % 4 == 1, F.concat(t, t)).when(F.col("turn") % 4 == 2, F.substring(t, F.lit(1), F.floor(n / 10).cast("int"))).otherwise(F.substring(t, F.lit(1), F.floor(n * 2 / 3).cast("int")))
+    given = F.concat(t, F.when(F.col("conv_id") % 2 == 0, "? also? and").otherwise(""))
+    return test_table(spark, d, "conversations").select("conv_id", "turn", C.output_verdict(given, got).alias("verdict"))
 
 
 @query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'aws_key' END, CASE WHEN regexp_matches(text, '(?i)\b(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*["'']?[^\s"'']{8,}') THEN 'assignment' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END], lambda x: x IS NOT NULL) AS secrets FROM documents""")
@@ -408,26 +459,28 @@ injected(
 )
 
 
-SUBJECTS = [(1, "The big dog is late."), (2, "It is raining, it should stop."), (3, "A very long subject of seven words is here."), (4, "Nothing to see."), (5, "the new user has rights."), (6, "An  app must run.")]
-CHAINS = [(i, f"Plain words come {w} in here. The {w} server is slow, slow, slow and slow. It is old and it must go. Alpha beta gamma delta {w}. Kilo lima mike november {w}. This is fine. Oscar papa quebec {w}.") for i, w in enumerate(("red", "green", "blue"))]
+#: Documents hardly have such sentences; each document gets these before its own.
+TALK = "The big dog is late. It is raining, it should stop. A very long subject of seven words is here. the new user has rights. It is old and it must go. An  app must run. This is fine. That can wait. "
+TALK_SQL = f"SELECT doc_id, (unnest(range(0, len(s))))::INT AS i, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES.replace('{t}', f'concat({quoted(TALK)}, text)')} AS s FROM documents)"
+SUBJECT_SQL = r"CASE WHEN x <> '' AND len(string_split(x, ' ')) <= 4 THEN x END"
+BEFORE_VERB = r"regexp_replace(trim(regexp_extract(sentence, '(?i)^([^,]+?)\s+(?:is|should|needs|has|will|can|must|does)\b', 1)), '(?i)^(?:the|a|an)\s+', '')"
 
 
-def values_of(rows: list[tuple], names: str) -> str:
-    return f"{values(rows)} AS v({names})"
+def talk(spark, d) -> DataFrame:
+    return S.sentence_rows(docs(spark, d).select("doc_id", F.concat(F.lit(TALK), "text").alias("text")), "doc_id")
 
 
-@query(rf"""SELECT id, CASE WHEN x <> '' AND len(string_split(x, ' ')) <= 4 THEN x END AS subject FROM (SELECT id, regexp_replace(trim(regexp_extract(s, '(?i)^([^,]+?)\s+(?:is|should|needs|has|will|can|must|does)\b', 1)), '(?i)^(?:the|a|an)\s+', '') AS x FROM {values_of(SUBJECTS, "id, s")})""")
+@query(f"SELECT doc_id, i, {SUBJECT_SQL} AS subject FROM (SELECT doc_id, i, {BEFORE_VERB} AS x FROM ({TALK_SQL}))")
 def sentence_subjects(spark, d):
-    return spark.createDataFrame(SUBJECTS, "id int, s string").select("id", C.subject(F.col("s")).alias("subject"))
+    return talk(spark, d).select("doc_id", "i", C.subject(F.col("sentence")).alias("subject"))
 
 
-@query(rf"""WITH r AS (SELECT id, (unnest(range(0, len(s))))::INT AS i, unnest(s) AS sentence FROM (SELECT id, {SENTENCES.replace("{t}", "text")} AS s FROM {values_of(CHAINS, "id, text")})),
-u AS (SELECT id, i, sentence, i NOT IN (1, 4) AS kept, regexp_replace(regexp_extract(sentence, '(?i)^([^,]+?)\s+(?:is|should|needs|has|will|can|must|does)\b', 1), '(?i)^(?:the|a|an)\s+', '') AS subject FROM r),
-l AS (SELECT *, lag(kept, 1, true) OVER w AS k, lag(subject) OVER w AS before FROM u WINDOW w AS (PARTITION BY id ORDER BY i))
-SELECT id, i, kept, nullif(subject, '') AS subject, CASE WHEN kept AND NOT k AND before <> '' AND regexp_matches(sentence, '(?i)^(it|this|that)\s+(is|should|needs|has|will|can|must)\b') THEN upper(before[1]) || before[2:] || regexp_replace(sentence, '(?i)^(it|this|that)', '') ELSE sentence END AS resolved FROM l""")
+@query(rf"""WITH u AS (SELECT doc_id, i, sentence, i % 3 <> 0 AS kept, {SUBJECT_SQL} AS subject FROM (SELECT *, {BEFORE_VERB} AS x FROM ({TALK_SQL}))),
+l AS (SELECT *, lag(kept, 1, true) OVER w AS k, lag(subject) OVER w AS before FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, i, kept, subject, CASE WHEN kept AND NOT k AND before <> '' AND regexp_matches(sentence, '(?i)^(it|this|that)\s+(is|should|needs|has|will|can|must)\b') THEN upper(before[1]) || before[2:] || regexp_replace(sentence, '(?i)^(it|this|that)', '') ELSE sentence END AS resolved FROM l""")
 def subject_and_pronoun(spark, d):
-    rows = S.sentence_rows(spark.createDataFrame(CHAINS, "id int, text string"), "id").withColumn("kept", ~F.col("i").isin(1, 4))
-    return S.with_subjects(rows, "id").select("id", "i", "kept", "subject", "resolved")
+    rows = talk(spark, d).withColumn("kept", F.col("i") % 3 != 0)
+    return S.with_subjects(rows, "doc_id").select("doc_id", "i", "kept", "subject", "resolved")
 
 
 @query(rf"""WITH c AS (SELECT item_id, {SENTENCES.replace("{t}", "concat('Must be short. ', text, ' An answer is required. never mind.')")} AS s, concat('Must be short. ', text, ' An answer is required. never mind.') AS t FROM benchmark),
@@ -438,20 +491,33 @@ def constraints_first(spark, d):
     return test_table(spark, d, "benchmark").select("item_id", C.constraints_first(t).alias("text"))
 
 
-CLAUSES = [("Use it (as in 2.1) now.", "Use it (as in 2.1) now."), ("Use it (or not) now, i think.", "Use it now."), ("Use the (api) here, if possible", "Use the (api) here."), ("A  b, maybe.", "A b."), ("Plain.", "Plain.")]
+#: What a sentence of a document gets at its end, by its place; only the first, and the qualifiers, go.
+ASIDES = ("", " (or not)", " (v2)", " (the api)", ", maybe.", ", I think")
 
 
-@query(f"SELECT id, want AS text FROM {values_of([(i, b) for i, (_, b) in enumerate(CLAUSES)], 'id, want')}")
+@query(rf"""SELECT doc_id, i, regexp_replace(CASE i % 6 WHEN 2 THEN s || ' (v2)' WHEN 3 THEN s || ' (the api)' WHEN 4 THEN f WHEN 5 THEN f ELSE s END, '\s{{2,}}', ' ', 'g') AS text
+FROM (SELECT *, CASE WHEN ends_with(s, '.') THEN s ELSE s || '.' END AS f FROM (SELECT doc_id, i, translate(sentence, '()', '[]') AS s FROM ({filled(ROWS, "doc_id", "documents")})))""")
 def prune_clauses(spark, d):
-    made = compression.per_text(rewriting.prune_clauses, "string")
-    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(CLAUSES)], "id int, text string").select("id", made(F.col("text")).alias("text"))
+    rows = S.sentence_rows(docs(spark, d), "doc_id").select("doc_id", "i", F.concat(F.translate("sentence", "()", "[]"), element(ASIDES, "i")).alias("text"))
+    return rows.select("doc_id", "i", compression.per_text(rewriting.prune_clauses, "string")(F.col("text")).alias("text"))
+
+
+def capitals(text: str, before: str, between: str) -> str:
+    """Small letters after `before` become capitals; RE2 has no other way than one letter after the other."""
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        text = rf"regexp_replace({text}, '({before}){c}', '\1{between}{c.upper()}', 'g')"
+    return text
+
 
+WHITE = "concat('one  two. Three !  Four; ', text, ' ;  ')"
+for pattern, put in ((r" {2,}", "' '"), (r" ([.,;:!?])", r"'\1'"), (r"[,;]\s*([.!?])", r"'\1'"), (r"(?m)[,;]\s*$", "''"), (r"(?m)^ +", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"(?m)^[,;]\s*", "''")):
+    WHITE = f"regexp_replace({WHITE}, '{pattern}', {put}, 'g')"
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1]) || x[2:] ELSE x END AS text FROM (SELECT doc_id, concat('one two. Three! Four; ', regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), ' ([.,;:!?])', '\1', 'g'), '[,;]\s*([.!?])', '\1', 'g')) AS x FROM documents WHERE NOT regexp_matches(text, '[.!?]\s+[a-z]|(^|\n)[ ,;]|[,;]\s*(\n|$)|\n\n\n'))""")
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1]) || x[2:] ELSE x END AS text FROM (SELECT doc_id, {capitals(WHITE, '[.!?]\\s+', '')} AS x FROM documents)".replace("\\\\", "\\"))
 def clean_whitespace_injected(spark, d):
     made = compression.per_text(rewriting.clean_whitespace, "string")
-    plain = ~F.col("text").rlike(r"[.!?]\s+[a-z]|(^|\n)[ ,;]|[,;]\s*(\n|\z)|\n\n\n")
-    return docs(spark, d).filter(plain).select("doc_id", made(F.concat(F.lit("one  two. Three !  Four; "), "text")).alias("text"))
+    return docs(spark, d).select("doc_id", made(F.concat(F.lit("one  two. Three !  Four; "), "text", F.lit(" ;  "))).alias("text"))
 
 
 @query(f"SELECT doc_id, (a - b) / a < 0.5 AND a > 200 AND NOT regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b|(?i:\\b(?:password|passwd|secret|token|api[_-]?key)\\s*[=:]\\s*[\"'']?[^\\s\"'']{{8,}})|-----BEGIN [A-Z ]*PRIVATE KEY-----') AS escalate FROM (SELECT doc_id, text, {tokens_sql('text')} AS a, ({tokens_sql('text')} * (doc_id % 10)) // 10 AS b FROM documents)")
@@ -483,27 +549,33 @@ def rate_stats(spark, d):
     return feedback.rate_stats(r, now).select("provider", "rpm_used", "tpm_used", "rpd_used", "tpd_used")
 
 
-STATES = [("first", 0, True, 0, 2, False, False, True), ("second", 1, True, 500, 0, False, False, True), ("third", 2, False, 0, 0, True, True, False), ("fourth", 3, True, 0, 3, False, False, True)]
-STATE = "provider string, position int, has_key boolean, cooling_down_until long, consecutive_timeouts int, credit_exhausted boolean, misconfigured boolean, renewable boolean"
-OUTCOMES = [("first", "timeout"), ("second", "success"), ("fourth", "rate-limited")]
+OUTCOMES = ("success", "timeout", "rate-limited", "unknown", "exhausted")
+#: A provider for each of 40 groups of users, its state and the outcome of its last call.
+STATE_SQL = f"""SELECT 'p' || p AS provider, p::INT AS position, p % 3 <> 0 AS k, low % 2000 AS c, (n % 5)::INT AS t, top % 4 = 0 AS e, low % 7 = 0 AS m, CASE WHEN p % 4 <> 3 THEN {listed(OUTCOMES, "top")} END AS outcome
+FROM (SELECT user_id % 40 AS p, min(event_id) AS low, max(event_id) AS top, count(*) AS n FROM events GROUP BY 1)"""
 
 
-def sql_rows(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, (bool, int)) else quoted(x) for x in r) + ")" for r in rows) + f") AS v({names})"
+def states(spark, d) -> DataFrame:
+    e = test_table(spark, d, "events").groupBy((F.col("user_id") % 40).alias("p")).agg(F.min("event_id").alias("low"), F.max("event_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    return e.select(
+        F.concat(F.lit("p"), "p").alias("provider"), F.col("p").cast("int").alias("position"), (F.col("p") % 3 != 0).alias("has_key"), (F.col("low") % 2000).alias("cooling_down_until"), (F.col("n") % 5).cast("int").alias("consecutive_timeouts"),
+        (F.col("top") % 4 == 0).alias("credit_exhausted"), (F.col("low") % 7 == 0).alias("misconfigured"), (F.col("p") % 2 == 0).alias("renewable"), F.when(F.col("p") % 4 != 3, element(OUTCOMES, "top")).alias("outcome"),
+    )
 
 
-@query(f"""SELECT s.provider, position, CASE o.outcome WHEN 'rate-limited' THEN 301000 WHEN 'unknown' THEN 61000 WHEN 'timeout' THEN CASE WHEN t + 1 >= 3 THEN 601000 ELSE c END ELSE c END::BIGINT AS cooling_down_until,
-CASE o.outcome WHEN 'success' THEN 0 WHEN 'timeout' THEN t + 1 ELSE t END AS consecutive_timeouts, e OR coalesce(o.outcome = 'exhausted', false) AS credit_exhausted
-FROM (SELECT provider, position, c, CASE WHEN c <= 1000 AND t >= 3 THEN 0 ELSE t END AS t, e FROM (SELECT * FROM {sql_rows(STATES, "provider, position, k, c, t, e, m, r")})) s LEFT JOIN (SELECT * FROM {sql_rows(OUTCOMES, "provider, outcome")}) o USING (provider)""")
+@query(f"""SELECT provider, position, CASE outcome WHEN 'rate-limited' THEN 301000 WHEN 'unknown' THEN 61000 WHEN 'timeout' THEN CASE WHEN t + 1 >= 3 THEN 601000 ELSE c END ELSE c END::BIGINT AS cooling_down_until,
+(CASE outcome WHEN 'success' THEN 0 WHEN 'timeout' THEN t + 1 ELSE t END)::INT AS consecutive_timeouts, e OR coalesce(outcome = 'exhausted', false) AS credit_exhausted
+FROM (SELECT provider, position, c, CASE WHEN c <= 1000 AND t >= 3 THEN 0 ELSE t END AS t, e, outcome FROM ({STATE_SQL}))""")
 def provider_states(spark, d):
-    out = feedback.after_outcomes(spark.createDataFrame(STATES, STATE), spark.createDataFrame(OUTCOMES, "provider string, outcome string"), 1000)
+    s = states(spark, d)
+    out = feedback.after_outcomes(s.drop("outcome"), s.filter("outcome is not null").select("provider", "outcome"), 1000)
     return out.select("provider", "position", "cooling_down_until", "consecutive_timeouts", "credit_exhausted")
 
 
-@query(f"SELECT provider, position, k AND NOT e AND NOT m AND c <= 400 AS available FROM {sql_rows(STATES, 'provider, position, k, c, t, e, m, r')}")
+@query(f"SELECT provider, position, k AND NOT e AND NOT m AND c <= 400 AS available FROM ({STATE_SQL})")
 def provider_listing(spark, d):
-    state = spark.createDataFrame(STATES, STATE)
-    return feedback.provider_listing(state.withColumn("model", F.lit("m")), state, 400).select("provider", "position", "available")
+    s = states(spark, d)
+    return feedback.provider_listing(s.withColumn("model", F.lit("m")), s, 400).select("provider", "position", "available")
 
 
 @query("SELECT event_id AS id, CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'rejected' WHEN event_id % 5 = 0 THEN 'failed' WHEN user_id % 2 = 0 AND event_id % 3 = 1 THEN 'reverted' ELSE 'accepted' END AS decision FROM events")
@@ -524,12 +596,16 @@ def decision_feedback(spark, d):
 MARKS_SQL = ORACLE_SQL["clean_punctuation"].removeprefix("SELECT doc_id, ").removesuffix(" AS text FROM documents")
 
 
-@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(m, '^[,;:]\s*', ''), '\s{{2,}}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text
-FROM (SELECT doc_id, {MARKS_SQL.replace("text", "concat('; so.  Then; : it ,, ', text, ' !! ')")} AS m FROM documents) WHERE NOT regexp_matches(m, '[.!?]\s+[a-z]')""")
+SPACED = "m"
+for c in "abcdefghijklmnopqrstuvwxyz":
+    SPACED = rf"regexp_replace({SPACED}, '([.!?])\s+{c}', '\1 {c.upper()}', 'g')"
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace({SPACED}, '^[,;:]\s*', ''), '\s{{2,}}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text
+FROM (SELECT doc_id, {MARKS_SQL.replace("text", "concat('; so.  Then; : it ,, ', text, ' !! ')")} AS m FROM documents)""")
 def clean_punctuation_whole(spark, d):
     t = F.concat(F.lit("; so.  Then; : it ,, "), "text", F.lit(" !! "))
-    rows = docs(spark, d).select("doc_id", t.alias("text")).filter(~C.merge_punctuation(F.col("text")).rlike(r"[.!?]\s+[a-z]"))
-    return rows.select("doc_id", compression.per_text(rewriting.clean_punctuation, "string")(F.col("text")).alias("text"))
+    return docs(spark, d).select("doc_id", compression.per_text(rewriting.clean_punctuation, "string")(t).alias("text"))
 
 
 CUT_TEXT = "See `x y` and http://a.b/c?d, \"a quote\" or 'one more' with abc12345 for 12.5px.\n```\ncode\n```\nfunction f() {\n  return 1;\n}\nEnd here. "
@@ -543,29 +619,6 @@ def segments_injected(spark, d):
     return s.select("doc_id", F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["type"], x["content"])), "|").alias("cut"))
 
 
-LOCAL_TEXT = "The old server is slow and the old server is slow again. It is the one that we use. Must be quick. Plain words fill this line here. More plain words fill this other line. Even more plain words (or so) fill it. Nobody reads this last line, i think."
-#: (pass, text, what it must become), worked out by hand from the rules of each pass.
-PASSES = [
-    ("rules", "I basically need it in order to go. In order to win, use `a  b` and  \"so very good\" .\n\nOkay.\n\nThe end is here.", "I need it to go. To win, use `a b` And \"so very good\" . Okay. The end is here."),
-    ("rules", "Please note that the database is slow. The database is slow. It is 12px wide , , and the the page fails.", "The DB is slow. It's 12px Wide, and the page fails."),
-    ("rules", "First, open it. Second, read it. Third, close it.\n- one\n- two\n\n\n\n```\nx  =  1\n```", "open it, read it, then close it.- one\n- two\n\n```\nx = 1\n```"),
-    ("local", LOCAL_TEXT, "CONSTRAINTS: Must be quick.\n\nPlain words fill this line here. More plain words fill this other line. Even more plain words fill it. Nobody reads this last line."),
-    ("local", "One. Two.", "One. Two."),
-    ("local", "Use the api. Never stop. The api is required. Go on with it now.", "CONSTRAINTS: Never stop. The api is required.\n\nUse the api."),
-    ("safe", LOCAL_TEXT + " Please note that it is 12px wide.", "The old server is slow and the old server is slow again. It's the one that we use. Must be quick. Plain words fill this line here. Even more plain words (or so) fill it. Nobody reads this last line, i think. Please note that it's 12px Wide."),  # a phrase just under the level's threshold stays
-]
-
-
-@query(f"SELECT id::INT AS id, replace(want, '~', chr(10)) AS text FROM (VALUES {', '.join(f'({i}, {quoted(w.replace(chr(10), chr(126)))})' for i, (_, _, w) in enumerate(PASSES))}) AS v(id, want)")
-def rewriting_passes(spark, d):
-    run = {"rules": lambda t: rewriting.compress(t)["result"], "local": lambda t: rewriting.compress_local(t, 0.3)[0], "safe": lambda t: rewriting.multi_pass(t, "safe")["result"]}
-    rows = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(PASSES)], "id int, pass string, text string")
-    out = F.lit(None).cast("string")
-    for name, one in run.items():
-        out = F.when(F.col("pass") == name, compression.per_text(one, "string")(F.col("text"))).otherwise(out)
-    return rows.select("id", out.alias("text"))
-
-
 def tokenizer_file() -> str | None:
     """A byte-level tokenizer's file, if any is installed; without one counts are heuristic."""
     try:

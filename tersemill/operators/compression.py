@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -54,6 +54,21 @@ def parse_segments(text: Column) -> Column:
     return per_text(lambda t: [vars(s) for s in segments.parse_segments(t or "")], kind)(text)
 
 
+def claimed(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, type, start, end) of the protected segments, as an interval join: candidates are rows, and level by level
+    those stay that meet none of the ranges taken by then, which the nearest ones to both sides tell in a sweep."""
+    every = per_text(lambda t: [dict(zip(("level", "type", "start", "end"), c, strict=True)) for c in segments.candidates(t or "")], "array<struct<level:int,type:string,start:int,end:int>>")
+    rows = docs.select(key, F.explode(every(F.col(text))).alias("c")).select(key, "c.*").withColumn("taken", F.col("level") == 0)
+    w = Window.partitionBy(key).orderBy("start", "end")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    for level in range(1, segments.LEVELS):
+        left, right = F.max(F.when(F.col("taken"), F.col("end"))).over(before), F.min(F.when(F.col("taken"), F.col("start"))).over(after)
+        rows = rows.withColumns({"_left": left, "_right": right})
+        free = (F.coalesce("_left", "start") <= F.col("start")) & (F.coalesce("_right", "end") >= F.col("end"))
+        rows = rows.withColumn("taken", F.col("taken") | ((F.col("level") == level) & free)).drop("_left", "_right")
+    return rows.filter("taken").select(key, "type", "start", "end")
+
+
 def word_diff(old: Column, new: Column) -> Column:
     """array<struct<op, value>>: equal, delete and insert runs of words and blanks; both texts can be put together again."""
 

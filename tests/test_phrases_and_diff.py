@@ -104,3 +104,18 @@ def test_only_small_scans_are_dealt_over_the_cores(spark, tmp_path):
         assert "RoundRobin" not in spread(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_claims_by_a_sweep_equal_the_parser(spark):
+    from pyspark.sql import functions as F
+
+    from tersemill.functions import segments
+
+    odd = ["See `x 12` and http://a.b/c?d=12, \"a 12 quote\" 'or `one` more' abc12345 12.5px\n```\ncode 12 'q'\n```\nfunction f() {\n  return 12;\n}\nEnd.", "", None, "'12' \"www.x.y 'z1234567'\" `a`b`c`"]
+    texts = odd + texts_with_phrases(40, 5) + [x["html"] for x in spark.read.parquet(f"{D}/pages.parquet").select("html").collect()] + pq.read_table(f"{D}/documents.parquet").column("text").to_pylist()
+    got = {}
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "id int, text string, type string, level int")
+    for x in compression.claimed(rows.select("id", F.col("text")), "id").collect():
+        got.setdefault(x.id, []).append((x.start, x.end, x.type))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(s.start, s.end, s.type) for s in segments.parse_segments(t or "") if s.protected]
