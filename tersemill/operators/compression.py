@@ -131,9 +131,11 @@ def compress_pipeline(
     consent: bool = False,
     available: bool = True,
     excluded: frozenset[str] = frozenset(),
+    keep_original: bool = False,
 ) -> DataFrame:
     """One row per text: result, tier, changed, tokens before and after, and whether the cloud pass is due, in one
-    scan without a shuffle. Blank texts and those of under `least` tokens pass through."""
+    scan without a shuffle; with keep_original also original_text. Blank texts and those of under `least` tokens pass
+    through."""
     before = C.heuristic_tokens(F.col(text))
     due = F.coalesce((before >= least) & ~F.col(text).rlike(r"\A\s*+\z"), F.lit(False))
     secret = F.size(C.secrets(F.col(text))) > 0
@@ -142,6 +144,7 @@ def compress_pipeline(
     out = out.withColumn("compressed_tokens", F.coalesce(C.heuristic_tokens(F.col("result")), F.col("original_tokens")))
     return out.select(
         key,
+        *["original_text"] * keep_original,
         F.coalesce("result", "original_text").alias("result"),
         F.when(F.col("result").isNull(), "0").otherwise("multi-pass").alias("tier"),
         F.coalesce("changed", F.lit(False)).alias("changed"),

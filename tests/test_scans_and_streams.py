@@ -255,3 +255,25 @@ def test_rate_stats_of_ranges(spark):
     requests = [(i, "first", i * 1000, 5) for i in range(100)]
     got = feedback.rate_stats(spark.createDataFrame(requests, REQUEST), 99_000).first()
     assert (got.rpm_used, got.tpm_used, got.rpd_used, got.tpd_used, got.rpm_limit) == (60, 300, 100, 500, 30.0)
+
+
+def test_a_job_goes_from_texts_to_decisions_and_learns(spark, tmp_path):
+    from tersemill import job
+    from tersemill.settings import Settings
+
+    folder = f"file://{tmp_path}/job"
+    long = "We basically need it in order to win, and that is all there is to say about it. "
+    texts = spark.createDataFrame([(i, f"{long}{i}") for i in range(6)] + [(6, None), (7, "short")], "id int, text string")
+    choices = spark.createDataFrame([(i, "original", True) for i in range(5)] + [(5, "reject", True), (5, "reject", True)], "id int, choice string, delivered boolean")
+    shown = Settings(preset="balanced", tier0_preview=True)
+    first = {x.id: x for x in job.run(texts, "id", folder, shown, choices=choices).collect()}
+    assert {i: first[i].decision for i in range(8)} == {**dict.fromkeys(range(5), "reverted"), 5: "rejected", 6: "accepted", 7: "accepted"}
+    assert all(first[i].delivered == f"{long}{i}" for i in range(6)) and first[6].delivered is None and first[7].delivered == "short"
+    # five reverts exclude the phrases, so the next run leaves them in
+    gone = job.excluded_phrases(spark, folder)
+    assert "basically" in gone
+    second = job.run(texts, "id", folder, Settings(preset="balanced"))
+    again = {x.id: x for x in second.collect()}
+    assert all("basically" in again[i].delivered and again[i].decision == "accepted" for i in range(6))
+    assert {x.decision: x.runs for x in job.summary(second).collect()} == {"accepted": 7}
+    assert job.run(texts.limit(0), "id", folder).count() == 0
