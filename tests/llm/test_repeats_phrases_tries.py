@@ -152,7 +152,9 @@ def test_shards_keep_all_words_and_phrases_across_them(monkeypatch):
             stream = stream + [b"."] * 2
             plain = np.array([w != b"." for w in stream])
             pairs, triples = plain[:-1] & plain[1:], plain[:-2] & plain[1:-1] & plain[2:]
-            collocations.mine(stream, size, pairs, triples, lambda p, n, lang=lang: got.update({(lang, p): n}))
+            counts = {}
+            collocations.mine(stream, size, pairs, triples, counts)
+            got.update({(lang, tuple(p.split(b" "))): n for p, n in counts.items()})
         assert got == want
 
 
@@ -161,10 +163,39 @@ def test_bitmaps():
     import numpy as np
 
     at = np.array(sorted(r.sample(range(1000), 300)))
-    one = collocations.bitmaps(np.zeros(300, int), at)[0]
-    other = {p + 1 for p in at.tolist()}
-    assert collocations.popcount(one) == 300
-    assert collocations.popcount(collocations.both(collocations.shifted(one), one)) == len(other & set(at.tolist()))
+    codes = np.array([0] * 280 + [1] * 19 + [3])
+    r.shuffle(codes)
+    made = collocations.bitmaps(codes, at, 4)
+    sets = [set(at[codes == c].tolist()) for c in range(4)]
+    assert [type(m) for m in made] == [int, list, list, list] and list(map(collocations.popcount, made)) == [280, 19, 0, 1]
+    seen = collocations.positions_seen(made[0] << 1, 1001)
+    assert {p for p in range(1001) if seen[p]} == {p + 1 for p in sets[0]}
+    assert set(collocations.both(made[0] << 1, made[1], lambda: seen)) == {p + 1 for p in sets[0]} & sets[1]
+    assert collocations.popcount(collocations.both(made[0] << 1, made[0], lambda: seen)) == len({p + 1 for p in sets[0]} & sets[0])
+
+
+@pytest.mark.parametrize("sparse", [0, 3, 32])
+def test_phrases_of_many_and_of_few_bits_are_counted_alike(monkeypatch, sparse):
+    import numpy as np
+
+    monkeypatch.setattr(collocations, "SPARSE", sparse)
+    r = random.Random(12)
+    for _ in range(60):
+        stream = [r.choice([b"a", b"a", b"b", b"c", b"d", b"."]) for _ in range(r.randint(3, 200))]
+        size = r.randint(1, len(stream))
+        plain = np.array([w != b"." for w in stream])
+        pairs, triples = plain[:-1] & plain[1:], plain[:-2] & plain[1:-1] & plain[2:]
+        rare = r.choice([b"a b", b"c d", b"none"])  # what can't be frequent isn't extended
+        pairs &= np.array([b" ".join(stream[i : i + 2]) != rare for i in range(len(stream) - 1)])
+        triples &= pairs[:-1] & pairs[1:]
+        want = Counter()
+        for i in range(size):
+            for k in (2, 3, 4):
+                if i + k <= len(stream) and all(pairs[i : i + k - 1]):
+                    want[b" ".join(stream[i : i + k])] += 1
+        counts = {}
+        collocations.mine(stream, size, pairs, triples, counts)
+        assert counts == want
 
 
 def plain_trie(rows):
