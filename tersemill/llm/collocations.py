@@ -1,8 +1,8 @@
 """Phrase collocations by position bitmaps (operator 12).
 
 Texts become streams of words, with a mark where a piece ends, dealt into shards of positions. In a shard each word
-has a compressed bitmap of its positions (64 positions a chunk, empty chunks left out). A phrase's bitmap has the
-positions of its last word; a word extends it by shifting that bitmap by one and ANDing it with the word's, and
+has a compressed bitmap of its positions (a list of them where they are few, bits where they are many). A phrase's
+bitmap has the positions of its last word; a word extends it by shifting that bitmap by one and ANDing it with the word's, and
 the popcount is the number of its occurrences. Phrases are extended depth-first up to four words. Marks belong to no
 word, so no phrase crosses them; each shard is followed by the next three words, and phrases belong to the shard in
 which they begin. Popcounts are summed over a task's shards, then over all.
@@ -27,17 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize, scratch, table, trimmed
+from .common import materialize, scratch, table, trimmed
 
 SUPPORT, SUBSUMED, TOP = 30, 80, 2000
 #: Positions of a shard, words held by a task over all languages, bytes of a text read at a time.
-SHARD, HELD, READ = 1 << 16, 1 << 19, 1 << 20
+SHARD, HELD, READ = 1 << 14, 1 << 19, 1 << 20
+SPARSE = 32
 #: Bits of a table: so many a key, and at most.
 BITS, MOST_BITS = 32, 1 << 28
 #: Hashes that a task gathers before it sends them, those of a block, most counters a task holds.
-GATHER, IN_BLOCK, COUNTERS = 1 << 21, 1 << 21, 200_000
+GATHER, IN_BLOCK, COUNTERS = 1 << 21, 1 << 21, 300_000
 #: Distinct words that a task remembers for each language, and languages.
-MEMO, LANGS = 60_000, 8
+MEMO, LANGS = 150_000, 8
 
 #: Lower-cases A-Z and makes all ends of pieces full stops.
 FOLD = bytes(46 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,15 +94,20 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
 
 
 class Bits:
-    """Which hashes may be frequent. None: any."""
+    """Which hashes may be frequent."""
 
-    def __init__(self, bits: np.ndarray | None, log: int):
+    def __init__(self, bits: np.ndarray, log: int):
         self.bits, self.shift = bits, np.uint64(64 - log)
+        self.down, self.plain = 64 - log, bits.tobytes()
 
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h >> self.shift
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def has_one(self, h: int) -> int:
+        at = h >> self.down
+        return self.plain[at >> 3] >> (at & 7) & 1
+
 
 def bit_table(keys: DataFrame) -> Bits:
     """Of (h): at most MOST_BITS bits, put together in blocks of 2^16 by tasks."""
@@ -125,30 +131,46 @@ def bit_table(keys: DataFrame) -> Bits:
     return Bits(table_, log)
 
 
-class Hashes:
-    """Hashes of the words, pairs and triples of a shard; 0 or False where they can't be frequent."""
+class Codes(dict):
+    """Words by number, in order of appearance; 0 is all that can't be frequent. hashes has their hashes."""
 
-    def __init__(self, tables: list):
-        self.tables, self.memos = tables, {}
+    def __init__(self, lang: str, bits: Bits):
+        super().__init__()
+        self.seed, self.has = xxhash.xxh3_64_intdigest(lang), bits.has_one
+        self.hashes, self.n = np.zeros(1024, np.uint64), 1
+        self[END] = 0
+
+    def __missing__(self, w: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(w, self.seed) | 1
+        if not self.has(h):
+            self[w] = 0
+            return 0
+        if self.n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(self.n, np.uint64)))
+        self.hashes[self.n] = h
+        self[w] = code = self.n
+        self.n += 1
+        return code
 
-    def word(self, lang: str) -> Callable[[bytes], int]:
-        seed, bits = xxhash.xxh3_64_intdigest(lang), self.tables[0].value
 
-        def make(w: bytes) -> int:
-            h = xxhash.xxh3_64_intdigest(w, seed) | 1
-            return h if w != END and bits.has(np.array([h], np.uint64))[0] else 0
+class Hashes:
+    """Hashes of the words, pairs and triples of a shard; 0 where they can't be frequent."""
+
+    def __init__(self, tables: list):
+        self.tables, self.codes = tables, {}
 
-        if len(self.memos) >= LANGS:
-            self.memos.clear()
-        self.memos[lang] = memo = Memo(make, MEMO, 64)
-        return memo
+    def words(self, lang: str, stream: list[bytes]) -> np.ndarray:
+        codes = self.codes.get(lang)
+        if codes is None or len(codes) > MEMO:
+            if len(self.codes) >= LANGS:
+                self.codes.clear()
+            codes = self.codes[lang] = Codes(lang, self.tables[0].value)
+        found = np.array(list(map(codes.__getitem__, stream)), np.int64)
+        return codes.hashes[found]
 
     def of(self, lang: str, stream: list[bytes]) -> list[np.ndarray]:
         """Hashes of words, pairs, triples, as far as there are tables for what they consist of; each zero if any part is infrequent."""
-        memo = self.memos.get(lang)
-        if memo is None:
-            memo = self.word(lang)
-        h = np.array([memo[w] for w in stream], np.uint64)
+        h = self.words(lang, stream)
         out = [h]
         for k in range(len(self.tables)):
             last = out[-1]
@@ -215,77 +237,120 @@ def frequent(docs: DataFrame, tables: list, blocks: int, support: int) -> DataFr
     return dealt.mapInArrow(trimmed(count), "h long")
 
 
-Bitmap = dict[int, int]
+#: Positions as a list where there are at most SPARSE, else as the bits of a number.
+Bitmap = list[int] | int
 
 
-def shifted(bitmap: Bitmap) -> Bitmap:
-    """Each position plus one."""
-    out: Bitmap = {}
-    for c, m in bitmap.items():
-        if low := m << 1 & 0xFFFFFFFFFFFFFFFF:
-            out[c] = out.get(c, 0) | low
-        if m >> 63:
-            out[c + 1] = out.get(c + 1, 0) | 1
+def popcount(bitmap: Bitmap) -> int:
+    return bitmap.bit_count() if type(bitmap) is int else len(bitmap)
+
+
+def positions_seen(bitmap: int, size: int) -> bytes:
+    """A byte for each position, to look single ones up."""
+    return np.unpackbits(np.frombuffer(bitmap.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little").tobytes()
+
+
+def bitmaps(codes: np.ndarray, at: np.ndarray, n: int) -> list[Bitmap]:
+    """The bitmaps of n codes, of the ascending positions `at` that have them."""
+    by = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=n)).tolist()
+    at = at[by]
+    listed, out, start = at.tolist(), [], 0
+    for end in ends:
+        if end - start <= SPARSE:
+            out.append(listed[start:end])
+        else:
+            row = np.zeros(listed[end - 1] + 1, np.uint8)
+            row[at[start:end]] = 1
+            out.append(int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"))
+        start = end
     return out
 
 
-def both(a: Bitmap, b: Bitmap) -> Bitmap:
-    if len(a) > len(b):
-        a, b = b, a
-    get = b.get
-    return {c: m for c, v in a.items() if (m := v & get(c, 0))}
-
+def both(ends: int, word: Bitmap, seen: Callable[[], bytes]) -> Bitmap:
+    """Bits and a word's bitmap; seen() spreads the bits out, for words of few positions."""
+    if type(word) is int:
+        met = ends & word
+        if met.bit_count() > SPARSE:
+            return met
+        out = []
+        while met:
+            out.append((met & -met).bit_length() - 1)
+            met &= met - 1
+        return out
+    at = seen()
+    return [p for p in word if at[p]]
 
-def popcount(bitmap: Bitmap) -> int:
-    return sum([m.bit_count() for m in bitmap.values()])
-
-
-def bitmaps(codes: np.ndarray, at: np.ndarray) -> dict[int, Bitmap]:
-    """The bitmap of each code, of the positions `at` that have it."""
-    by = np.lexsort((at, codes))
-    codes, at = codes[by], at[by]
-    chunk = at >> 6
-    first = np.flatnonzero(np.r_[len(at) > 0, (np.diff(codes) != 0) | (np.diff(chunk) != 0)][: len(at)])
-    masks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(first) else []
-    out: dict[int, Bitmap] = defaultdict(dict)
-    for code, c, m in zip(codes[first].tolist(), chunk[first].tolist(), np.asarray(masks).tolist(), strict=True):
-        out[code][c] = m
-    return out
 
+def mine(stream: list[bytes], size: int, pairs: np.ndarray, triples: np.ndarray, counts: dict[bytes, int]) -> None:
+    """Adds to counts the popcounts of phrases of two to four words that begin at the first `size` positions. pairs and
+    triples tell where those begin that may be frequent.
 
-def mine(stream: list[bytes], size: int, pairs: np.ndarray, triples: np.ndarray, count: Callable[[tuple[bytes, ...], int], None]) -> None:
-    """count(phrase, popcount) for phrases of two to four words that begin at the first `size` positions. pairs and
-    triples tell where those begin that may be frequent; what follows a phrase is looked for among them."""
+    A bitmap of many bits is shifted and ANDed with the bitmap of each word that may follow. One of few positions is
+    shifted and ANDed with all words at once, by looking at the word after each."""
     codes: dict[bytes, int] = {}
-    used = np.zeros(len(stream), bool)
+    used = np.zeros(len(stream) + 1, bool)
     used[: len(pairs)] |= pairs
     used[1 : len(pairs) + 1] |= pairs
     at = np.flatnonzero(used)
-    code = np.full(len(stream), -1)
+    code = np.zeros(len(stream), np.int64)
     code[at] = [codes.setdefault(stream[i], len(codes)) for i in at.tolist()]
-    name = list(codes)
-    bitmap = bitmaps(code[at], at)
+    names, n, wide = list(codes), len(codes), len(stream) + 1
+    bitmap = bitmaps(code[at], at, n)
     begins = at[at < size]
-    begin = bitmaps(code[begins], begins)
-    after: dict[int, set[int]] = defaultdict(set)
-    for x, y in set(zip(code[:-1][pairs].tolist(), code[1:][pairs].tolist(), strict=True)):
-        after[x].add(y)
-    then: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for x, y, z in set(zip(code[:-2][triples].tolist(), code[1:-1][triples].tolist(), code[2:][triples].tolist(), strict=True)):
-        then[x, y].add(z)
-
-    def extend(phrase: tuple[int, ...], ends: Bitmap, more: set[int]) -> None:
-        ends = shifted(ends)
-        for w in more:
-            found = both(ends, bitmap[w])
-            if found:
-                longer = (*phrase, w)
-                count(tuple([name[x] for x in longer]), popcount(found))
-                if len(longer) < 4 and (next_ := then.get(longer[-2:])):
-                    extend(longer, found, next_)
-
-    for x, more in after.items():
-        extend((x,), begin.get(x, {}), more)
+    begin = bitmaps(code[begins], begins, n)
+    next_word = code.tolist()[1:]
+    # may the word at a place go on as the second, and as the third or fourth of a phrase?
+    get = counts.get
+    second, onward = pairs.tobytes() + b"\0\0", b"\0" + triples.tobytes() + b"\0\0"
+    # what follows the frequent beginnings, for those of many bits
+    after, then = defaultdict(list), defaultdict(list)
+    xy = code[:-1] * n + code[1:]
+    pair, times = np.unique(xy[pairs], return_counts=True)
+    for w in pair.tolist():
+        if type(begin[w // n]) is int:
+            after[w // n].append(w % n)
+    often = triples & np.isin(xy[: len(triples)], pair[times > SPARSE])
+    for w, z in {*zip(xy[: len(triples)][often].tolist(), code[2:][often].tolist(), strict=True)}:
+        then[w].append(z)
+
+    def extend(phrase: bytes, last: int, ends: Bitmap, flags: bytes, more: list[int], left: int) -> None:
+        if type(ends) is list:
+            if len(ends) == 1:  # one occurrence goes on as far as it may
+                p = ends[0]
+                while left and flags[p]:
+                    phrase += b" " + names[next_word[p]]
+                    counts[phrase] = get(phrase, 0) + 1
+                    p, left, flags = p + 1, left - 1, onward
+                return
+            found: dict[int, Bitmap] = {}
+            for p in ends:
+                if flags[p]:
+                    w = next_word[p]
+                    if w in found:
+                        found[w].append(p + 1)
+                    else:
+                        found[w] = [p + 1]
+        else:
+            spread: list[bytes] = []
+            ends <<= 1
+
+            def seen() -> bytes:
+                if not spread:
+                    spread.append(positions_seen(ends, wide))
+                return spread[0]
+
+            found = {w: got for w in more if (got := both(ends, bitmap[w], seen))}
+        for w, got in found.items():
+            longer = phrase + b" " + names[w]
+            few = type(got) is list
+            counts[longer] = get(longer, 0) + (len(got) if few else got.bit_count())
+            if left > 1 and (not few or len(got) > 1 or onward[got[0]]):
+                extend(longer, w, got, onward, then.get(last * n + w, ()), left - 1)
+
+    for x, m in enumerate(begin):
+        if m:
+            extend(names[x], x, m, second, after.get(x, ()), 3)
 
 
 def word_counts(docs: DataFrame, support: int) -> DataFrame:
@@ -315,10 +380,10 @@ def phrase_counts(docs: DataFrame, tables: list, support: int) -> DataFrame:
     """(lang, phrase, n) of phrases of two to four words that occur `support` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, entries = Hashes(tables), defaultdict(Counter), 0
+        hashes, held = Hashes(tables), defaultdict(dict)
 
         def send() -> pa.RecordBatch:
-            rows = [(lang, b" ".join(p).decode(), n) for lang, c in held.items() for p, n in c.items()]
+            rows = [(lang, p.decode(), n) for lang, c in held.items() for p, n in c.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
 
@@ -326,18 +391,10 @@ def phrase_counts(docs: DataFrame, tables: list, support: int) -> DataFrame:
             if len(stream) < 3:
                 stream = stream + [END] * 2
             h = hashes.of(lang, stream)
-            counter = held[lang]
-
-            def count(phrase: tuple[bytes, ...], n: int, counter: Counter = counter) -> None:
-                counter[phrase] += n
-
-            before = len(counter)
-            mine(stream, size, h[1] != 0, h[2] != 0, count)
-            entries += len(counter) - before
-            if entries > COUNTERS:
+            mine(stream, size, h[1] != 0, h[2] != 0, held[lang])
+            if sum(map(len, held.values())) > COUNTERS:
                 yield send()
-                entries = 0
-        if entries:
+        if any(held.values()):
             yield send()
 
     counts = docs.mapInArrow(trimmed(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
